@@ -113,7 +113,7 @@ def rows_at(df: DataFrame, time: str, ident: str, ranks: Sequence[int],
     wanted = sorted(set(ranks))
     if not wanted:
         return []
-    per_time = df.groupBy(time).agg(F.count(F.lit(1)).alias("_rows"))
+    per_time = stage(df.groupBy(time).agg(F.count(F.lit(1)).alias("_rows")), "seconds")
     starts = running_sums(per_time, [], [time], {"_start": F.col("_rows")}, limit)
     holds = F.lit(False)
     for rank in wanted:

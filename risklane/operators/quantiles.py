@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from risklane.operators.ordered import TASK_ROWS, running_sums
+from risklane.staging import stage
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -17,8 +18,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     ``keys`` must be a short list of groups (classes, features): it is joined by broadcast.
     """
     keys = list(keys)
-    counted = (df.filter(F.col(value).isNotNull())
-                 .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+    # Staged, since it is read for its size, its totals and its ranks.
+    counted = stage(df.filter(F.col(value).isNotNull())
+                      .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "values")
     ranked = running_sums(counted, keys, [value], {"_before": F.col("_n")}, limit)
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     if keys:
