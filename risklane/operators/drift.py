@@ -29,7 +29,8 @@ def bin_edges(train: DataFrame, features: Sequence[str], bins: int = BINS, limit
     """(feature, edges): the distinct quantiles of the training values, in order."""
     probs = [i / bins for i in range(bins + 1)]
     cut = quantiles(to_long(train, features), ["feature"], "value", probs, "edges", limit)
-    return cut.select("feature", F.array_distinct("edges").alias("edges"))
+    found = cut.select("feature", F.array_distinct("edges").alias("edges")).collect()   # eleven numbers per feature
+    return train.sparkSession.createDataFrame(found, "feature string, edges array<double>")
 
 
 def histograms(values: DataFrame, edges: DataFrame, by: Sequence[str], bins: int = BINS) -> DataFrame:

@@ -103,36 +103,44 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     return rolled.filter(F.col("_segment") == segment).select(*df.columns, name)
 
 
-def rows_at(df: DataFrame, time: str, ident: str, ranks: Sequence[int],
-            limit: int = TASK_ROWS) -> list[tuple[int, int] | None]:
-    """The (time, ident) of the rows at the given 0-based ranks in (time, ident) order.
+class Timeline:
+    """Positions of rows in (time, ident) order, found without ordering the rows.
 
-    Finds the second that holds each rank from per-second counts, then ranks only the rows of those
-    seconds. The result turns a positional split into a plain predicate: no row is shuffled for it.
+    One scan counts rows per second. A position is located by its second, and only the rows of that
+    second are ranked. This turns a positional split into a plain predicate on the two columns.
     """
-    wanted = sorted(set(ranks))
-    if not wanted:
-        return []
-    per_time = stage(df.groupBy(time).agg(F.count(F.lit(1)).alias("_rows")), "seconds")
-    starts = running_sums(per_time, [], [time], {"_start": F.col("_rows")}, limit)
-    holds = F.lit(False)
-    for rank in wanted:
-        holds |= (F.col("_start") <= rank) & (F.col("_start") + F.col("_rows") > rank)
-    found = starts.filter(holds).collect()          # at most one row per wanted rank
-    ties = df.filter(F.col(time).isin([row[time] for row in found])).select(time, ident)
-    ranked = running_sums(ties, [time], [ident], {"_offset": F.lit(1).cast("long")}, limit)
-    by_rank: dict[int, tuple[int, int]] = {}
-    spots = F.lit(False)
-    for row in found:
-        for rank in wanted:
-            if row["_start"] <= rank < row["_start"] + row["_rows"]:
-                spots |= (F.col(time) == row[time]) & (F.col("_offset") == rank - row["_start"])
-    placed = {(r[time], r["_offset"]): r[ident] for r in ranked.filter(spots).collect()}
-    for row in found:
-        for rank in wanted:
-            if row["_start"] <= rank < row["_start"] + row["_rows"]:
-                by_rank[rank] = (row[time], placed[row[time], rank - row["_start"]])
-    return [by_rank.get(rank) for rank in ranks]
+
+    def __init__(self, df: DataFrame, time: str, ident: str, limit: int = TASK_ROWS) -> None:
+        self.df, self.time, self.ident, self.limit = df, time, ident, limit
+        self.seconds = stage(df.groupBy(time).agg(F.count(F.lit(1)).alias("_rows")), "seconds")
+        found = self.seconds.agg(F.sum("_rows").alias("rows"), F.count(F.lit(1)).alias("seconds")).first()
+        self.size: int = found["rows"] or 0
+        self._sums = window_sums if found["seconds"] <= limit else range_scan
+        self._known: dict[int, tuple[int, int]] = {}
+
+    def rows_at(self, ranks: Sequence[int]) -> list[tuple[int, int] | None]:
+        """(time, ident) of the rows at these 0-based ranks; None past the end."""
+        wanted = sorted({rank for rank in ranks if rank < self.size and rank not in self._known})
+        if wanted:
+            self._locate(wanted)
+        return [self._known.get(rank) for rank in ranks]
+
+    def _locate(self, wanted: list[int]) -> None:
+        starts = self._sums(self.seconds, [], [self.time], {"_start": F.col("_rows")})
+        holds = F.exists(F.array(*[F.lit(rank).cast("long") for rank in wanted]),
+                         lambda rank: (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_rows")))
+        found = starts.filter(holds).collect()          # at most one row per wanted rank
+        spot = {rank: (row[self.time], rank - row["_start"]) for row in found for rank in wanted
+                if row["_start"] <= rank < row["_start"] + row["_rows"]}
+        ties = self.df.filter(F.col(self.time).isin(sorted({at for at, _ in spot.values()}))) \
+                      .select(self.time, self.ident)
+        sums = window_sums if max(row["_rows"] for row in found) <= self.limit else range_scan
+        ranked = sums(ties, [self.time], [self.ident], {"_offset": F.lit(1).cast("long")})
+        chosen = F.lit(False)
+        for at, offset in set(spot.values()):
+            chosen |= (F.col(self.time) == at) & (F.col("_offset") == offset)
+        idents = {(row[self.time], row["_offset"]): row[self.ident] for row in ranked.filter(chosen).collect()}
+        self._known.update({rank: (place[0], idents[place]) for rank, place in spot.items()})
 
 
 def comes_before(time: str, ident: str, bound: tuple[int, int]) -> Column:

@@ -4,46 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from risklane.operators.ordered import TASK_ROWS, comes_before, rows_at
+from risklane.operators.ordered import TASK_ROWS, Timeline, comes_before
 
 TIME, IDENT = "TransactionDT", "TransactionID"
 
 
-def split_column(df: DataFrame, train: float = 0.70, val: float = 0.15, limit: int = TASK_ROWS) -> Column:
-    """'train' | 'val' | 'test' by position in time. Only the two boundary rows are looked up."""
-    n = df.count()
-    ends = [int(n * train), int(n * (train + val))]
-    bounds = rows_at(df, TIME, IDENT, ends, limit)
-    name = F.lit("test")
-    for bound, label in reversed(list(zip(bounds, ("train", "val")))):
-        if bound is None:                    # the split reaches the last row
-            name = F.lit(label)
-        else:
-            name = F.when(comes_before(TIME, IDENT, bound), label).otherwise(name)
-    return name
+def timeline(df: DataFrame, limit: int = TASK_ROWS) -> Timeline:
+    return Timeline(df, TIME, IDENT, limit)
 
 
-def with_split(df: DataFrame, **options) -> DataFrame:
-    return df.withColumn("split", split_column(df, **options))
+def _pieces(line: Timeline, ends: list[int], names: list) -> Column:
+    """``names[i]`` for rows before position ``ends[i]``, the last name for the rest."""
+    column = F.lit(names[-1])
+    for bound, name in reversed(list(zip(line.rows_at(ends), names))):
+        # No row stands at this end: everything that is left belongs before it.
+        column = F.lit(name) if bound is None else F.when(comes_before(TIME, IDENT, bound), name).otherwise(column)
+    return column
 
 
-def batch_column(df: DataFrame, batches: int = 10, limit: int = TASK_ROWS) -> Column:
-    """1-based number of the equal time-ordered batch; null for the rows left over at the end."""
-    size = df.count() // batches
-    if size == 0:
+def split_ends(size: int, train: float = 0.70, val: float = 0.15) -> tuple[int, int]:
+    return int(size * train), int(size * (train + val))
+
+
+def split_column(line: Timeline, train: float = 0.70, val: float = 0.15) -> Column:
+    """'train' | 'val' | 'test' by position in time."""
+    return _pieces(line, list(split_ends(line.size, train, val)), ["train", "val", "test"])
+
+
+def _batch_ends(line: Timeline, batches: int, start: int) -> list[int]:
+    size = (line.size - start) // batches
+    return [start + size * i for i in range(batches + 1)]
+
+
+def batch_column(line: Timeline, batches: int = 10, start: int = 0) -> Column:
+    """1-based number of the equal batch among the rows from position ``start`` on.
+
+    Null for earlier rows and for the few left over at the end.
+    """
+    if (line.size - start) // batches == 0:
         return F.lit(None).cast("int")
-    bounds = rows_at(df, TIME, IDENT, [size * (i + 1) for i in range(batches)], limit)
-    number = F.lit(None).cast("int")
-    for i in reversed(range(batches)):
-        if bounds[i] is None:                # no row is left over
-            number = F.lit(i + 1)
-        else:
-            number = F.when(comes_before(TIME, IDENT, bounds[i]), i + 1).otherwise(number)
-    return number
+    ends = _batch_ends(line, batches, start)
+    names = [F.lit(None).cast("int"), *range(1, batches + 1), F.lit(None).cast("int")]
+    return _pieces(line, ends, names)
+
+
+def with_split(df: DataFrame, limit: int = TASK_ROWS, **shares: float) -> DataFrame:
+    return df.withColumn("split", split_column(timeline(df, limit), **shares))
 
 
 def with_batch(df: DataFrame, batches: int = 10, limit: int = TASK_ROWS) -> DataFrame:
-    return df.withColumn("batch", batch_column(df, batches, limit)).filter(F.col("batch").isNotNull())
+    return df.withColumn("batch", batch_column(timeline(df, limit), batches)).filter(F.col("batch").isNotNull())
+
+
+def train_and_batches(df: DataFrame, batches: int = 10, limit: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The training rows, and the test rows in equal time-ordered batches."""
+    line = timeline(df, limit)
+    train_end, test_start = split_ends(line.size)
+    line.rows_at([train_end, *_batch_ends(line, batches, test_start)])      # all at once
+    return (df.filter(split_column(line) == "train"),
+            df.withColumn("batch", batch_column(line, batches, test_start)).filter(F.col("batch").isNotNull()))
 
 
 def split_summary(df: DataFrame) -> DataFrame:

@@ -12,19 +12,14 @@ from risklane.sources.views import view
 FEATURES = ["TransactionAmt", "hour", "weekday", "addr1", "card1"]
 
 
-def _train_and_batches(df):
-    split = splits.with_split(df)
-    return split.filter("split = 'train'"), splits.with_batch(split.filter("split = 'test'"))
-
-
 def _payments(spark, sf_dir):
-    return _train_and_batches(view(spark, sf_dir, "txn").withColumns({
+    return splits.train_and_batches(view(spark, sf_dir, "txn").withColumns({
         "hour": (F.col("TransactionDT") % 86400) / 3600,
         "weekday": F.floor(F.col("TransactionDT") / 86400) % 7}))
 
 
 def _scored(spark, sf_dir):
-    return _train_and_batches(view(spark, sf_dir, "scored"))
+    return splits.train_and_batches(view(spark, sf_dir, "scored"))
 
 
 _BATCHES = """,
