@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from risklane.functions.wording import even
 from risklane.operators import metrics as M
 from risklane.operators.ordered import TASK_ROWS
 from risklane.operators.quantiles import quantiles
@@ -131,8 +132,8 @@ def retrain_rule(psi_rows: DataFrame, concept: DataFrame, prior: DataFrame, feat
         F.slice(names, 1, 5), lambda f: F.concat(F.lit("'"), f, F.lit("'"))), ", "), F.lit("]"))
     reason = F.when(retrain, F.format_string(
         "PSI > 0.20 on %d features: %s. AUC degradation: %.4f. Fraud rate shift: %.1f%%.",
-        "n_high", listed, "drop", F.col("shift") * 100)).otherwise(F.format_string(
-            "No significant drift detected. Max PSI: %.3f. AUC stable at %.4f.", "max_psi", "last_auc"))
+        "n_high", listed, even(F.col("drop"), 4), even(F.col("shift") * 100, 1))).otherwise(F.format_string(
+            "No significant drift detected. Max PSI: %.3f. AUC stable at %.4f.", even(F.col("max_psi"), 3), even(F.col("last_auc"), 4)))
     return facts.select(
         retrain.alias("should_retrain"), "high_psi_features", F.col("n_high").alias("n_high_psi_features"),
         F.round("drop", 4).alias("auc_degradation"), F.round(F.col("shift") * 100, 1).alias("fraud_rate_shift_pct"),
