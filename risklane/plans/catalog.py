@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from risklane.plans import registry
-from risklane.plans import decision_queries, drift_queries, feature_queries, metric_queries, model_queries, profile_queries, routing_queries, velocity_queries  # noqa: F401
+from risklane.plans import decision_queries, drift_queries, feature_queries, metric_queries, model_queries, profile_queries, routing_queries, stream_queries, velocity_queries  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
