@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from risklane.operators.ordered import TASK_ROWS, running_sums
-from risklane.operators.skew import BROADCAST_ROWS, lookup
+from risklane.operators.ordered import BROADCAST_ROWS, TASK_ROWS, running_sums
+from risklane.operators.skew import lookup
 from risklane.staging import stage
 
 MISSING = "__nan__"

@@ -16,23 +16,53 @@ from risklane.staging import stage
 
 # Most rows of one key that a single task may sort and window.
 TASK_ROWS = 1_000_000
+# Most rows of a table that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key; counts are combined before the shuffle."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.agg(F.max("_rows")).first()[0] or 0
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, or None. There are at most rows/limit of them.
+
+    Counts are combined before the shuffle, and only the key columns are read.
+    """
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+             .filter(F.col("_rows") > limit).select(*keys))
+    return None if hot.isEmpty() else hot
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``limit`` rows; reads no more than needed to know."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint when the size, checked here, allows it."""
+    return F.broadcast(df) if small(df) else df
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the hot keys, all other rows). A null key is a key like any other."""
+    few = if_small(hot.select(*[F.col(key).alias(f"_h_{key}") for key in keys]))
+    same = F.lit(True)
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"_h_{key}"))
+    return df.join(few, same, "left_semi"), df.join(few, same, "left_anti")
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  sums: Mapping[str, Column], limit: int = TASK_ROWS) -> DataFrame:
     """Add, per row, the sums over the earlier rows of its key (0 for the first row).
 
-    ``order`` must be unique inside a key.
+    ``order`` must be unique inside a key. Keys of at most ``limit`` rows take one shuffle and one
+    sort; the rows of larger keys go through ``range_scan``.
     """
-    if largest_group(df, keys) <= limit:
+    if not keys:
+        return (window_sums if small(df, limit) else range_scan)(df, keys, order, sums)
+    hot = hot_keys(df, keys, limit)
+    if hot is None:
         return window_sums(df, keys, order, sums)
-    return range_scan(df, keys, order, sums)
+    hot_rows, others = split_hot(df, keys, hot)
+    return window_sums(others, keys, order, sums).unionByName(range_scan(hot_rows, keys, order, sums))
 
 
 def window_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -143,7 +173,16 @@ class Timeline:
         self._known.update({rank: (place[0], idents[place]) for rank, place in spot.items()})
 
 
-def comes_before(time: str, ident: str, bound: tuple[int, int]) -> Column:
-    """True for rows earlier than ``bound`` in (time, ident) order."""
-    at, key = bound
-    return (F.col(time) < at) | ((F.col(time) == at) & (F.col(ident) < key))
+def between(time: str, ident: str, start: tuple[int, int] | None, stop: tuple[int, int] | None) -> Column:
+    """True for rows from ``start`` on and before ``stop`` in (time, ident) order; None is no bound.
+
+    The plain comparisons of ``time`` come first: they are what a scan can be pruned by.
+    """
+    inside = F.lit(True)
+    if start is not None:
+        at, key = start
+        inside &= (F.col(time) >= at) & ((F.col(time) > at) | (F.col(ident) >= key))
+    if stop is not None:
+        at, key = stop
+        inside &= (F.col(time) <= at) & ((F.col(time) < at) | (F.col(ident) < key))
+    return inside

@@ -7,6 +7,7 @@ so they are broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -160,17 +161,30 @@ def linear_route(df: DataFrame, statistics: DataFrame, explore: float = 0.5,
         inverse = np.linalg.inv(a)
         theta = inverse @ np.array([row[f"b{i}"] for i in range(size)])
         fitted.append((row["tx_type"], row["gateway"], theta.tolist(), inverse.ravel().tolist()))
-    arms = df.sparkSession.createDataFrame(
-        fitted, "tx_type string, gateway string, theta array<double>, inverse array<double>")
-    spread = df.join(F.broadcast(_by_type(arms, "theta", "inverse")), "tx_type", "left").withColumns(
+    # One row per payment type with every coefficient as a column, so that scoring is plain arithmetic.
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    names = [f"_{g}_{c}" for g in gateways for c in (*(f"t{i}" for i in range(size)), *(f"i{i}{j}" for i, j in pairs))]
+    table = {}
+    for kind, gateway, theta, inverse in fitted:
+        line = table.setdefault(kind, dict.fromkeys(names))
+        if gateway in gateways:
+            line |= {f"_{gateway}_t{i}": theta[i] for i in range(size)}
+            # Both halves of the symmetric matrix in one coefficient.
+            line |= {f"_{gateway}_i{i}{j}": inverse[i * size + j] * (1 if i == j else 2) for i, j in pairs}
+    wide = df.sparkSession.createDataFrame(
+        [(kind, *line.values()) for kind, line in table.items()],
+        ", ".join(["tx_type string", *(f"{name} double" for name in names)]))
+    spread = df.join(F.broadcast(wide), "tx_type", "left").withColumns(
         {f"_x{i}": value for i, value in enumerate(context(F.col("amt"), F.col("hour")))})
     x = [F.col(f"_x{i}") for i in range(size)]
-    untried_width = sum((value * value for value in x[1:]), x[0] * x[0])
+
+    def total(terms):
+        return reduce(lambda a, b: a + b, terms)
+
+    untried = explore * F.sqrt(total(value * value for value in x))
     scores = {}
-    for name in gateways:
-        arm = F.col("_arms")[name]
-        gain = sum((arm["theta"][i] * x[i] for i in range(1, size)), arm["theta"][0] * x[0])
-        width = sum((arm["inverse"][i * size + j] * x[i] * x[j] for i in range(size) for j in range(size)),
-                    F.lit(0.0))
-        scores[name] = F.coalesce(gain + explore * F.sqrt(width), explore * F.sqrt(untried_width))
+    for g in gateways:
+        gain = total(F.col(f"_{g}_t{i}") * x[i] for i in range(size))
+        width = total(F.col(f"_{g}_i{i}{j}") * x[i] * x[j] for i, j in pairs)
+        scores[g] = F.coalesce(gain + explore * F.sqrt(width), untried)
     return spread.withColumn("routed_gateway", _pick(scores)).select(*df.columns, "routed_gateway")

@@ -4,24 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
-from risklane.operators.ordered import TASK_ROWS
-
-# Most rows of a lookup table that may be broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None. There are at most rows/limit of them."""
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-             .filter(F.col("_rows") > limit).select(*keys))
-    return None if hot.isEmpty() else hot
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than needed to know."""
-    return df.limit(limit + 1).count() <= limit
+from risklane.operators.ordered import TASK_ROWS, hot_keys, if_small, split_hot
 
 
 def lookup(df: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> DataFrame:
@@ -33,15 +18,9 @@ def lookup(df: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = TA
     hot = hot_keys(df, keys, limit)
     if hot is None:
         return df.join(right, keys, "left")
-    few = _capped(hot)
-    hot_right = _capped(right.join(few, keys, "left_semi"))
-    hot_rows = df.join(few, keys, "left_semi").join(hot_right, keys, "left")
-    cold_rows = df.join(few, keys, "left_anti").join(right, keys, "left")
-    return cold_rows.unionByName(hot_rows)
-
-
-def _capped(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small(df) else df
+    hot_rows, others = split_hot(df, keys, hot)
+    hot_right, _ = split_hot(right, keys, hot)
+    return others.join(right, keys, "left").unionByName(hot_rows.join(if_small(hot_right), keys, "left"))
 
 
 def attach(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS, **aggregates: Column) -> DataFrame:

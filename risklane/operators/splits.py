@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from risklane.operators.ordered import TASK_ROWS, Timeline, comes_before
+from risklane.operators.ordered import TASK_ROWS, Timeline, between
 
 TIME, IDENT = "TransactionDT", "TransactionID"
 
@@ -18,7 +18,7 @@ def _pieces(line: Timeline, ends: list[int], names: list) -> Column:
     column = F.lit(names[-1])
     for bound, name in reversed(list(zip(line.rows_at(ends), names))):
         # No row stands at this end: everything that is left belongs before it.
-        column = F.lit(name) if bound is None else F.when(comes_before(TIME, IDENT, bound), name).otherwise(column)
+        column = F.lit(name) if bound is None else F.when(between(TIME, IDENT, None, bound), name).otherwise(column)
     return column
 
 
@@ -56,13 +56,23 @@ def with_batch(df: DataFrame, batches: int = 10, limit: int = TASK_ROWS) -> Data
     return df.withColumn("batch", batch_column(timeline(df, limit), batches)).filter(F.col("batch").isNotNull())
 
 
+def parts(df: DataFrame, train: float = 0.70, val: float = 0.15, limit: int = TASK_ROWS) -> dict[str, DataFrame]:
+    """The three splits, each by a filter on (time, id) that a sorted parquet scan can use to skip data."""
+    line = timeline(df, limit)
+    first, second = line.rows_at(split_ends(line.size, train, val))
+    return {"train": df.filter(between(TIME, IDENT, None, first)),
+            "val": df.filter(between(TIME, IDENT, first, second)) if first else df.limit(0),
+            "test": df.filter(between(TIME, IDENT, second, None)) if second else df.limit(0)}
+
+
 def train_and_batches(df: DataFrame, batches: int = 10, limit: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
     """The training rows, and the test rows in equal time-ordered batches."""
     line = timeline(df, limit)
     train_end, test_start = split_ends(line.size)
-    line.rows_at([train_end, *_batch_ends(line, batches, test_start)])      # all at once
-    return (df.filter(split_column(line) == "train"),
-            df.withColumn("batch", batch_column(line, batches, test_start)).filter(F.col("batch").isNotNull()))
+    ends = _batch_ends(line, batches, test_start)
+    first, start, *_, stop = line.rows_at([train_end, test_start, *ends])      # all at once
+    numbered = df.filter(between(TIME, IDENT, start, stop)).withColumn("batch", batch_column(line, batches, test_start))
+    return df.filter(between(TIME, IDENT, None, first)), numbered.filter(F.col("batch").isNotNull())
 
 
 def split_summary(df: DataFrame) -> DataFrame:

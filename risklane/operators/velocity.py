@@ -6,13 +6,14 @@ id. Amounts are integer cents, so every sum is exact whatever order it is added
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from risklane.functions.clock import DAY, HOUR, WEEK, bucket
-from risklane.operators.ordered import TASK_ROWS, range_scan, running_sums
-from risklane.operators.skew import attach, hot_keys, lookup, small
+from risklane.operators.ordered import TASK_ROWS, hot_keys, range_scan, running_sums, split_hot, window_sums
+from risklane.operators.skew import attach, lookup
 
 KEY = ["TransactionID", "card1", "TransactionDT"]
 HORIZONS = {"1h": HOUR, "24h": DAY, "7d": WEEK}
@@ -38,9 +39,8 @@ def exact_velocity(df: DataFrame, keep: Sequence[str] = (), limit: int = TASK_RO
     if hot is None:
         history = _history_by_window(df)
     else:
-        few = F.broadcast(hot) if small(hot) else hot
-        history = _history_by_window(df.join(few, ["card1"], "left_anti")).unionByName(
-            _history_by_scan(df.join(few, ["card1"], "left_semi"), keep))
+        hot_rows, others = split_hot(df, ["card1"], hot)
+        history = _history_by_window(others).unionByName(_history_by_scan(hot_rows, keep))
     if earlier is not None:
         history = lookup(history, earlier, ["card1"], limit)
         for now, old in (("_n", "old_n"), ("_sum", "old_sum"), ("_squares", "old_squares")):
@@ -134,14 +134,13 @@ def bucketed_velocity(df: DataFrame, keep: Sequence[str] = (), limit: int = TASK
     df = df.select(*KEY, "cents", *keep) \
            .withColumn("_hour", bucket("TransactionDT", HOUR)) \
            .withColumn("_day", bucket("TransactionDT", DAY))
-    order = ["TransactionDT", "TransactionID"]
-    one, cents = F.lit(1).cast("long"), F.col("cents")
-    seen = running_sums(df, ["card1"], order,
-                        {"_n": one, "_sum": cents, "_squares": _square(cents)}, limit)
-    seen = running_sums(seen, ["card1", "_day"], order,
-                        {"vel_tx_24h": one, "_sum_day": cents}, limit)
-    seen = running_sums(seen, ["card1", "_hour"], order,
-                        {"vel_tx_1h": one, "_sum_hour": cents}, limit)
+    hot = hot_keys(df, ["card1"], limit)
+    if hot is None:
+        seen = _seen(df, window_sums)           # all three from one shuffle by card
+    else:
+        hot_rows, others = split_hot(df, ["card1"], hot)
+        # An hour or a day of a hot card may still be large, so these sums check their own keys.
+        seen = _seen(others, window_sums).unionByName(_seen(hot_rows, partial(running_sums, limit=limit)))
     return seen.select(
         *KEY, *keep, "vel_tx_1h", "vel_tx_24h", F.col("_n").alias("vel_tx_prior"),
         (F.col("_sum_hour").cast("double") / 100).alias("vel_amt_1h"),
@@ -150,6 +149,14 @@ def bucketed_velocity(df: DataFrame, keep: Sequence[str] = (), limit: int = TASK
     )
 
 
+def _seen(df: DataFrame, sums: Callable[..., DataFrame]) -> DataFrame:
+    order = ["TransactionDT", "TransactionID"]
+    one, cents = F.lit(1).cast("long"), F.col("cents")
+    df = sums(df, ["card1"], order, {"_n": one, "_sum": cents, "_squares": _square(cents)})
+    df = sums(df, ["card1", "_day"], order, {"vel_tx_24h": one, "_sum_day": cents})
+    return sums(df, ["card1", "_hour"], order, {"vel_tx_1h": one, "_sum_hour": cents})
+
+
 def emails_per_card_day(df: DataFrame, limit: int = TASK_ROWS) -> DataFrame:
     """Distinct email domains of the card on the calendar day (later rows of the day included)."""
     df = df.select(*KEY, "P_emaildomain", bucket("TransactionDT", DAY).alias("day"))

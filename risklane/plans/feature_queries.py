@@ -81,9 +81,9 @@ FROM s LEFT JOIN p ON s.card1 = p.card1 WHERE s.split = 'test'"""
 
 
 def _looked_up(spark, sf_dir, **limit):
-    split = splits.with_split(payments(spark, sf_dir))
-    profile = X.card_profile(split.filter("split = 'train'"))
-    test = lookup(split.filter("split = 'test'"), profile, ["card1"], **limit)
+    parts = splits.parts(payments(spark, sf_dir))
+    profile = X.card_profile(parts["train"])
+    test = lookup(parts["test"], profile, ["card1"], **limit)
     return test.select("TransactionID", F.round(F.coalesce("profile_mean", "TransactionAmt"), 9).alias("mean"),
                        F.coalesce("profile_count", F.lit(1)).cast("long").alias("n"))
 
@@ -129,8 +129,8 @@ SELECT TransactionID, {{label}}{", ".join(CATEGORIES)}, card1, round(addr1::DOUB
 
 
 def _train_and_test(spark, sf_dir):
-    split = splits.with_split(payments(spark, sf_dir))
-    return split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split")
+    parts = splits.parts(payments(spark, sf_dir))
+    return parts["train"], parts["test"]
 
 
 @query("feature_matrix", "txn", _matrix_sql("split = 'test'", "own_count", "own_mean").format(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from risklane.operators import routing as R
 from risklane.plans.registry import query
 from risklane.sources.views import view
+from risklane.staging import stage
 
 _ARMS = """
 WITH arms AS (SELECT tx_type, gateway, CAST(1 + sum(success) AS BIGINT) AS alpha,
@@ -17,7 +18,8 @@ WITH arms AS (SELECT tx_type, gateway, CAST(1 + sum(success) AS BIGINT) AS alpha
 
 
 def arms(spark, sf_dir):
-    return R.posterior(view(spark, sf_dir, "outcomes"))
+    """The learned state, written once: the log is read for it a single time."""
+    return stage(R.posterior(view(spark, sf_dir, "outcomes")), "arms")
 
 
 @query("posterior_state", "outcomes", _ARMS + """

@@ -25,8 +25,7 @@ class Parts:
 
 def prepare(payments: DataFrame, limit: int = TASK_ROWS) -> Parts:
     """Split by time, fit on train, build all three; each part is written once as it is read often."""
-    split = splits.with_split(payments, limit)
-    raw = {name: split.filter(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
+    raw = splits.parts(payments, limit=limit)
     fitted = features.fit(raw["train"], limit)
     built = {name: stage(boosting.assemble(features.build(df, fitted, limit), fitted.names), name)
              for name, df in raw.items()}
