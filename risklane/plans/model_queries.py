@@ -58,11 +58,20 @@ def calibrated(spark, sf_dir):
     return calibration.apply(models.calibrator, scored).select("TransactionID", "isFraud", "score_raw", "score_cal")
 
 
-# Isotonic calibration of the given scores, without a model: pool-adjacent-violators has no SQL form.
-@query("isotonic_fit")
+# Pool-adjacent-violators by its min-max form: at point i the highest, over starts j <= i, of the
+# lowest mean of the points j..k with k >= i.
+@query("isotonic_fit", "scored", """
+WITH g AS (SELECT milli, count(*) AS n, sum(isFraud) AS y FROM scored GROUP BY milli),
+c AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM g WINDOW w AS (ORDER BY milli)),
+jk AS (SELECT a.i AS j, b.i AS k, (b.cy - a.cy + a.y)::DOUBLE / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.i <= b.i),
+low AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM jk),
+fit AS (SELECT i, max(m) AS v FROM low GROUP BY i)
+SELECT s.TransactionID, s.isFraud, s.score_raw, round(fit.v, 5) AS score_cal
+FROM scored s JOIN c ON c.milli = s.milli JOIN fit ON fit.i = c.i""")
 def isotonic_fit(spark, sf_dir):
     scored = view(spark, sf_dir, "scored").select("TransactionID", "isFraud", "score_raw")
-    return calibration.apply(calibration.fit(scored), scored)
+    fitted = calibration.apply(calibration.fit(scored), scored)
+    return fitted.withColumn("score_cal", F.round("score_cal", 5))
 
 
 @query("gbt_importance")
