@@ -76,7 +76,7 @@ def cumulative_regret_split(spark, sf_dir):
 
 
 _ROLLING = """
-SELECT {by}, step, success, CASE WHEN row_number() OVER w >= {size} THEN
+SELECT {by}, step, CAST(success AS BIGINT) AS success, CASE WHEN row_number() OVER w >= {size} THEN
   (sum(success) OVER (PARTITION BY {by} ORDER BY step ROWS {size} - 1 PRECEDING))::DOUBLE / {size} END AS rolling_rate
 FROM outcomes WINDOW w AS (PARTITION BY {by} ORDER BY step)"""
 
