@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from risklane.functions.wording import even
 from risklane.operators import metrics as M
@@ -44,15 +44,14 @@ def histograms(values: DataFrame, edges: DataFrame, by: Sequence[str], bins: int
         "_bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1)
     last = F.size("edges") - 2
     at_top = F.col("value") == F.element_at("edges", -1)
-    placed = placed.withColumn("_bin", F.when(at_top, last).otherwise(F.col("_bin")))
-    inside = (F.col("_bin") >= 0) & (F.col("_bin") <= last)
+    placed = placed.withColumn("_bin", F.when(at_top, last).when(F.col("_bin") <= last, F.col("_bin")))
     return placed.groupBy("feature", *by).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(inside & (F.col("_bin") == i)).alias(f"c{i}") for i in range(bins)])
+        *[F.expr(f"count_if(_bin = {i})").alias(f"c{i}") for i in range(bins)])
 
 
-def _share(count: Column, n: Column) -> Column:
-    return F.when(count == 0, F.lit(EMPTY_SHARE)).otherwise(count / n)
+def _share(count: str, n: str) -> str:
+    return f"(CASE WHEN {count} = 0 THEN {EMPTY_SHARE!r}D ELSE {count} / {n} END)"
 
 
 def psi(train: DataFrame, batches: DataFrame, features: Sequence[str], bins: int = BINS,
@@ -68,11 +67,12 @@ def psi(train: DataFrame, batches: DataFrame, features: Sequence[str], bins: int
         "feature", F.col("n").alias("e_n"), *[F.col(f"c{i}").alias(f"e{i}") for i in range(bins)])
     actual = histograms(to_long(batches, shared, ["batch"]), edges, ["batch"], bins)
     both = actual.join(expected, "feature").join(edges, "feature")
-    score = F.lit(0.0)
+    # One SQL text: sum over bins of (a - e) * ln(a / e), for the bins the feature has.
+    terms = []
     for i in range(bins):
-        e, a = _share(F.col(f"e{i}"), F.col("e_n")), _share(F.col(f"c{i}"), F.col("n"))
-        score = score + F.when(F.size("edges") - 1 > i, (a - e) * F.log(a / e)).otherwise(F.lit(0.0))
-    found = both.select("feature", "batch", F.round(score, 4).alias("psi"))
+        e, a = _share(f"e{i}", "e_n"), _share(f"c{i}", "n")
+        terms.append(f"CASE WHEN size(edges) - 1 > {i} THEN ({a} - {e}) * ln({a} / {e}) ELSE 0D END")
+    found = both.select("feature", "batch", F.round(F.expr(" + ".join(terms)), 4).alias("psi"))
     absent = [f for f in known if f not in shared]
     if absent:
         found = found.unionByName(batches.select("batch").distinct().select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,12 +27,19 @@ def fit_codes(train: DataFrame, columns: Sequence[str], limit: int = TASK_ROWS)
     return stage(ranked.withColumn("code", F.col("code").cast("int")), "codes")
 
 
-def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+def code_sizes(codes: DataFrame) -> dict[str, int]:
+    """Number of known values per column."""
+    return {row["column"]: row["n"] for row in
+            codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str],
+                sizes: Mapping[str, int] | None = None) -> DataFrame:
     """Replace each column by its code, -1 for values not seen in training.
 
-    Dictionaries are broadcast when their size, read here, allows it.
+    A dictionary is broadcast when its size allows it; ``sizes`` saves counting them again.
     """
-    sizes = {row["column"]: row["n"] for row in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = code_sizes(codes) if sizes is None else sizes
     order = df.columns
     for name in columns:
         right = codes.filter(F.col("column") == name).select(

@@ -25,6 +25,7 @@ class Fitted:
     kept: list[str]
     categories: list[str]
     codes: DataFrame
+    code_sizes: dict[str, int]
     profile: DataFrame
     names: list[str]
 
@@ -60,8 +61,8 @@ def fit(train: DataFrame, limit: int = TASK_ROWS) -> Fitted:
     kept = [c for c in train.columns if c in numbers or c in categories]
     flags = ADDRESS_FLAGS if {"addr1", "addr2"} <= set(kept) else []
     names = [c for c in kept if c not in shaping.NOT_FEATURES] + DERIVED + flags
-    return Fitted(kept, categories, encode.fit_codes(train, categories, limit),
-                  stage(card_profile(train), "profile"), names)
+    codes = encode.fit_codes(train, categories, limit)
+    return Fitted(kept, categories, codes, encode.code_sizes(codes), stage(card_profile(train), "profile"), names)
 
 
 def build(df: DataFrame, fitted: Fitted, limit: int = TASK_ROWS) -> DataFrame:
@@ -91,7 +92,7 @@ def serve(df: DataFrame, fitted: Fitted, keep: tuple[str, ...] = ("TransactionID
 
 def _finish(df: DataFrame, fitted: Fitted, keep: list[str]) -> DataFrame:
     df = shaping.flag_addresses(df)
-    df = encode.apply_codes(df, fitted.codes, [c for c in fitted.categories if c in df.columns])
+    df = encode.apply_codes(df, fitted.codes, [c for c in fitted.categories if c in df.columns], fitted.code_sizes)
     aligned = shaping.align(df, fitted.names, keep)
     numbers = [f.name for f in aligned.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in keep]
     return aligned.na.fill(shaping.SENTINEL, numbers)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from risklane.operators.shaping import hash_sample
 from risklane.staging import stage
 
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 4_000
 MOST_PIVOTS = 1_000
 FOUND = "id long, other long, distance double"
 

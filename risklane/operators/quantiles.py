@@ -29,21 +29,16 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         total = sizes.first()["_size"]
         ranked = ranked.withColumn("_size", F.lit(total).cast("long"))
 
-    def at(rank):
-        covers = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
-        return F.max(F.when(covers, F.col(value)))
+    # As SQL text: one expression per quantile rather than dozens of column objects.
+    def at(rank: str) -> str:
+        return f"max(CASE WHEN _before <= {rank} AND {rank} < _before + _n THEN `{value}` END)"
 
     picks = []
-    for i, prob in enumerate(probs):
-        spot = F.lit(float(prob)) * (F.col("_size") - 1)
-        low = F.floor(spot)
-        picks += [at(low).alias(f"_lo{i}"),
-                  at(F.least(low + 1, F.col("_size") - 1)).alias(f"_hi{i}"),
-                  F.max(spot - low).alias(f"_t{i}")]
-    found = ranked.groupBy(*keys).agg(*picks)
-    return found.select(*keys, F.array(*[
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_t{i}")
-        for i in range(len(probs))]).alias(name))
+    for prob in probs:
+        spot = f"{float(prob)!r}D * (_size - 1)"
+        low, high = at(f"floor({spot})"), at(f"least(floor({spot}) + 1, _size - 1)")
+        picks.append(f"{low} + ({high} - {low}) * max({spot} - floor({spot}))")
+    return ranked.groupBy(*keys).agg(F.expr(f"array({', '.join(picks)})").alias(name))
 
 
 def medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",

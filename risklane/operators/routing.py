@@ -7,7 +7,6 @@ so they are broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -147,8 +146,8 @@ def linear_statistics(outcomes: DataFrame) -> DataFrame:
                            *[value.alias(f"_x{i}") for i, value in enumerate(x)])
     pairs = [(i, j) for i in range(CONTEXT_SIZE) for j in range(i, CONTEXT_SIZE)]
     return rows.groupBy(*ARM).agg(
-        *[(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) + (1.0 if i == j else 0.0)).alias(f"a{i}{j}") for i, j in pairs],
-        *[F.sum(F.col("_reward") * F.col(f"_x{i}")).alias(f"b{i}") for i in range(CONTEXT_SIZE)])
+        *[F.expr(f"sum(_x{i} * _x{j}) + {1.0 if i == j else 0.0}D").alias(f"a{i}{j}") for i, j in pairs],
+        *[F.expr(f"sum(_reward * _x{i})").alias(f"b{i}") for i in range(CONTEXT_SIZE)])
 
 
 def linear_route(df: DataFrame, statistics: DataFrame, explore: float = 0.5,
@@ -176,15 +175,11 @@ def linear_route(df: DataFrame, statistics: DataFrame, explore: float = 0.5,
         ", ".join(["tx_type string", *(f"{name} double" for name in names)]))
     spread = df.join(F.broadcast(wide), "tx_type", "left").withColumns(
         {f"_x{i}": value for i, value in enumerate(context(F.col("amt"), F.col("hour")))})
-    x = [F.col(f"_x{i}") for i in range(size)]
-
-    def total(terms):
-        return reduce(lambda a, b: a + b, terms)
-
-    untried = explore * F.sqrt(total(value * value for value in x))
+    # theta'x + explore * sqrt(x' inverse x) as SQL text; an untried arm has theta 0 and the unit matrix.
+    untried = " + ".join(f"_x{i} * _x{i}" for i in range(size))
     scores = {}
     for g in gateways:
-        gain = total(F.col(f"_{g}_t{i}") * x[i] for i in range(size))
-        width = total(F.col(f"_{g}_i{i}{j}") * x[i] * x[j] for i, j in pairs)
-        scores[g] = F.coalesce(gain + explore * F.sqrt(width), untried)
+        gain = " + ".join(f"_{g}_t{i} * _x{i}" for i in range(size))
+        width = " + ".join(f"_{g}_i{i}{j} * _x{i} * _x{j}" for i, j in pairs)
+        scores[g] = F.expr(f"coalesce({gain} + {explore!r}D * sqrt({width}), {explore!r}D * sqrt({untried}))")
     return spread.withColumn("routed_gateway", _pick(scores)).select(*df.columns, "routed_gateway")

@@ -12,6 +12,7 @@ from risklane.plans import scoring, training as T
 from risklane.plans.feature_queries import payments
 from risklane.plans.registry import query
 from risklane.sources.views import view
+from risklane.staging import spread
 
 
 @lru_cache(maxsize=4)
@@ -114,7 +115,7 @@ def train_report(spark, sf_dir):
 @query("score_batch")
 def score_batch(spark, sf_dir):
     """New payments from raw columns to decision records, through the fitted models."""
-    raw = view(spark, sf_dir, "txn").withColumn("amount_text", F.when(
+    raw = spread(view(spark, sf_dir, "txn")).withColumn("amount_text", F.when(
         F.col("TransactionID") % 40 == 7, "n/a").otherwise(F.col("TransactionAmt").cast("string")))
     from risklane.plans.routing_queries import arms
     chain = scoring.Chain(_parts(spark, sf_dir).fitted, _models(spark, sf_dir), _forest(spark, sf_dir))

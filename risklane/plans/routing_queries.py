@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from risklane.operators import routing as R
 from risklane.plans.registry import query
 from risklane.sources.views import view
-from risklane.staging import stage
+from risklane.staging import spread, stage
 
 _ARMS = """
 WITH arms AS (SELECT tx_type, gateway, CAST(1 + sum(success) AS BIGINT) AS alpha,
@@ -145,10 +145,10 @@ def linucb_stats(spark, sf_dir):
 @query("linucb_route")
 def linucb_route(spark, sf_dir):
     log = view(spark, sf_dir, "outcomes")
-    return R.linear_route(log.select("step", "tx_type", "amt", "hour"), R.linear_statistics(log))
+    return R.linear_route(spread(log).select("step", "tx_type", "amt", "hour"), R.linear_statistics(log))
 
 
 @query("thompson_route")
 def thompson_route(spark, sf_dir):
-    payments = view(spark, sf_dir, "txn").select("TransactionID", "tx_type")
+    payments = spread(view(spark, sf_dir, "txn").select("TransactionID", "tx_type"))
     return R.thompson_route(payments, arms(spark, sf_dir))

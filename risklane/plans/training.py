@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from risklane.operators import boosting, calibration, features, forest, metrics as M, oversample, splits
 from risklane.operators.ordered import TASK_ROWS
-from risklane.staging import stage
+from risklane.staging import spread, stage
 
 
 @dataclass
@@ -27,7 +27,7 @@ def prepare(payments: DataFrame, limit: int = TASK_ROWS) -> Parts:
     """Split by time, fit on train, build all three; each part is written once as it is read often."""
     raw = splits.parts(payments, limit=limit)
     fitted = features.fit(raw["train"], limit)
-    built = {name: stage(boosting.assemble(features.build(df, fitted, limit), fitted.names), name)
+    built = {name: spread(stage(boosting.assemble(features.build(df, fitted, limit), fitted.names), name))
              for name, df in raw.items()}
     return Parts(**built, fitted=fitted)
 
@@ -43,7 +43,7 @@ def train(parts: Parts, rounds: int = boosting.ROUNDS, oversampled: bool = True,
     """Boosted trees on the balanced training rows; threshold and calibration from the validation rows."""
     rows = parts.train
     if oversampled:
-        rows = stage(oversample.balance(parts.train, seed=seed), "balanced")
+        rows = spread(stage(oversample.balance(parts.train, seed=seed), "balanced"))
     booster = boosting.fit(rows, parts.val, rounds, seed)
     val = stage(boosting.score(booster, parts.val).drop("features"), "val_scores")
     return Models(booster, calibration.fit(val), M.tuned_threshold(val, "score_raw"))
