@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from risklane.functions import rules, wording
 from risklane.operators import routing as R
+from risklane.operators.ordered import if_small
 
 RECORD = ["transaction_id", "fraud_probability", "iso_anomaly_score", "fraud_decision", "fraud_risk_level",
           "recommended_action", "routed_gateway", "routing_reason", "expected_success_rate"]
@@ -65,7 +66,7 @@ def decide(df: DataFrame, score: str, anomaly: str, threshold: float, arms: Data
         "_type": rules.routing_type(F.coalesce("tx_type", F.lit("")))})
     if thompson_seed is None:
         best = R.best_by_mean(arms).select(F.col("tx_type").alias("_type"), F.col("gateway").alias("_learned"))
-        scored = scored.join(F.broadcast(best), "_type", "left")
+        scored = scored.join(F.broadcast(best.filter(F.col("_type").isin(*rules.PAYMENT_TYPES))), "_type", "left")
     else:
         by_type = scored.withColumnsRenamed({"tx_type": "_given", "_type": "tx_type"})
         scored = R.thompson_route(by_type, arms, seed=thompson_seed).withColumnsRenamed(
@@ -73,11 +74,11 @@ def decide(df: DataFrame, score: str, anomaly: str, threshold: float, arms: Data
     routed = route_by_risk(scored, F.col("_learned"))
     state = arms.select(F.col("tx_type").alias("_arm_type"), F.col("gateway").alias("_arm_gateway"),
                         F.col("posterior_mean").alias("_mean"), F.col("n_trials").alias("_trials"))
-    routed = routed.join(F.broadcast(state), (F.col("_type") == F.col("_arm_type"))
+    routed = routed.join(if_small(state), (F.col("_type") == F.col("_arm_type"))
                          & (F.col("routed_gateway") == F.col("_arm_gateway")), "left")
     card_rates = rates.filter(F.col("tx_type") == "CARD").select(
         F.col("gateway").alias("_rate_gateway"), F.col("rate").alias("_card_rate"))
-    routed = routed.join(F.broadcast(card_rates), F.col("routed_gateway") == F.col("_rate_gateway"), "left")
+    routed = routed.join(if_small(card_rates), F.col("routed_gateway") == F.col("_rate_gateway"), "left")
     is_known = F.coalesce(F.upper("tx_type").isin(*rules.PAYMENT_TYPES), F.lit(False))
     expected = F.coalesce(F.when(is_known, F.col("_mean")), F.col("_card_rate"), F.lit(rules.DEFAULT_RATE))
     reason = F.when(rules.is_risky(F.col("risk")), F.format_string(
@@ -113,7 +114,7 @@ def checked_amounts(raw: DataFrame, amount: str = "amount_text") -> DataFrame:
 def explain(records: DataFrame, items: Column, arms: DataFrame) -> DataFrame:
     """Fraud and routing explanations of decision records; ``items`` are the drivers of each record."""
     seconds = R.second_best(arms).withColumnRenamed("tx_type", "_kind")
-    joined = records.join(F.broadcast(seconds), F.col("tx_type") == F.col("_kind"), "left")
+    joined = records.join(if_small(seconds), F.col("tx_type") == F.col("_kind"), "left")
     return joined.select(
         "transaction_id",
         wording.fraud_explanation(F.col("fraud_decision"), F.col("fraud_risk_level"), F.col("recommended_action"),

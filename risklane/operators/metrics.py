@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from risklane.operators.ordered import TASK_ROWS, running_sums
+from risklane.operators.ordered import TASK_ROWS, if_small, running_sums
 from risklane.staging import stage
 
 LABEL = "isFraud"
@@ -129,7 +129,7 @@ def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 def _with_totals(rows: DataFrame, counts: DataFrame, by: Sequence[str]) -> DataFrame:
     totals = _totals(counts, by)
     if by:
-        return rows.join(F.broadcast(totals), list(by))
+        return rows.join(if_small(totals), list(by))
     row = totals.first()
     return rows.withColumns({"all_pos": F.lit(row["all_pos"] or 0).cast("long"),
                              "all_neg": F.lit(row["all_neg"] or 0).cast("long")})
@@ -244,10 +244,11 @@ def roc_curve(df: DataFrame, score: str, limit: int = TASK_ROWS) -> DataFrame:
 
 def class_histogram(df: DataFrame, value: str, bins: int = 80, label: str = LABEL) -> DataFrame:
     """Density histogram per class over that class's own range; the last bin is closed."""
+    df = df.filter(F.col(label).isin(0, 1))
     spans = df.groupBy(label).agg(F.min(value).alias("low"), F.max(value).alias("high"),
                                   F.count(value).alias("total"))
     width = (F.col("high") - F.col("low")) / bins
-    # One row per class.
+    # Two rows at most.
     placed = df.filter(F.col(value).isNotNull()).join(F.broadcast(spans), label).withColumn(
         "bin", F.coalesce(F.least(F.floor(F.try_divide((F.col(value) - F.col("low")) * bins,
                                                        F.col("high") - F.col("low"))), F.lit(bins - 1)),

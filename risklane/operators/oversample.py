@@ -30,7 +30,7 @@ def synthetic(rows: DataFrame, k: int = NEIGHBOURS, seed: int = 42, label: str =
         raise ValueError("oversampling needs at least two rows of the rarer class")
     points = stage(rows.filter(F.col(label) == rare).select(
         F.col(ident).alias("id"), vector_to_array("features").alias("x")), "minority")
-    near = neighbours(points, min(k, have - 1), block_rows, seed)
+    near = stage(neighbours(points, min(k, have - 1), block_rows, seed), "near")
     chosen_from = near.groupBy("id").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("rank", "other"))), lambda r: r["other"]).alias("others"))
 

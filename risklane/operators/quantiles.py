@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from risklane.operators.ordered import TASK_ROWS, running_sums
+from risklane.operators.ordered import TASK_ROWS, if_small, running_sums
 from risklane.staging import stage
 
 
@@ -15,7 +15,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     """One row per key: the array of quantiles of ``value`` at ``probs`` (nulls left out).
 
     Equal values are counted first, so what is ordered is the table of distinct values.
-    ``keys`` must be a short list of groups (classes, features): it is joined by broadcast.
     """
     keys = list(keys)
     # Staged, since it is read for its size, its totals and its ranks.
@@ -24,7 +23,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     ranked = running_sums(counted, keys, [value], {"_before": F.col("_n")}, limit)
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     if keys:
-        ranked = ranked.join(F.broadcast(sizes), keys)
+        ranked = ranked.join(if_small(sizes), keys)
     else:
         total = sizes.first()["_size"]
         ranked = ranked.withColumn("_size", F.lit(total).cast("long"))

@@ -1,7 +1,6 @@
 """Gateway routing: posteriors from logged outcomes, policy comparison, and bandit routing of batches.
 
-An arm is a (payment type, gateway) pair. Tables of arms have a few dozen rows at any data size,
-so they are broadcast.
+An arm is a (payment type, gateway) pair.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from risklane.functions.beta import beta_draw, interval95
 from risklane.functions.clock import on_circle
-from risklane.operators.ordered import TASK_ROWS, positions, rolling_mean, running_sums
+from risklane.functions.rules import PAYMENT_TYPES
+from risklane.operators.ordered import TASK_ROWS, if_small, positions, rolling_mean, running_sums
 
 ARM = ["tx_type", "gateway"]
 GATEWAYS = ("GW1", "GW2", "GW3", "GW4")
@@ -40,7 +40,7 @@ def with_interval(arms: DataFrame) -> DataFrame:
 
 def posterior_errors(arms: DataFrame, rates: DataFrame) -> DataFrame:
     """Learned against reference rates, best reference gateway of each type first."""
-    joined = arms.join(F.broadcast(rates), ARM)
+    joined = arms.join(if_small(rates), ARM)
     return joined.select(
         *ARM, F.col("rate").alias("true_rate"), F.round("posterior_mean", 4).alias("posterior_mean"), "n_trials",
         F.round(F.abs(F.col("posterior_mean") - F.col("rate")), 4).alias("error"),
@@ -59,9 +59,9 @@ def policy_lift(outcomes: DataFrame, baseline: str) -> DataFrame:
 def cumulative_regret(outcomes: DataFrame, rates: DataFrame, limit: int = TASK_ROWS) -> DataFrame:
     """Regret of each step (best rate of the type less the chosen arm's) and its running total per policy."""
     best = rates.groupBy("tx_type").agg(F.max("rate").alias("best"))
-    known = rates.join(F.broadcast(best), "tx_type").select(
+    known = rates.join(best, "tx_type").select(
         *ARM, (F.col("best") - F.col("rate")).cast("decimal(18,6)").alias("regret"))
-    steps = outcomes.select("policy", "step", *ARM).join(F.broadcast(known), ARM)
+    steps = outcomes.select("policy", "step", *ARM).join(if_small(known), ARM)
     summed = running_sums(steps, ["policy"], ["step"], {"_before": F.col("regret")}, limit)
     return summed.select("policy", "step", F.col("regret").cast("double").alias("regret"),
                          F.round((F.col("_before") + F.col("regret")).cast("double"), 6).alias("cum_regret"))
@@ -104,9 +104,10 @@ def best_by_mean(arms: DataFrame) -> DataFrame:
     return ranked_arms(arms).filter(F.col("rank") == 1).drop("rank")
 
 
-def _by_type(arms: DataFrame, *columns: str) -> DataFrame:
-    """One row per payment type with a gateway -> struct(columns) map, to be broadcast."""
-    return arms.groupBy("tx_type").agg(F.map_from_entries(
+def _by_type(arms: DataFrame, gateways: Sequence[str], *columns: str) -> DataFrame:
+    """One row per payment type (four at most) with a gateway -> struct(columns) map, to be broadcast."""
+    known = arms.filter(F.col("tx_type").isin(*PAYMENT_TYPES) & F.col("gateway").isin(*gateways))
+    return known.groupBy("tx_type").agg(F.map_from_entries(
         F.collect_list(F.struct(F.col("gateway"), F.struct(*columns)))).alias("_arms"))
 
 
@@ -120,7 +121,7 @@ def _pick(scores: dict[str, Column]) -> Column:
 def thompson_route(df: DataFrame, arms: DataFrame, ident: str = "TransactionID", seed: int = 42,
                    gateways: Sequence[str] = GATEWAYS) -> DataFrame:
     """Route by one posterior draw per arm. The draw depends on (seed, id, gateway) only; no shuffle."""
-    spread = df.join(F.broadcast(_by_type(arms, "alpha", "beta")), "tx_type", "left")
+    spread = df.join(F.broadcast(_by_type(arms, gateways, "alpha", "beta")), "tx_type", "left")
     draws = {}
     for name in gateways:
         arm = F.col("_arms")[name]
@@ -155,7 +156,8 @@ def linear_route(df: DataFrame, statistics: DataFrame, explore: float = 0.5,
     """Route by upper confidence bound. The few 5x5 inverses are taken here; rows are scored as columns."""
     size = CONTEXT_SIZE
     fitted = []
-    for row in statistics.collect():            # one row per arm
+    known = statistics.filter(F.col("tx_type").isin(*PAYMENT_TYPES) & F.col("gateway").isin(*gateways))
+    for row in known.collect():                 # one row per payment type and gateway
         a = np.array([[row[f"a{min(i, j)}{max(i, j)}"] for j in range(size)] for i in range(size)])
         inverse = np.linalg.inv(a)
         theta = inverse @ np.array([row[f"b{i}"] for i in range(size)])
@@ -166,10 +168,9 @@ def linear_route(df: DataFrame, statistics: DataFrame, explore: float = 0.5,
     table = {}
     for kind, gateway, theta, inverse in fitted:
         line = table.setdefault(kind, dict.fromkeys(names))
-        if gateway in gateways:
-            line |= {f"_{gateway}_t{i}": theta[i] for i in range(size)}
-            # Both halves of the symmetric matrix in one coefficient.
-            line |= {f"_{gateway}_i{i}{j}": inverse[i * size + j] * (1 if i == j else 2) for i, j in pairs}
+        line |= {f"_{gateway}_t{i}": theta[i] for i in range(size)}
+        # Both halves of the symmetric matrix in one coefficient.
+        line |= {f"_{gateway}_i{i}{j}": inverse[i * size + j] * (1 if i == j else 2) for i, j in pairs}
     wide = df.sparkSession.createDataFrame(
         [(kind, *line.values()) for kind, line in table.items()],
         ", ".join(["tx_type string", *(f"{name} double" for name in names)]))

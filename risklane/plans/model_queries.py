@@ -11,6 +11,7 @@ from risklane.operators import boosting as B, calibration, forest as I, metrics
 from risklane.plans import scoring, training as T
 from risklane.plans.feature_queries import payments
 from risklane.plans.registry import query
+from risklane.plans.routing_queries import arms
 from risklane.sources.views import view
 from risklane.staging import spread
 
@@ -112,15 +113,21 @@ def train_report(spark, sf_dir):
     return T.run_metrics(_models(spark, sf_dir), _parts(spark, sf_dir), "boosted-balanced", "Staging")
 
 
+def fitted_chain(spark, sf_dir):
+    return scoring.Chain(_parts(spark, sf_dir).fitted, _models(spark, sf_dir), _forest(spark, sf_dir))
+
+
+def with_amount_text(payments):
+    """Payments as they arrive: unlabelled, with amounts as text of which some are unreadable."""
+    text = F.when(F.col("TransactionID") % 40 == 7, "n/a").otherwise(F.col("TransactionAmt").cast("string"))
+    return payments.withColumn("amount_text", text).drop("TransactionAmt", "isFraud")
+
+
 @query("score_batch")
 def score_batch(spark, sf_dir):
     """New payments from raw columns to decision records, through the fitted models."""
-    raw = spread(view(spark, sf_dir, "txn")).withColumn("amount_text", F.when(
-        F.col("TransactionID") % 40 == 7, "n/a").otherwise(F.col("TransactionAmt").cast("string")))
-    from risklane.plans.routing_queries import arms
-    chain = scoring.Chain(_parts(spark, sf_dir).fitted, _models(spark, sf_dir), _forest(spark, sf_dir))
-    return scoring.score_payments(raw.drop("TransactionAmt", "isFraud"), chain, arms(spark, sf_dir),
-                                  view(spark, sf_dir, "rates"))
+    raw = with_amount_text(spread(view(spark, sf_dir, "txn")))
+    return scoring.score_payments(raw, fitted_chain(spark, sf_dir), arms(spark, sf_dir), view(spark, sf_dir, "rates"))
 
 
 # Three ways to score the same payments, as runs to be compared.

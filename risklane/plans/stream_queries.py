@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from risklane.operators import decisions as D, routing as R
+from risklane.plans import scoring
 from risklane.plans.decision_queries import _FORCED, _RISK
+from risklane.plans.model_queries import fitted_chain, with_amount_text
 from risklane.plans.registry import query
 from risklane.plans.routing_queries import _ARMS, arms
 from risklane.plans.velocity_queries import _EXACT, _PRIOR, _rounded
@@ -64,3 +66,16 @@ def stream_score(spark, sf_dir):
     jobs.start(_payments(spark, sf_dir), decide, "append").awaitTermination()
     return spark.read.parquet(path).select("transaction_id", "fraud_decision", "fraud_risk_level",
                                            "recommended_action", "routed_gateway")
+
+
+@query("stream_score_models")
+def stream_score_models(spark, sf_dir):
+    """Raw payments from the stream through the fitted models, batch by batch."""
+    path = new_path(spark, "scored")
+    chain, learned, rates = fitted_chain(spark, sf_dir), arms(spark, sf_dir), view(spark, sf_dir, "rates")
+
+    def score(batch, number):
+        jobs.into(path)(scoring.score_payments(with_amount_text(batch), chain, learned, rates), number)
+
+    jobs.start(_payments(spark, sf_dir), score, "append").awaitTermination()
+    return spark.read.parquet(path).drop("batch")

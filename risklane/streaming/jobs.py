@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from risklane.functions.clock import DAY, WEEK
-from risklane.operators.ordered import TASK_ROWS
+from risklane.operators.ordered import TASK_ROWS, if_small
 from risklane.operators.velocity import KEY, card_totals, exact_velocity
 from risklane.staging import new_path
 
@@ -45,8 +45,7 @@ def running_posterior(outcomes: DataFrame, prior: DataFrame | None = None) -> Da
     seen = outcomes.groupBy("tx_type", "gateway").agg(wins.alias("_wins"), F.count(F.lit(1)).alias("_n"))
     alpha, beta = F.col("_wins") + 1, F.col("_n") - F.col("_wins") + 1
     if prior is not None:
-        # An arm table is a few dozen rows at any data size.
-        seen = seen.join(F.broadcast(prior.select("tx_type", "gateway", "alpha", "beta")), ["tx_type", "gateway"], "left")
+        seen = seen.join(if_small(prior.select("tx_type", "gateway", "alpha", "beta")), ["tx_type", "gateway"], "left")
         alpha, beta = alpha + F.coalesce(F.col("alpha") - 1, F.lit(0)), beta + F.coalesce(F.col("beta") - 1, F.lit(0))
     return seen.select("tx_type", "gateway", alpha.cast("long").alias("alpha"), beta.cast("long").alias("beta"),
                        (alpha + beta - 2).cast("long").alias("n_trials"))

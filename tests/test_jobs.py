@@ -164,3 +164,11 @@ def test_posterior_stream_in_several_batches(spark, sf_dir, tmp_path):
     got = {(r["tx_type"], r["gateway"]): (r["alpha"], r["beta"]) for r in jobs.newest(spark, out, R.ARM).collect()}
     want = {(r["tx_type"], r["gateway"]): (r["alpha"], r["beta"]) for r in R.posterior(view(spark, sf_dir, "outcomes")).collect()}
     assert got == want
+
+
+def test_streamed_decisions_equal_batch(spark, sf_dir):
+    import __spark_entry__ as entry_point
+    queries = entry_point.queries()
+    batch, stream = (sorted(map(tuple, queries[name](spark, sf_dir).collect()), key=str)
+                     for name in ("score_batch", "stream_score_models"))
+    assert batch == stream
