@@ -6,6 +6,37 @@ from pyspark.sql import Column, functions as F
 
 from risklane.functions.rules import direction, is_risky
 
+# Fixed wordings, in printf form.
+CONFIRMED = (
+    "Both fraud detection systems flagged this transaction. Calibrated fraud probability: %.1f%%. "
+    "Risk level: %s.%s Recommended action: %s.")
+NOVEL = (
+    "This transaction shows unusual patterns not seen in historical fraud data. Fraud probability: %.1f%%. "
+    "The anomaly detector flagged it as statistically unusual.%s Recommended action: %s — manual review advised.")
+KNOWN = "This transaction matches known fraud patterns. Fraud probability: %.1f%%.%s Recommended action: %s."
+LEGITIMATE = (
+    "Transaction appears legitimate. Fraud probability: %.1f%% (below threshold).%s Recommended action: ALLOW.")
+KEY_DRIVERS = " Key drivers: "
+DRIVER = "%s (%s%.3f)"
+FORCED_ROUTE = (
+    "Routed to %s due to elevated fraud risk (%s). This gateway provides strongest authentication for %s "
+    "transactions. Expected success rate: %.1f%%.")
+LEARNED_ROUTE = (
+    "Routed to %s via Thompson Sampling policy. Learned success rate for %s: %.1f%%. "
+    "This gateway is currently optimal for this transaction type.")
+RUNNER_UP = "If routed to %s instead, expected success rate would be %.1f%% (%+.1f%% difference)."
+OVERRIDE_REASON = "Fraud-risk override (%s) → strongest-auth gateway"
+LEARNED_REASON = "Thompson Sampling → %s (posterior mean: %.3f, trials: %d)"
+DRIFT_FOUND = (
+    "Model drift detected. %d features show significant distribution shift (PSI > 0.20). "
+    "Model AUC has degraded by %.4f. Fraud rate has shifted %+.1f%% from training baseline. "
+    "Recommendation: retrain on recent data (last 90 days).")
+NO_DRIFT = (
+    "Model health nominal. No significant drift detected. "
+    "AUC stable, feature distributions within acceptable bounds.")
+RETRAIN_REASON = "PSI > 0.20 on %d features: %s. AUC degradation: %.4f. Fraud rate shift: %.1f%%."
+MONITOR_REASON = "No significant drift detected. Max PSI: %.3f. AUC stable at %.4f."
+
 
 def even(value: Column, digits: int) -> Column:
     """Rounded half to even, as the formatted numbers are expected to be; Java formats half up."""
@@ -27,45 +58,32 @@ def strongest(items: Column, n: int) -> Column:
 
 
 def key_drivers(items: Column) -> Column:
-    """' Key drivers: a (+0.820), ...' for the first three; empty without drivers."""
+    """The first three drivers with their sign; empty without drivers."""
     texts = F.transform(F.slice(items, 1, 3), lambda d: F.format_string(
-        "%s (%s%.3f)", d["feature"], F.when(d["value"] > 0, "+").otherwise(""), even(d["value"], 3)))
-    return F.when(F.size(items) > 0, F.concat(F.lit(" Key drivers: "), F.array_join(texts, ", "))).otherwise("")
+        DRIVER, d["feature"], F.when(d["value"] > 0, "+").otherwise(""), even(d["value"], 3)))
+    return F.when(F.size(items) > 0, F.concat(F.lit(KEY_DRIVERS), F.array_join(texts, ", "))).otherwise("")
 
 
 def fraud_explanation(decision: Column, risk: Column, action: Column, score: Column, items: Column) -> Column:
     pct, listed = even(score * 100, 1), key_drivers(items)
-    confirmed = F.format_string(
-        "Both fraud detection systems flagged this transaction. Calibrated fraud probability: %.1f%%. "
-        "Risk level: %s.%s Recommended action: %s.", pct, risk, listed, action)
-    novel = F.format_string(
-        "This transaction shows unusual patterns not seen in historical fraud data. Fraud probability: %.1f%%. "
-        "The anomaly detector flagged it as statistically unusual.%s Recommended action: %s — manual review advised.",
-        pct, listed, action)
-    known = F.format_string(
-        "This transaction matches known fraud patterns. Fraud probability: %.1f%%.%s Recommended action: %s.",
-        pct, listed, action)
-    fine = F.format_string(
-        "Transaction appears legitimate. Fraud probability: %.1f%% (below threshold).%s Recommended action: ALLOW.",
-        pct, listed)
-    return (F.when(decision == "CONFIRMED_FRAUD", confirmed).when(decision == "NOVEL_ANOMALY", novel)
-            .when(decision == "KNOWN_FRAUD", known).otherwise(fine))
+    return (F.when(decision == "CONFIRMED_FRAUD", F.format_string(CONFIRMED, pct, risk, listed, action))
+            .when(decision == "NOVEL_ANOMALY", F.format_string(NOVEL, pct, listed, action))
+            .when(decision == "KNOWN_FRAUD", F.format_string(KNOWN, pct, listed, action))
+            .otherwise(F.format_string(LEGITIMATE, pct, listed)))
 
 
 def routing_explanation(gateway: Column, risk: Column, tx_type: Column, rate: Column) -> Column:
     pct = even(rate * 100, 1)
-    forced = F.format_string(
-        "Routed to %s due to elevated fraud risk (%s). This gateway provides strongest authentication for %s "
-        "transactions. Expected success rate: %.1f%%.", gateway, risk, tx_type, pct)
-    learned = F.format_string(
-        "Routed to %s via Thompson Sampling policy. Learned success rate for %s: %.1f%%. "
-        "This gateway is currently optimal for this transaction type.", gateway, tx_type, pct)
-    return F.when(is_risky(risk), forced).otherwise(learned)
+    return F.when(is_risky(risk), F.format_string(FORCED_ROUTE, gateway, risk, tx_type, pct)) \
+            .otherwise(F.format_string(LEARNED_ROUTE, gateway, tx_type, pct))
+
+
+def routing_reason(risk: Column, gateway: Column, mean: Column, trials: Column) -> Column:
+    return F.when(is_risky(risk), F.format_string(OVERRIDE_REASON, risk)) \
+            .otherwise(F.format_string(LEARNED_REASON, gateway, even(mean, 3), trials))
 
 
 def counterfactual(rate: Column, second: Column, second_rate: Column) -> Column:
     """What the runner-up gateway would change; empty when the type has none."""
-    text = F.format_string(
-        "If routed to %s instead, expected success rate would be %.1f%% (%+.1f%% difference).",
-        second, even(second_rate * 100, 1), even((rate - second_rate) * 100, 1))
+    text = F.format_string(RUNNER_UP, second, even(second_rate * 100, 1), even((rate - second_rate) * 100, 1))
     return F.coalesce(F.when(second.isNotNull(), text), F.lit(""))

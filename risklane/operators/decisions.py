@@ -81,9 +81,7 @@ def decide(df: DataFrame, score: str, anomaly: str, threshold: float, arms: Data
     routed = routed.join(if_small(card_rates), F.col("routed_gateway") == F.col("_rate_gateway"), "left")
     is_known = F.coalesce(F.upper("tx_type").isin(*rules.PAYMENT_TYPES), F.lit(False))
     expected = F.coalesce(F.when(is_known, F.col("_mean")), F.col("_card_rate"), F.lit(rules.DEFAULT_RATE))
-    reason = F.when(rules.is_risky(F.col("risk")), F.format_string(
-        "Fraud-risk override (%s) → strongest-auth gateway", "risk")).otherwise(F.format_string(
-            "Thompson Sampling → %s (posterior mean: %.3f, trials: %d)", "routed_gateway", wording.even(F.col("_mean"), 3), "_trials"))
+    reason = wording.routing_reason(F.col("risk"), F.col("routed_gateway"), F.col("_mean"), F.col("_trials"))
     values = {
         "fraud_probability": F.round("_p", 4), "iso_anomaly_score": F.round("_a", 4), "fraud_decision": F.col("decision"),
         "fraud_risk_level": F.col("risk"), "recommended_action": rules.action(F.col("decision"), F.col("risk")),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from risklane.functions.wording import even
+from risklane.functions import wording
 from risklane.operators import metrics as M
 from risklane.operators.ordered import TASK_ROWS
 from risklane.operators.quantiles import quantiles
@@ -131,9 +131,9 @@ def retrain_rule(psi_rows: DataFrame, concept: DataFrame, prior: DataFrame, feat
     listed = F.concat(F.lit("["), F.array_join(F.transform(
         F.slice(names, 1, 5), lambda f: F.concat(F.lit("'"), f, F.lit("'"))), ", "), F.lit("]"))
     reason = F.when(retrain, F.format_string(
-        "PSI > 0.20 on %d features: %s. AUC degradation: %.4f. Fraud rate shift: %.1f%%.",
-        "n_high", listed, even(F.col("drop"), 4), even(F.col("shift") * 100, 1))).otherwise(F.format_string(
-            "No significant drift detected. Max PSI: %.3f. AUC stable at %.4f.", even(F.col("max_psi"), 3), even(F.col("last_auc"), 4)))
+        wording.RETRAIN_REASON, "n_high", listed, wording.even(F.col("drop"), 4), wording.even(F.col("shift") * 100, 1),
+    )).otherwise(F.format_string(
+        wording.MONITOR_REASON, wording.even(F.col("max_psi"), 3), wording.even(F.col("last_auc"), 4)))
     return facts.select(
         retrain.alias("should_retrain"), "high_psi_features", F.col("n_high").alias("n_high_psi_features"),
         F.round("drop", 4).alias("auc_degradation"), F.round(F.col("shift") * 100, 1).alias("fraud_rate_shift_pct"),
@@ -152,12 +152,6 @@ def _side_by_side(*one_row_tables: DataFrame) -> DataFrame:
 
 def drift_text(rule: DataFrame) -> DataFrame:
     """The rule's row with a plain-language report."""
-    alert = F.format_string(
-        "Model drift detected. %d features show significant distribution shift (PSI > 0.20). "
-        "Model AUC has degraded by %.4f. Fraud rate has shifted %+.1f%% from training baseline. "
-        "Recommendation: retrain on recent data (last 90 days).",
-        "n_high_psi_features", "auc_degradation", "fraud_rate_shift_pct")
-    calm = F.lit("Model health nominal. No significant drift detected. "
-                 "AUC stable, feature distributions within acceptable bounds.")
-    return rule.select(F.when(F.col("recommendation") == "RETRAIN", alert).otherwise(calm).alias("report"),
+    alert = F.format_string(wording.DRIFT_FOUND, "n_high_psi_features", "auc_degradation", "fraud_rate_shift_pct")
+    return rule.select(F.when(F.col("recommendation") == "RETRAIN", alert).otherwise(wording.NO_DRIFT).alias("report"),
                        F.col("recommendation").alias("status"))

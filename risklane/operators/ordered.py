@@ -23,10 +23,11 @@ BROADCAST_ROWS = 200_000
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> DataFrame | None:
     """Keys with more than ``limit`` rows, or None. There are at most rows/limit of them.
 
-    Counts are combined before the shuffle, and only the key columns are read.
+    Counts are combined before the shuffle, and only the key columns are read. The few keys found are
+    staged, so the rows are counted once however often the keys are used.
     """
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-             .filter(F.col("_rows") > limit).select(*keys))
+    hot = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+                  .filter(F.col("_rows") > limit).select(*keys), "hot")
     return None if hot.isEmpty() else hot
 
 
