@@ -13,6 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from risklane.functions.rules import direction
 from risklane.staging import new_path
 
 ROUNDS, DEPTH, STEP, ROW_SHARE, LEAF_ROWS = 1000, 6, 0.05, 0.8, 10     # fixed values
@@ -131,17 +132,18 @@ def attribute_matrix(leaves: Sequence[tuple], x: np.ndarray) -> np.ndarray:
 
 
 def attribute(model: GBTClassificationModel, df: DataFrame, ident: str = "TransactionID") -> DataFrame:
-    """(id, base, values): additive contributions of every feature; base + sum = the row's log-odds."""
+    """(id, x, values, base): additive contributions of every feature value; base + sum = the row's log-odds."""
     leaves, base = leaf_boxes(model, df)
     shipped = df.sparkSession.sparkContext.broadcast([tuple(leaf) for leaf in leaves])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, 1))
-            yield pd.DataFrame({ident: batch[ident], "values": list(attribute_matrix(shipped.value, x))})
+            if len(batch):
+                x = np.stack(batch["x"].to_numpy())
+                yield batch.assign(values=list(attribute_matrix(shipped.value, x)))
 
     arrays = df.select(ident, vector_to_array("features").alias("x"))
-    return arrays.mapInPandas(run, f"{ident} long, values array<double>").withColumn("base", F.lit(base))
+    return arrays.mapInPandas(run, f"{ident} long, x array<double>, values array<double>").withColumn("base", F.lit(base))
 
 
 def named(values: Column, names: Sequence[str]) -> Column:
@@ -150,6 +152,21 @@ def named(values: Column, names: Sequence[str]) -> Column:
                        lambda z: F.struct(z["f"].alias("feature"), z["v"].alias("value")))
 
 
+def top_contributions(attributions: DataFrame, names: Sequence[str], n: int = 10,
+                      ident: str = "TransactionID") -> DataFrame:
+    """(id, feature, feature_val, shap_value, direction): the ``n`` largest in absolute value of each row.
+
+    Sorted inside the row, so nothing is shuffled.
+    """
+    zipped = F.arrays_zip(F.array(*[F.lit(name) for name in names]).alias("f"), F.col("x"), F.col("values"))
+    keyed = F.transform(zipped, lambda z: F.struct(
+        (-F.abs(z["values"])).alias("rank"), z["f"].alias("feature"), z["x"].alias("feature_val"),
+        z["values"].alias("shap_value")))
+    best = attributions.select(ident, F.explode(F.slice(F.array_sort(keyed), 1, n)).alias("c"))
+    return best.select(ident, "c.feature", "c.feature_val", "c.shap_value",
+                       direction(F.col("c.shap_value")).alias("direction"))
+
+
 def mean_contribution(attributions: DataFrame, names: Sequence[str]) -> DataFrame:
     """Mean absolute contribution per feature, in one pass."""
     wide = attributions.agg(*[F.avg(F.abs(F.col("values")[i])).alias(n) for i, n in enumerate(names)])

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from risklane.functions import wording
-from risklane.operators import boosting as B, calibration, forest as I, metrics as M, oversample as O
+from risklane.operators import boosting as B, calibration, decisions as D, forest as I, metrics as M, oversample as O
 from risklane.plans import scoring, training as T
 from risklane.plans.feature_queries import payments
 from risklane.plans.registry import query
@@ -85,9 +85,22 @@ def gbt_importance(spark, sf_dir):
 @query("tree_attrib_topn")
 def tree_attrib_topn(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    attributed = B.attribute(_models(spark, sf_dir).booster, parts.test)
-    best = wording.strongest(B.named(F.col("values"), parts.fitted.names), 10)
-    return attributed.select("TransactionID", F.explode(best).alias("d")).select("TransactionID", "d.*")
+    return B.top_contributions(B.attribute(_models(spark, sf_dir).booster, parts.test), parts.fitted.names, 10)
+
+
+@query("explained_scores")
+def explained_scores(spark, sf_dir):
+    """Explanations of scored test payments, each with its own strongest drivers."""
+    parts, models, learned = _parts(spark, sf_dir), _models(spark, sf_dir), arms(spark, sf_dir)
+    scored = calibration.apply(models.calibrator, B.score(models.booster, parts.test).drop("features"))
+    strange = I.scores(_forest(spark, sf_dir), parts.test)
+    kinds = view(spark, sf_dir, "txn").select("TransactionID", "tx_type")
+    records = D.decide(scored.join(strange, "TransactionID").join(kinds, "TransactionID"), "score_cal", "iso_score",
+                       models.threshold, learned, view(spark, sf_dir, "rates"))
+    items = B.attribute(models.booster, parts.test).select(
+        F.col("TransactionID").cast("string").alias("transaction_id"),
+        wording.strongest(B.named(F.col("values"), parts.fitted.names), 3).alias("items"))
+    return D.explain(records.join(items, "transaction_id"), F.col("items"), learned)
 
 
 @query("tree_attrib_mean")

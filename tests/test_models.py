@@ -53,6 +53,15 @@ def test_scores_and_importance(rows, booster):
     assert len(table) == 2 and table[0]["importance"] >= table[1]["importance"]
     named = B.attribute(booster, rows).select(F.explode(B.named(F.col("values"), NAMES)).alias("d")).select("d.feature")
     assert named.distinct().count() == 3
+    best = B.top_contributions(B.attribute(booster, rows), NAMES, 2)
+    assert best.columns == ["TransactionID", "feature", "feature_val", "shap_value", "direction"]
+    values = {(r["TransactionID"]): (r["values"], r["x"]) for r in B.attribute(booster, rows).collect()}
+    for r in best.collect():
+        parts, x = values[r["TransactionID"]]
+        i = NAMES.index(r["feature"])
+        assert (r["shap_value"], r["feature_val"]) == (parts[i], x[i])
+        assert sum(abs(p) > abs(parts[i]) for p in parts) <= 1
+        assert r["direction"].startswith("↑" if parts[i] > 0 else "↓")
     assert B.mean_contribution(B.attribute(booster, rows), NAMES).count() == 3
 
 
