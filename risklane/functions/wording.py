@@ -29,18 +29,40 @@ OVERRIDE_REASON = "Fraud-risk override (%s) → strongest-auth gateway"
 LEARNED_REASON = "Thompson Sampling → %s (posterior mean: %.3f, trials: %d)"
 DRIFT_FOUND = (
     "Model drift detected. %d features show significant distribution shift (PSI > 0.20). "
-    "Model AUC has degraded by %.4f. Fraud rate has shifted %+.1f%% from training baseline. "
+    "Model AUC has degraded by %.4f. Fraud rate has shifted +%s%% from training baseline. "
     "Recommendation: retrain on recent data (last 90 days).")
 NO_DRIFT = (
     "Model health nominal. No significant drift detected. "
     "AUC stable, feature distributions within acceptable bounds.")
-RETRAIN_REASON = "PSI > 0.20 on %d features: %s. AUC degradation: %.4f. Fraud rate shift: %.1f%%."
+RETRAIN_REASON = "PSI > 0.20 on %d features: %s. AUC degradation: %.4f. Fraud rate shift: %s%%."
 MONITOR_REASON = "No significant drift detected. Max PSI: %.3f. AUC stable at %.4f."
 
 
 def even(value: Column, digits: int) -> Column:
-    """Rounded half to even, as the formatted numbers are expected to be; Java formats half up."""
-    return F.bround(value, digits)
+    """Rounded on the exact binary value, ties to even, as the formatted numbers are expected to be.
+
+    Java rounds half up on the shortest decimal text instead. The value is taken in units of 2^-56;
+    small values have bits below that, kept apart in ``below``.
+    """
+    unit = F.lit(1 << 56).cast("decimal(18,0)")
+    size = F.abs(value)
+    bits = (size * float(1 << 56)).cast("long")
+    below = (size * float(1 << 56) - bits.cast("double")) * 10**digits
+    lost = below > F.floor(below)
+    scaled = (bits.cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(5,0)")
+              + F.floor(below).cast("decimal(6,0)"))
+    rest = scaled % unit
+    whole = ((scaled - rest) / unit).cast("long")
+    twice = rest * 2
+    up = (twice > unit) | ((twice == unit) & (lost | (whole % 2 == 1)))
+    rounded = F.signum(value) * (whole + up.cast("long")).cast("double") / 10**digits
+    return F.when(size < 127, rounded).otherwise(F.bround(value, digits))
+
+
+def one_decimal(value: Column) -> Column:
+    """As text; a shift from a rate of zero is "inf", and "nan" when it stays zero."""
+    return F.when(value.isNull(), "nan").when(value == float("inf"), "inf") \
+            .otherwise(F.format_string("%.1f", even(value, 1)))
 
 
 def drivers(contributions: dict[str, Column]) -> Column:

@@ -125,13 +125,15 @@ def retrain_rule(psi_rows: DataFrame, concept: DataFrame, prior: DataFrame, feat
 
     n, names = F.size("high_psi_features"), F.col("high_psi_features")
     drop = F.when(F.col("_n") >= 2, F.col("_first") - F.col("last_auc")).otherwise(F.lit(0.0))
-    shift = F.abs(F.col("_new") - F.col("_old")) / F.col("_old")
+    # From a rate of zero any fraud is an unbounded shift, and none is no shift.
+    shift = F.when(F.col("_old") > 0, F.try_divide(F.abs(F.col("_new") - F.col("_old")), F.col("_old"))) \
+             .when(F.col("_new") > 0, F.lit(float("inf")))
     facts = facts.withColumns({"n_high": n, "drop": drop, "shift": shift})
-    retrain = (F.col("n_high") >= PSI_FEATURES) | (F.col("drop") > AUC_DROP_LIMIT) | (F.col("shift") > SHIFT_LIMIT)
+    retrain = (F.col("n_high") >= PSI_FEATURES) | (F.col("drop") > AUC_DROP_LIMIT) | F.coalesce(F.col("shift") > SHIFT_LIMIT, F.lit(False))
     listed = F.concat(F.lit("["), F.array_join(F.transform(
         F.slice(names, 1, 5), lambda f: F.concat(F.lit("'"), f, F.lit("'"))), ", "), F.lit("]"))
     reason = F.when(retrain, F.format_string(
-        wording.RETRAIN_REASON, "n_high", listed, wording.even(F.col("drop"), 4), wording.even(F.col("shift") * 100, 1),
+        wording.RETRAIN_REASON, "n_high", listed, wording.even(F.col("drop"), 4), wording.one_decimal(F.col("shift") * 100),
     )).otherwise(F.format_string(
         wording.MONITOR_REASON, wording.even(F.col("max_psi"), 3), wording.even(F.col("last_auc"), 4)))
     return facts.select(
@@ -152,6 +154,7 @@ def _side_by_side(*one_row_tables: DataFrame) -> DataFrame:
 
 def drift_text(rule: DataFrame) -> DataFrame:
     """The rule's row with a plain-language report."""
-    alert = F.format_string(wording.DRIFT_FOUND, "n_high_psi_features", "auc_degradation", "fraud_rate_shift_pct")
+    alert = F.format_string(wording.DRIFT_FOUND, "n_high_psi_features", "auc_degradation",
+                            wording.one_decimal(F.col("fraud_rate_shift_pct")))
     return rule.select(F.when(F.col("recommendation") == "RETRAIN", alert).otherwise(wording.NO_DRIFT).alias("report"),
                        F.col("recommendation").alias("status"))

@@ -115,8 +115,10 @@ hi AS (SELECT coalesce(list(feature ORDER BY list_position({names}, feature)) FI
   FROM psi WHERE batch = (SELECT max(batch) FROM psi)),
 au AS (SELECT count(*) AS n, min_by(auc, batch) AS a0, max_by(auc, batch) AS a1 FROM cd),
 ra AS (SELECT min_by(fraud_rate, batch) AS r0, max_by(fraud_rate, batch) AS r1 FROM pr),
-rule AS (SELECT f, m, CASE WHEN n >= 2 THEN a0 - a1 ELSE 0 END AS drop_, a1, abs(r1 - r0) / r0 AS shift FROM hi, au, ra),
-verdict AS (SELECT *, len(f) >= 3 OR drop_ > 0.05 OR shift > 0.30 AS retrain FROM rule)
+rule AS (SELECT f, m, CASE WHEN n >= 2 THEN a0 - a1 ELSE 0 END AS drop_, a1, CASE WHEN r0 > 0 THEN abs(r1 - r0) / r0 WHEN r1 > 0 THEN 'inf'::DOUBLE END AS shift FROM hi, au, ra),
+verdict AS (SELECT *, len(f) >= 3 OR drop_ > 0.05 OR coalesce(shift > 0.30, FALSE) AS retrain,
+  CASE WHEN shift IS NULL THEN 'nan' WHEN shift = 'inf'::DOUBLE THEN 'inf' ELSE printf('%.1f', shift * 100) END AS shift_text,
+  CASE WHEN shift IS NULL THEN 'nan' WHEN shift = 'inf'::DOUBLE THEN 'inf' ELSE printf('%.1f', round(shift * 100, 1)) END AS shift_rounded FROM rule)
 """.format(names=str(FEATURES))
 
 
@@ -124,8 +126,8 @@ verdict AS (SELECT *, len(f) >= 3 OR drop_ > 0.05 OR shift > 0.30 AS retrain FRO
 SELECT retrain AS should_retrain, array_to_string(f, ',') AS high_psi_features, CAST(len(f) AS INT) AS n_high_psi_features,
   round(drop_, 4) AS auc_degradation, round(shift * 100, 1) AS fraud_rate_shift_pct,
   CASE WHEN retrain THEN 'RETRAIN' ELSE 'MONITOR' END AS recommendation,
-  CASE WHEN retrain THEN printf('PSI > 0.20 on %d features: [%s]. AUC degradation: %.4f. Fraud rate shift: %.1f%%.', len(f),
-      CASE WHEN len(f) = 0 THEN '' ELSE '''' || array_to_string(f[1:5], ''', ''') || '''' END, drop_, shift * 100)
+  CASE WHEN retrain THEN printf('PSI > 0.20 on %d features: [%s]. AUC degradation: %.4f. Fraud rate shift: %s%%.', len(f),
+      CASE WHEN len(f) = 0 THEN '' ELSE '''' || array_to_string(f[1:5], ''', ''') || '''' END, drop_, shift_text)
     ELSE printf('No significant drift detected. Max PSI: %.3f. AUC stable at %.4f.', m, a1) END AS reason
 FROM verdict""")
 def retrain_rule(spark, sf_dir):
@@ -135,8 +137,8 @@ def retrain_rule(spark, sf_dir):
 @query("drift_report", "txn scored", _RULE + """
 SELECT CASE WHEN retrain THEN 'RETRAIN' ELSE 'MONITOR' END AS status,
   CASE WHEN retrain THEN printf('Model drift detected. %d features show significant distribution shift (PSI > 0.20). '
-      || 'Model AUC has degraded by %.4f. Fraud rate has shifted %+.1f%% from training baseline. '
-      || 'Recommendation: retrain on recent data (last 90 days).', len(f), round(drop_, 4), round(shift * 100, 1))
+      || 'Model AUC has degraded by %.4f. Fraud rate has shifted +%s%% from training baseline. '
+      || 'Recommendation: retrain on recent data (last 90 days).', len(f), round(drop_, 4), shift_rounded)
     ELSE 'Model health nominal. No significant drift detected. AUC stable, feature distributions within acceptable bounds.'
   END AS report FROM verdict""")
 def drift_report(spark, sf_dir):

@@ -172,3 +172,15 @@ def test_streamed_decisions_equal_batch(spark, sf_dir):
     batch, stream = (sorted(map(tuple, queries[name](spark, sf_dir).collect()), key=str)
                      for name in ("score_batch", "stream_score_models"))
     assert batch == stream
+
+
+@pytest.mark.parametrize("digits", [1, 3, 4])
+def test_numbers_are_shown_as_python_shows_them(spark, digits):
+    rng = np.random.default_rng(2)
+    values = [0.0, 0.3125, -0.3125, 0.0625, 0.0125, 2.675, 80.65, 0.8065 * 100, 6.25, 99.95, 126.85, 250.25]
+    values += [i / 10**(digits + 1) for i in range(5, 2000, 10)] + [i / 2**(digits + 1) for i in range(1, 200, 2)]
+    values += [float(v) for v in rng.normal(0, 20, 300)]
+    df = spark.createDataFrame([(v, f"{v:.{digits}f}") for v in values], "v double, want string")
+    shown = F.format_string(f"%.{digits}f", wording.even(F.col("v"), digits))
+    wrong = df.withColumn("got", shown).filter("got <> want AND abs(want) > 0").collect()
+    assert not wrong
