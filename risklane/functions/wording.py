@@ -45,18 +45,27 @@ def even(value: Column, digits: int) -> Column:
     small values have bits below that, kept apart in ``below``.
     """
     unit = F.lit(1 << 56).cast("decimal(18,0)")
-    size = F.abs(value)
-    bits = (size * float(1 << 56)).cast("long")
-    below = (size * float(1 << 56) - bits.cast("double")) * 10**digits
-    lost = below > F.floor(below)
-    scaled = (bits.cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(5,0)")
-              + F.floor(below).cast("decimal(6,0)"))
-    rest = scaled % unit
-    whole = ((scaled - rest) / unit).cast("long")
-    twice = rest * 2
-    up = (twice > unit) | ((twice == unit) & (lost | (whole % 2 == 1)))
-    rounded = F.signum(value) * (whole + up.cast("long")).cast("double") / 10**digits
-    return F.when(size < 127, rounded).otherwise(F.bround(value, digits))
+    power = F.lit(10**digits).cast("decimal(5,0)")
+
+    def bits(v: Column) -> Column:
+        units = F.abs(v) * float(1 << 56)
+        return F.struct(v.alias("v"), units.cast("long").alias("bits"),
+                        ((units - F.floor(units)) * 10**digits).alias("below"))
+
+    def parts(s: Column) -> Column:
+        scaled = s["bits"].cast("decimal(19,0)") * power + F.floor(s["below"]).cast("decimal(6,0)")
+        return F.struct(s["v"].alias("v"), scaled.alias("scaled"), (scaled % unit).alias("rest"),
+                        (s["below"] > F.floor(s["below"])).alias("lost"))
+
+    def rounded(s: Column) -> Column:
+        whole = ((s["scaled"] - s["rest"]) / unit).cast("long")
+        twice = s["rest"] * 2
+        up = (twice > unit) | ((twice == unit) & (s["lost"] | (whole % 2 == 1)))
+        return F.signum(s["v"]) * (whole + up.cast("long")).cast("double") / 10**digits
+
+    # One-element arrays bind each step to a name, so the value is worked out once.
+    steps = F.transform(F.transform(F.transform(F.array(value.cast("double")), bits), parts), rounded)
+    return F.when(F.abs(value) < 127, F.get(steps, F.lit(0))).otherwise(F.bround(value, digits))
 
 
 def one_decimal(value: Column) -> Column:
