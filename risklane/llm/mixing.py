@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from risklane.llm.common import stage, word_count
+from risklane.llm.common import spare_name, stage, word_count
 from risklane.operators.ordered import running_sums
 
 # Weights of the sources in code point order, repeating; the share of all words; the cap on repeats.
@@ -156,3 +156,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         "p.doc_id", "p.size", "w.source_size", F.col("w.target").cast("double").alias("target"),
         (F.col("copies") * F.col("p.size")).alias("taken"), "p.source",
         F.coalesce("rate", F.lit(0.0)).alias("rate"), "copies")
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``df``, whole, each as often as the mix takes it.
+
+    Rows that agree in id, source and size share their copies evenly, rounded up.
+    """
+    number, count = spare_name(df, "_copies"), spare_name(df, "_copy")
+    shares = mix(df, id_col, text_col, source_col).groupBy(
+        F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("size").alias("_m_size")).agg(
+        F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias(number)).filter(F.col(number) > 0)
+    same = F.col(id_col).eqNullSafe(F.col("_m_id")) & F.col(source_col).eqNullSafe(F.col("_m_source")) \
+        & (word_count(text_col) == F.col("_m_size"))
+    return df.join(shares, same).withColumn(count, F.explode(F.sequence(F.lit(1), F.col(number)))).select(*df.columns)
