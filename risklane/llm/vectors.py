@@ -116,10 +116,10 @@ def stacked(column: pd.Series) -> np.ndarray:
 def block(number: int, members: pd.DataFrame, probers: pd.DataFrame, index: Index, least: float) -> pd.DataFrame:
     """Per prober its weight of partners in the block, and per node of a link the root it hangs on."""
     reach = float(np.sqrt(2 - 2 * least))
-    m, p = stacked(members["v"]), stacked(probers["v"])
+    m, p = stacked(members["v"]), stacked(probers["point"])
     codes = np.stack([np.frombuffer(c, np.uint8) for c in members["codes"]])
     missed = members["missed"].to_numpy()
-    m_ids, p_ids, weights = members["id"].to_numpy(), probers["id"].to_numpy(), members["weight"].to_numpy()
+    m_ids, p_ids, weights = members["id"].to_numpy(), probers["own"].to_numpy(), members["weight"].to_numpy()
     counts, pairs = np.zeros(len(p), np.int64), []
     for start in range(0, len(p), 512):
         part = p[start:start + 512]
@@ -224,9 +224,10 @@ def _links(classes: DataFrame, held, least: float) -> DataFrame:
     left = indexed.drop("probes").join(sizes, "list").select(
         "list", F.pmod("id", "m_blocks").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("p"),
         "id", "weight", "v", "codes", "missed")
-    right = indexed.select("id", "v", F.explode("probes").alias("list")).join(sizes, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m"),
-        F.pmod("id", "p_blocks").cast("int").alias("p"), "id", "v")
+    right = indexed.select(F.col("id").alias("own"), F.col("v").alias("point"), F.explode("probes").alias("list")) \
+        .join(sizes, "list").select(
+            "list", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m"),
+            F.pmod("own", "p_blocks").cast("int").alias("p"), "own", "point")
     state = {}
 
     def meet(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
