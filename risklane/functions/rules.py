@@ -15,8 +15,8 @@ PAYMENT_TYPES = ("UPI", "CARD", "NETBANKING", "WALLET")
 ISO_FLAG_AT = 0.5
 
 # Strongest-authentication gateway per payment type for HIGH and CRITICAL risk (fixed values).
-STRONG_GATEWAY = {"CARD": "GW3", "UPI": "GW1", "NETBANKING": "GW4", "WALLET": "GW1"}
-DEFAULT_GATEWAY = "GW1"
+STRONG_GATEWAY = {"CARD": "Stripe", "UPI": "Razorpay", "NETBANKING": "CCAvenue", "WALLET": "Razorpay"}
+DEFAULT_GATEWAY = "Razorpay"
 DEFAULT_RATE = 0.85
 
 

@@ -41,31 +41,41 @@ MONITOR_REASON = "No significant drift detected. Max PSI: %.3f. AUC stable at %.
 def even(value: Column, digits: int) -> Column:
     """Rounded on the exact binary value, ties to even, as the formatted numbers are expected to be.
 
-    Java rounds half up on the shortest decimal text instead. The value is taken in units of 2^-56;
-    small values have bits below that, kept apart in ``below``.
+    Java rounds half up on the shortest decimal text instead. Only a value whose scaled fraction is next to one
+    half needs more than adding a half; its whole part is taken off first, so its size does not matter.
     """
+    scale = 10**digits
+    size = F.abs(value.cast("double"))
+    scaled = size * scale
+    off = F.abs(scaled - F.floor(scaled) - 0.5)
+    plain = F.floor(scaled + 0.5).cast("double") / scale
+    near = (off <= 1e-6) | (scaled >= 1e9)
+    return F.signum(value.cast("double")) * F.when(near, _even_exact(size, scale)).otherwise(plain)
+
+
+def _even_exact(size: Column, scale: int) -> Column:
+    """``even`` of a value of at least 0: its fraction in units of 2^-56, bits below that apart in ``below``."""
     unit = F.lit(1 << 56).cast("decimal(18,0)")
-    power = F.lit(10**digits).cast("decimal(5,0)")
+    power = F.lit(scale).cast("decimal(5,0)")
 
     def bits(v: Column) -> Column:
-        units = F.abs(v) * float(1 << 56)
-        return F.struct(v.alias("v"), units.cast("long").alias("bits"),
-                        ((units - F.floor(units)) * 10**digits).alias("below"))
+        units = (v - F.floor(v)) * float(1 << 56)
+        return F.struct(F.floor(v).alias("whole"), units.cast("long").alias("bits"),
+                        ((units - F.floor(units)) * scale).alias("below"))
 
     def parts(s: Column) -> Column:
         scaled = s["bits"].cast("decimal(19,0)") * power + F.floor(s["below"]).cast("decimal(6,0)")
-        return F.struct(s["v"].alias("v"), scaled.alias("scaled"), (scaled % unit).alias("rest"),
+        return F.struct(s["whole"].alias("whole"), scaled.alias("scaled"), (scaled % unit).alias("rest"),
                         (s["below"] > F.floor(s["below"])).alias("lost"))
 
     def rounded(s: Column) -> Column:
-        whole = ((s["scaled"] - s["rest"]) / unit).cast("long")
+        steps = ((s["scaled"] - s["rest"]) / unit).cast("long")
         twice = s["rest"] * 2
-        up = (twice > unit) | ((twice == unit) & (s["lost"] | (whole % 2 == 1)))
-        return F.signum(s["v"]) * (whole + up.cast("long")).cast("double") / 10**digits
+        up = (twice > unit) | ((twice == unit) & (s["lost"] | (steps % 2 == 1)))
+        return (s["whole"].cast("double") * scale + (steps + up.cast("long")).cast("double")) / scale
 
     # One-element arrays bind each step to a name, so the value is worked out once.
-    steps = F.transform(F.transform(F.transform(F.array(value.cast("double")), bits), parts), rounded)
-    return F.when(F.abs(value) < 127, F.get(steps, F.lit(0))).otherwise(F.bround(value, digits))
+    return F.get(F.transform(F.transform(F.transform(F.array(size), bits), parts), rounded), F.lit(0))
 
 
 def one_decimal(value: Column) -> Column:

@@ -16,20 +16,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from risklane.functions.rules import direction
 from risklane.staging import new_path
 
-ROUNDS, DEPTH, STEP, ROW_SHARE, LEAF_ROWS = 1000, 6, 0.05, 0.8, 10     # fixed values
+ROUNDS, DEPTH, STEP, ROW_SHARE, COLUMN_SHARE, LEAF_ROWS = 1000, 6, 0.05, 0.8, 0.8, 10     # fixed values
 
 
 def assemble(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ("TransactionID", "isFraud")) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(df).select(*keep, "features")
 
 
-def fit(train: DataFrame, val: DataFrame, rounds: int = ROUNDS, seed: int = 42) -> GBTClassificationModel:
-    """Both inputs have ``features`` and ``isFraud``. Stops when the validation loss no longer falls."""
+def fit(train: DataFrame, val: DataFrame, rounds: int = ROUNDS, seed: int = 42, tolerance: float = 0.01,
+        column_share: float = COLUMN_SHARE, least_gain: float = 0.0) -> GBTClassificationModel:
+    """Both inputs have ``features`` and ``isFraud``.
+
+    Stops at the first round that lowers the validation loss by less than ``tolerance`` of it (the library's rule;
+    0 stops at the first round that is worse). Columns are drawn for each node.
+    """
     rows = train.select("isFraud", "features", F.lit(False).alias("_val")).unionByName(
         val.select("isFraud", "features", F.lit(True).alias("_val")))
     booster = GBTClassifier(
         labelCol="isFraud", maxIter=rounds, maxDepth=DEPTH, stepSize=STEP, subsamplingRate=ROW_SHARE,
-        minInstancesPerNode=LEAF_ROWS, validationIndicatorCol="_val", seed=seed)
+        minInstancesPerNode=LEAF_ROWS, featureSubsetStrategy=str(column_share), minInfoGain=least_gain,
+        validationTol=tolerance, validationIndicatorCol="_val", seed=seed)
     return booster.fit(rows.withColumn("isFraud", F.col("isFraud").cast("double")))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from risklane.functions import rules, wording
 from risklane.operators import routing as R
 from risklane.operators.ordered import if_small
+from risklane.staging import stage
 
 RECORD = ["transaction_id", "fraud_probability", "iso_anomaly_score", "fraud_decision", "fraud_risk_level",
           "recommended_action", "routed_gateway", "routing_reason", "expected_success_rate"]
@@ -35,28 +38,21 @@ def novel_capture(signals: DataFrame, label: str = "isFraud") -> DataFrame:
                        F.count_if(novel).alias("novel_total"))
 
 
-def override_table(df: DataFrame) -> DataFrame:
-    """(risk, tx_type, forced): eight rows of fixed values."""
-    rows = [(risk, kind, gateway) for risk in ("HIGH", "CRITICAL") for kind, gateway in rules.STRONG_GATEWAY.items()]
-    return df.sparkSession.createDataFrame(rows, "risk string, tx_type string, forced string")
-
-
 def route_by_risk(df: DataFrame, chosen: Column) -> DataFrame:
     """``routed_gateway``: the override for risky payments (default gateway for unknown types), else ``chosen``."""
-    table = override_table(df).withColumnRenamed("tx_type", "_kind").withColumnRenamed("risk", "_level")
-    joined = df.join(F.broadcast(table), (F.col("risk") == F.col("_level")) & (F.upper("tx_type") == F.col("_kind")), "left")
-    forced = F.coalesce("forced", F.lit(rules.DEFAULT_GATEWAY))
-    return joined.withColumn("routed_gateway", F.when(rules.is_risky(F.col("risk")), forced).otherwise(chosen)) \
-                 .select(*df.columns, "routed_gateway")
+    forced = rules.override_gateway(F.col("tx_type"))
+    return df.withColumn("routed_gateway", F.when(rules.is_risky(F.col("risk")), forced).otherwise(chosen))
 
 
 def decide(df: DataFrame, score: str, anomaly: str, threshold: float, arms: DataFrame, rates: DataFrame,
-           thompson_seed: int | None = None) -> DataFrame:
+           thompson_seed: int | None = None, gateways: Sequence[str] = R.GATEWAYS) -> DataFrame:
     """Decision records, one per payment. Needs TransactionID, tx_type and the two scores.
 
     Low-risk payments go to the arm with the best posterior mean, or to the best of one draw per arm
-    when a seed is given. A payment whose ``error`` is set keeps only its id and that text.
+    when a seed is given. Arms are those of ``arms`` and, untried, of ``gateways`` and the override. A payment whose ``error`` is set keeps only its id and that text.
     """
+    names = R.gateways_of(arms, gateways)
+    arms = stage(R.with_untried(arms, [*names, *sorted({*rules.STRONG_GATEWAY.values()} - {*names})]), "arms")
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast("string"))
     scored = df.select("TransactionID", F.col("tx_type"), F.col("error"), F.col(score).alias("_p"),
@@ -69,7 +65,7 @@ def decide(df: DataFrame, score: str, anomaly: str, threshold: float, arms: Data
         scored = scored.join(F.broadcast(best.filter(F.col("_type").isin(*rules.PAYMENT_TYPES))), "_type", "left")
     else:
         by_type = scored.withColumnsRenamed({"tx_type": "_given", "_type": "tx_type"})
-        scored = R.thompson_route(by_type, arms, seed=thompson_seed).withColumnsRenamed(
+        scored = R.thompson_route(by_type, arms, seed=thompson_seed, gateways=names).withColumnsRenamed(
             {"tx_type": "_type", "_given": "tx_type", "routed_gateway": "_learned"})
     routed = route_by_risk(scored, F.col("_learned"))
     state = arms.select(F.col("tx_type").alias("_arm_type"), F.col("gateway").alias("_arm_gateway"),

@@ -118,30 +118,37 @@ def path_scores(tables: tuple[np.ndarray, ...], rows: int, x: np.ndarray) -> np.
     return 2.0 ** (-total / len(tables[0]) / float(mean_path(rows)))
 
 
-def raw_scores(forest: Forest, df: DataFrame, ident: str = "TransactionID") -> DataFrame:
+def with_raw_scores(forest: Forest, df: DataFrame, name: str = "iso_raw") -> DataFrame:
+    """``df`` with the unscaled score of each row's ``features``."""
     shipped = df.sparkSession.sparkContext.broadcast(
         (forest.feature, forest.threshold, forest.left, forest.right, forest.path))
     tree_rows = forest.rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
-                yield pd.DataFrame({ident: batch[ident], "iso_raw": path_scores(shipped.value, tree_rows, x)})
+    @F.pandas_udf("double")
+    def raw(x: pd.Series) -> pd.Series:
+        return pd.Series(path_scores(shipped.value, tree_rows, np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
 
-    arrays = df.select(ident, vector_to_array("features").alias("x"))
-    return arrays.mapInPandas(run, f"{ident} long, iso_raw double")
+    return df.withColumn(name, raw(vector_to_array("features")))
 
 
-def scores(forest: Forest, df: DataFrame, ident: str = "TransactionID", by_batch: bool = False) -> DataFrame:
-    """(id, iso_score, iso_flag). The score is scaled by the training range and clipped to [0, 1];
+def raw_scores(forest: Forest, df: DataFrame, ident: str = "TransactionID") -> DataFrame:
+    return with_raw_scores(forest, df.select(ident, "features")).drop("features")
+
+
+def with_scores(forest: Forest, df: DataFrame, by_batch: bool = False) -> DataFrame:
+    """``df`` with iso_score and iso_flag. The score is scaled by the training range and clipped to [0, 1];
     ``by_batch`` scales by the range of the rows given instead."""
-    raw = raw_scores(forest, df, ident)
+    raw = with_raw_scores(forest, df)
     low, high = forest.low, forest.high
     if by_batch:
         ends = raw.agg(F.min("iso_raw").alias("low"), F.max("iso_raw").alias("high")).first()
         low, high = ends["low"], ends["high"]
     scaled = (F.col("iso_raw") - low) / (high - low + 1e-9)
     clipped = F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)).cast("float").cast("double")
-    return raw.select(ident, clipped.alias("iso_score"),
-                      (F.col("iso_raw") > forest.flag_above).cast("int").alias("iso_flag"))
+    return raw.withColumn("iso_score", clipped).withColumn(
+        "iso_flag", (F.col("iso_raw") > forest.flag_above).cast("int")).drop("iso_raw")
+
+
+def scores(forest: Forest, df: DataFrame, ident: str = "TransactionID", by_batch: bool = False) -> DataFrame:
+    """(id, iso_score, iso_flag)."""
+    return with_scores(forest, df.select(ident, "features"), by_batch).drop("features")

@@ -32,8 +32,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> Data
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than needed to know."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether ``df`` has at most ``limit`` rows. Tasks count; no row moves."""
+    return df.count() <= limit
 
 
 def if_small(df: DataFrame) -> DataFrame:

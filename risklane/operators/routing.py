@@ -16,7 +16,10 @@ from risklane.functions.rules import PAYMENT_TYPES
 from risklane.operators.ordered import TASK_ROWS, if_small, positions, rolling_mean, running_sums
 
 ARM = ["tx_type", "gateway"]
-GATEWAYS = ("GW1", "GW2", "GW3", "GW4")
+# Known gateways in their listed order (fixed values).
+GATEWAYS = ("Razorpay", "PayU", "Stripe", "CCAvenue")
+# Most gateways that one batch is routed among.
+MOST_GATEWAYS = 500
 CONTEXT_SIZE = 5
 
 
@@ -38,6 +41,25 @@ def with_interval(arms: DataFrame) -> DataFrame:
     return arms.withColumn("ci", interval95(F.col("alpha").cast("double"), F.col("beta").cast("double")))
 
 
+def gateways_of(arms: DataFrame, known: Sequence[str] = ()) -> list[str]:
+    """``known``, then every other gateway that ``arms`` names, by name. An error beyond ``MOST_GATEWAYS``."""
+    found = [row[0] for row in arms.select("gateway").distinct().limit(MOST_GATEWAYS + 1).collect()]
+    if len(found) > MOST_GATEWAYS:
+        raise ValueError(f"more than {MOST_GATEWAYS} gateways")
+    return [*known, *sorted(name for name in found if name is not None and name not in known)]
+
+
+def with_untried(arms: DataFrame, gateways: Sequence[str], kinds: Sequence[str] = PAYMENT_TYPES) -> DataFrame:
+    """``arms`` and, with the flat prior, every pair of ``kinds`` and ``gateways`` that it lacks."""
+    pairs = arms.sparkSession.createDataFrame([(kind, name) for kind in kinds for name in gateways],
+                                              "tx_type string, gateway string")
+    state = arms.select(*ARM, "alpha", "beta", "posterior_mean", "n_trials")
+    return F.broadcast(pairs).join(state, ARM, "full").select(
+        *ARM, F.coalesce("alpha", F.lit(1)).alias("alpha"), F.coalesce("beta", F.lit(1)).alias("beta"),
+        F.coalesce("posterior_mean", F.lit(0.5)).alias("posterior_mean"),
+        F.coalesce("n_trials", F.lit(0)).cast("long").alias("n_trials"))
+
+
 def posterior_errors(arms: DataFrame, rates: DataFrame) -> DataFrame:
     """Learned against reference rates, best reference gateway of each type first."""
     joined = arms.join(if_small(rates), ARM)
@@ -119,8 +141,12 @@ def _pick(scores: dict[str, Column]) -> Column:
 
 
 def thompson_route(df: DataFrame, arms: DataFrame, ident: str = "TransactionID", seed: int = 42,
-                   gateways: Sequence[str] = GATEWAYS) -> DataFrame:
-    """Route by one posterior draw per arm. The draw depends on (seed, id, gateway) only; no shuffle."""
+                   gateways: Sequence[str] | None = None) -> DataFrame:
+    """Route by one posterior draw per arm. The draw depends on (seed, id, gateway) only; no shuffle.
+
+    Payments go to the gateways that ``arms`` names and to ``gateways``.
+    """
+    gateways = gateways_of(arms, gateways or ())
     spread = df.join(F.broadcast(_by_type(arms, gateways, "alpha", "beta")), "tx_type", "left")
     draws = {}
     for name in gateways:
@@ -152,8 +178,12 @@ def linear_statistics(outcomes: DataFrame) -> DataFrame:
 
 
 def linear_route(df: DataFrame, statistics: DataFrame, explore: float = 0.5,
-                 gateways: Sequence[str] = GATEWAYS) -> DataFrame:
-    """Route by upper confidence bound. The few 5x5 inverses are taken here; rows are scored as columns."""
+                 gateways: Sequence[str] | None = None) -> DataFrame:
+    """Route by upper confidence bound. The few 5x5 inverses are taken here; rows are scored as columns.
+
+    Payments go to the gateways that ``statistics`` names and to ``gateways``.
+    """
+    gateways = gateways_of(statistics, gateways or ())
     size = CONTEXT_SIZE
     fitted = []
     known = statistics.filter(F.col("tx_type").isin(*PAYMENT_TYPES) & F.col("gateway").isin(*gateways))
@@ -164,13 +194,14 @@ def linear_route(df: DataFrame, statistics: DataFrame, explore: float = 0.5,
         fitted.append((row["tx_type"], row["gateway"], theta.tolist(), inverse.ravel().tolist()))
     # One row per payment type with every coefficient as a column, so that scoring is plain arithmetic.
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    names = [f"_{g}_{c}" for g in gateways for c in (*(f"t{i}" for i in range(size)), *(f"i{i}{j}" for i, j in pairs))]
+    column = {name: f"g{i}" for i, name in enumerate(gateways)}
+    names = [f"_{column[g]}_{c}" for g in gateways for c in (*(f"t{i}" for i in range(size)), *(f"i{i}{j}" for i, j in pairs))]
     table = {}
     for kind, gateway, theta, inverse in fitted:
         line = table.setdefault(kind, dict.fromkeys(names))
-        line |= {f"_{gateway}_t{i}": theta[i] for i in range(size)}
+        line |= {f"_{column[gateway]}_t{i}": theta[i] for i in range(size)}
         # Both halves of the symmetric matrix in one coefficient.
-        line |= {f"_{gateway}_i{i}{j}": inverse[i * size + j] * (1 if i == j else 2) for i, j in pairs}
+        line |= {f"_{column[gateway]}_i{i}{j}": inverse[i * size + j] * (1 if i == j else 2) for i, j in pairs}
     wide = df.sparkSession.createDataFrame(
         [(kind, *line.values()) for kind, line in table.items()],
         ", ".join(["tx_type string", *(f"{name} double" for name in names)]))
@@ -180,7 +211,7 @@ def linear_route(df: DataFrame, statistics: DataFrame, explore: float = 0.5,
     untried = " + ".join(f"_x{i} * _x{i}" for i in range(size))
     scores = {}
     for g in gateways:
-        gain = " + ".join(f"_{g}_t{i} * _x{i}" for i in range(size))
-        width = " + ".join(f"_{g}_i{i}{j} * _x{i} * _x{j}" for i, j in pairs)
+        gain = " + ".join(f"_{column[g]}_t{i} * _x{i}" for i in range(size))
+        width = " + ".join(f"_{column[g]}_i{i}{j} * _x{i} * _x{j}" for i, j in pairs)
         scores[g] = F.expr(f"coalesce({gain} + {explore!r}D * sqrt({width}), {explore!r}D * sqrt({untried}))")
     return spread.withColumn("routed_gateway", _pick(scores)).select(*df.columns, "routed_gateway")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from risklane.functions import dialogue, rules, wording
-from risklane.operators import conversations as C, decisions as D
+from risklane.operators import conversations as C, decisions as D, routing as R
 from risklane.plans.registry import query
 from risklane.plans.routing_queries import _ARMS, arms
 from risklane.sources.views import view
@@ -72,8 +72,8 @@ def risk_action(spark, sf_dir):
                      rules.action(F.col("decision"), F.col("risk")).alias("action"))
 
 
-_FORCED = """CASE {t} WHEN 'CARD' THEN 'GW3' WHEN 'UPI' THEN 'GW1' WHEN 'NETBANKING' THEN 'GW4' WHEN 'WALLET' THEN 'GW1'
-  ELSE 'GW1' END"""
+_FORCED = """CASE {t} WHEN 'CARD' THEN 'Stripe' WHEN 'UPI' THEN 'Razorpay' WHEN 'NETBANKING' THEN 'CCAvenue' WHEN 'WALLET' THEN 'Razorpay'
+  ELSE 'Razorpay' END"""
 
 
 @query("route_override", "scored", _RISK + f"""SELECT TransactionID, risk, CASE WHEN TransactionID % 50 = 3 THEN 'crypto' ELSE lower(tx_type) END AS tx_type,
@@ -102,8 +102,8 @@ def _raw(spark, sf_dir):
         "tx_type": odd}).drop("TransactionAmt")
 
 
-def _records(spark, sf_dir):
-    return D.decide(D.checked_amounts(_raw(spark, sf_dir)), "score_cal", "iso_score", THRESHOLD, arms(spark, sf_dir),
+def _records(spark, sf_dir, state):
+    return D.decide(D.checked_amounts(_raw(spark, sf_dir)), "score_cal", "iso_score", THRESHOLD, state,
                     view(spark, sf_dir, "rates"))
 
 
@@ -131,9 +131,25 @@ rec AS (SELECT TransactionID, given, CASE WHEN NOT bad THEN round(score_cal, 4)
 SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, given AS tx_type, fraud_probability, iso_anomaly_score, fraud_decision,
   fraud_risk_level, recommended_action, routed_gateway, routing_reason, expected_success_rate, error FROM rec""")
 def decision_record(spark, sf_dir):
-    return _records(spark, sf_dir)
+    return _records(spark, sf_dir, arms(spark, sf_dir))
+
+
+# A log in which one gateway and one payment type were never tried: their arms have the flat prior.
+_UNTRIED = _RECORDS.replace("FROM outcomes GROUP BY tx_type, gateway)", """FROM outcomes
+  WHERE gateway <> 'Stripe' AND tx_type <> 'WALLET' GROUP BY tx_type, gateway),
+arms AS (SELECT p.tx_type, p.gateway, coalesce(alpha, 1) AS alpha, coalesce(beta, 1) AS beta,
+  coalesce(posterior_mean, 0.5) AS posterior_mean, coalesce(n_trials, 0) AS n_trials
+  FROM (SELECT DISTINCT tx_type, gateway FROM rates) p LEFT JOIN tried USING (tx_type, gateway))""", 1) \
+    .replace("arms AS (SELECT tx_type, gateway, CAST(1 + sum", "tried AS (SELECT tx_type, gateway, CAST(1 + sum", 1)
 
 
+@query("decision_record_untried", "scored outcomes rates", _UNTRIED + """
+SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, given AS tx_type, fraud_probability, iso_anomaly_score, fraud_decision,
+  fraud_risk_level, recommended_action, routed_gateway, routing_reason, expected_success_rate, error FROM rec""")
+def decision_record_untried(spark, sf_dir):
+    log = view(spark, sf_dir, "outcomes").filter("gateway <> 'Stripe' and tx_type <> 'WALLET'")
+    return _records(spark, sf_dir, R.posterior(log))
+
 @query("decision_record_thompson")
 def decision_record_thompson(spark, sf_dir):
     return D.decide(D.checked_amounts(_raw(spark, sf_dir)), "score_cal", "iso_score", THRESHOLD, arms(spark, sf_dir),
@@ -183,9 +199,10 @@ FROM rec JOIN kd USING (TransactionID) LEFT JOIN sec ON sec.tx_type = rec.given
 
 @query("explanations", "scored outcomes rates", _EXPLAIN)
 def explanations(spark, sf_dir):
-    good = _records(spark, sf_dir).filter(F.col("error").isNull())
+    state = arms(spark, sf_dir)
+    good = _records(spark, sf_dir, state).filter(F.col("error").isNull())
     with_id = good.withColumn("TransactionID", F.col("transaction_id").cast("long"))
-    return D.explain(with_id, wording.strongest(_contributions(), 3), arms(spark, sf_dir))
+    return D.explain(with_id, wording.strongest(_contributions(), 3), state)
 
 
 def _match_sql(lists, otherwise):

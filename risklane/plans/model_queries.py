@@ -92,10 +92,10 @@ def tree_attrib_topn(spark, sf_dir):
 def explained_scores(spark, sf_dir):
     """Explanations of scored test payments, each with its own strongest drivers."""
     parts, models, learned = _parts(spark, sf_dir), _models(spark, sf_dir), arms(spark, sf_dir)
-    scored = calibration.apply(models.calibrator, B.score(models.booster, parts.test).drop("features"))
-    strange = I.scores(_forest(spark, sf_dir), parts.test)
+    strange = I.with_scores(_forest(spark, sf_dir), parts.test)
+    scored = calibration.apply(models.calibrator, B.score(models.booster, strange).drop("features"))
     kinds = view(spark, sf_dir, "txn").select("TransactionID", "tx_type")
-    records = D.decide(scored.join(strange, "TransactionID").join(kinds, "TransactionID"), "score_cal", "iso_score",
+    records = D.decide(scored.join(kinds, "TransactionID"), "score_cal", "iso_score",
                        models.threshold, learned, view(spark, sf_dir, "rates"))
     items = B.attribute(models.booster, parts.test).select(
         F.col("TransactionID").cast("string").alias("transaction_id"),
@@ -117,8 +117,7 @@ def iso_scores(spark, sf_dir):
 @query("iso_evaluation")
 def iso_evaluation(spark, sf_dir):
     test = _parts(spark, sf_dir).test
-    scored = I.scores(_forest(spark, sf_dir), test).join(test.select("TransactionID", "isFraud"), "TransactionID")
-    return scoring.anomaly_report(scored)
+    return scoring.anomaly_report(I.with_scores(_forest(spark, sf_dir), test).drop("features"))
 
 
 @query("train_report")

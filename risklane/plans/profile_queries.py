@@ -209,34 +209,40 @@ def identity_left_join(spark, sf_dir):
     return payments.join(view(spark, sf_dir, "identity"), "TransactionID", "left")
 
 
-_ROUND_TRIP = """SELECT TransactionID, TransactionDT, TransactionAmt, ProductCD, card4, addr1, isFraud FROM txn"""
+# Text columns of the real files, made from the ids, beside all columns of the view.
+_CSV_TEXT = [
+    "CASE TransactionID % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'F' END AS M1", "'M' || (TransactionID % 3) AS M4",
+    "CASE TransactionID % 4 WHEN 0 THEN 'NotFound' ELSE 'Found' END AS id_12",
+    "'chrome ' || (TransactionID % 7) || '.0' AS id_31", "'x' || TransactionID AS note"]
 
 
-@query("csv_roundtrip", "txn", _ROUND_TRIP)
+@query("csv_roundtrip", "txn", f"SELECT *, {', '.join(_CSV_TEXT)} FROM txn")
 def csv_roundtrip(spark, sf_dir):
     path = new_path(spark, "csv")
-    columns = ["TransactionID", "TransactionDT", "TransactionAmt", "ProductCD", "card4", "addr1", "isFraud"]
-    files.write_csv(view(spark, sf_dir, "txn").select(*columns), path)
-    return files.read_transactions_csv(spark, path).withColumn("isFraud", F.col("isFraud").cast("int"))
+    payments = view(spark, sf_dir, "txn").selectExpr("*", *_CSV_TEXT)
+    files.write_csv(payments, path)
+    return files.read_transactions_csv(spark, path).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in payments.schema])
 
 
-@query("parquet_roundtrip", "txn", SPLIT_SQL.format(source="txn")
-       + "SELECT TransactionID, cents, split FROM s WHERE split <> 'train'")
+@query("parquet_roundtrip", "txn", SPLIT_SQL.format(source="txn") + "SELECT TransactionID, cents, split FROM s")
 def parquet_roundtrip(spark, sf_dir):
     path = new_path(spark, "splits")
     files.write_table(splits.with_split(view(spark, sf_dir, "txn")), path, by=["split"])
-    return files.read_columns(spark, path, ["TransactionID", "cents", "split"]).filter(F.col("split") != "train")
+    return files.read_columns(spark, path, ["TransactionID", "cents", "split"])
 
 
-@query("json_state_roundtrip", "outcomes", """
+@query("json_state_roundtrip", "outcomes rates", """
 SELECT tx_type, gateway, CAST(1 + sum(success) AS DOUBLE) AS alpha, CAST(1 + count(*) - sum(success) AS DOUBLE) AS beta,
-  round((1 + sum(success))::DOUBLE / (2 + count(*)), 4) AS posterior_mean, count(*) AS n_trials
-FROM outcomes GROUP BY tx_type, gateway""")
+  round((1 + sum(success))::DOUBLE / (2 + count(*)), 4) AS posterior_mean, count(*) AS n_trials, any_value(rate)::DOUBLE AS rate
+FROM outcomes JOIN rates USING (tx_type, gateway) GROUP BY tx_type, gateway""")
 def json_state_roundtrip(spark, sf_dir):
     path = new_path(spark, "router")
     arms = R.posterior(view(spark, sf_dir, "outcomes")).withColumn("posterior_mean", F.round("posterior_mean", 4))
-    files.write_json(files.nest_router_state(arms), path)
-    return files.read_router_state(spark, path)
+    files.write_router_state(R.with_interval(arms).join(view(spark, sf_dir, "rates"), R.ARM), path)
+    back = files.read_router_state(spark, path)
+    inside = (F.col("ci")[0] < F.col("posterior_mean")) & (F.col("posterior_mean") < F.col("ci")[1])
+    return back.filter(inside).drop("ci")
 
 
 @query("report_csv", "txn", """
@@ -251,11 +257,12 @@ def report_csv(spark, sf_dir):
 
 @query("union_logs", "outcomes", """
 SELECT step, 'A' AS source, success FROM outcomes WHERE policy = 'A'
-UNION ALL SELECT step, 'B' AS source, success FROM outcomes WHERE policy = 'B'""")
+UNION ALL SELECT step, 'B' AS source, success FROM outcomes WHERE policy = 'B'
+UNION ALL SELECT step, 'C' AS source, success FROM outcomes WHERE policy = 'C'""")
 def union_logs(spark, sf_dir):
     log = view(spark, sf_dir, "outcomes")
-    parts = [log.filter(F.col("policy") == p).select("step", F.lit(p).alias("source"), "success") for p in ("A", "B")]
-    return parts[0].unionByName(parts[1])
+    parts = [log.filter(F.col("policy") == p).select("step", F.lit(p).alias("source"), "success") for p in ("A", "B", "C")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("distinct_values", "txn", """

@@ -98,8 +98,8 @@ def outage_window(spark, sf_dir):
 
 
 _ROBIN = """
-SELECT step, tx_type, CASE (row_number() OVER (ORDER BY step) - 1) % 4 WHEN 0 THEN 'GW1' WHEN 1 THEN 'GW2'
-  WHEN 2 THEN 'GW3' ELSE 'GW4' END AS assigned FROM outcomes"""
+SELECT step, tx_type, CASE (row_number() OVER (ORDER BY step) - 1) % 4 WHEN 0 THEN 'Razorpay' WHEN 1 THEN 'PayU'
+  WHEN 2 THEN 'Stripe' ELSE 'CCAvenue' END AS assigned FROM outcomes"""
 
 
 @query("round_robin", "outcomes", _ROBIN)

@@ -28,10 +28,10 @@ def score_payments(raw: DataFrame, chain: Chain, arms: DataFrame, rates: DataFra
     checked = decisions.checked_amounts(raw)
     built = features.serve(checked, chain.fitted, (IDENT, "tx_type", "error"), limit)
     rows = boosting.assemble(built, chain.fitted.names, (IDENT, "tx_type", "error"))
-    # The two models read the same features and meet again by payment id.
-    strange = forest.scores(chain.forest, rows).select(IDENT, "iso_score")
-    scored = calibration.apply(chain.models.calibrator, boosting.score(chain.models.booster, rows).drop("features"))
-    return decisions.decide(scored.join(strange, IDENT), "score_cal", "iso_score", chain.models.threshold,
+    # Both models score the same row, so nothing is joined by id.
+    strange = forest.with_scores(chain.forest, rows)
+    scored = calibration.apply(chain.models.calibrator, boosting.score(chain.models.booster, strange).drop("features"))
+    return decisions.decide(scored, "score_cal", "iso_score", chain.models.threshold,
                             arms, rates, thompson_seed)
 
 

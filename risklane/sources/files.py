@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# Core columns of a labelled transaction file; further columns are inferred as double.
+from risklane.operators.shaping import CATEGORIES
+
+# Core columns of a labelled transaction file.
 CORE_TYPES = {
     "TransactionID": T.LongType(), "isFraud": T.ByteType(), "TransactionDT": T.LongType(),
     "TransactionAmt": T.DoubleType(), "ProductCD": T.StringType(), "card1": T.LongType(),
@@ -18,14 +20,20 @@ CORE_TYPES = {
 
 def read_transactions_csv(spark: SparkSession, path: str,
                           types: dict[str, T.DataType] | None = None) -> DataFrame:
-    """CSV with a header; known columns get their declared type, so nothing is scanned to infer them.
+    """CSV with a header; core columns, categories and ``types`` have declared types.
 
-    Columns that are neither core nor in ``types`` (the many numeric ones) are read as double.
+    One pass types the other columns: double if every value is a number, string if not. A value that does not fit the type
+    of its column is an error, and never a null.
     """
-    known = {**CORE_TYPES, **(types or {})}
-    names = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(n, known.get(n, T.DoubleType())) for n in names])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    known = {**dict.fromkeys(CATEGORIES, T.StringType()), **CORE_TYPES, **(types or {})}
+    text = spark.read.option("header", True).csv(path)
+    open_ = [name for name in text.columns if name not in known]
+    if open_:
+        odd = text.agg(*[F.count_if(F.col(f"`{name}`").isNotNull() & F.expr(f"try_cast(`{name}` AS double)").isNull())
+                         for name in open_]).first()
+        known |= {name: T.StringType() if n else T.DoubleType() for name, n in zip(open_, odd)}
+    schema = T.StructType([T.StructField(name, known[name]) for name in text.columns])
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -47,25 +55,38 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-ARM = "struct<alpha:double,beta:double,posterior_mean:double,n_trials:bigint>"
-ROUTER_STATE = f"state map<string,map<string,{ARM}>>"
+# The published layout of a router state: one text, payment type -> gateway -> arm.
+ARM = ("struct<alpha:double,beta:double,posterior_mean:double,credible_interval_95:array<double>,n_trials:bigint,"
+       "true_rate:double>")
+ROUTER_STATE = f"map<string,map<string,{ARM}>>"
 
 
 def nest_router_state(arms: DataFrame) -> DataFrame:
-    """(tx_type, gateway, ...) rows, a few dozen at most, to one nested type -> gateway -> arm map."""
+    """(tx_type, gateway, ...) rows, a few dozen at most, to one nested type -> gateway -> arm map.
+
+    ``ci`` (two numbers) and ``rate`` are carried where the table has them.
+    """
+    def carried(name: str, kind: str):
+        return F.col(name).cast(kind) if name in arms.columns else F.lit(None).cast(kind)
+
     arm = F.struct(F.col("alpha").cast("double").alias("alpha"), F.col("beta").cast("double").alias("beta"),
                    F.col("posterior_mean").cast("double").alias("posterior_mean"),
-                   F.col("n_trials").cast("long").alias("n_trials"))
+                   carried("ci", "array<double>").alias("credible_interval_95"),
+                   F.col("n_trials").cast("long").alias("n_trials"), carried("rate", "double").alias("true_rate"))
     by_type = arms.groupBy("tx_type").agg(
         F.map_from_entries(F.collect_list(F.struct("gateway", arm))).alias("gateways"))
     return by_type.agg(F.map_from_entries(F.collect_list(F.struct("tx_type", "gateways"))).alias("state"))
 
 
-def flatten_router_state(nested: DataFrame) -> DataFrame:
-    by_type = nested.select(F.explode("state").alias("tx_type", "gateways"))
-    return by_type.select("tx_type", F.explode("gateways").alias("gateway", "arm")).select(
-        "tx_type", "gateway", "arm.*")
+def write_router_state(arms: DataFrame, path: str) -> None:
+    nest_router_state(arms).select(F.to_json("state")).write.mode("overwrite").text(path)
 
 
 def read_router_state(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_router_state(spark.read.schema(ROUTER_STATE).json(path))
+    """One row per arm; ``ci`` and ``rate`` are null where the file has none. A text that is no such state is an error."""
+    whole = spark.read.text(path, wholetext=True)
+    state = whole.select(F.from_json("value", ROUTER_STATE, {"mode": "FAILFAST"}).alias("state"))
+    by_type = state.select(F.explode("state").alias("tx_type", "gateways"))
+    return by_type.select("tx_type", F.explode("gateways").alias("gateway", "arm")).select(
+        "tx_type", "gateway", "arm.alpha", "arm.beta", "arm.posterior_mean", F.col("arm.credible_interval_95").alias("ci"),
+        "arm.n_trials", F.col("arm.true_rate").alias("rate"))

@@ -66,8 +66,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "outcomes": (("txn",), """
         SELECT TransactionID + 1 AS step,
           CASE TransactionID % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS policy, tx_type,
-          CASE CAST(floor(TransactionID / 20) AS BIGINT) % 4 WHEN 0 THEN 'GW1' WHEN 1 THEN 'GW2'
-               WHEN 2 THEN 'GW3' ELSE 'GW4' END AS gateway,
+          CASE CAST(floor(TransactionID / 20) AS BIGINT) % 4 WHEN 0 THEN 'Razorpay' WHEN 1 THEN 'PayU'
+               WHEN 2 THEN 'Stripe' ELSE 'CCAvenue' END AS gateway,
           CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS success, TransactionAmt AS amt,
           CAST((TransactionDT % 86400) AS DOUBLE) / 3600 AS hour
         FROM txn"""),
@@ -85,10 +85,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 # Reference success rates by gateway and payment type (fixed values).
 RATES = """
   SELECT * FROM (VALUES
-    ('UPI','GW1',0.94), ('UPI','GW2',0.78), ('UPI','GW3',0.65), ('UPI','GW4',0.81),
-    ('CARD','GW1',0.87), ('CARD','GW2',0.91), ('CARD','GW3',0.95), ('CARD','GW4',0.79),
-    ('NETBANKING','GW1',0.83), ('NETBANKING','GW2',0.88), ('NETBANKING','GW3',0.71), ('NETBANKING','GW4',0.92),
-    ('WALLET','GW1',0.91), ('WALLET','GW2',0.72), ('WALLET','GW3',0.82), ('WALLET','GW4',0.88)
+    ('UPI','Razorpay',0.94), ('UPI','PayU',0.78), ('UPI','Stripe',0.65), ('UPI','CCAvenue',0.81),
+    ('CARD','Razorpay',0.87), ('CARD','PayU',0.91), ('CARD','Stripe',0.95), ('CARD','CCAvenue',0.79),
+    ('NETBANKING','Razorpay',0.83), ('NETBANKING','PayU',0.88), ('NETBANKING','Stripe',0.71), ('NETBANKING','CCAvenue',0.92),
+    ('WALLET','Razorpay',0.91), ('WALLET','PayU',0.72), ('WALLET','Stripe',0.82), ('WALLET','CCAvenue',0.88)
   ) AS t(tx_type, gateway, rate)"""
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from risklane.functions.clock import DAY, WEEK
@@ -35,8 +35,8 @@ def into(path: str) -> Sink:
 def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The last version of each key that an update-mode query wrote."""
     rows = spark.read.parquet(path)
-    last = W.partitionBy(*keys).orderBy(F.desc("batch"))
-    return rows.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank", "batch")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last")).select(*keys, "_last.*")
 
 
 def running_posterior(outcomes: DataFrame, prior: DataFrame | None = None) -> DataFrame:

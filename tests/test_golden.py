@@ -41,14 +41,14 @@ def test_monitor_when_calm(spark):
     assert (row["recommendation"], row["auc_degradation"], row["high_psi_features"]) == ("MONITOR", 0.0, [])
 
 
-ARMS = [("UPI", "GW1", 1587, 260, 0.8592, 0.843, 0.8747), ("UPI", "GW2", 35, 16, 0.6863, 0.5539, 0.8048),
-        ("UPI", "GW3", 14, 9, 0.6087, 0.4066, 0.7929), ("UPI", "GW4", 522, 95, 0.846, 0.8165, 0.8734),
-        ("CARD", "GW1", 90, 12, 0.8824, 0.8135, 0.9371), ("CARD", "GW2", 94, 14, 0.8704, 0.8012, 0.9266),
-        ("CARD", "GW3", 2154, 128, 0.9439, 0.9341, 0.953), ("CARD", "GW4", 12, 6, 0.6667, 0.4404, 0.8579),
-        ("NETBANKING", "GW1", 31, 8, 0.7949, 0.6567, 0.9045), ("NETBANKING", "GW2", 326, 34, 0.9056, 0.8733, 0.9335),
-        ("NETBANKING", "GW3", 9, 5, 0.6429, 0.3857, 0.8614), ("NETBANKING", "GW4", 1851, 162, 0.9195, 0.9073, 0.931),
-        ("WALLET", "GW1", 1941, 187, 0.9121, 0.8997, 0.9238), ("WALLET", "GW2", 19, 9, 0.6786, 0.4982, 0.8348),
-        ("WALLET", "GW3", 95, 21, 0.819, 0.7443, 0.8833), ("WALLET", "GW4", 253, 33, 0.8846, 0.8452, 0.9189)]
+ARMS = [("UPI", "Razorpay", 1587, 260, 0.8592, 0.843, 0.8747), ("UPI", "PayU", 35, 16, 0.6863, 0.5539, 0.8048),
+        ("UPI", "Stripe", 14, 9, 0.6087, 0.4066, 0.7929), ("UPI", "CCAvenue", 522, 95, 0.846, 0.8165, 0.8734),
+        ("CARD", "Razorpay", 90, 12, 0.8824, 0.8135, 0.9371), ("CARD", "PayU", 94, 14, 0.8704, 0.8012, 0.9266),
+        ("CARD", "Stripe", 2154, 128, 0.9439, 0.9341, 0.953), ("CARD", "CCAvenue", 12, 6, 0.6667, 0.4404, 0.8579),
+        ("NETBANKING", "Razorpay", 31, 8, 0.7949, 0.6567, 0.9045), ("NETBANKING", "PayU", 326, 34, 0.9056, 0.8733, 0.9335),
+        ("NETBANKING", "Stripe", 9, 5, 0.6429, 0.3857, 0.8614), ("NETBANKING", "CCAvenue", 1851, 162, 0.9195, 0.9073, 0.931),
+        ("WALLET", "Razorpay", 1941, 187, 0.9121, 0.8997, 0.9238), ("WALLET", "PayU", 19, 9, 0.6786, 0.4982, 0.8348),
+        ("WALLET", "Stripe", 95, 21, 0.819, 0.7443, 0.8833), ("WALLET", "CCAvenue", 253, 33, 0.8846, 0.8452, 0.9189)]
 
 
 def test_posterior_and_interval(spark):

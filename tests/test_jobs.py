@@ -56,14 +56,14 @@ def test_linear_route_against_numpy(spark, sf_dir):
 
 
 def test_thompson_route_is_repeatable_and_prefers_good_arms(spark):
-    arms = spark.createDataFrame([("UPI", "GW1", 900, 100), ("UPI", "GW2", 10, 90)], "tx_type string, gateway string, alpha int, beta int")
+    arms = spark.createDataFrame([("UPI", "Razorpay", 900, 100), ("UPI", "PayU", 10, 90)], "tx_type string, gateway string, alpha int, beta int")
     df = spark.range(3000).select(F.col("id").alias("TransactionID"), F.lit("UPI").alias("tx_type"))
-    first = {r[0]: r[2] for r in R.thompson_route(df, arms).collect()}
-    assert first == {r[0]: r[2] for r in R.thompson_route(df.repartition(13), arms).collect()}
+    first = {r[0]: r[2] for r in R.thompson_route(df, arms, gateways=R.GATEWAYS).collect()}
+    assert first == {r[0]: r[2] for r in R.thompson_route(df.repartition(13), arms, gateways=R.GATEWAYS).collect()}
     share = {g: sum(v == g for v in first.values()) / len(first) for g in R.GATEWAYS}
-    assert share["GW2"] == 0
+    assert share["PayU"] == 0
     # Two untried arms have the flat prior: the chance that neither beats about 0.9 is near 0.81.
-    assert share["GW1"] == pytest.approx(0.81, abs=0.03)
+    assert share["Razorpay"] == pytest.approx(0.81, abs=0.03)
 
 
 def test_explanations_without_drivers(spark):
@@ -184,3 +184,52 @@ def test_numbers_are_shown_as_python_shows_them(spark, digits):
     shown = F.format_string(f"%.{digits}f", wording.even(F.col("v"), digits))
     wrong = df.withColumn("got", shown).filter("got <> want AND abs(want) > 0").collect()
     assert not wrong
+
+
+def test_other_gateways_are_routed(spark):
+    """Arms of gateways that no constant names take part, and nothing else does."""
+    arms = spark.createDataFrame([("UPI", "Alpha pay", 1500, 400, 0.79, 1898), ("UPI", "Beta", 2, 60, 0.03, 60)],
+                                 "tx_type string, gateway string, alpha int, beta int, posterior_mean double, n_trials long")
+    df = spark.range(500).select(F.col("id").alias("TransactionID"), F.lit("UPI").alias("tx_type"))
+    assert {r[2] for r in R.thompson_route(df, arms).collect()} == {"Alpha pay"}
+    state = {(r["tx_type"], r["gateway"]): (r["alpha"], r["beta"], r["posterior_mean"], r["n_trials"])
+             for r in R.with_untried(arms, ["Alpha pay", "Gamma"]).collect()}
+    assert state["UPI", "Alpha pay"] == (1500, 400, 0.79, 1898) and state["CARD", "Gamma"] == (1, 1, 0.5, 0)
+    assert len(state) == 9
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("TransactionID,isFraud,TransactionAmt,M1,id_30,V1,note\n1,0,1.5,T,Windows 10,3,a\n2,1,2,F,,4.5,7\n")
+    df = files.read_transactions_csv(spark, str(path))
+    assert [tuple(r) for r in df.collect()] == [(1, 0, 1.5, "T", "Windows 10", 3.0, "a"), (2, 1, 2.0, "F", None, 4.5, "7")]
+    path.write_text("TransactionID,isFraud\n1,yes\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        files.read_transactions_csv(spark, str(path)).collect()
+
+
+def test_published_router_state(spark, tmp_path):
+    path = tmp_path / "state.json"
+    path.write_text("""{
+  "UPI": {"Razorpay": {"alpha": 1587.0, "beta": 260.0, "posterior_mean": 0.8592, "credible_interval_95": [0.843, 0.8747],
+                       "n_trials": 1845, "true_rate": 0.94}},
+  "CARD": {"Other": {"alpha": 3.0, "beta": 1.0, "posterior_mean": 0.75, "n_trials": 2}}
+}""")
+    arms = files.read_router_state(spark, str(path))
+    rows = {(r["tx_type"], r["gateway"]): tuple(r)[2:] for r in arms.collect()}
+    assert rows == {("UPI", "Razorpay"): (1587.0, 260.0, 0.8592, [0.843, 0.8747], 1845, 0.94),
+                    ("CARD", "Other"): (3.0, 1.0, 0.75, None, 2, None)}
+    files.write_router_state(arms, str(tmp_path / "again"))
+    again = files.read_router_state(spark, str(tmp_path / "again"))
+    assert {tuple(map(str, r)) for r in again.collect()} == {tuple(map(str, r)) for r in arms.collect()}
+
+
+def test_rounding_like_python(spark):
+    import random
+    rng = random.Random(4)
+    values = [130.35, 150.65, 0.125, 0.375, 2.5, 127.25, 1234.25, 0.0, 1e-9, 99999.95, 0.05, 0.15, 6.25, 1e6 + 0.0625]
+    values += [rng.uniform(0, 10 ** rng.randrange(1, 5)) for _ in range(300)] + [rng.randrange(10 ** 6) / 80 for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values] + [(-v,) for v in values], "v double")
+    for digits in (1, 3):
+        got = df.select("v", F.format_string(f"%.{digits}f", wording.even(F.col("v"), digits) + 0.0).alias("t")).collect()
+        assert all(r["t"] == f"{r['v']:.{digits}f}".replace("-0.000", "0.000") or float(r["t"]) == 0 for r in got)
