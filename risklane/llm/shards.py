@@ -46,13 +46,14 @@ def feistel(number: Column, rows: int, seed: int) -> Column:
 def longest_walk(spark: SparkSession, rows: int, seed: int) -> int:
     """Passes after which every number is below ``rows``: one, and as many as a spare number needs at most.
 
-    Fewer than sqrt(rows) numbers are spare, and few of them meet another.
+    About sqrt(rows) numbers are spare, and few of them meet another. Those on a cycle of spare numbers only, which no
+    row enters, come back to their start and are left out.
     """
     a, b = halves(rows)
     passes = 1
-    spare = spark.range(rows, a * b).select(F.col("id").alias("v"))
+    spare = spark.range(rows, a * b).select("id", F.col("id").alias("v"))
     while True:
-        spare = spare.select(feistel(F.col("v"), rows, seed).alias("v")).filter(F.col("v") >= rows)
+        spare = spare.select("id", feistel(F.col("v"), rows, seed).alias("v")).filter((F.col("v") >= rows) & (F.col("v") != F.col("id")))
         passes += 1
         if spare.isEmpty():
             return passes

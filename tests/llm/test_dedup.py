@@ -57,6 +57,13 @@ def variants(seed):
     words = [f"c{i}" for i in range(100)]
     for step in range(8):
         rows.append((len(rows) + 100, " ".join(words[step * 6:] + [f"d{i}" for i in range(step * 6)])))
+    # A family whose members are near its first text or not, and near each other or not.
+    words = [f"f{i}" for i in range(80)]
+    for copy in range(40):
+        own = list(words)
+        for _ in range(copy % 7):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((len(rows) + 100, " ".join(own)))
     # A passage that many documents share.
     shared = " ".join(f"s{i}" for i in range(40))
     rows += [(len(rows) + 100 + k, shared + " " + " ".join(f"p{k}q{i}" for i in range(30))) for k in range(25)]
@@ -66,8 +73,10 @@ def variants(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_near_duplicates(spark, seed):
+@pytest.mark.parametrize("seed, members", [(1, 2048), (2, 8), (3, 3)])
+def test_near_duplicates(spark, seed, members, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", members)
+    monkeypatch.setattr(neardup, "SETS", max(2, members // 2))
     rows = variants(seed)
     df = spark.createDataFrame([(i, t, 5, "k") for i, t in rows], "doc_id bigint, text string, n_shingles int, key string").repartition(4)
     got = neardup.near_duplicates(df)
