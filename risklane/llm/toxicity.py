@@ -29,7 +29,9 @@ SAMPLE_WORDS = 4_000_000
 # Of the sample, one in so many calibrates thresholds and is not fitted on.
 CALIBRATE = 5
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
-EPOCHS, BATCH_DOCS, RATE = 12, 128, 0.02
+EPOCHS, BATCH_DOCS, RATE = 8, 128, 0.02
+# Sampled documents that a bucket must be met in to be learned; what fewer hold tells one text from another, not a class.
+LEAST_DOCS = 3
 # Words whose vectors a task keeps at hand.
 CACHED_WORDS = 150_000
 # Words that go through the filters at once.
@@ -122,8 +124,19 @@ class Adam:
         value -= RATE * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.99 ** self.t)) + 1e-8)
 
 
+def evidence(met: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Signed root of the likelihood ratio of each bucket: how surely its documents are of one class more than of the other."""
+    share = np.clip(labels.mean(), 1e-6, 1 - 1e-6) if len(labels) else 0.5
+    total = np.maximum(met.sum(axis=0), 1e-9)
+    parts = [m * np.log(np.maximum(m, 1e-9) / (total * p)) for m, p in ((met[1], share), (met[0], 1 - share))]
+    return np.sign(met[1] - total * share) * np.sqrt(np.maximum(2 * (parts[0] + parts[1]), 0))
+
+
 def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
-    """Mini-batch gradient steps on the logistic loss, the classes weighted evenly. Deterministic."""
+    """Mini-batch gradient steps on the logistic loss, the classes weighted evenly. Deterministic.
+
+    The first dimension of an embedding starts from the evidence of its bucket, the others at random.
+    """
     rng = np.random.default_rng(seed)
     taps = sum(WIDTHS)
     embeddings = (rng.standard_normal((BUCKETS, DIMS)) * 0.05).astype(np.float32)
@@ -137,6 +150,14 @@ def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
     flat = np.fromiter((b for g in grams for b in g), np.int32, int(starts[-1]))
     del grams
     docs = [np.array([vocabulary[w] for w in words], np.int64) for words in texts]
+    met = np.zeros((2, BUCKETS))
+    for doc, label in zip(docs, labels):
+        of = np.unique(doc)
+        met[int(label), np.unique(np.concatenate([flat[starts[w]:starts[w + 1]] for w in of] or [np.zeros(0, np.int32)]))] += 1
+    learnt = met.sum(axis=0) >= LEAST_DOCS
+    embeddings[:, 0] = np.clip(evidence(met, labels) / 3, -2, 2)
+    embeddings[~learnt] = 0
+    kernel[0] = np.abs(kernel[0])
     share = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
     rules = {name: Adam(value.shape) for name, value in
              (("kernel", kernel), ("bias", bias), ("weights", weights), ("offset", offset))}
@@ -187,8 +208,9 @@ def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
             for row in touched:         # rare buckets learn as fast as frequent ones
                 where = flat[starts[used[row]]:starts[used[row] + 1]]
                 grad = g_vectors[row] / len(where)
+                where = where[learnt[where]]
                 squares[where] += float(grad @ grad)
-                np.subtract.at(embeddings, where, 0.05 * grad / np.sqrt(squares[where])[:, None])
+                np.subtract.at(embeddings, where, 0.02 * grad / np.sqrt(squares[where])[:, None])
     return Model(embeddings, kernel, bias, weights, float(offset[0]))
 
 
