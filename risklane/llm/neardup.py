@@ -2,16 +2,18 @@
 
 1. A text becomes its set of word 5-shingles (64-bit hashes), and the set a signature of ``COORDINATES`` minima. Equal
    sets form one class, so exact copies never meet each other.
-2. A class is posted under its (coordinate, value) pairs. Two sets of similarity 0.75 agree in 24 of 32 coordinates on
+2. A class is posted under its (coordinate, value) pairs. Two sets of similarity 0.75 agree in 48 of 64 coordinates on
    average; a pair must agree in ``MATCHES``. Fewer agree with a probability of 3e-8 at the threshold itself, and less
-   above it. Prefix: of two signatures that agree in at least t places, those parts share a pair that remain when
+   above it. Two texts that share a passage and are 0.25 alike agree in so many with one of 4e-4. Prefix: of two signatures that agree in at least t places, those parts share a pair that remain when
    each leaves out its t - 1 most frequent pairs; so a class is posted under its rarest pairs only. Pairs that one class alone has
    are not posted at all. Skip: the long lists left out are never merged; their collisions are counted by comparing
    the two signatures in place, and pairs below the threshold go no further.
 3. Links are confirmed on the full sets, recomputed from the texts of the classes that are in question.
-4. Every list first compares its members with its least one (a hub). Members that then belong to the hub's component
-   need no further comparison; the others meet all members of other components. So a group of near copies costs
-   about one comparison a member, and no link between different components is missed.
+4. Every list first compares its members with its least one (a hub). Members that then belong to one component need no
+   further comparison. Where a hub's lists still hold several components, their members meet in blocks of bounded size: first
+   by signature, which says who may have a partner in another component, and then those few by full set. A block
+   gives out members and trees of links, never pairs. So a group of near copies costs about one comparison
+   a member, and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from risklane.llm.common import stage
-from risklane.llm.components import components
+from risklane.llm.components import components, trees
 
 # Words in a shingle, and the least similarity of a link as a percentage.
 SHINGLE_WORDS = 5
 LEAST_PERCENT = 75
-COORDINATES = 32
-MATCHES = 10
+COORDINATES = 64
+MATCHES = 28
 # Shingles that go through the hash functions at once.
 BLOCK = 1 << 15
+# Most members of a family that meet in one block, by signature and by full set.
+MEMBERS, SETS = 2_048, 256
+# Rows of small families that a task takes at once.
+TOGETHER = 8_192
 
 _rng = np.random.default_rng(20)
 SCALES = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,61 +109,131 @@ def near_sizes(a: Column, b: Column) -> Column:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, key, least_id, n_shingles, sig): the rarest shared coordinate-value pairs of each class."""
-    tokens = classes.select("key", F.posexplode("sig").alias("at", "value")) \
-        .select("key", F.xxhash64("at", "value").alias("token"))
+    """(token, id, least_id, n_shingles, sig): the rarest shared coordinate-value pairs of each class."""
+    tokens = classes.select("id", F.posexplode("sig").alias("at", "value")) \
+        .select("id", F.xxhash64("at", "value").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
     # A signature has COORDINATES pairs; all but its MATCHES - 1 most frequent ones are the prefix. The pairs that
     # only one class has are the rarest of all: of n shared pairs the n - (MATCHES - 1) rarest are in the prefix.
-    lists = tokens.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("l")) \
+    lists = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("l")) \
         .filter(F.size("l") >= MATCHES) \
-        .select("key", F.explode(F.expr(f"slice(l, 1, size(l) - {MATCHES - 1})")["token"]).alias("token"))
-    return lists.join(classes.select("key", "least_id", "n_shingles", "sig"), "key")
+        .select("id", F.explode(F.expr(f"slice(l, 1, size(l) - {MATCHES - 1})")["token"]).alias("token"))
+    return lists.join(classes.select("id", "least_id", "n_shingles", "sig"), "id")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class keys that are links on their full sets."""
-    wanted = stage(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-                   .join(classes.select("key", "least_id"), "key"), "wanted")
+def full_sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, set) of the classes in ``ids``, from their texts."""
+    wanted = stage(ids.join(classes.select("id", "key", "least_id"), "id"), "wanted")
     texts = docs.join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
-    sets = stage(texts.mapInPandas(full_sets, "key binary, set binary").join(wanted.select("key"), "key", "left_semi")
-                 .dropDuplicates(["key"]), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a") \
-        .join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.mapInPandas(confirmed, "a binary, b binary")
+    return stage(texts.mapInPandas(full_sets, "key binary, set binary").join(wanted.select("id", "key"), "key")
+                 .select("id", "set").dropDuplicates(["id"]), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links on their full sets."""
+    both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = full_sets_of(both, docs, classes)
+    return pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a") \
+        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b") \
+        .mapInPandas(confirmed, "a bigint, b bigint")
+
+
+def likely(rows: pd.DataFrame, across: bool) -> pd.DataFrame:
+    """Members of a block that may be linked with a member of another component, by their signatures."""
+    left, right = (rows[rows["b"] == rows["i"]], rows[rows["b"] == rows["j"]]) if across else (rows, rows)
+    found = []
+    if len(left) and len(right):
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        a, b = (np.stack(side["sig"].to_numpy()) for side in (left, right))
+        n, m = left["n_shingles"].to_numpy()[:, None], right["n_shingles"].to_numpy()[None, :]
+        agree = np.zeros((len(a), len(b)), np.uint8)
+        for k in range(COORDINATES):
+            agree += a[:, k, None] == b[None, :, k]
+        may = (agree >= MATCHES) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
+        may &= 100 * np.minimum(n, m) >= LEAST_PERCENT * np.maximum(n, m)
+        found = np.unique(np.concatenate([ids[may.any(axis=1)], others[may.any(axis=0)]]))
+    return pd.DataFrame({"hub": rows["hub"].iloc[:1].repeat(len(found)).to_numpy(), "id": found}).astype("int64")
+
+
+def linked(rows: pd.DataFrame, across: bool) -> pd.DataFrame:
+    """Trees of the links between members of a block that are of different components, by their full sets."""
+    left, right = (rows[rows["b"] == rows["i"]], rows[rows["b"] == rows["j"]]) if across else (rows, rows)
+    ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+    roots, other_roots = left["root"].to_numpy(), right["root"].to_numpy()
+    sets, other_sets = ([np.frombuffer(s, np.uint64) for s in side["set"]] for side in (left, right))
+    a, b = [], []
+    if len(sets) and len(other_sets):
+        sizes = np.array([len(s) for s in other_sets])
+        owner, values = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(other_sets)
+        order = np.argsort(values, kind="stable")
+        owner, values = owner[order], values[order]
+        for at, own in enumerate(sets):
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            hits = high - low
+            place = np.repeat(low - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
+            common = np.bincount(owner[place], minlength=len(sizes))
+            near = (100 * common >= LEAST_PERCENT * (len(own) + sizes - common)) & (other_roots != roots[at])
+            b.append(others[near])
+            a.append(np.full(near.sum(), ids[at]))
+    none = [np.zeros(0, np.int64)]
+    return trees(np.concatenate(a or none), np.concatenate(b or none))
+
+
+def in_blocks(families: DataFrame, most: int, work, schema: str) -> DataFrame:
+    """``work`` over families (rows of one ``hub``), those of more than ``most`` members block by block.
+
+    A member of block b meets blocks j in the groups (min(b, j), max(b, j)). Small families share a group.
+    """
+    sizes = families.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("blocks"))
+    groups = max(1, -(-families.count() // TOGETHER))
+    rows = families.join(sizes, "hub").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumn("i", F.least("b", "other")).withColumn("j", F.greatest("b", "other")) \
+        .withColumn("g", F.when(F.col("blocks") > 1, F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(groups)) - groups)) \
+        .drop("blocks", "other")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        across = bool(rows["i"].iloc[0] != rows["j"].iloc[0])
+        rows = rows.sort_values("hub", kind="stable", ignore_index=True)
+        cuts = np.flatnonzero(np.diff(rows["hub"].to_numpy())) + 1
+        ends = [0, *cuts.tolist(), len(rows)]
+        return pd.concat([work(rows.iloc[s:e], across) for s, e in zip(ends, ends[1:])], ignore_index=True)
+
+    return rows.groupBy("g", "i", "j").applyInPandas(meet, schema)
+
+
+def several_roots(families: DataFrame) -> DataFrame:
+    """Rows of the families in which more than one component is left."""
+    mixed = families.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
+        .filter("low <> high").select("hub")
+    return families.join(mixed, "hub", "left_semi")
 
 
 def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, root) of the classes that are linked with others; both are class keys."""
+    """(node, root) of the classes that are linked with others."""
     posts = stage(postings(classes), "postings")
-    hubs = posts.groupBy("token").agg(F.min(F.struct("least_id", "key", "n_shingles", "sig")).alias("hub"),
+    hubs = posts.groupBy("token").agg(F.min(F.struct("least_id", "id", "n_shingles", "sig")).alias("hub"),
                                       F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    near = (F.col("key") != F.col("hub.key")) & near_sizes(F.col("n_shingles"), F.col("hub.n_shingles"))
-    first = posts.join(hubs, "token").filter(near).filter(agreeing(F.col("sig"), F.col("hub.sig")) >= MATCHES)
-    tested = stage(first.select(F.col("hub.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    near = near_sizes(F.col("n_shingles"), F.col("hub.n_shingles"))
+    with_hub = stage(posts.join(hubs, "token").filter(F.col("id") != F.col("hub.id")).select(
+        F.col("hub.id").alias("hub"), "id", (near & (agreeing(F.col("sig"), F.col("hub.sig")) >= MATCHES)).alias("near"))
+        .distinct(), "hubs")
+    tested = with_hub.filter("near").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     links = stage(verified(tested, docs, classes), "links")
     roots = components(links)
 
-    # What is left: in each list, members outside the hub's component, against members of other components.
-    named = posts.join(roots.select(F.col("node").alias("key"), "root"), "key", "left") \
-        .withColumn("root", F.coalesce("root", "key"))
-    mains = named.groupBy("token").agg(F.min(F.struct("least_id", "key", "root")).alias("hub"),
-                                       F.min("root").alias("low"), F.max("root").alias("high")) \
-        .filter("low <> high").select("token", F.col("hub.key").alias("hub"), F.col("hub.root").alias("main"))
-    mixed = stage(named.join(mains, "token"), "mixed").drop("least_id")
-    odd = mixed.filter("root <> main").select(
-        "token", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("n_shingles").alias("n_a"),
-        F.col("sig").alias("sig_a"))
-    others = mixed.filter("key <> hub").select(
-        "token", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("n_shingles").alias("n_b"),
-        F.col("sig").alias("sig_b"), (F.col("root") != F.col("main")).alias("odd_b"))
-    # Two odd members meet twice; the lesser one asks.
-    cross = odd.join(others, "token").filter("root_a <> root_b and (not odd_b or a < b)") \
-        .filter(near_sizes(F.col("n_a"), F.col("n_b"))).filter(agreeing(F.col("sig_a"), F.col("sig_b")) >= MATCHES)
-    rest = stage(cross.select("a", "b").distinct(), "pairs")
-    if rest.isEmpty():
+    # What is left: the lists of a hub, put together as its family, that still hold several components.
+    named = with_hub.select("hub", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left") \
+        .withColumn("root", F.coalesce("root", "id"))
+    mixed = several_roots(named)
+    families = stage(mixed.join(classes.select("id", "n_shingles", "sig"), "id"), "families")
+    asked = stage(in_blocks(families, MEMBERS, likely, "hub bigint, id bigint").distinct(), "likely")
+    if asked.isEmpty():
         return roots
-    return components(links.unionByName(verified(rest, docs, classes)))
+    sets = full_sets_of(asked.select("id").distinct(), docs, classes)
+    exact = families.select("hub", "id", "root").join(asked, ["hub", "id"], "left_semi").join(sets, "id")
+    more = in_blocks(stage(exact, "families"), SETS, linked, "id bigint, root bigint")
+    return components(links.unionByName(more.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,13 +245,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = stage(docs.mapInPandas(sketches, "doc_id bigint, n_shingles bigint, key binary, sig array<int>"), "sketches")
     classes = stage(rows.filter("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+        F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .withColumn("id", F.monotonically_increasing_id()), "classes")
     roots = class_links(docs, classes)
     # Only classes with links are looked up by root; all others are components of their own.
-    linked = classes.select("key", "least_id").join(roots.withColumnRenamed("node", "key"), "key")
+    linked = classes.select("id", "least_id").join(roots.withColumnRenamed("node", "id"), "id")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    merged = linked.join(least, "root").select("key", "component_id")
-    named = stage(classes.select("key", "least_id").join(merged, "key", "left")
+    merged = linked.join(least, "root").select("id", "component_id")
+    named = stage(classes.select("id", "key", "least_id").join(merged, "id", "left")
                   .select("key", F.coalesce("component_id", "least_id").alias("component_id")), "named")
     return rows.select("doc_id", "n_shingles", "key").join(named, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")) \

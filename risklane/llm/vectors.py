@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from risklane.llm.common import stage
-from risklane.llm.components import components
+from risklane.llm.components import components, trees
 
 # Fixed value: the least cosine of a link.
 LEAST_COSINE = 0.95
@@ -132,27 +132,10 @@ def block(number: int, members: pd.DataFrame, probers: pd.DataFrame, index: Inde
             linked = np.einsum("ij,ij->i", part[r], m[c]) >= least
             np.add.at(counts, start + r[linked], weights[c[linked]])
             pairs.append(np.stack([start + r[linked], c[linked]]))
-    return counted(counts, p_ids, m_ids, np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64))
-
-
-def counted(counts: np.ndarray, p_ids: np.ndarray, m_ids: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
-    """Counts per prober, and a spanning forest of the pairs: each linked id with the least id of its tree."""
-    ids, places = np.unique(np.concatenate([p_ids[pairs[0]], m_ids[pairs[1]]]), return_inverse=True)
-    a, b = places[:pairs.shape[1]], places[pairs.shape[1]:]
-    root = np.arange(len(ids))
-    while len(a):
-        least = root.copy()
-        np.minimum.at(least, a, root[b])
-        np.minimum.at(least, b, root[a])
-        np.minimum.at(least, root, least.copy())
-        least = least[least]
-        if (least == root).all():
-            break
-        root = least
+    met = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
     has = np.flatnonzero(counts)
     links = pd.DataFrame({"id": p_ids[has], "links": counts[has], "root": p_ids[has]})
-    trees = pd.DataFrame({"id": ids, "links": np.zeros(len(ids), np.int64), "root": ids[root]})
-    return pd.concat([links, trees[trees["id"] != trees["root"]]], ignore_index=True)
+    return pd.concat([links, trees(p_ids[met[0]], m_ids[met[1]]).assign(links=0)], ignore_index=True)
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST_COSINE) -> DataFrame:
