@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklane.llm import extract, licenses, mixing, neardup, packing, quality, revisits, shards, toxicity, vectors
+from risklane.llm import extract, licenses, mixing, neardup, oracles, packing, quality, revisits, shards, toxicity, vectors
 from risklane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,49 +58,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-def quality_sql() -> str:
-    """The same counts and rules in DuckDB; the threshold table is read from ``quality.RULES``."""
-    words = sorted({word for some in quality.STOP_WORDS.values() for word in some.split()})
-    stops = ", ".join(f"'{word}'" for word in words)
-    columns = {rule.metric for rule in quality.RULES}
-    assert columns <= {"n_words", "mean_word_chars", "symbol_ratio", "mark_ratio", "stop_ratio", "dup_line_ratio"}
-
-    def test(rule: quality.Rule) -> str:
-        parts = [f"{rule.metric} >= {rule.least}"] if rule.least is not None else []
-        parts += [f"{rule.metric} <= {rule.most}"] if rule.most is not None else []
-        return f"coalesce({' AND '.join(parts)}, false)"
-
-    failed = ", ".join(f"CASE WHEN NOT {test(rule)} THEN '{rule.name}' END" for rule in quality.RULES)
-    verdict = " AND ".join(test(rule) for rule in quality.RULES)
-    return rf"""
-WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
-p AS (SELECT k, unnest(words) AS a, generate_subscripts(words, 1) AS i, words FROM w),
-g AS (SELECT k, i, a || ' ' || words[i + 1] || ' ' || words[i + 2] AS v FROM p WHERE i + 2 <= len(words)),
-r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, v) AS n FROM g) WHERE n > 1),
-c AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY k),
-m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
-             len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-             len(regexp_extract_all(text, '[!?~^=_]')) AS n_marks, len(lines) AS n_lines,
-             len(list_filter(words, lambda x: regexp_replace(lower(x), '[.,;:]$', '') IN ({stops}))) AS n_stop
-      FROM w LEFT JOIN c USING (k)),
-q AS (SELECT *, word_chars / nullif(n_words, 0)::DOUBLE AS mean_word_chars,
-             n_symbols / nullif(word_chars, 0)::DOUBLE AS symbol_ratio, n_marks / nullif(word_chars, 0)::DOUBLE AS mark_ratio,
-             n_stop / nullif(n_words, 0)::DOUBLE AS stop_ratio, n_dup_lines / nullif(n_lines, 0)::DOUBLE AS dup_line_ratio,
-             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT base_failed AND {verdict} AS kept, round(mean_word_chars, 6) AS mean_word_chars,
-       round(symbol_ratio, 6) AS symbol_ratio, round(mark_ratio, 6) AS mark_ratio, round(stop_ratio, 6) AS stop_ratio,
-       round(dup_line_ratio, 6) AS dup_line_ratio, concat_ws(',', {failed}) AS failed
-FROM q"""
-
-
 def queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_sql()}
+    return {"op1_revisits": oracles.REVISITS, "op3_quality_rules": oracles.quality_sql(),
+            "op5_near_vectors": oracles.NEAR_VECTORS, "op6_near_duplicates": oracles.NEAR_DUPLICATES}
