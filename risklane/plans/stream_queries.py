@@ -11,18 +11,38 @@ from risklane.plans.model_queries import fitted_chain, with_amount_text
 from risklane.plans.registry import query
 from risklane.plans.routing_queries import _ARMS, arms
 from risklane.plans.velocity_queries import _EXACT, _PRIOR, _rounded
-from risklane.sources.views import view
+from risklane.sources.views import DIALECT, view
 from risklane.staging import new_path
 from risklane.streaming import jobs, sources
 
 
+SLICES = 3
+
+
 def _payments(spark, sf_dir):
     return sources.payments(sources.event_stream(spark, sf_dir, "events.parquet"))
 
 
-@query("stream_posterior", "outcomes", """
+def _replayed(spark, sf_dir, run):
+    """``run(payments, checkpoint)`` over the events in slices of time: each slice arrives after the query has stopped,
+    and the restarted query goes on from its checkpoint."""
+    events = view(spark, sf_dir, "events")
+    seconds = F.expr(DIALECT["spark"]["event_seconds"])
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    folder, checkpoint = new_path(spark, "slices"), new_path(spark, "offsets")
+    width = ((last or 0) - (first or 0)) // SLICES + 1
+    for i in range(SLICES):
+        part = events.filter((seconds >= (first or 0) + i * width) & (seconds < (first or 0) + (i + 1) * width))
+        part.write.mode("append").parquet(folder)
+        run(sources.payments(sources.event_stream(spark, folder)), checkpoint)
+
+
+_POSTERIOR = """
 SELECT tx_type, gateway, CAST(2 * sum(success) + 1 AS BIGINT) AS alpha, CAST(2 * (count(*) - sum(success)) + 1 AS BIGINT) AS beta,
-  2 * count(*) AS n_trials FROM outcomes GROUP BY tx_type, gateway""")
+  2 * count(*) AS n_trials FROM outcomes GROUP BY tx_type, gateway"""
+
+
+@query("stream_posterior", "outcomes", _POSTERIOR)
 def stream_posterior(spark, sf_dir):
     """Starts from a saved state (the same log, seen in batch) and adds the streamed outcomes."""
     path = new_path(spark, "posterior")
@@ -31,18 +51,45 @@ def stream_posterior(spark, sf_dir):
     return jobs.newest(spark, path, R.ARM)
 
 
-@query("stream_daily", "", """
+@query("stream_posterior_slices", "outcomes", _POSTERIOR)
+def stream_posterior_slices(spark, sf_dir):
+    path, prior = new_path(spark, "posterior"), arms(spark, sf_dir)
+
+    def run(payments, checkpoint):
+        state = jobs.running_posterior(sources.from_payments("outcomes", payments), prior=prior)
+        jobs.start(state, jobs.into(path), "update", checkpoint).awaitTermination()
+
+    _replayed(spark, sf_dir, run)
+    return jobs.newest(spark, path, R.ARM)
+
+
+_DAILY = """
 SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS day_start, count(*) AS n,
   round(avg(CASE WHEN event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS INT) % 6 = 0 THEN 1 ELSE 0 END), 6) AS fraud_rate,
-  round(avg(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END), 6) AS success_rate FROM events GROUP BY 1""")
+  round(avg(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END), 6) AS success_rate FROM events GROUP BY 1"""
+
+
+@query("stream_daily", "", _DAILY)
 def stream_daily(spark, sf_dir):
     path = new_path(spark, "daily")
     jobs.start(jobs.daily_monitor(_payments(spark, sf_dir)), jobs.into(path), "update").awaitTermination()
+    return _days(spark, path)
+
+
+def _days(spark, path):
     return jobs.newest(spark, path, ["day_start"]).select(
         F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"), "n",
         F.round("fraud_rate", 6).alias("fraud_rate"), F.round("success_rate", 6).alias("success_rate"))
 
 
+@query("stream_daily_slices", "", _DAILY)
+def stream_daily_slices(spark, sf_dir):
+    path = new_path(spark, "daily")
+    _replayed(spark, sf_dir, lambda payments, checkpoint: jobs.start(
+        jobs.daily_monitor(payments), jobs.into(path), "update", checkpoint).awaitTermination())
+    return _days(spark, path)
+
+
 @query("stream_velocity", "txn", _PRIOR.format(source="txn") + _EXACT)
 def stream_velocity(spark, sf_dir):
     velocity = jobs.VelocityStream(spark, new_path(spark, "velocity"))
@@ -50,6 +97,14 @@ def stream_velocity(spark, sf_dir):
     return _rounded(velocity.output())
 
 
+@query("stream_velocity_slices", "txn", _PRIOR.format(source="txn") + _EXACT)
+def stream_velocity_slices(spark, sf_dir):
+    velocity = jobs.VelocityStream(spark, new_path(spark, "velocity"))
+    _replayed(spark, sf_dir, lambda payments, checkpoint: jobs.start(
+        payments, velocity, "append", checkpoint).awaitTermination())
+    return _rounded(velocity.output())
+
+
 @query("stream_score", "scored outcomes", _RISK.rstrip() + "," + _ARMS.strip()[4:] + f""",
 best AS (SELECT tx_type, gateway FROM arms QUALIFY row_number() OVER (PARTITION BY tx_type ORDER BY posterior_mean DESC, gateway) = 1)
 SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, decision AS fraud_decision, risk AS fraud_risk_level,

@@ -233,3 +233,9 @@ def test_rounding_like_python(spark):
     for digits in (1, 3):
         got = df.select("v", F.format_string(f"%.{digits}f", wording.even(F.col("v"), digits) + 0.0).alias("t")).collect()
         assert all(r["t"] == f"{r['v']:.{digits}f}".replace("-0.000", "0.000") or float(r["t"]) == 0 for r in got)
+
+
+def test_columns_by_prefix(spark):
+    from risklane.operators.shaping import with_prefix
+    df = spark.createDataFrame([(1, 2.0, 3.0, "x")], "TransactionID long, V1 double, V20 double, card1 string")
+    assert with_prefix(df, "V", "TransactionID").columns == ["TransactionID", "V1", "V20"]
