@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from risklane.llm.common import GAP, WORD, let, words_of
+from risklane.llm.common import WORD, let, spare_name, words_of
 
 
 class Rule(NamedTuple):
@@ -37,25 +37,38 @@ STOP_WORDS = {
     "fr": "de la le et les des en un une du dans est que qui pour sur au par pas avec",
     "es": "de la que el en y a los del se las por un para con no una su al lo",
 }
-SYMBOLS = r"[#*$%&|<>]"
-MARKS = r"[!?~^=_]"
+SYMBOLS = "#*$%&|<>"
+MARKS = "!?~^=_"
 
 
-def stop_pattern() -> str:
+def stop_forms() -> list[str]:
+    """Stop words as they stand in a text, bare and before a mark."""
     words = sorted({word for words in STOP_WORDS.values() for word in words.split()})
-    return rf"(?<![^\x20\x09-\x0D])(?i:{'|'.join(words)})(?=[.,;:]?(?:[\x20\x09-\x0D]|\z))"
+    return [word + mark for word in words for mark in ("", ".", ",", ";", ":")]
 
 
-def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+def count_of(text: Column, characters: str) -> Column:
+    """How many of a few characters a text has: what is left of it without the runs of all others."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("long")
 
 
 def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that stand in the text twice or more.
 
-    Windows are sorted with their positions, so equal ones are neighbours; the positions found are sorted and each
-    adds the words that the one before it does not cover. The cost is n log n, and memory a few copies of the text.
+    Texts whose windows all have different hashes have none; that is known without sorting. In the others, windows
+    are sorted with their positions, so equal ones are neighbours; the positions found are sorted and each adds
+    the words that the one before it does not cover. The cost is n log n, and memory a few copies of the text.
     """
+    def heads(all_words: Column) -> Column:
+        return F.slice(all_words, F.lit(1), F.greatest(F.size(all_words) - 2, F.lit(0)))
+
+    def hash_at(word: Column, at: Column, all_words: Column) -> Column:
+        return F.xxhash64(word, F.get(all_words, at + 1), F.get(all_words, at + 2))
+
+    def all_differ(all_words: Column) -> Column:
+        hashes = F.transform(heads(all_words), lambda word, at: hash_at(word, at, all_words))
+        return let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+
     def window_at(word: Column, at: Column, all_words: Column) -> Column:
         return F.struct(F.concat_ws(" ", word, F.get(all_words, at + 1), F.get(all_words, at + 2)).alias("w"),
                         at.alias("i"))
@@ -72,10 +85,10 @@ def repeat_words(words: Column) -> Column:
         return F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
 
     def windows_of(all_words: Column) -> Column:
-        heads = F.slice(all_words, F.lit(1), F.greatest(F.size(all_words) - 2, F.lit(0)))
-        return F.sort_array(F.transform(heads, lambda word, at: window_at(word, at, all_words)))
+        return F.sort_array(F.transform(heads(all_words), lambda word, at: window_at(word, at, all_words)))
 
-    return let(windows_of(words), lambda windows: let(repeated(windows), covered))
+    exact = let(windows_of(words), lambda windows: let(repeated(windows), covered))
+    return F.when(all_differ(words), F.lit(0).cast("long")).otherwise(exact)
 
 
 def line_counts(text: Column) -> Column:
@@ -86,22 +99,22 @@ def line_counts(text: Column) -> Column:
         (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("dups")))
 
 
-def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` and a struct ``_q`` of the counts and ratios of its text, in one projection."""
+def measured(df: DataFrame, text_col: str = "text", name: str = "_q") -> DataFrame:
+    """All columns of ``df`` and a struct of the counts of its text, in one projection."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def counts(words: Column) -> Column:
         n_words = F.size(words).cast("long")
-        word_chars = F.length(F.regexp_replace(text, GAP, "")).cast("long")
+        word_chars = F.length(F.array_join(words, "")).cast("long")
+        stops = F.filter(words, lambda word: F.lower(word).isin(stop_forms()))
         return F.struct(
             n_words.alias("n_words"), word_chars.alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            (F.length(text) - F.length(F.translate(text, "!?~^=_", ""))).cast("long").alias("n_marks"),
-            count_of(text, stop_pattern()).alias("n_stop"),
+            count_of(text, SYMBOLS).alias("n_symbols"), count_of(text, MARKS.replace("^", r"\^")).alias("n_marks"),
+            F.size(stops).cast("long").alias("n_stop"),
             line_counts(text).alias("lines"),
             repeat_words(words).alias("n_repeat_words"))
 
-    return df.withColumn("_q", let(words_of(text), counts))
+    return df.withColumn(name, let(words_of(text), counts))
 
 
 def metrics(counts: Column) -> dict[str, Column]:
@@ -125,6 +138,13 @@ def passes(rule: Rule, value: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
+def decided(counts: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
+    """(base check failed, all rules met): the whole table as two conditions."""
+    ratio = metrics(counts)
+    base_failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+    return base_failed, reduce(lambda a, b: a & b, [passes(rule, ratio[rule.metric]) for rule in rules], F.lit(True))
+
+
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts, ratios and verdict per row, one row for each of ``df``.
@@ -136,9 +156,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = F.col("_q")
     found = measured(picked).select("doc_id", "_q")
     ratio = metrics(counts)
-    base_failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
     met = {rule.name: passes(rule, ratio[rule.metric]) for rule in rules}
-    verdict = reduce(lambda a, b: a & b, met.values(), F.lit(True))
+    base_failed, verdict = decided(counts, rules)
     return found.select(
         "doc_id", counts["n_words"].alias("n_words"), counts["word_chars"].alias("word_chars"),
         counts["n_symbols"].alias("n_symbols"), counts["lines"]["dups"].alias("n_dup_lines"),
@@ -148,10 +167,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.concat_ws(",", *[F.when(~ok, F.lit(name)) for name, ok in met.items()]).alias("failed"))
 
 
-def kept_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
+def kept_rows(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``df``, whole, that pass the base check and all rules."""
-    counts = F.col("_q")
-    base_failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
-    ratio = metrics(counts)
-    verdict = reduce(lambda a, b: a & b, [passes(rule, ratio[rule.metric]) for rule in RULES], F.lit(True))
-    return measured(df, text_col).filter(~base_failed & verdict).select(*df.columns)
+    name = spare_name(df, "_q")
+    failed, verdict = decided(F.col(name), rules)
+    return measured(df, text_col, name).filter(~failed & verdict).select(*df.columns)
