@@ -13,7 +13,6 @@ depends on the rows of its partition only.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,7 +29,7 @@ END_ID = 2
 # Pieces that wait at once in a task, out of which a sequence is filled.
 POOL = 1024
 # Distinct words whose ids a task keeps at hand.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 # Fixed value: how the vocabulary's pre-tokenizer cuts lower-case text.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -45,46 +44,55 @@ class Limits(NamedTuple):
     loss: int = LENGTH
 
 
+class Words(dict):
+    """Ids of words, worked out as they are met."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.encode(word)
+        return found
+
+
 class Encoder:
     """Ids of whole texts, word by word: words recur, and white space parts them for this vocabulary anyway.
 
-    A word of Latin letters is cut as the tokenizer cuts it, and the parts looked up in a second table; any other
-    word, and any that may hold a special token, goes to the tokenizer as it is.
+    A word of characters below U+0250, which normalisation leaves alone, is cut as the tokenizer cuts it, and the
+    parts are looked up in a second table; any other word, and any that may hold a special token, goes to the
+    tokenizer as it is.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = {}, {}
+        self.model = self.tokenizer.model
+        self.words, self.parts = Words(self._word), Words(self._part)
+        # Fixed value: the characters that stand for bytes in a byte-level vocabulary.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [byte for byte in range(256) if byte not in shown]
+        self.shown = {byte: byte for byte in shown} | {byte: 256 + i for i, byte in enumerate(hidden)}
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def _part(self, part: str) -> bytes:
+        text = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.shown)
+        return np.array([token.id for token in self.model.tokenize(text)], np.uint32).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if len(word) > 64 or "<|" in word or max(word) >= "ɐ" or "İ" in word:
-            return self._encode(word)
-        out = []
-        for part in PARTS.findall(unicodedata.normalize("NFC", word).lower()):
-            found = self.parts.get(part)
-            if found is None:
-                found = self.parts[part] = self._encode(part)
-            out.append(found)
-        return b"".join(out)
+        if len(word) > 64 or "<|" in word or not word.isascii() and (max(word) >= "ɐ" or "İ" in word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        low, parts = word.lower(), self.parts
+        if low.isalpha():
+            return parts[low]
+        if low[:-1].isalpha() and low[-1] in ".,":
+            return parts[low[:-1]] + parts[low[-1]]
+        return b"".join([parts[part] for part in PARTS.findall(low)])
 
     def ids(self, text: str) -> np.ndarray:
+        for table in (self.words, self.parts):
+            if len(table) > CACHED_WORDS:
+                table.clear()
         words = GAPS.findall(text) if ODD_SPACE.search(text) else text.split()
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        try:
-            return np.frombuffer(b"".join([known[word] for word in words]), np.uint32)
-        except KeyError:
-            for word in words:
-                if word not in known:
-                    known[word] = self._word(word)
-            return np.frombuffer(b"".join([known[word] for word in words]), np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.uint32)
 
 
 class Packer:
