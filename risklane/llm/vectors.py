@@ -2,9 +2,10 @@
 
 1. Coarse centroids and the codebooks of ``PARTS`` subspaces are fitted on a bounded sample (``SAMPLE`` vectors). Every
    vector is indexed: its nearest list, one code per subspace for the residual, and the length of what the codes miss.
-2. A vector probes every list that can hold a partner: with unit vectors at most ``reach`` apart, a partner is nearer
-   to its own centroid than to the prober's, so the prober lies at most ``reach`` beyond the plane between the two. These
-   probes are sufficient: no partner is in a list that is not probed.
+2. A vector probes every list that is likely to hold a partner. A partner is nearer to its own centroid than to the
+   prober's, so the prober lies beyond the plane between the two by no more than what sets the two apart, taken across that
+   plane. Of a difference of length ``reach`` without preferred direction, that is reach / sqrt(dimensions) on average;
+   ``SPREADS`` times as much is probed (all of ``reach`` in few dimensions). Nothing else can lose a link.
 3. In a list, table look-ups give the distance from the prober to each coded vector. By the triangle inequality the
    real distance is less by at most what the codes miss; whatever cannot be near is dropped.
 4. The rest is decided by the cosine in double precision.
@@ -34,6 +35,8 @@ PARTS, CODES = 8, 256
 # Most members, and most probers, that meet in one task's block.
 MEMBERS, PROBERS = 2_048, 4_096
 STEPS = 8
+# Standard deviations across a plane that are probed. Missed are 3e-5 of links at the threshold, and fewer of closer ones.
+SPREADS = 4.0
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,8 +92,9 @@ class Index:
         return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
 
     def probes(self, points: np.ndarray, reach: float) -> np.ndarray:
-        """Which lists can hold a partner of which point."""
+        """Which lists are to be searched for partners of which point."""
         far = distances(points, self.lists)
+        reach *= min(1.0, SPREADS / points.shape[1] ** 0.5)
         own = far.argmin(1)
         return far - far[np.arange(len(points)), own][:, None] <= 2 * reach * self.between[own] + 1e-4
 

@@ -175,6 +175,22 @@ def test_near_vectors_of_the_table(spark, sf_dir):
     assert Counter(tuple(r) for r in queries.op5_near_vectors(spark, sf_dir).collect()) == brute_vectors(rows, len(rows[0][1]))
 
 
+def test_probes_find_the_links():
+    """Share of the links, near the threshold, whose list is probed; brute force over 64 dimensions."""
+    import pandas as pd
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((900, 64))
+    points = np.concatenate([centres, centres + rng.standard_normal(centres.shape) * 0.3])
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    sample = pd.DataFrame({"v": list(points), "_order": range(len(points)), "_n": len(points)})
+    index = vectors.Index(next(vectors.fit(iter([sample])))["index"][0])
+    number, _, _ = index.code(points.astype(np.float32))
+    probed = index.probes(points.astype(np.float32), math.sqrt(0.1))
+    a, b = np.nonzero(points @ points.T >= 0.95)
+    other = a != b
+    assert other.sum() > 500 and probed[a[other], number[b[other]]].mean() > 0.99
+
+
 def test_near_vectors_without_any(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert vectors.near_vectors(spark.createDataFrame([], schema)).collect() == []
