@@ -91,7 +91,7 @@ class Model(NamedTuple):
         for start in range(0, len(words), CHUNK):
             part = words[start:start + CHUNK + overlap]
             taps = np.concatenate([cache.responses(part), np.zeros((overlap, self.kernel.shape[1]), np.float32)])
-            best = np.maximum(best, greatest(taps, len(part), self.bias)[0])
+            best = np.maximum(best, greatest(taps, min(CHUNK, len(part)), self.bias)[0])
         return best
 
     def score(self, text: str | None, cache: Words) -> float:
