@@ -2,10 +2,10 @@
 
 1. Coarse centroids and the codebooks of ``PARTS`` subspaces are fitted on a bounded sample (``SAMPLE`` vectors). Every
    vector is indexed: its nearest list, one code per subspace for the residual, and the length of what the codes miss.
-2. A vector probes every list that is likely to hold a partner. A partner is nearer to its own centroid than to the
-   prober's, so the prober lies beyond the plane between the two by no more than what sets the two apart, taken across that
-   plane. Of a difference of length ``reach`` without preferred direction, that is reach / sqrt(dimensions) on average;
-   ``SPREADS`` times as much is probed (all of ``reach`` in few dimensions). Nothing else can lose a link.
+2. Two vectors at most ``reach`` apart in different lists lie on different sides of the plane between the two centroids,
+   and their distances from that plane add up to at most ``reach``. So one of them is within reach / 2 of the plane: every
+   vector probes the lists whose plane is that near, and of each link at least one end probes the list of the other. These
+   probes are sufficient, whatever the data. A link that only one end meets is counted there for both.
 3. In a list, table look-ups give the distance from the prober to each coded vector. By the triangle inequality the
    real distance is less by at most what the codes miss; whatever cannot be near is dropped.
 4. The rest is decided by the cosine in double precision.
@@ -35,8 +35,6 @@ PARTS, CODES = 8, 256
 # Most members, and most probers, that meet in one task's block.
 MEMBERS, PROBERS = 2_048, 4_096
 STEPS = 8
-# Standard deviations across a plane that are probed. Missed are 3e-5 of links at the threshold, and fewer of closer ones.
-SPREADS = 4.0
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,11 +90,10 @@ class Index:
         return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
 
     def probes(self, points: np.ndarray, reach: float) -> np.ndarray:
-        """Which lists are to be searched for partners of which point."""
+        """Which lists are to be searched for partners of which point: those with a plane at most reach / 2 away."""
         far = distances(points, self.lists)
-        reach *= min(1.0, SPREADS / points.shape[1] ** 0.5)
         own = far.argmin(1)
-        return far - far[np.arange(len(points)), own][:, None] <= 2 * reach * self.between[own] + 1e-4
+        return far - far[np.arange(len(points)), own][:, None] <= reach * self.between[own] + 1e-4
 
     def estimates(self, points: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
         """Distances from points to coded members of one list, by a table per point and subspace."""
@@ -118,13 +115,18 @@ def stacked(column: pd.Series) -> np.ndarray:
 
 
 def block(number: int, members: pd.DataFrame, probers: pd.DataFrame, index: Index, least: float) -> pd.DataFrame:
-    """Per prober its weight of partners in the block, and per node of a link the root it hangs on."""
+    """Per prober its weight of partners in the block, and per node of a link the root it hangs on.
+
+    A member that does not probe the prober's list gets its share of the link here too.
+    """
     reach = float(np.sqrt(2 - 2 * least))
     m, p = stacked(members["v"]), stacked(probers["point"])
     codes = np.stack([np.frombuffer(c, np.uint8) for c in members["codes"]])
     missed = members["missed"].to_numpy()
     m_ids, p_ids, weights = members["id"].to_numpy(), probers["own"].to_numpy(), members["weight"].to_numpy()
-    counts, pairs = np.zeros(len(p), np.int64), []
+    homes, p_weights = probers["home"].to_numpy(), probers["p_weight"].to_numpy()
+    asks = np.unpackbits(np.stack([np.frombuffer(a, np.uint8) for a in members["asks"]]), axis=1)
+    counts, back, pairs = np.zeros(len(p), np.int64), np.zeros(len(m), np.int64), []
     for start in range(0, len(p), 512):
         part = p[start:start + 512]
         near = index.estimates(part.astype(np.float32), number, codes) - missed[None, :] <= reach + 1e-3
@@ -134,11 +136,15 @@ def block(number: int, members: pd.DataFrame, probers: pd.DataFrame, index: Inde
         for at in range(0, len(rows), 1 << 16):
             r, c = rows[at:at + (1 << 16)], columns[at:at + (1 << 16)]
             linked = np.einsum("ij,ij->i", part[r], m[c]) >= least
-            np.add.at(counts, start + r[linked], weights[c[linked]])
-            pairs.append(np.stack([start + r[linked], c[linked]]))
+            r, c = start + r[linked], c[linked]
+            np.add.at(counts, r, weights[c])
+            alone = asks[c, homes[r]] == 0
+            np.add.at(back, c[alone], p_weights[r[alone]])
+            pairs.append(np.stack([r, c]))
     met = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-    has = np.flatnonzero(counts)
-    links = pd.DataFrame({"id": p_ids[has], "links": counts[has], "root": p_ids[has]})
+    ids, sums = np.concatenate([p_ids, m_ids]), np.concatenate([counts, back])
+    has = np.flatnonzero(sums)
+    links = pd.DataFrame({"id": ids[has], "links": sums[has], "root": ids[has]})
     return pd.concat([links, trees(p_ids[met[0]], m_ids[met[1]]).assign(links=0)], ignore_index=True)
 
 
@@ -198,9 +204,10 @@ def _links(classes: DataFrame, held, least: float) -> DataFrame:
             probed = index.probes(points, reach)
             yield pd.DataFrame({"id": batch["id"], "weight": batch["weight"], "v": batch["v"], "list": number,
                                 "codes": [c.tobytes() for c in codes], "missed": missed,
+                                "asks": [row.tobytes() for row in np.packbits(probed, axis=1)],
                                 "probes": [np.flatnonzero(row).tolist() for row in probed]})
 
-    schema = "id bigint, weight bigint, v array<float>, list int, codes binary, missed double, probes array<int>"
+    schema = "id bigint, weight bigint, v array<float>, list int, codes binary, missed double, asks binary, probes array<int>"
     indexed = stage(classes.select("id", "weight", "v").mapInPandas(coded, schema), "coded")
     members = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("members"))
     asked = indexed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("probers"))
@@ -210,11 +217,12 @@ def _links(classes: DataFrame, held, least: float) -> DataFrame:
         F.ceil(F.col("probers") / PROBERS).cast("int").alias("p_blocks")), "lists"))
     left = indexed.drop("probes").join(sizes, "list").select(
         "list", F.pmod("id", "m_blocks").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("p"),
-        "id", "weight", "v", "codes", "missed")
-    right = indexed.select(F.col("id").alias("own"), F.col("v").alias("point"), F.explode("probes").alias("list")) \
+        "id", "weight", "v", "codes", "missed", "asks")
+    right = indexed.select(F.col("id").alias("own"), F.col("weight").alias("p_weight"), F.col("list").alias("home"),
+                           F.col("v").alias("point"), F.explode("probes").alias("list")) \
         .join(sizes, "list").select(
             "list", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m"),
-            F.pmod("own", "p_blocks").cast("int").alias("p"), "own", "point")
+            F.pmod("own", "p_blocks").cast("int").alias("p"), "own", "p_weight", "home", "point")
     state = {}
 
     def meet(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:

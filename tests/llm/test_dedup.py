@@ -191,6 +191,33 @@ def test_probes_find_the_links():
     assert other.sum() > 500 and probed[a[other], number[b[other]]].mean() > 0.99
 
 
+def narrow_rows(seed, count, size, effective):
+    """Vectors whose spread, and that of their near copies, lies in a few directions of many."""
+    rng = np.random.default_rng(seed)
+    spread = np.zeros(size)
+    spread[:effective] = 1
+    spread[effective:] = 0.02
+    points = rng.standard_normal((count, size)) * spread
+    return np.concatenate([points, points + rng.standard_normal(points.shape) * spread * 0.25]).astype(np.float32)
+
+
+@pytest.mark.parametrize("size, effective", [(384, 10), (768, 10)])
+def test_near_vectors_of_low_effective_dimension(spark, size, effective):
+    points = narrow_rows(8, 800, size, effective)
+    units = points.astype(float) / np.linalg.norm(points.astype(float), axis=1)[:, None]
+    near = units @ units.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r for r in vectors.near_vectors(df.repartition(3)).collect()}
+    assert [got[i].n_links for i in range(len(points))] == near.sum(axis=1).tolist()
+    roots = roots_of(len(points), list(zip(*np.nonzero(near))))
+    least = {}
+    for i, root in enumerate(roots[i] for i in range(len(points))):
+        least.setdefault(root, i)
+    assert [got[i].component_id for i in range(len(points))] == [least[roots[i]] for i in range(len(points))]
+
+
 def test_near_vectors_without_any(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert vectors.near_vectors(spark.createDataFrame([], schema)).collect() == []
