@@ -19,15 +19,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from risklane.llm.common import spare_name, stage
+from risklane.operators.ordered import small
 
 # Most labelled documents of either class that a model is fitted on, and most words of theirs.
 SAMPLE_DOCS = 3_000
 SAMPLE_WORDS = 4_000_000
-# Of the sample, one in so many calibrates thresholds and is not fitted on.
+# Of the sample, one in so many is not fitted on. With all labelled rows outside the sample it calibrates thresholds.
 CALIBRATE = 5
+# Score bins that thresholds are chosen from, and calibrating rows of either class that a language of its own needs.
+BINS, LEAST_ROWS = 4_096, 20
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 EPOCHS, BATCH_DOCS, RATE = 8, 128, 0.02
 # Sampled documents that a bucket must be met in to be learned; what fewer hold tells one text from another, not a class.
@@ -214,53 +217,50 @@ def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(embeddings, kernel, bias, weights, float(offset[0]))
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Midway between neighbouring scores where F1 is greatest; nearest to 0.5 among ties; 0.5 without both classes."""
-    if len(set(labels.tolist())) < 2:
+def best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """Midway between neighbouring bins with rows where F1 is greatest; nearest to 0.5 among ties; 0.5 without both classes.
+
+    Both inputs hold the (weighted) rows of a class per score bin.
+    """
+    if not clean.any() or not toxic.any():
         return 0.5
-    cuts = np.unique(scores)
-    options = np.concatenate([[0.5], (cuts[1:] + cuts[:-1]) / 2])
-    options = options[np.argsort(np.abs(options - 0.5), kind="stable")]
-    f1 = [2 * ((scores >= c) & (labels == 1)).sum() / max(1, (scores >= c).sum() + (labels == 1).sum()) for c in options]
-    return float(options[int(np.argmax(f1))])
+    taken = np.flatnonzero(clean + toxic)
+    options = np.concatenate([[BINS // 2], (taken[1:] + taken[:-1] + 1) // 2])
+    options = options[np.argsort(np.abs(options - BINS // 2), kind="stable")]
+    hits, flagged = (np.append(np.cumsum(of[::-1])[::-1], 0)[options] for of in (toxic, clean + toxic))
+    return float(options[int(np.argmax(np.round(2 * hits / (flagged + toxic.sum()), 12)))] / BINS)
 
 
 def train(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One task over the bounded sample: fit, calibrate, and hand out the model as bytes."""
-    texts, labels, langs, words = [], [], [], 0
+    """One task over the bounded sample: fit, and hand out the model as bytes and the rows it was fitted on."""
+    texts, labels, orders, words = [], [], [], 0
     sample = pd.concat([part for part in rows], ignore_index=True)
     sample = sample.sort_values(["_order", "_toxic", "_text"], kind="stable", ignore_index=True)
-    for text, label, lang in zip(sample["_text"], sample["_toxic"], sample["_lang"]):
+    for text, label, order in zip(sample["_text"], sample["_toxic"], sample["_order"]):
         found = LETTERS.findall((text or "").lower())
         if words + len(found) > SAMPLE_WORDS and texts:
             continue
         words += len(found)
         texts.append(found)
         labels.append(int(label))
-        langs.append(lang)
+        orders.append(int(order))
     marks = np.array(labels)
     fitted = np.arange(len(texts)) % CALIBRATE != CALIBRATE - 1
     model = fit([t for t, f in zip(texts, fitted) if f], marks[fitted])
-    cache = Words(model)
-    held = np.flatnonzero(~fitted)
-    scores = np.array([float(1 / (1 + np.exp(-np.clip(model.pooled(texts[i], cache) @ model.weights + model.offset, -30, 30))))
-                       for i in held])
-    levels = {}
-    for lang in sorted({langs[i] for i in held if langs[i] is not None}):
-        of = np.array([langs[i] == lang for i in held])
-        levels[lang] = best_threshold(scores[of], marks[held][of])
     out = io.BytesIO()
     np.savez(out, embeddings=model.embeddings.astype(np.float16), kernel=model.kernel, bias=model.bias,
-             weights=model.weights, offset=model.offset, langs=np.array(list(levels), dtype=str),
-             levels=np.array(list(levels.values())))
-    yield pd.DataFrame({"model": [out.getvalue()]})
+             weights=model.weights, offset=model.offset)
+    yield pd.DataFrame({"model": [out.getvalue()], "fitted": [[o for o, f in zip(orders, fitted) if f]]})
 
 
-def load(blob: bytes) -> tuple[Model, dict[str, float]]:
+def load(blob: bytes) -> tuple[Model, dict[str, float], float]:
+    """The model, the thresholds of languages, and the one of all others; 0.5 before any are set."""
     with np.load(io.BytesIO(blob), allow_pickle=False) as held:
         model = Model(held["embeddings"].astype(np.float32), held["kernel"], held["bias"], held["weights"],
                       float(held["offset"]))
-        return model, dict(zip(held["langs"].tolist(), held["levels"].tolist()))
+        if "pooled" not in held.files:
+            return model, {}, 0.5
+        return model, dict(zip(held["langs"].tolist(), held["levels"].tolist())), float(held["pooled"])
 
 
 def held_out(ident: Column) -> Column:
@@ -270,40 +270,79 @@ def held_out(ident: Column) -> Column:
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lang_col: str = "lang", per_class: int = SAMPLE_DOCS) -> bytes | None:
-    """A model from at most ``per_class`` labelled rows of each class, in hash order of the id; None without labels."""
-    usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")) \
+    """A model from at most ``per_class`` labelled rows of each class, in hash order of the id; None without labels.
+
+    Its thresholds come from every labelled row that it was not fitted on.
+    """
+    usable = stage(labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")) \
         .filter(F.col("_toxic").isin(0, 1) & ~held_out(F.col("_id"))).dropDuplicates(["_id"]) \
-        .withColumn("_order", F.xxhash64(F.col("_id")))
+        .withColumn("_order", F.xxhash64(F.col("_id"))), "labelled")
     picked = stage(usable.filter("_toxic = 1").orderBy("_order", "_id").limit(per_class).unionByName(
         usable.filter("_toxic = 0").orderBy("_order", "_id").limit(per_class)), "sampled")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")) \
-        .join(F.broadcast(picked), "_id").dropDuplicates(["_id"])
-    made = stage(stage(rows, "texts").repartition(1).mapInPandas(train, "model binary") if not picked.isEmpty() else
-                 docs.sparkSession.createDataFrame([], "model binary"), "model").first()
-    return made["model"] if made else None
+    thin = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    rows = thin.drop("_lang").join(F.broadcast(picked), "_id").dropDuplicates(["_id"])
+    schema = "model binary, fitted array<bigint>"
+    made = stage(stage(rows, "texts").repartition(1).mapInPandas(train, schema) if not picked.isEmpty() else
+                 docs.sparkSession.createDataFrame([], schema), "model").first()
+    return calibrated(made["model"], thin, usable, made["fitted"]) if made else None
 
 
-def scored(df: DataFrame, blob: bytes | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of ``df`` with _score, _threshold, _flagged in front of none of them (names in use get an underscore).
+def calibrated(blob: bytes, docs: DataFrame, usable: DataFrame, fitted: list[int]) -> bytes:
+    """``blob`` with a threshold for every language, from counts of (language, label, score bin).
 
-    A null or empty text has no words; its score is what the bias terms give. Without a model every score is 0.
+    The fit takes more of one class than of the other, so what it leaves is weighted up, by language and label, to all
+    labelled rows: the cut is made at the prevalence that the corpus has.
     """
-    score, level, flag = (spare_name(df, name) for name in ("_score", "_threshold", "_flagged"))
-    if blob is None:
-        return df.withColumns({score: F.lit(0.0), level: F.lit(0.5), flag: F.lit(False)})
-    held = df.sparkSession.sparkContext.broadcast(blob)
-    levels = load(blob)[1]
+    spark = docs.sparkSession
+    seen = spark.createDataFrame([(o,) for o in fitted], "_order bigint")
+    bounded = F.broadcast if small(usable) else (lambda df: df)
+    every = docs.select("_id", "_lang").join(bounded(usable.select("_id", "_toxic")), "_id").groupBy("_lang", "_toxic").count()
+    totals = {(r["_lang"], r["_toxic"]): r["count"] for r in every.collect()}
+    left = usable.join(F.broadcast(seen), "_order", "left_anti").select("_id", "_toxic")
+    scores = docs.join(bounded(left), "_id").select("_lang", "_toxic", scorer(spark, blob)(F.col("_text")).alias("_score"))
+    bins = F.least(F.floor(F.col("_score") * BINS), F.lit(BINS - 1)).cast("int")
+    met: dict = {}
+    for row in scores.groupBy("_lang", "_toxic", bins.alias("bin")).count().collect():
+        met.setdefault(row["_lang"], np.zeros((2, BINS)))[row["_toxic"], row["bin"]] += row["count"]
+    pooled, levels = np.zeros((2, BINS)), {}
+    for lang, counts in met.items():
+        natural = counts * [[totals[lang, label] / max(1.0, counts[label].sum())] if counts[label].any() else [0.0] for label in (0, 1)]
+        pooled += natural
+        if lang is not None and counts.sum(axis=1).min() >= LEAST_ROWS:
+            levels[lang] = best_cut(*natural)
+    with np.load(io.BytesIO(blob), allow_pickle=False) as held:
+        out = io.BytesIO()
+        np.savez(out, **{name: held[name] for name in held.files}, langs=np.array(list(levels), dtype=str),
+                 levels=np.array(list(levels.values()), dtype=float), pooled=best_cut(*pooled))
+    return out.getvalue()
+
+
+def scorer(spark: SparkSession, blob: bytes):
+    """The score of a text as a column function."""
+    held = spark.sparkContext.broadcast(blob)
 
     @F.pandas_udf("double")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, _ = load(held.value)
+        model = load(held.value)[0]
         cache = Words(model)
         for texts in batches:
             yield pd.Series([model.score(text, cache) for text in texts], dtype="float64")
 
+    return toxic
+
+
+def scored(df: DataFrame, blob: bytes | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All columns of ``df`` with _score, _threshold, _flagged in front of none of them (names in use get an underscore).
+
+    A null or empty text has no words; its score is what the bias terms give. Without a model every score is 0.
+    """
+    score, level, flag = (spare_name(df, name) for name in ("_score", "_threshold", "_flagged"))
+    if blob is None:
+        return df.withColumns({score: F.lit(0.0), level: F.lit(0.5), flag: F.lit(False)})
+    _, levels, pooled = load(blob)
     bound = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(cut)) for lang, cut in sorted(levels.items())],
-                       F.lit(0.5))
-    return df.withColumn(score, toxic(F.col(text_col))).withColumn(level, bound) \
+                       F.lit(pooled))
+    return df.withColumn(score, scorer(df.sparkSession, blob)(F.col(text_col))).withColumn(level, bound) \
         .withColumn(flag, F.col(score) >= F.col(level))
 
 

@@ -240,6 +240,28 @@ def test_toxicity_scores_ignore_all_but_the_text(spark):
     assert toxicity.clean_rows(other, blob).columns == other.columns
 
 
+def test_toxicity_cuts_at_the_natural_prevalence(spark):
+    """A word met in toxic texts now and then flags no text, however few clean rows the fit may take."""
+    rng = np.random.default_rng(3)
+    plain = ["bado", "kilu", "mera", "domelu", "raki", "luba", "kido", "rame"]
+    kinds = [("crimson", 1)] * 260 + [("grizzle", 1)] * 100 + [("grizzle", 0)] * 500 + [("", 0)] * 2400
+    rows = [(i, " ".join([*rng.choice(plain, 6), word]), "en", label) for i, (word, label) in enumerate(kinds)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, toxic int")
+    got = toxicity.scored(docs, toxicity.learned(docs, labels, per_class=290)).collect()
+    flagged = {word: np.mean([r._flagged for r in got if word in r.text]) for word in ("crimson", "grizzle")}
+    assert flagged["crimson"] > 0.95 and flagged["grizzle"] < 0.2
+
+
+def test_toxicity_cut_falls_back_to_all_languages():
+    counts = np.zeros((2, toxicity.BINS))
+    assert toxicity.best_cut(*counts) == 0.5
+    counts[0, 100], counts[0, 900], counts[1, 900], counts[1, 3000] = 50, 9, 2, 10
+    assert toxicity.best_cut(*counts) == 0.5
+    counts[1, 900] = 30
+    assert 100 < toxicity.best_cut(*counts) * toxicity.BINS <= 900
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "en")], "doc_id bigint, text string, lang string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
