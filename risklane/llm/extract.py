@@ -3,8 +3,9 @@
 The standard library's parser streams a page as events; lines end at block tags. Each line has its text and its number
 of tags; their ratio, smoothed by a Gaussian over the neighbouring lines, is split into two clusters by a threshold
 (Weninger and Hsu, "Text Extraction from the Web via Text-to-Tag Ratio"). The lines above the threshold choose the
-region: the container that holds most of their text. All lines of the region are given, short ones too, but for those inside
-elements that are no part of an article by their name, role or class.
+region: the article or main element that holds most of their text, or else the innermost container of them all. All lines of
+the region are given, short ones too, but for those inside elements that are no part of an article by their name, role or
+class, and, where no element names the region, lines below the threshold that are mostly links.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ HEADS = {"header", "masthead"}
 NOT_ARTICLES = {"comment", "comments", "reply", "replies", "teaser", "related", "promo", "ad", "ads", "advert", "sponsored"}
 # Spread of the Gaussian, in lines.
 SIGMA = 1.0
-# A container goes on to one of its own containers while that one holds this share of the content text.
-SHARE = 0.9
+# Clusters whose means are nearer than by a factor of two are one: a page of nothing but its article.
+APART = float(np.log(2))
 UNFINISHED = re.compile(r"<[!?/a-zA-Z]")
 PIECES = re.compile(r"[^a-z0-9]+")
 
@@ -166,7 +167,7 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """Middle between the means of two clusters (one-dimensional 2-means from the extremes)."""
+    """Middle between the means of two clusters (one-dimensional 2-means from the extremes); the least value if they are one."""
     low, high = float(values.min()), float(values.max())
     for _ in range(50):
         cut = (low + high) / 2
@@ -177,7 +178,12 @@ def threshold(values: np.ndarray) -> float:
         if means == (low, high):
             break
         low, high = means
-    return (low + high) / 2
+    return (low + high) / 2 if high - low >= APART else float(values.min())
+
+
+def shared(lines: list[Line]) -> int:
+    """The innermost container of all the lines."""
+    return [step[0] for step in zip(*(line.path for line in lines)) if len(set(step)) == 1][-1]
 
 
 def main_text(html: str | None) -> str:
@@ -202,14 +208,9 @@ def main_text(html: str | None) -> str:
     if stories:
         region = max(stories, key=lambda n: (weight[n], -n))
         return "\n".join(line.text for line in own if region in line.path)
-    region = 0
-    while True:
-        inner = {line.path[line.path.index(region) + 1] for line in own if region in line.path and line.path[-1] != region}
-        best = max(inner, key=lambda n: (weight[n], -n), default=None)
-        if best is None or weight[best] < SHARE * weight[region]:
-            break
-        region = best
-    return "\n".join(line.text for line in own if region in line.path and 2 * line.linked <= len(line.text))
+    region = shared([line for line, value in zip(lines, values) if not line.barred and value >= cut] or own)
+    return "\n".join(line.text for line, value in zip(lines, values)
+                     if not line.barred and region in line.path and not (2 * line.linked > len(line.text) and value < cut))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

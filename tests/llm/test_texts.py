@@ -30,6 +30,26 @@ def test_extract_without_article():
     assert extract.main_text(html) == "\n".join(["Title", long.strip(), long.strip()])
 
 
+PARAGRAPH = "Plain words that make a paragraph of some length here, told without any link in it, number {0}. " * 2
+
+
+def test_extract_keeps_content_beside_the_largest_container():
+    lead, last = PARAGRAPH.format("one"), PARAGRAPH.format("last")
+    inner = [PARAGRAPH.format(i) for i in range(30)]
+    html = (f"<body><div><p>{lead}</p><div>" + "".join(f"<p>{p}</p>" for p in inner) + f"</div><section><p>{last}</p></section></div></body>")
+    assert extract.main_text(html).split("\n") == [p.strip() for p in [lead, *inner, last]]
+
+
+def test_extract_keeps_linked_lines_among_the_content():
+    texts = [PARAGRAPH.format(i).strip() for i in range(6)]
+    cited = f"See <a href=1>{texts[3][:100]}</a> {texts[3][100:150]}"
+    html = "<body><div>" + "".join(f"<p>{p}</p>" for p in [*texts[:3], cited, *texts[4:]]) + \
+        "</div><div>" + "".join(f"<p><a href=/{i}>Link {i}</a></p>" for i in range(8)) + "</div></body>"
+    got = extract.main_text(html).split("\n")
+    assert got[:6] == [*texts[:3], f"See {texts[3][:100]} {texts[3][100:150]}".replace("  ", " "), *texts[4:]]
+    assert "Link 5" not in got
+
+
 @pytest.mark.parametrize("html", [None, "", "<html></html>", "<nav>only</nav>", "<script>x", "<!-- open", "<", "<p"])
 def test_extract_nothing(html):
     assert extract.main_text(html) == ("<" if html == "<" else "")
