@@ -3,9 +3,10 @@
 The standard library's parser streams a page as events; lines end at block tags. Each line has its text and its number
 of tags; their ratio, smoothed by a Gaussian over the neighbouring lines, is split into two clusters by a threshold
 (Weninger and Hsu, "Text Extraction from the Web via Text-to-Tag Ratio"). The lines above the threshold choose the
-region: the article or main element that holds most of their text, or else the innermost container of them all. All lines of
-the region are given, short ones too, but for those inside elements that are no part of an article by their name, role or
-class, and, where no element names the region, lines below the threshold that are mostly links.
+regions: every article element that holds some, a main element whole if it holds some outside its articles, and the innermost
+container of those in neither. All lines of the regions are given in page order, short ones too, but for those inside elements
+that are no part of an article by their name, role or class, and, where no element names the region, lines below the threshold
+that are mostly links.
 """
 
 from __future__ import annotations
@@ -198,19 +199,34 @@ def main_text(html: str | None) -> str:
                        for line in lines])
     values = smoothed(np.log1p(ratios))
     cut = threshold(values)
-    weight: dict[int, float] = {}
-    for line, value in zip(lines, values):
-        if not line.barred:
-            for number in line.path:
-                # A thousandth for lines below the threshold: they decide only where there are no others.
-                weight[number] = weight.get(number, 0.0) + len(line.text) * (1.0 if value >= cut else 0.001)
-    stories = [n for n in weight if reader.names[n] == "article"] or [n for n in weight if reader.names[n] == "main"]
+    content = [line for line, value in zip(lines, values) if not line.barred and value >= cut] or own
+    # What the neighbours alone lift over the threshold is no content beside an article.
+    held = set(content)
+    core = [line for line, high in zip(lines, np.log1p(ratios) >= cut) if high and line in held]
+
+    def named(line: Line, also: set[int]) -> int | None:
+        return next((n for n in line.path if reader.names[n] == "article" or n in also), None)
+
+    mains = {n for line in core if named(line, set()) is None for n in line.path if reader.names[n] == "main"}
+    stories = {named(line, mains) for line in content} - {None}
     if stories:
-        region = max(stories, key=lambda n: (weight[n], -n))
-        return "\n".join(line.text for line in own if region in line.path)
-    region = shared([line for line, value in zip(lines, values) if not line.barred and value >= cut] or own)
-    return "\n".join(line.text for line, value in zip(lines, values)
-                     if not line.barred and region in line.path and not (2 * line.linked > len(line.text) and value < cut))
+        around = {n for line in own if named(line, mains) in stories for n in line.path}
+        groups: dict[int | None, list[Line]] = {}
+        for line in core:
+            if named(line, mains) is None:
+                groups.setdefault(next((n for n in line.path if n not in around), None), []).append(line)
+        alone = set(groups.pop(None, []))
+        regions = {shared(group) for group in groups.values()}
+    else:
+        alone, regions = set(), {shared(content)}
+
+    def given(line: Line, value: float) -> bool:
+        if line.barred:
+            return False
+        return named(line, mains) in stories or line in alone or \
+            not regions.isdisjoint(line.path) and not (2 * line.linked > len(line.text) and value < cut)
+
+    return "\n".join(line.text for line, value in zip(lines, values) if given(line, value))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -40,6 +40,25 @@ def test_extract_keeps_content_beside_the_largest_container():
     assert extract.main_text(html).split("\n") == [p.strip() for p in [lead, *inner, last]]
 
 
+@pytest.mark.parametrize("frame", [
+    "<article>{}</article><article>{}</article><div class=menu>x</div><article>{}</article>",     # split over siblings
+    "<main>{}<article>{}</article>{}</main>",       # a card inside the main text
+    "<main><article>{}</article><div>{}</div></main><div>{}</div>",
+    "<div><div>{}</div><article>{}</article></div>{}",      # a lead and an end beside the article
+])
+def test_extract_gives_every_region_with_content(frame):
+    texts = [PARAGRAPH.format(i).strip() for i in range(3)]
+    small = [f"<p><a href=/{i}>{i}</a></p>" for i in range(8)]
+    html = "<body><div>" + "".join(small) + "</div>" + frame.format(*(f"<p>{t}</p><p>{t} More.</p>" for t in texts)) + "</body>"
+    assert extract.main_text(html).split("\n") == [line for t in texts for line in (t, f"{t} More.")]
+
+
+def test_extract_article_without_content_does_not_win():
+    texts = [PARAGRAPH.format(i).strip() for i in range(5)]
+    html = "<body><div>" + "".join(f"<p>{t}</p>" for t in texts) + "</div>" + "<br>x<br>y<br>z<article><p>Card</p></article></body>"
+    assert extract.main_text(html).split("\n")[:5] == texts
+
+
 def test_extract_keeps_linked_lines_among_the_content():
     texts = [PARAGRAPH.format(i).strip() for i in range(6)]
     cited = f"See <a href=1>{texts[3][:100]}</a> {texts[3][100:150]}"
