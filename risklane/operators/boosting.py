@@ -23,12 +23,12 @@ def assemble(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ("Transa
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(df).select(*keep, "features")
 
 
-def fit(train: DataFrame, val: DataFrame, rounds: int = ROUNDS, seed: int = 42, tolerance: float = 0.01,
+def fit(train: DataFrame, val: DataFrame, rounds: int = ROUNDS, seed: int = 42, tolerance: float = 0.0,
         column_share: float = COLUMN_SHARE, least_gain: float = 0.0) -> GBTClassificationModel:
     """Both inputs have ``features`` and ``isFraud``.
 
     Stops at the first round that lowers the validation loss by less than ``tolerance`` of it (the library's rule;
-    0 stops at the first round that is worse). Columns are drawn for each node.
+    0, the default, stops at the first round that is worse). Columns are drawn for each node.
     """
     rows = train.select("isFraud", "features", F.lit(False).alias("_val")).unionByName(
         val.select("isFraud", "features", F.lit(True).alias("_val")))

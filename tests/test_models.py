@@ -24,6 +24,17 @@ def booster(rows):
     return B.fit(rows.filter("TransactionID % 4 > 0"), rows.filter("TransactionID % 4 = 0"), rounds=12)
 
 
+def test_fit_goes_on_through_small_gains(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random(800)
+    y = (rng.random(800) < 0.4 + 0.2 * (x > 0.5)).astype(int)
+    df = spark.createDataFrame([(i, int(b), [float(a)]) for i, (a, b) in enumerate(zip(x, y))],
+                               "TransactionID long, isFraud int, x array<double>")
+    df = df.select("TransactionID", "isFraud", array_to_vector("x").alias("features")).cache()
+    parts = df.filter("TransactionID % 4 > 0"), df.filter("TransactionID % 4 = 0")
+    assert B.fit(*parts, rounds=15).getNumTrees > B.fit(*parts, rounds=15, tolerance=0.01).getNumTrees
+
+
 def test_attributions_add_up(rows, booster):
     margins = {r["TransactionID"]: 2 * r["rawPrediction"][1] for r in booster.transform(rows).collect()}
     parts = B.attribute(booster, rows).collect()
