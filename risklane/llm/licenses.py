@@ -203,19 +203,23 @@ class Scanner:
         spans = [s for s in self.spans(self.matches(found)) if s[3] > 0]
         covered = [s for s in spans if s[3] >= COVERED]
         base = {label for _, label in places}
-        best = {}
-        for template, first, stop, share in covered:
-            if share > best.get(template, (0, 0, 0.0))[2]:
-                best[template] = (first, stop, share)
+        given = []
+        taken = {}      # per template the spans given so far, which do not overlap, by their first words
+        for template, first, stop, share in sorted(covered, key=lambda s: (-s[3], s[1])):
+            held = taken.setdefault(template, [])
+            at = bisect.bisect(held, (first, stop))
+            if (at == 0 or held[at - 1][1] <= first) and (at == len(held) or held[at][0] >= stop):
+                held.insert(at, (first, stop))
+                given.append((first, template, stop, share))
         return {
             "n_words": len(words), "n_base": len(places),
             "first_word": min((at for at, _ in places), default=None),
             "last_word": max((at for at, _ in places), default=None),
             "base_labels": ",".join(sorted(base)),
-            "labels": ",".join(sorted(base | {self.labels[t] for t in best})),
+            "labels": ",".join(sorted(base | {self.labels[t] for t in taken})),
             "score": 1.0 if base else max((s[3] for s in spans), default=0.0),
             "spans": [{"label": self.labels[t], "first_word": f, "stop_word": s, "covered": c}
-                      for t, (f, s, c) in sorted(best.items())],
+                      for f, t, s, c in sorted(given)],
         }
 
 
@@ -226,8 +230,8 @@ SCHEMA = ("doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``, repeated rows included.
 
-    A null text counts as empty: no words, no labels (empty strings), null places, score 0. ``spans`` holds the best
-    covered span of each template that is met. Other columns of ``df`` are ignored.
+    A null text counts as empty: no words, no labels (empty strings), null places, score 0. ``spans`` holds the
+    covered spans of each template, the best first chosen and none overlapping another of its template, by first word. Other columns of ``df`` are ignored.
     """
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner()

@@ -155,6 +155,14 @@ def test_license_method():
     assert (empty["n_words"], empty["labels"], empty["score"], empty["first_word"]) == (0, "", 0.0, None)
 
 
+def test_license_spans_of_every_copy():
+    isc = dict(licenses.TEMPLATES)["isc"].split()
+    text = " ".join(["intro", *isc, *["between"] * 40, *isc, *["more"] * 40, *isc])
+    n = len(isc)
+    assert licenses.Scanner().scan(text)["spans"] == [
+        {"label": "isc", "first_word": at, "stop_word": at + n, "covered": 1.0} for at in (1, 41 + n, 81 + 2 * n)]
+
+
 def test_license_odd_rows(spark):
     schema = "doc_id bigint, text string, labels string, score string"
     df = spark.createDataFrame([(1, None, "x", "y"), (None, "CC BY-NC " * 5000, None, None), (1, None, "x", "y")], schema)
