@@ -100,3 +100,46 @@ SELECT record_id, key AS canonical_url, "at", outcome, CASE WHEN outcome = 'reso
     'age: 5' || chr(10) || 'cache-control: max-age=90' || chr(10) || 'content-length: ' || s.size || chr(10) || 'etag: '
     || coalesce(tag, s.tag) || chr(10) || 'last-modified: ' || coalesce(day, s.day) END AS headers
 FROM o"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    bits = f"list_transform(range(8 * strlen({text})), lambda i: CASE WHEN i % 8 = 0 THEN ascii(({text})[i // 8 + 1]) ELSE 0 END::BIGINT)"
+    step = "xor(xor(c, b) >> 1, CASE WHEN xor(c, b) % 2 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+def merkle_sql() -> str:
+    """Level by level: a tree of one source after the other, the tree over their subroots, and every way up."""
+    def leaf(text: str) -> str:
+        fields = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(fields)})"
+
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, source, {leaf('text')} AS leaf,
+  {leaf(f"(CASE WHEN {crc32('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS now FROM documents),
+o AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, count(*) OVER (PARTITION BY source) AS n,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+t(tree, level, pos, n, hash) AS (SELECT tree, 0, pos, n, leaf FROM o UNION ALL
+  SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+s AS (SELECT tree, tree - 1 AS pos, count(*) OVER () AS n, hash FROM t WHERE n = 1),
+u(level, pos, n, hash) AS (SELECT 1000, pos, n, hash FROM s UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 3, n),
+w AS (SELECT tree, level, pos, n, hash, pos // 3 AS run FROM t WHERE n > 1),
+v AS (SELECT level, pos, n, hash, pos // 3 AS run FROM u WHERE n > 1),
+ways AS (SELECT o.k, w.level, string_agg(w.hash, '' ORDER BY w.pos) FILTER (WHERE w.pos < me.pos) AS before,
+    string_agg(w.hash, '' ORDER BY w.pos) FILTER (WHERE w.pos > me.pos) AS after
+  FROM o JOIN w me ON me.tree = o.tree AND me.pos = o.pos // (3 ** me.level)::BIGINT
+  JOIN w ON w.tree = me.tree AND w.level = me.level AND w.run = me.run GROUP BY o.k, w.level
+  UNION ALL SELECT o.k, v.level, string_agg(v.hash, '' ORDER BY v.pos) FILTER (WHERE v.pos < me.pos),
+    string_agg(v.hash, '' ORDER BY v.pos) FILTER (WHERE v.pos > me.pos)
+  FROM o JOIN v me ON me.pos = (o.tree - 1) // (3 ** (me.level - 1000))::BIGINT
+  JOIN v ON v.level = me.level AND v.run = me.run GROUP BY o.k, v.level),
+steps AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY level) AS step, coalesce(before, '') AS before, coalesce(after, '') AS after FROM ways),
+f(k, step, hash) AS (SELECT k, 0, now FROM o UNION ALL
+  SELECT f.k, f.step + 1, sha256(before || hash || after) FROM f JOIN steps ON steps.k = f.k AND steps.step = f.step + 1),
+back AS (SELECT k, arg_max(hash, step) AS folded_root FROM f GROUP BY k),
+p AS (SELECT k, string_agg(before || after, '' ORDER BY step) AS proof FROM steps GROUP BY k)
+SELECT doc_id, leaf, s.hash AS subroot, r.hash AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+  folded_root = r.hash AS verified
+FROM o JOIN s USING (tree) JOIN (SELECT hash FROM u WHERE n = 1) r ON true JOIN back USING (k) LEFT JOIN p USING (k)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklane.llm import extract, licenses, mixing, neardup, oracles, packing, quality, revisits, shards, toxicity, vectors
+from risklane.llm import extract, licenses, merkle, mixing, neardup, oracles, packing, quality, revisits, shards, toxicity, vectors
 from risklane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,10 +58,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.audit(docs, merkle.without_line_ends(docs))
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_revisits": oracles.REVISITS, "op3_quality_rules": oracles.quality_sql(),
-            "op5_near_vectors": oracles.NEAR_VECTORS, "op6_near_duplicates": oracles.NEAR_DUPLICATES}
+            "op5_near_vectors": oracles.NEAR_VECTORS, "op6_near_duplicates": oracles.NEAR_DUPLICATES,
+            "op11_merkle_manifest": oracles.merkle_sql()}
