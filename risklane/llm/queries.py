@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklane.llm import extract, licenses, merkle, mixing, neardup, oracles, packing, quality, revisits, shards, toxicity, vectors
+from risklane.llm import extract, licenses, merkle, mixing, neardup, oracles, packing, periods, quality, revisits, shards, toxicity, vectors
 from risklane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(docs, merkle.without_line_ends(docs))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periods.digests(periods.find(docs, periods.planted(docs)))
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
