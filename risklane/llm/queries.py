@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklane.llm import extract, licenses, merkle, mixing, neardup, oracles, packing, periods, quality, revisits, shards, toxicity, vectors
+from risklane.llm import binpacking, extract, licenses, merkle, mixing, neardup, oracles, packing, periods, quality, revisits, shards, toxicity, vectors
 from risklane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.find(docs, periods.planted(docs)))
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpacking.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
