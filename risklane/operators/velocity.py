@@ -13,26 +13,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from risklane.functions.clock import DAY, HOUR, WEEK, bucket
 from risklane.operators.ordered import TASK_ROWS, hot_keys, range_scan, running_sums, split_hot, window_sums
-from risklane.operators.skew import attach, lookup
+from risklane.operators.skew import attach
 
 KEY = ["TransactionID", "card1", "TransactionDT"]
 HORIZONS = {"1h": HOUR, "24h": DAY, "7d": WEEK}
 EXACT = "decimal(38,0)"
 
 
-def card_totals(df: DataFrame) -> DataFrame:
-    """Number, sum and sum of squares of the amounts of each card."""
-    return df.groupBy("card1").agg(
-        F.count(F.lit(1)).alias("old_n"), F.sum("cents").alias("old_sum"),
-        F.sum(_square(F.col("cents"))).cast(EXACT).alias("old_squares"))
-
-
-def exact_velocity(df: DataFrame, keep: Sequence[str] = (), limit: int = TASK_ROWS,
-                   earlier: DataFrame | None = None) -> DataFrame:
+def exact_velocity(df: DataFrame, keep: Sequence[str] = (), limit: int = TASK_ROWS) -> DataFrame:
     """Prior count and spend in the last hour, day and week, all prior payments, and the z-score.
 
     "Prior" means earlier in (time, id) order; a window reaches back h seconds, both ends included.
-    ``earlier`` holds ``card_totals`` of payments before those in ``df``, older than every window.
     """
     df = df.select(*KEY, "cents", *keep)
     hot = hot_keys(df, ["card1"], limit)
@@ -41,13 +32,12 @@ def exact_velocity(df: DataFrame, keep: Sequence[str] = (), limit: int = TASK_RO
     else:
         hot_rows, others = split_hot(df, ["card1"], hot)
         history = _history_by_window(others).unionByName(_history_by_scan(hot_rows, keep))
-    if earlier is not None:
-        history = lookup(history, earlier, ["card1"], limit)
-        for now, old in (("_n", "old_n"), ("_sum", "old_sum"), ("_squares", "old_squares")):
-            added = F.coalesce(old, F.lit(0))
-            history = history.withColumn(now, F.col(now) + added)
-            for name in HORIZONS if now != "_squares" else ():
-                history = history.withColumn(f"{now}_{name}", F.col(f"{now}_{name}") + added)
+    return from_history(history, keep)
+
+
+def from_history(history: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Velocity from running totals: ``_n``, ``_sum``, ``_squares`` of all prior payments, ``_n_h`` and ``_sum_h`` of those older
+    than horizon h."""
     spent = {name: (F.col("_sum") - F.col(f"_sum_{name}")).cast("double") / 100 for name in HORIZONS}
     return history.select(
         *KEY, *keep,

@@ -1,7 +1,7 @@
 """Streaming jobs. Each writes one folder per micro-batch, so a retried batch replaces its own output.
 
-Aggregates run as Structured Streaming state; scoring and velocity run the batch operators on every
-micro-batch, which keeps their handling of hot cards.
+Aggregates run as Structured Streaming state; scoring runs the batch operators on every micro-batch. Velocity has keyed
+state of its own (``velocity``).
 """
 
 from __future__ import annotations
@@ -11,9 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from risklane.functions.clock import DAY, WEEK
-from risklane.operators.ordered import TASK_ROWS, if_small
-from risklane.operators.velocity import KEY, card_totals, exact_velocity
+from risklane.operators.ordered import if_small
 from risklane.staging import new_path
 
 Sink = Callable[[DataFrame, int], None]
@@ -32,6 +30,11 @@ def into(path: str) -> Sink:
     return write
 
 
+def arrived_rows(query: StreamingQuery) -> int:
+    """Rows that the batches of a stopped query read."""
+    return sum(progress["numInputRows"] for progress in query.recentProgress)
+
+
 def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The last version of each key that an update-mode query wrote."""
     rows = spark.read.parquet(path)
@@ -57,70 +60,3 @@ def daily_monitor(payments: DataFrame, late: str = "1 hour") -> DataFrame:
     return payments.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("isFraud").alias("fraud_rate"), F.avg(ok).alias("success_rate")) \
         .select(F.col("window.start").alias("day_start"), "n", "fraud_rate", "success_rate")
-
-
-class VelocityStream:
-    """Exact velocity of arriving payments.
-
-    Arrived rows are kept in a log by day and batch. A micro-batch lists and reads only the days its
-    windows reach; older rows are summed per card once their day passes out of reach. Everything is a
-    function of the log, so a restarted or retried batch gives the same output. Rows more than
-    ``late`` seconds behind the newest row of earlier batches are dropped.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, late: int = 3600, limit: int = TASK_ROWS) -> None:
-        self.spark, self.root, self.late, self.limit = spark, root, late, limit
-        self._newest: tuple[int, int | None] = (0, None)            # (next batch, newest time before it)
-        self._totals: tuple[int, DataFrame] | None = None           # (first day not in them, card totals)
-
-    def output(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/out").drop("batch")
-
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        newest = self._newest[1] if self._newest[0] == number else self._newest_before(number)
-        rows = batch.select(*KEY, "cents", F.floor(F.col("TransactionDT") / DAY).alias("day"))
-        if newest is not None:
-            rows = rows.filter(F.col("TransactionDT") >= newest - self.late)
-        (rows.withColumn("batch", F.lit(number)).write.option("partitionOverwriteMode", "dynamic")
-             .mode("overwrite").partitionBy("day", "batch").parquet(f"{self.root}/log"))
-        span = rows.agg(F.min("day").alias("low"), F.max("day").alias("high"), F.max("TransactionDT").alias("t")).first()
-        if span["t"] is None:                                       # nothing new arrived in time
-            self._newest = (number + 1, newest)
-            return
-        self._newest = (number + 1, span["t"] if newest is None else max(newest, span["t"]))
-        # The first day a window of a row not yet dropped can touch.
-        reach = None if newest is None else (newest - self.late - WEEK) // DAY
-        days = range(span["low"] if reach is None else reach, max(span["high"], (newest or 0) // DAY) + 1)
-        recent = self._days(days).filter(F.col("batch") <= number).withColumn("fresh", F.col("batch") == number)
-        earlier = None if reach is None else self._older(reach, number)
-        found = exact_velocity(recent, ["fresh"], self.limit, earlier).filter("fresh").drop("fresh")
-        found.write.mode("overwrite").parquet(f"{self.root}/out/batch={number}")
-
-    def _days(self, days: range) -> DataFrame:
-        """The log of these days; a pattern leaves out the days that have no rows."""
-        pattern = "{" + ",".join(str(day) for day in days) + "}"
-        return self.spark.read.option("basePath", f"{self.root}/log").parquet(f"{self.root}/log/day={pattern}")
-
-    def _log_before(self, number: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/log").filter(F.col("batch") < number)
-
-    def _newest_before(self, number: int) -> int | None:
-        """Only needed by the first batch after a start."""
-        return None if number == 0 else self._log_before(number).agg(F.max("TransactionDT").alias("t")).first()["t"]
-
-    def _older(self, reach: int, number: int) -> DataFrame:
-        """Card totals of the days before ``reach``: the last ones kept plus the days passed since."""
-        if self._totals is not None and self._totals[0] == reach:
-            return self._totals[1]
-        if self._totals is None or self._totals[0] > reach:
-            totals = card_totals(self._log_before(number).filter(F.col("day") < reach))
-        else:
-            since, kept = self._totals
-            days = range(since, reach)
-            passed = card_totals(self._log_before(number).filter(F.col("day").isin(*days)))
-            totals = kept.unionByName(passed).groupBy("card1").agg(
-                *[F.sum(c).cast(kept.schema[c].dataType).alias(c) for c in ("old_n", "old_sum", "old_squares")])
-        path = f"{self.root}/totals/upto={reach}"
-        totals.write.mode("overwrite").parquet(path)
-        self._totals = (reach, self.spark.read.parquet(path))
-        return self._totals[1]
