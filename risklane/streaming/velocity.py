@@ -1,10 +1,11 @@
 """Exact velocity of arriving payments from keyed state.
 
-State of a card: what its payments amount to per span of ``SPAN`` seconds, the payments of each span as one packed value, and one
-total of everything older than any window can reach. A payment's history is the totals of whole spans before a point in
-time, plus the rows of the one span that the point lies in; so a micro-batch reads the spans its windows begin and end in,
-and not the history. Spans that no window of a payment still accepted can reach are folded into the old total, when
-payments of the card arrive or by an event-time timer.
+State of a card: one total of everything older than any window can reach; its recent payments, packed into one value; and,
+for every span of ``SPAN`` seconds that saw ``BIG`` payments or more, their total, with the payments themselves in a map by
+span. A payment's history is the old total, the totals of big spans before a point in time, and the payments before that
+point among the recent ones and in the one big span the point lies in. So a micro-batch reads a bounded number of rows
+a card besides those of the spans its windows begin and end in, however long the history is. What no window of a payment
+still accepted can reach is folded into the old total, when payments of the card arrive or by an event-time timer.
 
 A hot card is split into parts, each with a state of its own: a payment is kept by one part (by its id), asked of every
 part, and the parts' answers add up. Payments later than the watermark are dropped by the engine.
@@ -18,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import MapState
 
 from risklane.functions.clock import DAY, WEEK
 from risklane.operators.ordered import TASK_ROWS, if_small
@@ -25,12 +27,13 @@ from risklane.operators.velocity import EXACT, HORIZONS, KEY, from_history
 from risklane.staging import new_path
 from risklane.streaming import jobs
 
-# Seconds of a span.
+# Seconds of a span, and payments that make it a big one.
 SPAN = 6 * 3600
+BIG = 256
 # What a sum is kept in: squares of cents outgrow 64 bits, so they are kept in two parts.
 PART = np.int64(2**31)
-TOTALS = ["span", "n", "sum", "high", "low"]
-# The span of everything that was folded.
+# Columns of a total: span, payments, sum, squares. The first row, of no span, is the old total.
+WIDTH = 5
 OLD = np.iinfo(np.int64).min
 
 HISTORY = ["_n", "_sum", *[f"{what}_{name}" for name in HORIZONS for what in ("_n", "_sum")]]
@@ -49,102 +52,128 @@ def running(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((1, rows.shape[1]), np.int64), np.cumsum(rows, axis=0)])
 
 
+class CardState:
+    """The state of one part of a card while a batch is worked on."""
+
+    def __init__(self, totals: np.ndarray, recent: np.ndarray, due: int, spans: MapState) -> None:
+        self.totals, self.recent, self.due, self.spans = totals, recent, due, spans
+        self.read: dict[int, np.ndarray] = {}
+
+    def rows(self, span: int) -> np.ndarray:
+        """(time, id, cents) of the payments of a big span, in order."""
+        if span not in self.read:
+            self.read[span] = np.frombuffer(self.spans.getValue((span,))[0], np.int64).reshape(-1, 3)
+        return self.read[span]
+
+    def _put(self, span: int, rows: np.ndarray) -> None:
+        self.spans.updateValue((span,), (rows.tobytes(),))
+        self.read[span] = rows
+        kept = self.totals[self.totals[:, 0] != span]
+        at = int(np.searchsorted(kept[:, 0], span))
+        self.totals = np.insert(kept, at, [span, *amounts(rows[:, 2]).sum(axis=0)], axis=0)
+
+    def keep(self, fresh: np.ndarray) -> None:
+        """Take in new payments; spans that have become big move out of the recent ones."""
+        spans = fresh[:, 0] // SPAN
+        old = np.isin(spans, self.totals[1:, 0])
+        for span in np.unique(spans[old]).tolist():
+            self._put(span, in_order(np.concatenate([self.rows(span), fresh[spans == span]])))
+        self.recent = in_order(np.concatenate([self.recent, fresh[~old]]))
+        found, counts = np.unique(self.recent[:, 0] // SPAN, return_counts=True)
+        for span in found[counts >= BIG].tolist():
+            inside = self.recent[:, 0] // SPAN == span
+            self._put(span, self.recent[inside])
+            self.recent = self.recent[~inside]
+
+    def history(self, points: np.ndarray, idents: np.ndarray | None = None) -> np.ndarray:
+        """Totals of the payments before each point: earlier in time, or of the same second with a smaller id."""
+        spans = points // SPAN
+        out = running(self.totals[:, 1:])[np.searchsorted(self.totals[:, 0], spans)]
+        out = out + running(amounts(self.recent[:, 2]))[before(self.recent, points, idents)]
+        for span in np.intersect1d(spans, self.totals[1:, 0]).tolist():
+            asked = np.flatnonzero(spans == span)
+            inside = self.rows(span)
+            out[asked] += running(amounts(inside[:, 2]))[before(inside, points[asked], None if idents is None else idents[asked])]
+        return out
+
+    def fold(self, watermark: int) -> None:
+        """Payments out of every window's reach go into the old total."""
+        reach = watermark - WEEK
+        gone = (self.totals[:, 0] != OLD) & ((self.totals[:, 0] + 1) * SPAN <= reach)
+        for span in self.totals[gone, 0].tolist():
+            self.spans.removeKey((span,))
+        passed = int(np.searchsorted(self.recent[:, 0], reach))
+        self.totals[0, 1:] += self.totals[gone, 1:].sum(axis=0) + amounts(self.recent[:passed, 2]).sum(axis=0)
+        self.totals, self.recent = self.totals[~gone], self.recent[passed:]
+
+    def next_due(self) -> int | None:
+        """When something passes out of reach, in milliseconds; a timer a day at most."""
+        ends = [*((self.totals[1:2, 0] + 1) * SPAN).tolist(), *(self.recent[:1, 0] + 1).tolist()]
+        return -(-(min(ends) + WEEK) // DAY) * DAY * 1000 if ends else None
+
+
+def in_order(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+
+def before(rows: np.ndarray, points: np.ndarray, idents: np.ndarray | None) -> np.ndarray:
+    """How many of some ordered payments stand before each point."""
+    first = np.searchsorted(rows[:, 0], points, side="left")
+    if idents is not None:
+        last = np.searchsorted(rows[:, 0], points, side="right")
+        for i in np.flatnonzero(last - first > 1):
+            first[i] += np.searchsorted(rows[first[i]:last[i], 1], idents[i])
+        single = np.flatnonzero(last - first == 1)
+        first[single] += rows[first[single], 1] < idents[single]
+    return first
+
+
 class CardVelocity(StatefulProcessor):
     """State and answers of one part of a card."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "packed binary")
+        self.card = handle.getValueState("card", "totals binary, recent binary, due bigint")
         self.spans = handle.getMapState("spans", "span bigint", "packed binary")
 
     def close(self) -> None:
         pass
 
-    def _totals(self) -> np.ndarray:
-        """(span, n, sum, high, low) per span with payments, the old total first."""
-        packed = self.totals.get() if self.totals.exists() else None
-        if packed is None:
-            return np.array([[OLD, 0, 0, 0, 0]], np.int64)
-        return np.frombuffer(packed[0], np.int64).reshape(-1, len(TOTALS)).copy()
-
-    def _rows(self, span: int) -> np.ndarray:
-        """(time, id, cents) of the payments of a span, in order."""
-        return np.frombuffer(self.spans.getValue((span,))[0], np.int64).reshape(-1, 3)
-
-    def _keep(self, totals: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """Put new payments into their spans; totals with them, and the spans as they are now."""
-        now: dict[int, np.ndarray] = {}
-        if not len(fresh):
-            return totals, now
-        spans = fresh[:, 0] // SPAN
-        known = set(totals[1:, 0].tolist())
-        for span in np.unique(spans).tolist():
-            rows = fresh[spans == span]
-            if span in known:
-                rows = np.concatenate([self._rows(span), rows])
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            self.spans.updateValue((span,), (rows.tobytes(),))
-            now[span] = rows
-        old = totals[~np.isin(totals[:, 0], list(now))]
-        new = np.array([[span, *amounts(rows[:, 2]).sum(axis=0)] for span, rows in now.items()], np.int64)
-        totals = np.concatenate([old, new])
-        return totals[np.argsort(totals[:, 0], kind="stable")], now
-
-    def _fold(self, totals: np.ndarray, watermark: int) -> np.ndarray:
-        """Totals with the spans out of every window's reach folded into the old one."""
-        gone = np.flatnonzero((totals[:, 0] != OLD) & ((totals[:, 0] + 1) * SPAN <= watermark - WEEK))
-        if not len(gone):
-            return totals
-        for span in totals[gone, 0].tolist():
-            self.spans.removeKey((span,))
-        totals[0, 1:] += totals[gone, 1:].sum(axis=0)
-        return np.delete(totals, gone, axis=0)
-
-    def _save(self, totals: np.ndarray) -> None:
-        self.totals.update((totals.tobytes(),))
-        if len(totals) > 1:
-            # A timer a day at most; between them the spans of a silent card stay a little longer.
-            due = -(-((int(totals[1, 0]) + 1) * SPAN + WEEK + 1) // DAY) * DAY * 1000
-            if due not in list(self.handle.listTimers()):
-                self.handle.registerTimer(due)
+    def _load(self) -> CardState:
+        kept = self.card.get()
+        if kept is None:
+            return CardState(np.array([[OLD, 0, 0, 0, 0]], np.int64), np.zeros((0, 3), np.int64), 0, self.spans)
+        totals, recent, due = kept
+        return CardState(np.frombuffer(totals, np.int64).reshape(-1, WIDTH).copy(),
+                         np.frombuffer(recent, np.int64).reshape(-1, 3), due, self.spans)
+
+    def _save(self, state: CardState, watermark: int) -> None:
+        state.fold(watermark)
+        due = state.next_due()
+        if due is not None and (state.due == 0 or due < state.due):
+            self.handle.registerTimer(due)
+            state.due = due
+        self.card.update((state.totals.tobytes(), state.recent.tobytes(), state.due))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         time, ident, cents = (batch[name].to_numpy(np.int64) for name in ("seconds", "TransactionID", "cents"))
         mine = batch["mine"].to_numpy(bool)
-        totals, now = self._keep(self._totals(), np.stack([time, ident, cents], axis=1)[mine])
-        before = running(totals[:, 1:])
-        known = set(totals[1:, 0].tolist())
-
-        def history(points: np.ndarray, idents: np.ndarray | None) -> np.ndarray:
-            """Totals of the payments before each point: earlier in time, or of the same second with a smaller id."""
-            spans = points // SPAN
-            out = before[np.searchsorted(totals[:, 0], spans)].copy()
-            for span in np.unique(spans).tolist():
-                if span not in known:
-                    continue
-                if span not in now:
-                    now[span] = self._rows(span)
-                inside, asked = now[span], np.flatnonzero(spans == span)
-                first = np.searchsorted(inside[:, 0], points[asked], side="left")
-                if idents is not None:
-                    last = np.searchsorted(inside[:, 0], points[asked], side="right")
-                    for i in np.flatnonzero(last > first):
-                        first[i] += np.searchsorted(inside[first[i]:last[i], 1], idents[asked[i]])
-                out[asked] += running(amounts(inside[:, 2]))[first]
-            return out
-
-        own = history(time, ident)
+        state = self._load()
+        state.keep(np.stack([time, ident, cents], axis=1)[mine])
+        own = state.history(time, ident)
         found = {"_n": own[:, 0], "_sum": own[:, 1], "_high": own[:, 2], "_low": own[:, 3]}
         for name, seconds in HORIZONS.items():
-            older = history(time - seconds, None)
+            older = state.history(time - seconds)
             found |= {f"_n_{name}": older[:, 0], f"_sum_{name}": older[:, 1]}
-        self._save(self._fold(totals, timerValues.getCurrentWatermarkInMs() // 1000))
+        self._save(state, timerValues.getCurrentWatermarkInMs() // 1000)
         yield pd.DataFrame({**{name: batch[name] for name in ("TransactionID", "card1", "TransactionDT", "cents")},
                             **{name: found[name] for name in (*HISTORY, "_high", "_low")}})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._save(self._fold(self._totals(), timerValues.getCurrentWatermarkInMs() // 1000))
+        state = self._load()
+        state.due = 0
+        self._save(state, timerValues.getCurrentWatermarkInMs() // 1000)
         return iter([])
 
 

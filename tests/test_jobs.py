@@ -1,5 +1,9 @@
 """Features, decisions, conversations, files and streams beyond what the SQL comparison covers."""
 
+import glob
+import os
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from risklane.plans import scoring, training as T
 from risklane.plans.feature_queries import payments
 from risklane.sources import files
 from risklane.sources.views import view
-from risklane.streaming import jobs, sources
+from risklane.streaming import jobs, sources, velocity
 
 
 def test_codes_of_unseen_and_missing(spark):
@@ -134,25 +138,68 @@ def _feed(spark, sf_dir, folder, pieces):
         events.filter((F.col("event_id") >= bounds[i]) & top).coalesce(1).write.mode("append").parquet(folder)
 
 
-def test_velocity_stream_equals_batch(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("big, limit", [(4, 20), (256, 10**6)])
+def test_velocity_stream_equals_batch(spark, sf_dir, tmp_path, monkeypatch, big, limit):
+    """In two runs of several batches each; cards with over ``limit`` payments are split before the second run."""
     from risklane.operators.velocity import exact_velocity
-    folder = str(tmp_path / "in")
-    _feed(spark, sf_dir, folder, 5)
-    stream = sources.payments(sources.event_stream(spark, folder, files_per_trigger=1))
-    velocity = jobs.VelocityStream(spark, str(tmp_path / "state"), late=5 * 86400)
-    run = jobs.start(stream, velocity, "append", str(tmp_path / "offsets"))
-    run.awaitTermination()
-    assert run.lastProgress["batchId"] >= 4
-    key = ["TransactionID"]
-    batch = exact_velocity(view(spark, sf_dir, "txn")).orderBy(*key).collect()
-    assert [tuple(r) for r in velocity.output().orderBy(*key).collect()] == [tuple(r) for r in batch]
-    # A batch retried by a new process, which has only the log, gives the same rows.
-    arrived = spark.read.parquet(f"{tmp_path}/state/log").filter("batch = 4").drop("batch", "day")
-    again = spark.createDataFrame(arrived.collect(), arrived.schema)
-    assert again.count() > 0
-    fresh = jobs.VelocityStream(spark, str(tmp_path / "state"), late=5 * 86400)
-    fresh(again, 4)
-    assert [tuple(r) for r in fresh.output().orderBy(*key).collect()] == [tuple(r) for r in batch]
+    monkeypatch.setattr(velocity, "BIG", big)
+    folder, more = str(tmp_path / "in"), str(tmp_path / "more")
+    _feed(spark, sf_dir, more, 4)
+    parts = sorted(glob.glob(f"{more}/*.parquet"), key=lambda path: spark.read.parquet(path).agg(F.min("event_id")).first()[0])
+    os.makedirs(folder)
+    runs = []
+    for half in (parts[:2], parts[2:]):
+        for path in half:
+            copy = shutil.copy(path, folder)
+            os.utime(copy, (parts.index(path) + 10**9,) * 2)        # files arrive in the order of their times
+        stream = sources.payments(sources.event_stream(spark, folder, files_per_trigger=1))
+        run = velocity.VelocityStream(stream, str(tmp_path / "state"), late="5 days", limit=limit)
+        runs.append(run.run())
+    assert sum(progress["numInputRows"] for query in runs for progress in query.recentProgress) == 1000
+    batch = exact_velocity(view(spark, sf_dir, "txn")).orderBy("TransactionID").collect()
+    assert [tuple(r) for r in run.output().orderBy("TransactionID").collect()] == [tuple(r) for r in batch]
+
+
+class Spans(dict):
+    """A map state in memory."""
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_card_state_against_all_payments(monkeypatch, seed):
+    """Batches of payments in any order within the allowed lateness, with ties, folding as the watermark moves."""
+    monkeypatch.setattr(velocity, "BIG", [2, 9, 1000][seed % 3])
+    rng = np.random.default_rng(seed)
+    spans, seen, ids = Spans(), np.zeros((0, 3), np.int64), iter(rng.permutation(5000).tolist())
+    state = velocity.CardState(np.array([[velocity.OLD, 0, 0, 0, 0]], np.int64), np.zeros((0, 3), np.int64), 0, spans)
+    for batch in range(25):
+        newest, watermark = batch * 50_000, (batch - 1) * 50_000 - 3600
+        size = int(rng.integers(1, 60))
+        low, step = max(watermark, 0), int(rng.choice([1, 500]))
+        time = low + rng.integers(0, newest + 50_000 - low, size) // step * step
+        fresh = np.stack([time, [next(ids) for _ in range(size)], rng.integers(1, 10**7, size)], axis=1).astype(np.int64)
+        seen = np.concatenate([seen, fresh])
+        if len(fresh):
+            state.keep(fresh)
+        for at, ident, _ in fresh:
+            prior = seen[(seen[:, 0] < at) | ((seen[:, 0] == at) & (seen[:, 1] < ident))][:, 2].astype(object)
+            n, total, high, low = state.history(np.array([at]), np.array([ident]))[0].tolist()
+            assert (n, total, high * int(velocity.PART) + low) == (len(prior), sum(prior), sum(prior * prior))
+            for seconds in velocity.HORIZONS.values():
+                older = seen[seen[:, 0] < at - seconds][:, 2]
+                if at - seconds >= watermark - velocity.WEEK:
+                    assert state.history(np.array([at - seconds]))[0].tolist()[:2] == [len(older), older.sum()]
+        state.fold(watermark)
+        state = velocity.CardState(state.totals, state.recent, 0, spans)
+    assert len(state.recent) < len(seen) and state.totals[0, 1] > 0
 
 
 def test_posterior_stream_in_several_batches(spark, sf_dir, tmp_path):
