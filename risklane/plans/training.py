@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,7 +33,7 @@ def prepare(payments: DataFrame, limit: int = TASK_ROWS) -> Parts:
 
 @dataclass
 class Models:
-    booster: GBTClassificationModel
+    booster: boosting.Booster
     calibrator: IsotonicRegressionModel
     threshold: float
 

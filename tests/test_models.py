@@ -21,47 +21,154 @@ def rows(spark):
 
 @pytest.fixture(scope="module")
 def booster(rows):
-    return B.fit(rows.filter("TransactionID % 4 > 0"), rows.filter("TransactionID % 4 = 0"), rounds=12)
+    return B.fit(rows.filter("TransactionID % 4 > 0"), rows.filter("TransactionID % 4 = 0"), rounds=12, least_weight=2.0)
 
 
-def test_fit_goes_on_through_small_gains(spark):
+def margins_of(rows, booster):
+    found = {r["TransactionID"]: r["x"] for r in rows.select("TransactionID", vector_to_array("features").alias("x")).collect()}
+    return dict(zip(found, booster.margins(np.array(list(found.values())))))
+
+
+def test_patience_keeps_the_best_round(spark):
+    """Noise: no round helps the validation rows for long, and what is kept is where their AUC was best."""
     rng = np.random.default_rng(4)
-    x = rng.random(800)
-    y = (rng.random(800) < 0.4 + 0.2 * (x > 0.5)).astype(int)
-    df = spark.createDataFrame([(i, int(b), [float(a)]) for i, (a, b) in enumerate(zip(x, y))],
+    x = rng.random((800, 2))
+    y = (rng.random(800) < 0.3 + 0.4 * (x[:, 0] > 0.5)).astype(int)
+    df = spark.createDataFrame([(i, int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))],
                                "TransactionID long, isFraud int, x array<double>")
     df = df.select("TransactionID", "isFraud", array_to_vector("x").alias("features")).cache()
-    parts = df.filter("TransactionID % 4 > 0"), df.filter("TransactionID % 4 = 0")
-    assert B.fit(*parts, rounds=15).getNumTrees > B.fit(*parts, rounds=15, tolerance=0.01).getNumTrees
+    train, val = df.filter("TransactionID % 4 > 0"), df.filter("TransactionID % 4 = 0")
+    long, short = (B.fit(train, val, rounds=40, patience=n, abreast=2, least_weight=1.0, least_gain=0.0) for n in (0, 8))
+    held = [i for i in range(800) if i % 4 == 0]
+
+    def auc(trees):
+        scores = B.sigmoid(long.head(trees).margins(x[held]))
+        steps = np.minimum((scores * B.AUC_STEPS).astype(int), B.AUC_STEPS - 1)
+        return B.auc_of(np.stack([np.bincount(steps[y[held] == label], minlength=B.AUC_STEPS) for label in (0, 1)]))
+
+    seen = {trees: auc(trees) for trees in range(2, long.trees + 1, 2)}
+    assert seen[long.trees] == max(seen.values())
+    best, end = 0, None
+    for trees, value in seen.items():
+        best = trees if not best or value > seen[best] else best
+        if trees - best >= 8:
+            break
+    assert short.trees == best
+    assert short.value.tolist() == long.head(short.trees).value.tolist()
+
+
+def test_fit_does_not_depend_on_partitioning(rows):
+    train, val = rows.filter("TransactionID % 4 > 0"), rows.filter("TransactionID % 4 = 0")
+    first = B.fit(train, val, rounds=8, least_weight=2.0)
+    second = B.fit(train.repartition(7), val.repartition(3), rounds=8, least_weight=2.0, block=50)
+    assert all(np.array_equal(getattr(first, name), getattr(second, name)) for name in ("roots", *B.NODE))
+
+
+@pytest.mark.parametrize("l1, l2, least_gain", [(0.0, 0.0, 0.0), (0.5, 1.0, 0.0), (0.1, 3.0, 6.0)])
+def test_first_tree_against_brute_force(spark, rows, l1, l2, least_gain):
+    """One tree of depth two on all rows and columns, every split tried."""
+    data = rows.select("isFraud", vector_to_array("features").alias("x")).collect()
+    x, y = np.array([r["x"] for r in data]), np.array([r["isFraud"] for r in data])
+    edges = B.bin_edges(rows, 3)
+    got = B.fit(rows, rows, rounds=1, depth=2, row_share=1.0, column_share=1.0, least_weight=3.0, least_gain=least_gain, l1=l1, l2=l2, abreast=1)
+
+    def worth(part):
+        g = (0.5 - y[part]).sum()
+        return max(abs(g) - l1, 0) ** 2 / (part.sum() / 4 + l2)
+
+    def value(part):
+        g = (0.5 - y[part]).sum()
+        return -np.sign(g) * max(abs(g) - l1, 0) / (part.sum() / 4 + l2) * B.STEP
+
+    def grow(part, depth):
+        best = (max(least_gain, 1e-6), None)
+        for f in range(3) if depth else ():
+            for cut in edges[f]:
+                left, right = part & (x[:, f] <= cut), part & (x[:, f] > cut)
+                if min(left.sum(), right.sum()) / 4 >= 3.0:
+                    gain = worth(left) + worth(right) - worth(part)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (left, right))
+        if best[1] is None:
+            return np.where(part, value(part), 0.0)
+        return sum(grow(side, depth - 1) for side in best[1])
+
+    expected = grow(np.ones(len(y), bool), 2)
+    assert got.margins(x) == pytest.approx(expected, abs=1e-6)
 
 
 def test_attributions_add_up(rows, booster):
-    margins = {r["TransactionID"]: 2 * r["rawPrediction"][1] for r in booster.transform(rows).collect()}
+    margins = margins_of(rows, booster)
     parts = B.attribute(booster, rows).collect()
     assert len(parts) == len(margins)
     for r in parts:
         assert r["base"] + sum(r["values"]) == pytest.approx(margins[r["TransactionID"]], abs=1e-9)
 
 
-def test_attributions_are_shapley_values():
-    """One leaf behind x0 <= 1, x1 > 0: compare with the average over all orders of arrival."""
-    leaf = B._leaf({0: (-np.inf, 1.0, 0.4), 1: (0.0, np.inf, 0.7)}, 3.0)
+def random_booster(trees, depth, features, seed):
+    """Trees that split at random, with repeated features along a path."""
+    rng = np.random.default_rng(seed)
+    model = B.empty(0.25, features)
+    for _ in range(trees):
+        nodes, open_nodes = [[-1, 0.0, -1, 0.0, 1000.0, 0.0]], [(0, 0)]
+        while open_nodes:
+            at, level = open_nodes.pop()
+            if level == depth or rng.random() < 0.15:
+                nodes[at][3] = float(rng.normal())
+                continue
+            share = rng.uniform(0.1, 0.9)
+            nodes[at][:3] = [int(rng.integers(features)), float(rng.normal()), len(nodes)]
+            for part in (share, 1 - share):
+                open_nodes.append((len(nodes), level + 1))
+                nodes.append([-1, 0.0, -1, 0.0, nodes[at][4] * part, 0.0])
+        model = B.grown(model, nodes)
+    return model
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_attributions_are_shapley_values(depth):
+    """Against the average over all orders of arrival; absent features follow the training shares."""
+    from itertools import combinations
+    from math import factorial
+    features = 4
+    model = random_booster(3, depth, features, depth)
+    x = np.random.default_rng(1).normal(size=(5, features))
+
+    def worth(node, row, present):
+        feature = model.feature[node]
+        if feature < 0:
+            return model.value[node]
+        left = model.left[node]
+        if feature in present:
+            return worth(left + int(row[feature] > model.cut[node]), row, present)
+        return sum(worth(child, row, present) * model.cover[child] / model.cover[node] for child in (left, left + 1))
+
+    got = B.contributions(model, x)
+    for i, row in enumerate(x):
+        for j in range(features):
+            others = [f for f in range(features) if f != j]
+            total = 0.0
+            for size in range(features):
+                weight = factorial(size) * factorial(features - 1 - size) / factorial(features)
+                for present in combinations(others, size):
+                    total += weight * sum(worth(root, row, {*present, j}) - worth(root, row, set(present)) for root in model.roots)
+            assert got[i, j] == pytest.approx(total, abs=1e-10)
 
-    def worth(inside, present):
-        return 3.0 * np.prod([float(i) if p else s for i, p, s in zip(inside, present, (0.4, 0.7))])
 
-    for x, inside in (([0.0, 1.0], (1, 1)), ([2.0, 1.0], (0, 1)), ([0.0, -1.0], (1, 0)), ([2.0, -1.0], (0, 0))):
-        got = B.attribute_matrix([leaf], np.array([x]))[0]
-        first = (worth(inside, (1, 0)) - worth(inside, (0, 0)) + worth(inside, (1, 1)) - worth(inside, (0, 1))) / 2
-        second = (worth(inside, (0, 1)) - worth(inside, (0, 0)) + worth(inside, (1, 1)) - worth(inside, (1, 0))) / 2
-        assert got == pytest.approx([first, second])
+def test_attributions_of_a_long_booster_add_up():
+    model = random_booster(320, 6, 12, 7)
+    x = np.random.default_rng(2).normal(size=(50, 12))
+    assert B.base_value(model) + B.contributions(model, x).sum(axis=1) == pytest.approx(model.margins(x), abs=1e-9)
+    held = sum(getattr(model, name).nbytes for name in ("roots", *B.NODE))
+    assert held < 100 * len(model.feature)
 
 
 def test_scores_and_importance(rows, booster):
     scored = B.score(booster, rows).collect()
     assert all(0 <= r["score_raw"] <= 1 for r in scored)
     table = B.top_features(B.importance(booster, NAMES, rows), 2).collect()
-    assert len(table) == 2 and table[0]["importance"] >= table[1]["importance"]
+    assert len(table) == 2 and table[0]["importance"] >= table[1]["importance"] > 0
+    assert sum(r["importance"] for r in B.importance(booster, NAMES, rows).collect()) == pytest.approx(1)
     named = B.attribute(booster, rows).select(F.explode(B.named(F.col("values"), NAMES)).alias("d")).select("d.feature")
     assert named.distinct().count() == 3
     best = B.top_contributions(B.attribute(booster, rows), NAMES, 2)
