@@ -30,7 +30,7 @@ LEAST_GAIN, L1, L2, PATIENCE = 1.0, 0.1, 1.0, 50
 BINS = 64
 GRAIN = 2.0**20
 # Trees grown at once from the same gradients, each on rows and columns of its own: a pass over the rows serves them all.
-ABREAST = 4
+ABREAST = 8
 # Rows of a block, trees after which the margins of all rows are staged anew, and sums that meet in one place.
 BLOCK = 16_384
 REBASE = 24
@@ -156,60 +156,85 @@ class Growing:
     columns: np.ndarray
     draw: int
     share: float
+    parents: np.ndarray | None = None       # sums of the parents of the open nodes
+
+    def asked(self) -> list[int]:
+        """Open nodes whose sums are counted: of two children only the left one."""
+        return self.open if self.parents is None else self.open[::2]
+
+    def full(self, found: np.ndarray) -> np.ndarray:
+        """Sums of all open nodes from those of the asked ones: a right child is its parent less the left one."""
+        if self.parents is None:
+            return found
+        return np.stack([found, self.parents - found], axis=1).reshape(-1, *found.shape[1:])
+
+
+BLOCKS = ["bins", "label", "draw", "val"]
 
 
 class Fitter:
-    """The staged rows of a fit, and passes over them."""
+    """The staged rows of a fit, and passes over them.
+
+    The margins of a round are those of the round before plus its trees. They are kept in the executors, computed once by the first
+    pass of the round; every ``REBASE`` trees they are staged, so a lost executor repeats a few trees at most.
+    """
 
     def __init__(self, staged: DataFrame, features: int, margin: float) -> None:
-        self.features, self.margin = features, margin
-        self.rows = staged
-        self.pending = empty(margin, features)      # trees not yet in the staged margins, cut by bins
-        self.staged = False
-        self._cache()
-
-    def _cache(self) -> None:
-        self.kept = self.rows.persist()
+        self.features, self.since = features, 0
+        self.kept = staged.select("*", F.lit(None).cast("binary").alias("margin")).persist()
+        self.older: list[DataFrame] = []
         self.tasks = self.kept.rdd.getNumPartitions()
+        self.start = margin
 
     def _reader(self) -> Callable:
-        features, margin, staged, pending = self.features, self.margin, self.staged, self.pending
+        features, start = self.features, self.start
 
         def read(row: dict) -> tuple:
             label = np.frombuffer(row["label"], np.uint8)
             bins = np.frombuffer(row["bins"], np.uint8).reshape(len(label), features)
-            start = np.frombuffer(row["margin"], float) if staged else np.full(len(label), margin)
-            return bins, label, np.frombuffer(row["draw"], np.int64), np.frombuffer(row["val"], np.uint8), start + walked(pending, bins)
+            margin = np.full(len(label), start) if row["margin"] is None else np.frombuffer(row["margin"], float)
+            return bins, label, np.frombuffer(row["draw"], np.int64), np.frombuffer(row["val"], np.uint8), margin
 
         return read
 
-    def rebase(self) -> None:
-        """Stage the margins of all rows after the pending trees; a lost executor costs no more than those trees again."""
-        read = self._reader()
+    def add(self, trees: list[list[list]]) -> None:
+        """The next round: margins after these trees, whose cuts are bins."""
+        read, new = self._reader(), empty(0.0, self.features)
+        for nodes in trees:
+            new = grown(new, nodes)
 
         def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = batch.to_pylist()
-                names = ["bins", "label", "draw", "val"]
-                packed = [pa.array([row[name] for row in rows], pa.binary()) for name in names]
-                yield pa.RecordBatch.from_arrays([*packed, pa.array([read(row)[4].tobytes() for row in rows], pa.binary())], [*names, "margin"])
+                found = []
+                for row in batch.to_pylist():
+                    bins, *_, margin = read(row)
+                    found.append((margin + walked(new, bins)).tobytes())
+                yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in BLOCKS], pa.array(found, pa.binary())], [*BLOCKS, "margin"])
+
+        after = self.kept.mapInArrow(margins, ", ".join(f"{name} binary" for name in [*BLOCKS, "margin"]))
+        self.older.append(self.kept)
+        self.since += len(trees)
+        if self.since >= REBASE:
+            after, self.since = stage(after, "margins"), 0
+            self._forget()
+        self.kept = after.persist()
+        self.tasks = self.kept.rdd.getNumPartitions()
 
-        before = self.kept
-        self.rows = stage(self.kept.mapInArrow(margins, "bins binary, label binary, draw binary, val binary, margin binary"), "margins")
-        self.staged, self.pending = True, empty(0.0, self.features)
-        self._cache()
-        before.unpersist()
+    def _forget(self) -> None:
+        for rows in self.older:
+            rows.unpersist()
+        self.older = []
 
     def sums(self, trees: list[Growing], with_val: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Sums (node, feature, bin, [gradient, curvature]) of the open nodes of all trees, in grains, and validation counts
+        """Sums (node, feature, bin, [gradient, curvature]) of the asked nodes of all trees, in grains, and validation counts
         (label, step)."""
         read, features = self._reader(), self.features
-        shape = (sum(len(tree.open) for tree in trees), features, BINS)
+        shape = (sum(len(tree.asked()) for tree in trees), features, BINS)
         size, parts, first = int(np.prod(shape)), [], 0
         for tree in trees:
             place = np.full(len(tree.nodes), -1)
-            place[tree.open] = first + np.arange(len(tree.open))
-            first += len(tree.open)
+            place[tree.asked()] = first + np.arange(len(tree.asked()))
+            first += len(tree.asked())
             parts.append((grown(empty(0.0, features), tree.nodes), place, tree.draw, tree.share))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +266,7 @@ class Fitter:
         return np.moveaxis(both[:2 * size].reshape(2, *shape), 0, -1), both[2 * size:].reshape(2, -1)
 
     def close(self) -> None:
+        self._forget()
         self.kept.unpersist()
 
 
@@ -330,21 +356,23 @@ def fit(train: DataFrame, val: DataFrame, rounds: int = ROUNDS, seed: int = 42,
                     break
             first = 0
             for tree in trees:
-                mine = sums[first:first + len(tree.open)] / GRAIN
-                first += len(tree.open)
+                asked = len(tree.asked())
+                mine = tree.full(sums[first:first + asked])
+                first += asked
                 if level == 0:
-                    root = mine[0, 0].sum(axis=0)
+                    root = mine[0, 0].sum(axis=0) / GRAIN
                     tree.nodes[0][3:5] = [leaf_value(root, l1, l2, step), float(root[1])]
-                split_open(tree, best_splits(mine, tree.columns, l1, l2, least_gain, least_weight), l1, l2, step)
+                splits = best_splits(mine / GRAIN, tree.columns, l1, l2, least_gain, least_weight)
+                tree.parents = mine[[split is not None for split in splits]]
+                split_open(tree, splits, l1, l2, step)
             if not any(tree.open for tree in trees):
                 break
         done = [tree for tree in trees if tree.nodes[0][0] >= 0]
         more = more and bool(done)                  # without a split there is nothing left to gain
         for tree in done if more else []:
             booster = grown(booster, [[f, edges[f][c] if f >= 0 else 0.0, *rest] for f, c, *rest in tree.nodes])
-            fitter.pending = grown(fitter.pending, tree.nodes)
-        if more and fitter.pending.trees >= REBASE:
-            fitter.rebase()
+        if more:
+            fitter.add([tree.nodes for tree in done])
     fitter.close()
     return booster.head(min(best or booster.trees, rounds))
 
