@@ -5,9 +5,10 @@ part over its limit) has the greatest dot product with what is left of the seque
 "Heuristics for Vector Bin Packing"). When nothing fits whole, the piece is cut whose head fills the gap. So every
 sequence but the last of a task is full, unless its segments run out first.
 
-Each task packs the rows of its own input partition, so nothing is shuffled and memory is bounded by the pool of
-waiting pieces. Sequence ids hold the task's partition number. A lost task is redone with the same result, since it
-depends on the rows of its partition only.
+Each task packs the rows of its own input partition, with memory bounded by the pool of waiting pieces, and hands on the one
+sequence that ran out of pieces, with its ids. These tails, one a task, are dealt to groups of ``TAILS`` tasks and packed again, and so
+on until one group is left: padding does not depend on how many tasks there were. Sequence ids hold the round and the task or
+group. A lost task is redone with the same result, since it depends on the rows of its partition only.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from risklane.llm.common import stage
+
 # Fixed values of the query: ids in a sequence, the id that ends a document.
 LENGTH = 4096
 END_ID = 2
 # Pieces that wait at once in a task, out of which a sequence is filled.
 POOL = 1024
+# Tasks whose tails are packed together.
+TAILS = 64
 # Distinct words whose ids a task keeps at hand.
 CACHED_WORDS = 600_000
 
@@ -101,7 +106,6 @@ class Packer:
     def __init__(self, limits: Limits, first: int) -> None:
         self.limits, self.sequence, self.rows = limits, first, []
         self.pieces: list[tuple] = []           # (doc_id, start, ids, doc_tokens, first loss-bearing id)
-        self.sizes = np.zeros((0, 3))
 
     @staticmethod
     def _loss(start: int, count: int, loss_from: int) -> int:
@@ -118,8 +122,11 @@ class Packer:
         if len(ids):
             self.pieces.append((doc_id, start, ids, total, loss_from))
 
-    def drain(self, keep: int) -> None:
-        """Fill sequences until at most ``keep`` pieces wait."""
+    def drain(self, keep: int, hand_on: bool = False) -> None:
+        """Fill sequences until at most ``keep`` pieces wait.
+
+        With ``hand_on``, the pieces of a sequence for which they ran out, and with them the last ones, wait on.
+        """
         if len(self.pieces) <= keep:
             return
         pieces, limits = self.pieces, np.array(self.limits, float)
@@ -148,6 +155,9 @@ class Packer:
                 pieces[at] = (doc_id, start + head, ids[head:], total, loss_from)
                 sizes[at] = (len(ids) - head, 1, self._loss(start + head, len(ids) - head, loss_from))
                 shares[at] = sizes[at] / limits
+            if hand_on and not left_over and room[0] >= 1 and room[1] >= 1:
+                self.pieces = placed
+                return
             self._emit(placed)
         self.pieces = [piece for piece, still in zip(pieces, free) if still]
 
@@ -172,13 +182,19 @@ class Packer:
             offset += len(ids)
         self.sequence += 1
 
-    def taken(self) -> pd.DataFrame:
-        rows, self.rows = self.rows, []
-        return pd.DataFrame(rows, columns=COLUMNS)
+    def taken(self, task: int | None = None) -> pd.DataFrame:
+        """Rows of the pieces placed since the last call; with ``task``, also those that wait, with what it takes to place them later."""
+        rows, self.rows = [(*row, None, None, None) for row in self.rows], []
+        if task is not None:
+            rows += [(doc_id, start, len(ids), None, total, None, None, None, task, loss_from, ids.tobytes())
+                     for doc_id, start, ids, total, loss_from in self.pieces]
+        whole = [*COLUMNS, *TAIL[:-1]]
+        return pd.DataFrame(rows, columns=[*COLUMNS, *TAIL]).astype({name: "Int64" for name in whole})
 
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
-SCHEMA = ", ".join(f"{name} bigint" for name in COLUMNS)
+TAIL = ["task", "loss_from", "ids"]
+SCHEMA = ", ".join(f"{name} bigint" for name in [*COLUMNS, *TAIL[:-1]]) + ", ids binary"
 
 
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -194,7 +210,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer_path)
-        packer = Packer(limits, TaskContext.get().partitionId() << 32)
+        task = TaskContext.get().partitionId()
+        packer = Packer(limits, task << 32)
         end = np.array([END_ID], np.uint32)
         for batch in batches:
             for doc_id, text, bears in zip(batch["doc_id"], batch["text"], batch["loss"]):
@@ -204,13 +221,35 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
                 if len(packer.pieces) >= 2 * POOL:
                     packer.drain(POOL)
             if packer.rows:
-                yield nullable(packer.taken())
-        packer.drain(0)
-        yield nullable(packer.taken())
-
-    return rows.mapInPandas(pieces, SCHEMA)
-
-
-def nullable(rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole numbers, with null ids kept null."""
-    return rows.astype({name: "Int64" for name in COLUMNS})
+                yield packer.taken()
+        packer.drain(0, hand_on=True)
+        yield packer.taken(task)
+
+    packed = stage(rows.mapInPandas(pieces, SCHEMA), "packed")
+    done = packed.filter("task IS NULL").select(*COLUMNS)
+    tails, number = packed.filter("task IS NOT NULL"), 0
+    while True:
+        # One row a group: the groups there are, at most the tasks of the scan over TAILS.
+        last = tails.agg(F.max("task").alias("t")).first()["t"]
+        if last is None:
+            return done
+        number += 1
+        again = stage(again_packed(tails, limits, number, last < TAILS), "packed")
+        done = done.unionByName(again.filter("task IS NULL").select(*COLUMNS))
+        if last < TAILS:
+            return done
+        tails = again.filter("task IS NOT NULL")
+
+
+def again_packed(tails: DataFrame, limits: Limits, number: int, is_last: bool) -> DataFrame:
+    """Tails of groups of tasks packed together; each group hands on one tail, the last one none."""
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["task", "doc_id", "start", "length", "ids"], ignore_index=True)
+        task = int(rows["task"].iloc[0]) // TAILS
+        packer = Packer(limits, number << 52 | task << 32)
+        for doc_id, start, ids, total, loss_from in zip(rows["doc_id"], rows["start"], rows["ids"], rows["doc_tokens"], rows["loss_from"]):
+            packer.waiting(None if pd.isna(doc_id) else int(doc_id), int(start), np.frombuffer(ids, np.uint32), int(total), int(loss_from))
+        packer.drain(0, hand_on=not is_last)
+        return packer.taken(task)
+
+    return tails.groupBy(F.floor(F.col("task") / TAILS)).applyInPandas(group, SCHEMA)

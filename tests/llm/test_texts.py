@@ -1,5 +1,6 @@
 """Extraction, licences, packing, toxicity and revisits against plain Python, with the odd cases."""
 
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -258,6 +259,16 @@ def toxic_rows(count, seed=0):
     return rows
 
 
+@pytest.mark.parametrize("parts", [1, 64, 211])
+def test_padding_does_not_depend_on_partitions(spark, parts):
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(1, 40)))) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), queries.tokenizer_path()).collect()
+    sequences = {r.sequence_id for r in got}
+    assert sum(r.length for r in got) > 0.97 * 4096 * len(sequences)
+    assert {r.doc_id for r in got} == set(range(3000))
+
+
 def test_toxicity_held_out(spark):
     rows = toxic_rows(1500)
     docs = spark.createDataFrame([(i, t, l, 0.5) for i, t, l, _ in rows] + [(None, None, None, 1.0), (10 ** 6, "", "xx", 1.0)],
