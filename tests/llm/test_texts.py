@@ -409,3 +409,50 @@ def test_pipeline(spark, sf_dir):
         assert seen.count()
     assert len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, sf_dir).columns == packing.COLUMNS
+
+
+PARAGRAPHS = [f"This is paragraph number {i} of the long story, with several words and even a comma or two in it." for i in range(6)]
+
+
+@pytest.mark.parametrize("frame", [
+    '<div class="container with-sidebar">%s</div>', '<div class="post hidden-xs">%s</div>', '<div class="entry no-comments">%s</div>',
+    '<article class="post related">%s</article>', '<article><h1>Title</h1><section id="public-notice">%s</section></article>',
+    '<form id="aspnetForm">%s</form>', '<div class="page-header"><div class="promo">%s</div></div>'])
+def test_hints_do_not_bar_the_whole_article(frame):
+    inner = "".join(f"<p>{text}</p>" for text in PARAGRAPHS) + '<div class="comments"><p>' + "I liked it a lot. " * 9 + "</p></div>"
+    page = f'<body><nav><a href="/">Home</a></nav>{frame % inner}<div class="cookie-notice">We use cookies on this site.</div><footer>Copyright</footer></body>'
+    got = extract.main_text(page).split("\n")
+    assert [line for line in got if line != "Title"] == PARAGRAPHS
+
+
+def test_comments_longer_than_the_article_stay_out():
+    page = f"<body><article><p>{PARAGRAPHS[0]}</p></article><section class='comments'>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS * 4) + "</section></body>"
+    assert extract.main_text(page) == PARAGRAPHS[0]
+
+
+def test_heading_and_end_beside_the_region_are_kept():
+    inner = "".join(f"<p>{text}</p>" for text in PARAGRAPHS)
+    page = f"<body><div><div><h2>A heading</h2></div><div>{inner}</div><div>The end.</div></div></body>"
+    assert extract.main_text(page).split("\n") == ["A heading", *PARAGRAPHS, "The end."]
+
+
+@pytest.mark.parametrize("broken", ["<![>", "<![<svg>", "<![if x", "<!-", "<!DOCTYPE [<!x>", "<![CDATA[ <p> ]]>", "</", "<a <b>", "&#xFFFFFFFF;"])
+def test_broken_markup_ends_no_job(broken):
+    inner = "".join(f"<p>{text}</p>" for text in PARAGRAPHS)
+    assert extract.main_text(f"<body><article>{inner}{broken}<p>more</p></article>").startswith(PARAGRAPHS[0])
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+    for piece in ("<div>x ", "<div class='sidebar'>x ", "<b>x ", "<section class='promo'><p>word "):
+        start = time.process_time()
+        extract.main_text(piece * 20_000)
+        assert time.process_time() - start < 5
+
+
+def test_pages_in_a_table(spark):
+    schema = "page_id bigint, url string, html string, text int"
+    rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "", 2), (3, "v", f"<p>{PARAGRAPHS[0]}</p>", 3)]
+    got = sorted(map(tuple, extract.extract(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "", 0), (3, "v", PARAGRAPHS[0], len(PARAGRAPHS[0]))], key=str)
+    assert extract.extract(spark.createDataFrame([], schema)).collect() == []
