@@ -6,7 +6,7 @@ id. Amounts are integer cents, so every sum is exact whatever order it is added
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -165,6 +165,66 @@ def emails_per_card_bin(df: DataFrame, bins: int = 50, limit: int = TASK_ROWS) -
                   vel_unique_emails=F.count_distinct("P_emaildomain"))
 
 
+def emails_prior_24h(df: DataFrame, limit: int = TASK_ROWS) -> DataFrame:
+    """Distinct email domains among the card's earlier payments of the last day; nothing later is looked at.
+
+    A payment stands for its domain until the card's next one with that domain, or for a day, whichever ends first. So the
+    distinct domains before a payment are the earlier payments, less those among them that took over from one of the last
+    day, less those whose day ended without a successor: three running counts, whatever the width of the window.
+    """
+    df = df.select(*KEY, "P_emaildomain")
+    hot = hot_keys(df, ["card1"], limit)
+    if hot is None:
+        counted = _domains_by_window(df)
+    else:
+        hot_rows, others = split_hot(df, ["card1"], hot)
+        counted = _domains_by_window(others).unionByName(_domains_by_scan(hot_rows))
+    return counted.select(*KEY, (F.col("_seen") - F.col("_ended")).cast("long").alias("vel_emails_prior_24h"))
+
+
+def _domains_by_window(df: DataFrame) -> DataFrame:
+    """One shuffle by card: what each payment starts, takes over and ends, and the running counts of these."""
+    same = W.partitionBy("card1", "P_emaildomain").orderBy("TransactionDT", "TransactionID")
+    known, time = F.col("P_emaildomain").isNotNull(), F.col("TransactionDT")
+    takes = known & F.coalesce(time - F.lag("TransactionDT").over(same) <= DAY, F.lit(False))
+    taken = F.coalesce(F.lead("TransactionDT").over(same) - time <= DAY, F.lit(False))
+    marked = df.repartition("card1").select(
+        *KEY, (known & ~takes).cast("long").alias("_new"), (known & ~taken).cast("long").alias("_last"))
+    line = W.partitionBy("card1").orderBy("TransactionDT", "TransactionID")
+    day_over = W.partitionBy("card1").orderBy("TransactionDT").rangeBetween(W.unboundedPreceding, -DAY - 1)
+    return marked.select(*KEY, F.coalesce(F.sum("_new").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_seen"),
+                         F.coalesce(F.sum("_last").over(day_over), F.lit(0)).alias("_ended"))
+
+
+def _domains_by_scan(df: DataFrame) -> DataFrame:
+    """The same counts for cards too large for one task, from two scans with marks a day before and after each payment."""
+    one = F.col("P_emaildomain").isNotNull().cast("long")
+    near = _at_marks(df, ["card1", "P_emaildomain"], ["P_emaildomain"], {"before": -DAY, "after": DAY}, {"_n": one})
+    marked = near.select(*KEY, (one * (F.col("_n_row") == F.col("_n_before")).cast("long")).alias("_new"),
+                         (one * (F.col("_n_after") == F.col("_n_row") + 1).cast("long")).alias("_last"))
+    found = _at_marks(marked, ["card1"], ["_new", "_last"], {"before": -DAY}, {"_new": F.col("_new"), "_last": F.col("_last")})
+    return found.select(*KEY, F.col("_new_row").alias("_seen"), F.col("_last_before").alias("_ended"))
+
+
+def _at_marks(df: DataFrame, keys: Sequence[str], keep: Sequence[str], marks: Mapping[str, int],
+              sums: Mapping[str, Column]) -> DataFrame:
+    """Per payment, running sums over its key at the payment ("row") and at its marks, each so many seconds away.
+
+    A mark in the past stands before the payments of its second, one in the future after them.
+    """
+    events = [F.struct(F.col("TransactionDT").alias("at"), F.lit(1).alias("turn"), F.lit("row").alias("mark"))]
+    events += [F.struct((F.col("TransactionDT") + away).alias("at"), F.lit(0 if away < 0 else 2).alias("turn"), F.lit(name).alias("mark"))
+               for name, away in marks.items()]
+    kept = list(dict.fromkeys([*KEY, *keep]))
+    spread = df.select(*kept, F.explode(F.array(*events)).alias("e")).select(*kept, "e.*")
+    scanned = range_scan(spread, keys, ["at", "turn", "TransactionID", "mark"], {
+        f"_run_{name}": F.when(F.col("mark") == "row", value).otherwise(F.lit(0)) for name, value in sums.items()})
+    return scanned.groupBy(*KEY).agg(
+        *[F.max(name).alias(name) for name in keep],
+        *[F.max(F.when(F.col("mark") == mark, F.col(f"_run_{name}"))).alias(f"{name}_{mark}")
+          for name in sums for mark in ("row", *marks)])
+
+
 BAND_EDGES = [(0, 1, "1"), (1, 3, "2-3"), (3, 5, "4-5"), (5, 10, "6-10"), (10, 999, "11-999")]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from risklane.operators import velocity as V
 from risklane.plans.registry import query
 from risklane.sources.views import view
@@ -151,3 +153,32 @@ def emails_per_card_day_split(spark, sf_dir):
 @query("emails_per_card_bin", "txn", _BIN)
 def emails_per_card_bin(spark, sf_dir):
     return V.emails_per_card_bin(view(spark, sf_dir, "txn"))
+
+
+_PRIOR_EMAILS = """
+SELECT a.TransactionID, a.card1, a.TransactionDT, count(DISTINCT b.P_emaildomain) AS vel_emails_prior_24h
+FROM {source} a LEFT JOIN {source} b ON a.card1 = b.card1 AND a.TransactionDT - b.TransactionDT <= 86400 AND
+  (b.TransactionDT < a.TransactionDT OR (b.TransactionDT = a.TransactionDT AND b.TransactionID < a.TransactionID))
+GROUP BY a.TransactionID, a.card1, a.TransactionDT"""
+# Orders with a domain by their customer: days of one card hold many payments of the same second.
+_TIED = """(SELECT *, CASE cents % 5 WHEN 0 THEN 'a.com' WHEN 1 THEN 'b.com' WHEN 2 THEN 'c.com' WHEN 3 THEN 'd.com' END AS P_emaildomain FROM txn_orders)"""
+
+
+def _tied(spark, sf_dir):
+    domain = F.element_at(F.array(*[F.lit(x) for x in ("a.com", "b.com", "c.com", "d.com")], F.lit(None)), (F.col("cents") % 5 + 1).cast("int"))
+    return view(spark, sf_dir, "txn_orders").withColumn("P_emaildomain", domain)
+
+
+@query("emails_prior_24h", "txn", _PRIOR_EMAILS.format(source="txn"))
+def emails_prior_24h(spark, sf_dir):
+    return V.emails_prior_24h(view(spark, sf_dir, "txn"))
+
+
+@query("emails_prior_24h_ties", "txn_orders", _PRIOR_EMAILS.format(source=_TIED))
+def emails_prior_24h_ties(spark, sf_dir):
+    return V.emails_prior_24h(_tied(spark, sf_dir))
+
+
+@query("emails_prior_24h_split", "txn_orders", _PRIOR_EMAILS.format(source=_TIED))
+def emails_prior_24h_split(spark, sf_dir):
+    return V.emails_prior_24h(_tied(spark, sf_dir), limit=FORCED_SPLIT)
