@@ -81,3 +81,24 @@ def test_no_window_without_keys_over_raw_rows(df):
     plan = O.range_scan(df, [], ["t", "id"], {"n": F.lit(1).cast("long")})._jdf.queryExecution().executedPlan().toString()
     # The row window is partitioned by slice; only the table of slice totals is windowed whole.
     assert "windowspecdefinition(_slice" in plan
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_quantiles_by_bracket(spark, keys):
+    """Only the values near the quantiles are counted one by one, and the result stays exact, ties and extremes included."""
+    from pyspark.sql import functions as F
+    from risklane.operators import quantiles as Q
+    df = spark.range(60_000).select(
+        (F.col("id") % 3).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7.0).alias("v")).unionByName(
+        spark.range(5000).select(F.lit(1).cast("long").alias("k"), F.lit(5.0).alias("v"))).cache()
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    table = df.toPandas()
+    expected = {0: np.quantile(table["v"], probs)} if not keys else {k: np.quantile(part["v"], probs) for k, part in table.groupby("k")}
+    for row in quantiles(df, keys, "v", probs, whole=0).collect():
+        assert row["quantiles"] == pytest.approx(expected[row["k"] if keys else 0].tolist())
+    found = Q.brackets(df, keys, "v", probs, 0)
+    assert Q.counted_values(df, keys, "v", found).count() < 0.02 * 65_000
+    # A bracket that misses its quantile is noticed.
+    off = found.withColumn("_brackets", F.array(F.struct(F.lit(-9.0).alias("low"), F.lit(-8.0).alias("high"))))
+    cut = Q._ranked(Q.counted_values(df, keys, "v", off), keys, "v", [0.5], "q", 1000)
+    assert [row["q"] for row in cut.collect()] == [[None]] * len(expected)
