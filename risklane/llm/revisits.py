@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from risklane.llm.common import stage
+from risklane.llm.common import let, stage
 
 # Headers of a 304 that must not replace those of the stored response (connection-bound ones, and those that describe a body).
 NOT_MERGED = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer",
@@ -37,8 +37,14 @@ def strong(tag: Column) -> Column:
 
 
 def lowered(headers: Column) -> Column:
-    """Header names in lower case; of names that then agree, the last value counts."""
-    return F.map_from_entries(F.map_entries(F.transform_keys(headers, lambda name, _: F.lower(name))))
+    """Headers with names in lower case; of names that then agree, the last one counts."""
+    named = F.transform(F.map_entries(headers), lambda h: F.struct(F.lower(h["key"]).alias("key"), h["value"].alias("value")))
+
+    def last_of_each(every: Column) -> Column:
+        again = lambda h, i: F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["key"] == h["key"])
+        return F.map_from_entries(F.filter(every, lambda h, i: ~again(h, i)))
+
+    return let(named, last_of_each)
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
@@ -75,12 +81,13 @@ def resolve(records: DataFrame) -> DataFrame:
     is strictly earlier, and for a null URL or time; ``no_validator`` when the revisit has neither an entity tag nor a date
     of change; ``changed`` when its tag (or, without one, its date) is not the response's. Only resolved revisits have a
     response and merged headers. Of responses at the same time the greater record id is the later one. Null headers
-    count as none, repeated revisits are resolved alike, and other columns are ignored.
+    count as none; of header names that differ in case only, the last one counts. Repeated revisits are resolved alike, an empty
+    table gives an empty result, and other columns are ignored.
     """
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     found = records.select(
         F.col("record_id"), canonical(F.col("url")).alias("key"), F.col("at"), F.col("kind"),
-        F.coalesce(F.transform_keys("headers", lambda name, _: F.lower(name)), none).alias("headers"),
+        F.coalesce(lowered(F.col("headers")), none).alias("headers"),
         ((F.col("kind") == "response") & (F.col("status") == 200)).alias("full"))
     lines = found.filter(F.col("key").isNotNull() & F.col("at").isNotNull() & (F.col("full") | (F.col("kind") == "revisit")))
     ranked = lines.select("key", "at", F.when(F.col("kind") == "revisit", 0).otherwise(1).alias("rank"), "record_id", "kind", "headers",
@@ -106,7 +113,8 @@ def resolve(records: DataFrame) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """An archive of two records per page: its response, and a revisit 20 time steps later under another spelling of its URL.
 
-    Times follow the page ids, so pages with one canonical URL come between a response and its revisit.
+    Times follow the page ids, so pages with one canonical URL come between a response and its revisit. A null page id gives
+    records without id and time, a null page one of size 0; repeated pages give repeated records.
     """
     text = F.coalesce("html", F.lit(""))
     base = pages.select(F.col("page_id"), "url", F.md5(text).alias("tag"), F.octet_length(text).cast("string").alias("size"))

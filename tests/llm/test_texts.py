@@ -456,3 +456,11 @@ def test_pages_in_a_table(spark):
     got = sorted(map(tuple, extract.extract(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "", 0), (3, "v", PARAGRAPHS[0], len(PARAGRAPHS[0]))], key=str)
     assert extract.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_header_names_that_differ_in_case(spark):
+    schema = "record_id bigint, url string, at bigint, kind string, status int, headers map<string,string>"
+    rows = [(1, "http://a.org/x", 1, "response", 200, {"ETag": "old", "etag": "new", "X-A": "1", "x-a": "2"}),
+            (2, "http://a.org/x", 2, "revisit", 304, {"etag": "old", "ETAG": "new"}), (3, "http://a.org/x", 3, "revisit", 304, None)]
+    got = {r.record_id: (r.outcome, r.headers) for r in revisits.resolve(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {2: ("resolved", "etag: new\nx-a: 2"), 3: ("no_validator", None)}
