@@ -24,7 +24,10 @@ SHARE = 1.5
 MOST = 2
 # A source counts as solved when its expected words are this near its target, relatively.
 TOLERANCE = 1e-9
-MOST_STEPS = 60
+# Newton steps before the bracket is only halved, and the steps by which it must be too narrow to halve.
+NEWTON_STEPS, MOST_STEPS = 40, 140
+# Most sizes of one source that are rounded in one fold.
+FOLD = 1024
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
@@ -59,11 +62,17 @@ def rate_of(tilt: Column, size: Column, mean: Column, most: int) -> Column:
     return F.lit(float(most)) / (F.lit(1.0) + F.exp(-tilt * size / mean))
 
 
+def exact(value: Column) -> Column:
+    """Sum of doubles that is the same in whatever order the rows come: each is rounded to nine decimal places first."""
+    return F.sum(value.cast("decimal(38,9)")).cast("double")
+
+
 def solve(cells: DataFrame, wanted: DataFrame, most: int = MOST) -> DataFrame:
     """Multiplier per source, by safeguarded Newton steps on the dual.
 
     Sources at their cap (rate ``most`` for all) and sources without words need none. The words drawn rise with
     lambda, so every step narrows a bracket; a step that leaves it is replaced by the bracket's middle.
+    After ``NEWTON_STEPS`` steps the bracket is halved until it is solved or too narrow to halve; running out of steps is an error.
     The state is one row per source, written after each step.
     """
     bound = 60.0
@@ -77,50 +86,75 @@ def solve(cells: DataFrame, wanted: DataFrame, most: int = MOST) -> DataFrame:
     state = stage(state.alias("s").join(means.alias("m"), same("s", "m")).select(
         "s.*", "mean", (F.col("mean") / F.col("smallest") * bound).alias("reach"))
         .withColumn("low", -F.col("reach")).withColumn("high", F.col("reach")).drop("reach"), "tilts")
-    for _ in range(MOST_STEPS):
+    for number in range(MOST_STEPS):
         if state.filter("not done").isEmpty():
             break
         rate = rate_of(F.col("tilt"), F.col("size"), F.col("mean"), most)
         words = F.col("size") * F.col("docs")
         drawn = cells.alias("c").join(state.filter("not done").alias("s"), same("c", "s")).groupBy("s.source").agg(
-            F.sum(words * rate).alias("drawn"),
-            F.sum(words * rate * (F.lit(1.0) - rate / F.lit(float(most))) * F.col("size") / F.col("mean")).alias("slope"))
+            exact(words * rate).alias("drawn"),
+            exact(words * rate * (F.lit(1.0) - rate / F.lit(float(most))) * F.col("size") / F.col("mean")).alias("slope"))
         gap = F.col("drawn") - F.col("target")
         low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - gap / F.col("slope")
-        step = F.when((F.col("slope") > 0) & (newton > F.col("_low")) & (newton < F.col("_high")), newton) \
-            .otherwise((F.col("_low") + F.col("_high")) / 2)
-        near = F.abs(gap) <= F.col("target") * TOLERANCE
+        middle = (F.col("_low") + F.col("_high")) / 2
+        step = middle if number >= NEWTON_STEPS else F.when(
+            (F.col("slope") > 0) & (newton > F.col("_low")) & (newton < F.col("_high")), newton).otherwise(middle)
+        # Nothing lies between the ends of a bracket as narrow as its own rounding.
+        narrow = F.col("_high") - F.col("_low") <= F.greatest(F.abs("_low"), F.abs("_high")) * 1e-15
+        near = (F.abs(gap) <= F.col("target") * TOLERANCE) | narrow
         state = stage(state.alias("s").join(drawn.alias("d"), same("s", "d"), "left")
                       .select("s.*", "drawn", "slope")
                       .withColumn("_low", low).withColumn("_high", high)
-                      .withColumn("_tilt", F.when(F.col("done") | near, F.col("tilt")).otherwise(step))
+                      .withColumn("_near", near)
+                      .withColumn("_tilt", F.when(F.col("done") | F.col("_near"), F.col("tilt")).otherwise(step))
                       .select("source", "target", "source_size", F.col("_tilt").alias("tilt"),
                               F.when(F.col("done"), F.col("low")).otherwise(F.col("_low")).alias("low"),
                               F.when(F.col("done"), F.col("high")).otherwise(F.col("_high")).alias("high"),
-                              (F.col("done") | F.coalesce(near, F.lit(True))).alias("done"), "mean"), "tilts")
+                              (F.col("done") | F.coalesce("_near", F.lit(True))).alias("done"), "mean"), "tilts")
+    else:
+        if not state.filter("not done").isEmpty():
+            raise ArithmeticError(f"no multiplier found in {MOST_STEPS} steps")
     return state.select("source", "tilt", "mean")
 
 
-def copies_per_cell(rated: DataFrame, most: int = MOST) -> DataFrame:
-    """(source, size, docs, target, rate) with whole copies per cell, whose words add up to the target.
+def copies_per_cell(rated: DataFrame, most: int = MOST, fold: int = FOLD) -> DataFrame:
+    """(source, size, docs, rate) with whole copies per cell, whose words add up to the target.
 
-    The fold runs over the distinct sizes of one source, largest first.
+    A fold over sizes, largest first, gives each cell the copies owed so far and hands on the rest. Sources of more than ``fold``
+    sizes are folded in blocks, each from nothing owed; the block of the smallest sizes comes last and starts from what
+    all blocks before it left over, so the end is as near the target as one long fold's.
     """
-    sizes = F.sort_array(F.collect_list(F.struct("size", "docs", "rate")), asc=False)
+    counts = rated.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = F.ceil(F.col("_n") / fold)
+    placed = running_sums(rated, ["source"], ["size"], {"_at": F.lit(1).cast("long")}).alias("r") \
+        .join(counts.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source"))) \
+        .select("r.source", "size", "docs", "rate", F.floor(F.col("_at") * blocks / F.col("_n")).alias("_block"))
+    blocked = stage(placed.groupBy("source", "_block").agg(
+        F.sort_array(F.collect_list(F.struct("size", "docs", "rate")), asc=False).alias("cells")), "blocks")
+
+    def owed_copies(owed: Column, cell: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(cell["docs"] * most, F.round(owed / cell["size"]))).cast("long")
 
     def give(state: Column, cell: Column) -> Column:
         owed = state["owed"] + cell["docs"] * cell["rate"] * cell["size"]
-        copies = F.greatest(F.lit(0), F.least(cell["docs"] * most, F.round(owed / cell["size"]))).cast("long")
+        copies = owed_copies(owed, cell)
         return F.struct((owed - copies * cell["size"]).alias("owed"), F.array_append(state["given"], F.struct(
             cell["size"].alias("size"), cell["docs"].alias("docs"), cell["rate"].alias("rate"),
             copies.alias("cell_copies"))).alias("given"))
 
     empty = F.array().cast("array<struct<size:bigint,docs:bigint,rate:double,cell_copies:bigint>>")
-    start = F.struct(F.lit(0.0).alias("owed"), empty.alias("given"))
-    return rated.groupBy("source").agg(sizes.alias("cells")) \
-        .select("source", F.inline(F.aggregate("cells", start, give, lambda state: state["given"])))
+
+    def folded(start: Column) -> Column:
+        return F.aggregate("cells", F.struct(start.alias("owed"), empty.alias("given")), give)
+
+    first = stage(blocked.filter("_block > 0").select("source", folded(F.lit(0.0)).alias("state")), "folded")
+    # Summed as decimals: the order of the blocks is free.
+    over = first.groupBy("source").agg(F.sum(F.col("state.owed").cast("decimal(38,9)")).cast("double").alias("_over"))
+    last = blocked.filter("_block = 0").alias("b").join(over.alias("o"), F.col("b.source").eqNullSafe(F.col("o.source")), "left") \
+        .select("b.source", folded(F.coalesce("_over", F.lit(0.0))).alias("state"))
+    return first.unionByName(last).select("source", F.inline("state.given"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
