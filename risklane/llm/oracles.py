@@ -68,9 +68,9 @@ NEAR_VECTORS = f"""
 WITH RECURSIVE e AS (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 n AS (SELECT k, vec_id, v, coalesce(len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     AND len(list_filter(v, lambda x: x <> 0)) > 0, false) AS ok FROM e),
-d AS (SELECT len(v) AS size FROM n WHERE ok GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1),
-u AS (SELECT k, v FROM n, d WHERE ok AND len(v) = size),
-l AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.k <> b.k AND list_cosine_similarity(a.v, b.v) >= 0.95),
+u AS (SELECT k, v, len(v) AS size FROM n WHERE ok),
+l AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.size = b.size AND a.k <> b.k
+    AND CASE WHEN a.size = b.size THEN list_cosine_similarity(a.v, b.v) END >= 0.95),
 {REACH},
 m AS (SELECT r.k, min(n.vec_id) AS least FROM r JOIN n ON n.k = r.j GROUP BY r.k),
 h AS (SELECT a AS k, count(*) AS links FROM l GROUP BY a)

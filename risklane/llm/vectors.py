@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from risklane.llm.common import stage
 from risklane.llm.components import components, trees
@@ -59,7 +59,7 @@ def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One task over the bounded sample."""
     rows = pd.concat(list(batches), ignore_index=True)
     if len(rows):
-        points = np.stack([unit(v) for v in rows.sort_values("_order", ignore_index=True)["v"]]).astype(np.float32)
+        points = Units(rows.sort_values("_order", ignore_index=True)["v"]).folded(int(rows["_width"].iloc[0])).astype(np.float32)
         lists = centroids(points, int(np.clip(np.sqrt(rows["_n"].iloc[0]), 1, 1024)), 1)
         nearest = np.concatenate([distances(points[i:i + 4096], lists).argmin(1) for i in range(0, len(points), 4096)])
         rest = points - lists[nearest]
@@ -77,6 +77,7 @@ class Index:
         widths = [book.shape[1] for book in self.books]
         self.ends = np.cumsum(widths)
         self.starts = self.ends - widths
+        self.width = self.lists.shape[1]
         self.between = np.sqrt(distances(self.lists, self.lists))
 
     def code(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,14 +105,47 @@ class Index:
         return np.sqrt(np.maximum(total, 0))
 
 
-def unit(vector) -> np.ndarray:
-    found = np.asarray(vector, np.float64)
-    return found / np.linalg.norm(found)
-
-
-def stacked(column: pd.Series) -> np.ndarray:
-    points = np.stack(column.to_numpy()).astype(np.float64)
-    return points / np.linalg.norm(points, axis=1)[:, None]
+class Units:
+    """Vectors divided by their length in double precision, one table per number of components."""
+
+    def __init__(self, column: pd.Series) -> None:
+        vectors = column.to_numpy()
+        self.lengths = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        self.places = np.zeros(len(vectors), np.int64)
+        self.rows, self.tables = {}, {}
+        for length in np.unique(self.lengths).tolist():
+            at = np.flatnonzero(self.lengths == length)
+            points = np.stack(vectors[at]).astype(np.float64)
+            # First by a power of two near the greatest component, which is exact, so that no square over- or underflows.
+            points = np.ldexp(points, -np.frexp(np.abs(points).max(axis=1))[1][:, None])
+            self.places[at] = np.arange(len(at))
+            self.rows[length], self.tables[length] = at, points / np.linalg.norm(points, axis=1)[:, None]
+
+    def folded(self, width: int) -> np.ndarray:
+        """One row of ``width`` numbers per vector: a shorter one is filled up with 0, a longer one is added up in strides.
+
+        Sums of k components are divided by the square root of k, so no distance between vectors of one length grows, and
+        what is near stays near. Vectors of ``width`` numbers stay as they are.
+        """
+        if list(self.tables) == [width]:
+            return self.tables[width]
+        out = np.zeros((len(self.lengths), width))
+        for length, points in self.tables.items():
+            strides = -(-length // width)
+            padded = np.zeros((len(points), strides * width))
+            padded[:, :length] = points
+            added = strides - (np.arange(width) + (strides - 1) * width >= length)
+            out[self.rows[length]] = padded.reshape(len(points), strides, width).sum(axis=1) / np.sqrt(np.maximum(added, 1))
+        return out
+
+    def linked(self, other: Units, r: np.ndarray, c: np.ndarray, least: float) -> np.ndarray:
+        """Whether vectors r of this set and c of the other, pair by pair, have a cosine of at least ``least``; those of different lengths have none."""
+        found = np.zeros(len(r), bool)
+        for length in self.tables.keys() & other.tables.keys():
+            at = np.flatnonzero((self.lengths[r] == length) & (other.lengths[c] == length))
+            mine, theirs = self.tables[length][self.places[r[at]]], other.tables[length][other.places[c[at]]]
+            found[at] = np.einsum("ij,ij->i", mine, theirs) >= least
+        return found
 
 
 def block(number: int, members: pd.DataFrame, probers: pd.DataFrame, index: Index, least: float) -> pd.DataFrame:
@@ -120,13 +154,14 @@ def block(number: int, members: pd.DataFrame, probers: pd.DataFrame, index: Inde
     A member that does not probe the prober's list gets its share of the link here too.
     """
     reach = float(np.sqrt(2 - 2 * least))
-    m, p = stacked(members["v"]), stacked(probers["point"])
+    m_units, p_units = Units(members["v"]), Units(probers["point"])
+    p = p_units.folded(index.width)
     codes = np.stack([np.frombuffer(c, np.uint8) for c in members["codes"]])
     missed = members["missed"].to_numpy()
     m_ids, p_ids, weights = members["id"].to_numpy(), probers["own"].to_numpy(), members["weight"].to_numpy()
     homes, p_weights = probers["home"].to_numpy(), probers["p_weight"].to_numpy()
     asks = np.unpackbits(np.stack([np.frombuffer(a, np.uint8) for a in members["asks"]]), axis=1)
-    counts, back, pairs = np.zeros(len(p), np.int64), np.zeros(len(m), np.int64), []
+    counts, back, pairs = np.zeros(len(p_ids), np.int64), np.zeros(len(m_ids), np.int64), []
     for start in range(0, len(p), 512):
         part = p[start:start + 512]
         near = index.estimates(part.astype(np.float32), number, codes) - missed[None, :] <= reach + 1e-3
@@ -135,7 +170,7 @@ def block(number: int, members: pd.DataFrame, probers: pd.DataFrame, index: Inde
         rows, columns = rows[different], columns[different]
         for at in range(0, len(rows), 1 << 16):
             r, c = rows[at:at + (1 << 16)], columns[at:at + (1 << 16)]
-            linked = np.einsum("ij,ij->i", part[r], m[c]) >= least
+            linked = p_units.linked(m_units, start + r, c, least)
             r, c = start + r[linked], c[linked]
             np.add.at(counts, r, weights[c])
             alone = asks[c, homes[r]] == 0
@@ -151,29 +186,31 @@ def block(number: int, members: pd.DataFrame, probers: pd.DataFrame, index: Inde
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST_COSINE) -> DataFrame:
     """Links, component and decision for every row of ``df``, repeated rows included.
 
-    A vector that is null, empty, zero, or holds a null or non-finite component is linked with nothing; so is one whose
-    length is not the commonest one (of equally common lengths the greatest). Rows that repeat an id are separate vectors: copies of each other are links. Other columns of ``df``, labels
-    too, are ignored.
+    A vector that is null, empty, zero, or holds a null or non-finite component is linked with nothing. Vectors of different
+    lengths are not linked with each other; lengths are searched together, in an index as wide as the commonest one (of equally
+    common lengths the greatest). Rows that repeat an id are separate vectors: copies of each other are links. Other columns of
+    ``df``, labels too, are ignored.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+    # Components stay in single precision where the table has no more than that.
+    single = df.select(vector_col).schema[0].dataType == T.ArrayType(T.FloatType())
+    number = "float" if single else "double"
+    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(f"array<{number}>").alias("v"))
     sound = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
                        & F.exists("v", lambda x: x != 0), F.lit(False))
     marked = rows.withColumn("key", F.when(sound, F.md5(F.array_join(F.transform(
-        "v", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x).cast("string")), ","))))
-    usual = marked.filter("key is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    size = usual["n"] if usual else 0
-    marked = marked.withColumn("key", F.when(F.size("v") == size, F.col("key")))
-    # A class has a number of its own: its least id, or for ids that repeat or are null a hash of its key would do as well;
-    # components are named by their least id in the end.
+        "v", lambda x: F.when(x == 0, F.lit(0.0).cast(number)).otherwise(x).cast("string")), ","))))
+    # A class is numbered as it is written; components are named by their least id in the end.
     classes = stage(marked.filter("key is not null").groupBy("key").agg(
         F.first("v").alias("v"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id"))
-        .withColumn("id", F.xxhash64("key")), "vectors")
+        .withColumn("id", F.monotonically_increasing_id()), "vectors")
+    usual = classes.groupBy(F.size("v").alias("n")).agg(F.sum("weight").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
     total = classes.count()
     linked = None
     if total:
-        made = stage(classes.select("v", F.col("id").alias("_order")).orderBy("_order").limit(SAMPLE)
-                     .withColumn("_n", F.lit(total)).repartition(1).mapInPandas(fit, "index binary"), "index")
+        # Keys are hashes, so the first ones are a random sample, the same in every run.
+        made = stage(classes.select("v", F.col("key").alias("_order")).orderBy("_order").limit(SAMPLE)
+                     .withColumn("_n", F.lit(total)).withColumn("_width", F.lit(usual["n"])).repartition(1).mapInPandas(fit, "index binary"), "index")
         linked = stage(_links(classes, spark.sparkContext.broadcast(made.first()["index"]), least), "links")
     if linked is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")) \
@@ -199,7 +236,7 @@ def _links(classes: DataFrame, held, least: float) -> DataFrame:
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(held.value)
         for batch in batches:
-            points = stacked(batch["v"]).astype(np.float32)
+            points = Units(batch["v"]).folded(index.width).astype(np.float32)
             number, codes, missed = index.code(points)
             probed = index.probes(points, reach)
             yield pd.DataFrame({"id": batch["id"], "weight": batch["weight"], "v": batch["v"], "list": number,
@@ -207,7 +244,8 @@ def _links(classes: DataFrame, held, least: float) -> DataFrame:
                                 "asks": [row.tobytes() for row in np.packbits(probed, axis=1)],
                                 "probes": [np.flatnonzero(row).tolist() for row in probed]})
 
-    schema = "id bigint, weight bigint, v array<float>, list int, codes binary, missed double, asks binary, probes array<int>"
+    kind = classes.schema["v"].dataType.simpleString()
+    schema = f"id bigint, weight bigint, v {kind}, list int, codes binary, missed double, asks binary, probes array<int>"
     indexed = stage(classes.select("id", "weight", "v").mapInPandas(coded, schema), "coded")
     members = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("members"))
     asked = indexed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("probers"))

@@ -147,10 +147,12 @@ def vector_rows(seed, size=24):
     return [(1000 + i, v, "x") for i, v in enumerate(rows)] + [(None, rows[2], "y"), (1000, rows[3], "y")]
 
 
-def brute_vectors(rows, size):
-    ok = [v is not None and len(v) == size and None not in v and all(map(math.isfinite, v)) and any(v) for _, v, _ in rows]
-    units = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if good else None for good, (_, v, _) in zip(ok, rows)]
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if ok[i] and ok[j] and units[i] @ units[j] >= 0.95]
+def brute_vectors(rows):
+    ok = [v is not None and None not in v and all(map(math.isfinite, v)) and any(v) for _, v, _ in rows]
+    scaled = [np.array(v, float) / max(map(abs, v)) if good else None for good, (_, v, _) in zip(ok, rows)]
+    units = [v / np.linalg.norm(v) if good else None for good, v in zip(ok, scaled)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)
+             if ok[i] and ok[j] and len(units[i]) == len(units[j]) and units[i] @ units[j] >= 0.95]
     links = Counter(i for pair in pairs for i in pair)
     roots = roots_of(len(rows), pairs)
     out = []
@@ -167,12 +169,28 @@ def test_near_vectors(spark, seed, monkeypatch):
     monkeypatch.setattr(vectors, "PROBERS", 16)
     rows = vector_rows(seed)
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, key string").repartition(3)
-    assert Counter(tuple(r) for r in vectors.near_vectors(df).collect()) == brute_vectors(rows, 24)
+    assert Counter(tuple(r) for r in vectors.near_vectors(df).collect()) == brute_vectors(rows)
+
+
+def test_near_vectors_of_every_length_in_doubles(spark, monkeypatch):
+    """Near copies of 5, 24 and 61 numbers, and vectors far outside single precision."""
+    monkeypatch.setattr(vectors, "MEMBERS", 16)
+    rng = np.random.default_rng(4)
+    rows = [v for v, in [(row[1],) for row in vector_rows(4)] if v is not None]
+    for size in (5, 61):
+        for centre in rng.standard_normal((12, size)):
+            rows += [(centre + rng.standard_normal(size) * 0.2).tolist() for _ in range(3)]
+    rows += [[1e-50] * 4, [1e-50] * 4, [1e300, -1e300, 0.0, 0.0], [2e300, -2e300, 1e299, 0.0], [5e-324, 0.0], [1e308, 0.0]]
+    rows = [(i, v, "x") for i, v in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, key string").repartition(3)
+    got = vectors.near_vectors(df).collect()
+    assert Counter(tuple(r) for r in got) == brute_vectors(rows)
+    assert [r.n_links for r in sorted(got, key=lambda r: r.vec_id)[-6:]] == [1] * 6
 
 
 def test_near_vectors_of_the_table(spark, sf_dir):
     rows = [(r.vec_id, r.embedding, "") for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
-    assert Counter(tuple(r) for r in queries.op5_near_vectors(spark, sf_dir).collect()) == brute_vectors(rows, len(rows[0][1]))
+    assert Counter(tuple(r) for r in queries.op5_near_vectors(spark, sf_dir).collect()) == brute_vectors(rows)
 
 
 def test_probes_find_the_links():
@@ -182,7 +200,7 @@ def test_probes_find_the_links():
     centres = rng.standard_normal((900, 64))
     points = np.concatenate([centres, centres + rng.standard_normal(centres.shape) * 0.3])
     points /= np.linalg.norm(points, axis=1)[:, None]
-    sample = pd.DataFrame({"v": list(points), "_order": range(len(points)), "_n": len(points)})
+    sample = pd.DataFrame({"v": list(points), "_order": range(len(points)), "_n": len(points), "_width": 64})
     index = vectors.Index(next(vectors.fit(iter([sample])))["index"][0])
     number, _, _ = index.code(points.astype(np.float32))
     probed = index.probes(points.astype(np.float32), math.sqrt(0.1))
