@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -72,6 +73,12 @@ def build(df: DataFrame, fitted: Fitted, limit: int = TASK_ROWS) -> DataFrame:
     return _finish(df, fitted, KEYS)
 
 
+def build_all(parts: dict[str, DataFrame], fitted: Fitted, limit: int = TASK_ROWS) -> DataFrame:
+    """Features of several splits in one table, each with card groups of its own, and the name of the split."""
+    built = [build(df, fitted, limit).withColumn("split", F.lit(name)) for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), built)
+
+
 def serve(df: DataFrame, fitted: Fitted, keep: tuple[str, ...] = ("TransactionID",),
           limit: int = TASK_ROWS) -> DataFrame:
     """The same features for new payments: cards are looked up in the training profile.

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from risklane.operators import drift as D, splits
 from risklane.plans.profile_queries import SPLIT_SQL
 from risklane.plans.registry import query
+from risklane.sources import files
 from risklane.sources.views import view
+from risklane.staging import new_path
 
 FEATURES = ["TransactionAmt", "hour", "weekday", "addr1", "card1"]
 
@@ -122,18 +124,30 @@ verdict AS (SELECT *, len(f) >= 3 OR drop_ > 0.05 OR coalesce(shift > 0.30, FALS
 """.format(names=str(FEATURES))
 
 
-@query("retrain_rule", "txn scored", _RULE + """
+_VERDICT = """
 SELECT retrain AS should_retrain, array_to_string(f, ',') AS high_psi_features, CAST(len(f) AS INT) AS n_high_psi_features,
   round(drop_, 4) AS auc_degradation, round(shift * 100, 1) AS fraud_rate_shift_pct,
   CASE WHEN retrain THEN 'RETRAIN' ELSE 'MONITOR' END AS recommendation,
   CASE WHEN retrain THEN printf('PSI > 0.20 on %d features: [%s]. AUC degradation: %.4f. Fraud rate shift: %s%%.', len(f),
       CASE WHEN len(f) = 0 THEN '' ELSE '''' || array_to_string(f[1:5], ''', ''') || '''' END, drop_, shift_text)
     ELSE printf('No significant drift detected. Max PSI: %.3f. AUC stable at %.4f.', m, a1) END AS reason
-FROM verdict""")
+FROM verdict"""
+
+
+@query("retrain_rule", "txn scored", _RULE + _VERDICT)
 def retrain_rule(spark, sf_dir):
     return _rule(spark, sf_dir).withColumn("high_psi_features", F.array_join("high_psi_features", ","))
 
 
+@query("artifact_recommendation", "txn scored", _RULE + _VERDICT)
+def artifact_recommendation(spark, sf_dir):
+    """The retraining rule's verdict, written as a JSON object and read back."""
+    path, rule = new_path(spark, "recommendation"), _rule(spark, sf_dir)
+    files.write_object(rule, path)
+    held = files.read_object(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rule.schema.fields))
+    return held.withColumn("high_psi_features", F.array_join("high_psi_features", ","))
+
+
 @query("drift_report", "txn scored", _RULE + """
 SELECT CASE WHEN retrain THEN 'RETRAIN' ELSE 'MONITOR' END AS status,
   CASE WHEN retrain THEN printf('Model drift detected. %d features show significant distribution shift (PSI > 0.20). '

@@ -116,11 +116,11 @@ def _matrix_sql(test_rows, count, mean):
     joins = " ".join(f"LEFT JOIN k{i} ON k{i}.v = coalesce(m.{c}, '__nan__')" for i, c in enumerate(CATEGORIES))
     picks = ", ".join(f"CAST(coalesce(k{i}.code, -1) AS BIGINT) AS {c}" for i, c in enumerate(CATEGORIES))
     return SPLIT_SQL.format(source="txn").rstrip() + ",\n" + _PROFILE.format(source="s WHERE split = 'train'") + f""",
-own AS (SELECT card1 AS oc, count(*) AS own_count, avg(TransactionAmt) AS own_mean FROM s WHERE split = 'test' GROUP BY card1),
+own AS (SELECT split AS os, card1 AS oc, count(*) AS own_count, avg(TransactionAmt) AS own_mean FROM s GROUP BY split, card1),
 {codes},
 m AS (SELECT s.*, {_TIME}, profile_mean, profile_count, own_count, own_mean FROM s LEFT JOIN p ON s.card1 = p.card1
-  JOIN own ON own.oc = s.card1 WHERE {test_rows}),
-f AS (SELECT m.TransactionID, m.isFraud, {picks}, m.card1, coalesce(m.addr1, -1) AS addr1, coalesce(m.addr2, -1) AS addr2,
+  JOIN own ON own.os = s.split AND own.oc = s.card1 WHERE {test_rows}),
+f AS (SELECT m.TransactionID, m.split, m.isFraud, {picks}, m.card1, coalesce(m.addr1, -1) AS addr1, coalesce(m.addr2, -1) AS addr2,
   {", ".join(f'm."{n}"' for n in _FLOATS)}, CAST({count} AS BIGINT) AS card1_velocity, {mean} AS card1_amt_mean,
   m.TransactionAmt - {mean} AS amt_deviation, CAST(m.addr1 IS NULL AS BIGINT) AS addr1_nullflag,
   CAST(m.addr2 IS NULL AS BIGINT) AS addr2_nullflag FROM m {joins})
@@ -140,6 +140,14 @@ def feature_matrix(spark, sf_dir):
     return _doubles(X.build(test, X.fit(train)))
 
 
+@query("feature_matrix_splits", "txn", _matrix_sql("TRUE", "own_count", "own_mean").format(
+    label="split, CAST(isFraud AS BIGINT) AS isFraud, "))
+def feature_matrix_splits(spark, sf_dir):
+    """The features of all three splits in one table."""
+    parts = splits.parts(payments(spark, sf_dir))
+    return _doubles(X.build_all(parts, X.fit(parts["train"])))
+
+
 @query("serving_transform", "txn", _matrix_sql(
     "split = 'test'", "coalesce(profile_count, 1)", "coalesce(profile_mean, TransactionAmt)").format(label=""))
 def serving_transform(spark, sf_dir):

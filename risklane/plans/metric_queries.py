@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from risklane.operators import metrics as M
 from risklane.plans.registry import query
+from risklane.sources import files
 from risklane.sources.views import view
+from risklane.staging import new_path
 
 THRESHOLD = 0.41
 
@@ -35,6 +37,27 @@ def cost_model(spark, sf_dir):
     return M.cost_model(M.confusion(_scored(spark, sf_dir), F.col("score_cal") >= THRESHOLD))
 
 
+_IMPACT = """
+SELECT tp, fp, fn, tn, fp * 1200 AS cost_false_positives, fn * 2400 AS cost_false_negatives, (tp + fp) * 200 AS cost_review,
+  (tp + fn) * 2400 AS baseline_cost, tp * 2400 AS value_prevented, tp * 2400 - fp * 1200 - (tp + fp) * 200 AS net_benefit,
+  round((tp * 2400 - fp * 1200 - (tp + fp) * 200) * 100 / greatest((tp + fn) * 2400, 1), 1) AS roi_pct,
+  (SELECT round(avg((score_raw - isFraud) ** 2), 4) FROM scored) AS brier_raw,
+  (SELECT round(avg((score_cal - isFraud) ** 2), 4) FROM scored) AS brier_cal FROM c"""
+
+
+@query("artifact_impact", "scored", _COUNTS.format(flag=_CAL) + _IMPACT)
+def artifact_impact(spark, sf_dir):
+    """Costs and Brier scores of a threshold, written as a JSON object and read back."""
+    path, scored = new_path(spark, "impact"), _scored(spark, sf_dir)
+    costs = M.cost_model(M.confusion(scored, F.col("score_cal") >= THRESHOLD))
+    brier = scored.agg(*[F.round(F.avg((F.col(f"score_{kind}") - F.col("isFraud")) ** 2), 4).alias(f"brier_{kind}")
+                         for kind in ("raw", "cal")])
+    # Two tables of one row each.
+    row = costs.withColumn("_row", F.lit(1)).join(brier.withColumn("_row", F.lit(1)), "_row").drop("_row")
+    files.write_object(row, path)
+    return files.read_object(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in row.schema.fields))
+
+
 _SWEEP = """
 WITH w AS (SELECT i / 100.0::DOUBLE AS threshold, count(*) FILTER (WHERE {score} >= i / 100.0::DOUBLE AND isFraud = 1) AS tp,
   count(*) FILTER (WHERE {score} >= i / 100.0::DOUBLE AND isFraud = 0) AS fp,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import functions as F
 
@@ -12,8 +12,9 @@ from risklane.plans import scoring, training as T
 from risklane.plans.feature_queries import payments
 from risklane.plans.registry import query
 from risklane.plans.routing_queries import arms
+from risklane.sources import files
 from risklane.sources.views import view
-from risklane.staging import spread
+from risklane.staging import new_path, spread
 
 
 @lru_cache(maxsize=4)
@@ -142,6 +143,25 @@ def score_batch(spark, sf_dir):
     return scoring.score_payments(raw, fitted_chain(spark, sf_dir), arms(spark, sf_dir), view(spark, sf_dir, "rates"))
 
 
+@query("artifacts_training")
+def artifacts_training(spark, sf_dir):
+    """What a training run leaves as JSON, read back: (artifact, position, name, value)."""
+    path = new_path(spark, "artifacts")
+    models, parts = _models(spark, sf_dir), _parts(spark, sf_dir)
+    T.write_artifacts(models, parts, T.run_metrics(models, parts, "boosted-balanced"), path)
+    schema = ", ".join(f"{name} double" for name in [*T.REPORTED, "threshold"])
+    metrics = files.read_object(spark, f"{path}/test_metrics.json", schema)
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("value")) for name in metrics.columns])
+    named = [(i, name, None) for i, name in enumerate(files.read_list(spark, f"{path}/feature_names.json"))]
+    tables = {"test_metrics": metrics.select(F.posexplode(pairs).alias("position", "e")).select("position", "e.*"),
+              "threshold": files.read_object(spark, f"{path}/threshold.json", "threshold double").select(
+                  F.lit(0).alias("position"), F.lit("threshold").alias("name"), F.col("threshold").alias("value")),
+              "feature_importance": files.read_series(spark, f"{path}/feature_importance.json"),
+              "feature_names": spark.createDataFrame(named, "position int, name string, value double")}
+    found = [df.select(F.lit(kind).alias("artifact"), "position", "name", "value") for kind, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 # Three ways to score the same payments, as runs to be compared.
 def _runs(spark, sf_dir):
     long = view(spark, sf_dir, "scored").select("isFraud", F.explode(F.array(*[
@@ -187,3 +207,15 @@ def model_runs_best(spark, sf_dir):
 FROM (SELECT * FROM runs WHERE stage = 'Staging') a FULL JOIN (SELECT * FROM runs WHERE stage = 'Production') b ON a.metric = b.metric""")
 def stage_compare(spark, sf_dir):
     return T.compare_stages(_runs(spark, sf_dir))
+
+
+@query("artifact_metrics", "scored", _RUNS + "SELECT metric, value FROM runs WHERE run_id = 'raw'")
+def artifact_metrics(spark, sf_dir):
+    """The metrics of one run, written as a JSON object and read back."""
+    path = new_path(spark, "metrics")
+    raw = _runs(spark, sf_dir).filter("run_id = 'raw'")
+    names = ["test_auc", "test_f1", "test_precision", "test_recall"]
+    files.write_object(raw.groupBy().pivot("metric", names).agg(F.max("value")), path)
+    held = files.read_object(spark, path, ", ".join(f"{name} double" for name in names))
+    return held.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name in names])).alias("e")).select("e.*")

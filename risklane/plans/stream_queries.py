@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from risklane.operators import decisions as D, routing as R
-from risklane.plans import scoring
+from risklane.plans import saved, scoring
 from risklane.plans.decision_queries import _FORCED, _RISK
 from risklane.plans.model_queries import fitted_chain, with_amount_text
 from risklane.plans.registry import query
@@ -166,9 +166,10 @@ def stream_score(spark, sf_dir):
 
 @query("stream_score_models")
 def stream_score_models(spark, sf_dir):
-    """Raw payments from the stream through the fitted models, batch by batch."""
-    path = new_path(spark, "scored")
-    chain, learned, rates = fitted_chain(spark, sf_dir), arms(spark, sf_dir), view(spark, sf_dir, "rates")
+    """Raw payments from the stream through the fitted models, batch by batch; the models come from where training saved them."""
+    path, kept = new_path(spark, "scored"), new_path(spark, "chain")
+    saved.save(fitted_chain(spark, sf_dir), kept, spark)
+    chain, learned, rates = saved.load(spark, kept), arms(spark, sf_dir), view(spark, sf_dir, "rates")
 
     def score(batch, number):
         jobs.into(path)(scoring.score_payments(with_amount_text(batch), chain, learned, rates), number)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from risklane.operators import boosting, calibration, features, forest, metrics as M, oversample, splits
 from risklane.operators.ordered import TASK_ROWS
+from risklane.sources import files
 from risklane.staging import spread, stage
 
 
@@ -62,6 +63,27 @@ def run_metrics(models: Models, parts: Parts, run_id: str, stage_name: str = "No
     return parts.test.sparkSession.createDataFrame(rows, "run_id string, stage string, metric string, value double")
 
 
+# The entries of the metrics object, and how many features the importance object lists.
+REPORTED = ["val_auc", "val_f1", "test_auc", "test_f1", "test_precision", "test_recall", "test_ap"]
+LISTED = 30
+
+
+def metrics_object(runs: DataFrame) -> DataFrame:
+    """The metrics of one run side by side, to four places; the threshold as it is."""
+    return runs.agg(*[F.round(F.max(F.when(F.col("metric") == name, F.col("value"))), 4).alias(name) for name in REPORTED],
+                    F.max(F.when(F.col("metric") == "threshold", F.col("value"))).alias("threshold"))
+
+
+def write_artifacts(models: Models, parts: Parts, runs: DataFrame, path: str) -> None:
+    """Threshold, metrics, strongest features and feature names of a training run as JSON texts under ``path``."""
+    spark = runs.sparkSession
+    files.write_object(metrics_object(runs), f"{path}/test_metrics.json")
+    files.write_object(spark.createDataFrame([(models.threshold,)], "threshold double"), f"{path}/threshold.json")
+    files.write_series(boosting.importance(models.booster, parts.fitted.names, parts.train), f"{path}/feature_importance.json",
+                       "feature", "importance", LISTED)
+    files.write_list(spark, parts.fitted.names, f"{path}/feature_names.json")
+
+
 def best_run(runs: DataFrame, metric: str = "test_auc") -> DataFrame:
     """The run with the highest value of ``metric``."""
     return (runs.filter(F.col("metric") == metric).orderBy(F.desc("value"), "run_id").limit(1)

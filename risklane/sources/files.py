@@ -55,6 +55,44 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_object(row: DataFrame, path: str) -> None:
+    """A table of one row as one JSON object, a name and value per column. Nulls are written too."""
+    row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The row that ``write_object`` wrote. A text that is no such object is an error; names it lacks are null."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+
+
+def write_series(df: DataFrame, path: str, name: str, value: str, most: int | None = None) -> None:
+    """(name, value) rows as one JSON object, greatest value first, of ``most`` entries; a report of a few hundred names."""
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col(value)).alias("rank"), F.col(name).alias("name"), F.col(value).alias("value"))))
+    kept = F.slice(ranked, 1, most) if most else ranked
+    entries = F.transform(kept, lambda e: F.struct(e["name"], e["value"]))
+    df.agg(F.to_json(F.map_from_entries(entries))).write.mode("overwrite").text(path)
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """(position, name, value) of a series, in the order of the file."""
+    whole = spark.read.text(path, wholetext=True)
+    series = F.from_json("value", "map<string,double>", {"mode": "FAILFAST"})
+    return whole.select(F.posexplode(F.map_entries(series)).alias("position", "e")).select("position", "e.key", "e.value") \
+        .toDF("position", "name", "value")
+
+
+def write_list(spark: SparkSession, names: Sequence[str], path: str) -> None:
+    """A JSON list of texts, in order."""
+    one = spark.createDataFrame([(list(names),)], "names array<string>")
+    one.select(F.to_json("names")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_list(spark: SparkSession, path: str) -> list[str]:
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.from_json("value", "array<string>", {"mode": "FAILFAST"}).alias("names")).first()["names"]
+
+
 # The published layout of a router state: one text, payment type -> gateway -> arm.
 ARM = ("struct<alpha:double,beta:double,posterior_mean:double,credible_interval_95:array<double>,n_trials:bigint,"
        "true_rate:double>")

@@ -129,6 +129,62 @@ def test_training_chain(spark, sf_dir):
         ("3", "could not convert string to float: 'x?'", None)]
 
 
+SECOND_SESSION = """
+import sys
+from pyspark.sql import functions as F
+from risklane.session import build_session
+from risklane.operators import routing as R
+from risklane.plans import saved, scoring
+from risklane.plans.model_queries import with_amount_text
+from risklane.sources.views import view
+path, out, sf_dir, staged = sys.argv[1:]
+spark = build_session("risklane-second", "local[2]", **{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
+                                                        "spark.checkpoint.dir": staged})
+chain = saved.load(spark, path)
+scoring.score_payments(with_amount_text(view(spark, sf_dir, "txn")), chain, R.posterior(view(spark, sf_dir, "outcomes")),
+                       view(spark, sf_dir, "rates")).write.parquet(out)
+spark.stop()
+"""
+
+
+def test_saved_chain_in_a_second_session(spark, sf_dir, tmp_path):
+    """Another process loads the chain and gives the same records; a folder that broke off is not loaded, nor one overwritten."""
+    import os
+    import subprocess
+    import sys
+    from pyspark.errors import AnalysisException
+    from risklane.operators import forest as I
+    from risklane.plans import saved
+    from risklane.plans.model_queries import with_amount_text
+    parts = T.prepare(payments(spark, sf_dir))
+    chain = scoring.Chain(parts.fitted, T.train(parts, rounds=3, oversampled=False), I.fit(parts.train, trees=10))
+    path, out = str(tmp_path / "chain"), str(tmp_path / "records")
+    saved.save(chain, path, spark)
+    expected = scoring.score_payments(with_amount_text(view(spark, sf_dir, "txn")), chain, R.posterior(view(spark, sf_dir, "outcomes")),
+                                      view(spark, sf_dir, "rates"))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", SECOND_SESSION, path, out, sf_dir, str(tmp_path)], check=True, cwd=root, timeout=240)
+    assert sorted(map(str, spark.read.parquet(out).select(expected.columns).collect())) == sorted(map(str, expected.collect()))
+    with pytest.raises(AnalysisException):
+        saved.save(chain, path, spark)
+    with pytest.raises(AnalysisException):
+        saved.load(spark, str(tmp_path / "none"))
+
+
+def test_artifacts_keep_order_and_nulls(spark, tmp_path):
+    from risklane.sources import files
+    series = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.75), ("d", 0.1)], "feature string, importance double")
+    files.write_series(series.repartition(3), str(tmp_path / "series"), "feature", "importance", 3)
+    assert [tuple(r) for r in files.read_series(spark, str(tmp_path / "series")).orderBy("position").collect()] == [
+        (0, "c", 0.75), (1, "a", 0.5), (2, "b", 0.5)]
+    files.write_list(spark, ["z", 'a "quoted"', ""], str(tmp_path / "list"))
+    assert files.read_list(spark, str(tmp_path / "list")) == ["z", 'a "quoted"', ""]
+    row = spark.createDataFrame([(1, None, float("inf"), ["x"])], "a long, b double, c double, d array<string>")
+    files.write_object(row, str(tmp_path / "object"))
+    back = files.read_object(spark, str(tmp_path / "object"), "a long, b double, c double, d array<string>")
+    assert back.collect() == row.collect()
+
+
 def _feed(spark, sf_dir, folder, pieces):
     """Event files in time order, each written before the next."""
     events = view(spark, sf_dir, "events")
