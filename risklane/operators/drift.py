@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from risklane.functions import wording
 from risklane.operators import metrics as M
-from risklane.operators.ordered import TASK_ROWS
+from risklane.operators.encode import MISSING
+from risklane.operators.ordered import TASK_ROWS, if_small
 from risklane.operators.quantiles import quantiles
+from risklane.staging import stage
 
 # Histogram bins, share given to an empty bin, and the retraining limits.
 BINS = 10
@@ -80,6 +82,42 @@ def psi(train: DataFrame, batches: DataFrame, features: Sequence[str], bins: int
     return found
 
 
+def category_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows per (by..., feature, value) of text columns; null is a value of its own."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("string"), F.lit(MISSING)).alias("value"))
+                      for f in features])
+    return df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").groupBy(*by, "feature", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def category_psi(train: DataFrame, batches: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, batch, psi) of text columns: one bin per training value, and one for all values training never saw.
+
+    A value a batch lacks adds the same term whatever the batch. So these terms are summed once per feature, and only values
+    that a batch has are joined: no table of all batches by all values arises.
+    """
+    empty = F.lit(EMPTY_SHARE)
+
+    def term(actual: Column, expected: Column) -> Column:
+        return (actual - expected) * F.ln(actual / expected)
+
+    known = stage(category_counts(train, features), "categories")
+    sizes = known.groupBy("feature").agg(F.sum("n").alias("e_n"))       # one row per monitored feature
+    shares = known.join(F.broadcast(sizes), "feature").select(
+        "feature", "value", (F.col("n") / F.col("e_n")).alias("e")).withColumn("absent", term(empty, F.col("e")))
+    base = shares.groupBy("feature").agg(F.sum("absent").alias("base"))
+    counts = stage(category_counts(batches, features, ["batch"]), "categories")
+    totals = counts.groupBy("feature", "batch").agg(F.sum("n").alias("a_n"))
+    # The shares need the size of the batch, a table of one row per feature and batch.
+    placed = counts.join(F.broadcast(totals), ["feature", "batch"]).join(if_small(shares), ["feature", "value"], "left")
+    share = F.col("n") / F.col("a_n")
+    found = placed.groupBy("feature", "batch").agg(
+        F.coalesce(F.sum(term(share, F.col("e")) - F.col("absent")), F.lit(0.0)).alias("moved"),
+        F.coalesce(F.sum(F.when(F.col("e").isNull(), share)), F.lit(0.0)).alias("unseen"))
+    return found.join(F.broadcast(base), "feature").select("feature", "batch", F.round(
+        F.col("base") + F.col("moved") + F.when(F.col("unseen") > 0, term(F.col("unseen"), empty)).otherwise(0.0), 4).alias("psi"))
+
+
 def psi_matrix(psi_rows: DataFrame, batches: int = 10) -> DataFrame:
     """Features as rows, Batch_1.. as columns."""
     named = psi_rows.select("feature", F.concat(F.lit("Batch_"), F.col("batch")).alias("name"), "psi")

@@ -66,11 +66,11 @@ def fit(train: DataFrame, limit: int = TASK_ROWS) -> Fitted:
     return Fitted(kept, categories, codes, encode.code_sizes(codes), stage(card_profile(train), "profile"), names)
 
 
-def build(df: DataFrame, fitted: Fitted, limit: int = TASK_ROWS) -> DataFrame:
-    """Features of one split, in the training order, next to the id and label."""
+def build(df: DataFrame, fitted: Fitted, limit: int = TASK_ROWS, keep: tuple[str, ...] = tuple(KEYS)) -> DataFrame:
+    """Features of one split, in the training order, next to the id and label (or the columns ``keep`` of the table)."""
     df = df.select(*[c for c in fitted.kept if c in df.columns])
     df = card_groups(time_and_amount(df), limit)
-    return _finish(df, fitted, KEYS)
+    return _finish(df, fitted, list(keep))
 
 
 def build_all(parts: dict[str, DataFrame], fitted: Fitted, limit: int = TASK_ROWS) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from risklane.operators import drift as D, splits
+from risklane.operators import boosting as B, calibration, drift as D, features as X, splits
+from risklane.plans.feature_queries import CATEGORIES, MATRIX_NAMES, MATRIX_SQL, _doubles, payments
+from risklane.plans.model_queries import fitted_models
 from risklane.plans.profile_queries import SPLIT_SQL
 from risklane.plans.registry import query
 from risklane.sources import files
 from risklane.sources.views import view
-from risklane.staging import new_path
+from risklane.staging import new_path, stage
 
 FEATURES = ["TransactionAmt", "hour", "weekday", "addr1", "card1"]
 
@@ -29,13 +31,17 @@ t AS (SELECT *, row_number() OVER (ORDER BY TransactionDT, TransactionID) - 1 AS
   FROM s WHERE split = 'test'),
 b AS (SELECT *, CAST(brn // (bn // 10) + 1 AS INT) AS batch FROM t WHERE brn // (bn // 10) < 10)
 """
-_TXN = SPLIT_SQL.format(source="""(SELECT *, (TransactionDT % 86400)::DOUBLE / 3600 AS hour,
+_PAYMENTS = SPLIT_SQL.format(source="""(SELECT *, (TransactionDT % 86400)::DOUBLE / 3600 AS hour,
   TransactionDT // 86400 % 7 AS weekday FROM txn) x""").rstrip() + _BATCHES.rstrip()
-_LONG = "UNION ALL ".join("SELECT {{extra}}'{0}' AS feature, {0}::DOUBLE AS v FROM {{source}} WHERE {0} IS NOT NULL\n".format(f)
-                          for f in FEATURES)
-_PSI = _TXN + f""",
-el AS ({_LONG.format(extra="", source="s WHERE split = 'train'").replace("WHERE split = 'train' WHERE", "WHERE split = 'train' AND")}),
-al AS ({_LONG.format(extra="batch, ", source="b")}),
+
+
+def _psi_sql(rows, features):
+    """PSI of ``features`` from the rows ``s`` (with their split) and ``b`` (with their batch) that ``rows`` defines."""
+    long = "UNION ALL ".join('SELECT {{extra}}\'{0}\' AS feature, "{0}"::DOUBLE AS v FROM {{source}} AND "{0}" IS NOT NULL\n'.format(f)
+                             for f in features)
+    return rows + f""",
+el AS ({long.format(extra="", source="s WHERE split = 'train'")}),
+al AS ({long.format(extra="batch, ", source="b WHERE TRUE")}),
 ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e
   FROM el GROUP BY feature),
 eb AS (SELECT feature, i, e[i] AS lo, e[i + 1] AS hi, i = len(e) - 1 AS closed FROM ed, range(1, 11) r(i) WHERE i < len(e)),
@@ -53,6 +59,9 @@ psi AS (SELECT feature, batch, round(sum((a - e) * ln(a / e)), 4) AS psi FROM p
 """
 
 
+_PSI = _psi_sql(_PAYMENTS, FEATURES)
+
+
 @query("psi_matrix", "txn", _PSI + "SELECT feature, batch, round(psi, 3) AS psi FROM psi")
 def psi_matrix(spark, sf_dir):
     train, batches = _payments(spark, sf_dir)
@@ -157,3 +166,65 @@ SELECT CASE WHEN retrain THEN 'RETRAIN' ELSE 'MONITOR' END AS status,
   END AS report FROM verdict""")
 def drift_report(spark, sf_dir):
     return D.drift_text(_rule(spark, sf_dir))
+
+
+def _matrix(spark, sf_dir):
+    """The model's features of the training rows, and of the test rows in batches; what the model was fitted on goes along."""
+    parts = splits.parts(payments(spark, sf_dir))
+    fitted = X.fit(parts["train"])
+    keep = (*X.KEYS, "TransactionDT")
+    return X.build(parts["train"], fitted, keep=keep), splits.with_batch(stage(X.build(parts["test"], fitted, keep=keep), "test")), fitted
+
+
+_MATRIX = SPLIT_SQL.format(source=f"""(SELECT fm.* EXCLUDE (split), txn.TransactionDT FROM ({MATRIX_SQL}) fm
+  JOIN txn ON txn.TransactionID = fm.TransactionID) x""").rstrip() + _BATCHES.rstrip()
+
+
+@query("psi_features", "txn", _psi_sql(_MATRIX, MATRIX_NAMES) + """
+SELECT an.feature, an.batch, round(coalesce(psi, 0), 3) AS psi FROM an LEFT JOIN psi ON psi.feature = an.feature AND psi.batch = an.batch""")
+def psi_features(spark, sf_dir):
+    """PSI of every feature the model reads, to three places like the values compared."""
+    train, batches, fitted = _matrix(spark, sf_dir)
+    return D.psi(stage(_doubles(train), "train"), _doubles(batches), fitted.names).select(
+        "feature", F.col("batch").cast("int").alias("batch"), F.round("psi", 3).alias("psi"))
+
+
+_SHARES = SPLIT_SQL.format(source="txn").rstrip() + _BATCHES.rstrip() + """,
+el AS ({known}),
+al AS ({seen}),
+e AS (SELECT feature, v, count(*)::DOUBLE / any_value(n) AS e FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS n FROM el) q GROUP BY feature, v),
+an AS (SELECT feature, batch, count(*) AS n FROM al GROUP BY feature, batch),
+a AS (SELECT al.feature, al.batch, CASE WHEN e.v IS NULL THEN '?new' ELSE al.v END AS v, count(*) AS c
+  FROM al LEFT JOIN e ON e.feature = al.feature AND e.v = al.v GROUP BY 1, 2, 3),
+bins AS (SELECT feature, v, e FROM e UNION ALL SELECT DISTINCT feature, '?new', 1e-4::DOUBLE FROM e),
+p AS (SELECT an.feature, an.batch, bins.e, coalesce(a.c / an.n::DOUBLE, 1e-4::DOUBLE) AS a FROM an JOIN bins ON bins.feature = an.feature
+  LEFT JOIN a ON a.feature = an.feature AND a.batch = an.batch AND a.v = bins.v)
+SELECT feature, batch, round(round(sum((a - e) * ln(a / e)), 4), 3) AS psi FROM p GROUP BY feature, batch"""
+
+
+def _texts(extra, rows):
+    return " UNION ALL ".join(f"SELECT {extra}'{c}' AS feature, coalesce({c}, '__nan__') AS v FROM {rows}" for c in CATEGORIES)
+
+
+@query("psi_categories", "txn", _SHARES.format(known=_texts("", "s WHERE split = 'train'"), seen=_texts("batch, ", "b")))
+def psi_categories(spark, sf_dir):
+    """PSI of the text columns by value, new values in a bin of their own."""
+    train, batches = splits.train_and_batches(payments(spark, sf_dir))
+    return D.category_psi(train, batches, CATEGORIES).withColumn("psi", F.round("psi", 3))
+
+
+MONITORED = 20      # fixed value: the strongest features of the model are monitored
+
+
+@query("model_drift")
+def model_drift(spark, sf_dir):
+    """The retraining rule on the fitted model: its strongest features, and its own calibrated scores at its own threshold."""
+    train, batches, fitted = _matrix(spark, sf_dir)
+    train = stage(train, "train")
+    models = fitted_models(spark, sf_dir)
+    strongest = [row["feature"] for row in B.top_features(B.importance(models.booster, fitted.names, train), MONITORED).collect()]
+    rows = B.assemble(batches, fitted.names, ("TransactionID", "TransactionDT", "isFraud", "batch"))
+    scored = stage(calibration.apply(models.calibrator, B.score(models.booster, rows).drop("features")), "scored")
+    rule = D.retrain_rule(D.psi(train, batches, strongest), D.concept_drift(scored, "score_cal", models.threshold),
+                          D.prior_shift(train, batches), strongest)
+    return rule.withColumn("high_psi_features", F.array_join("high_psi_features", ","))

@@ -140,8 +140,11 @@ def feature_matrix(spark, sf_dir):
     return _doubles(X.build(test, X.fit(train)))
 
 
-@query("feature_matrix_splits", "txn", _matrix_sql("TRUE", "own_count", "own_mean").format(
-    label="split, CAST(isFraud AS BIGINT) AS isFraud, "))
+MATRIX_SQL = _matrix_sql("TRUE", "own_count", "own_mean").format(label="split, CAST(isFraud AS BIGINT) AS isFraud, ")
+MATRIX_NAMES = _FEATURES
+
+
+@query("feature_matrix_splits", "txn", MATRIX_SQL)
 def feature_matrix_splits(spark, sf_dir):
     """The features of all three splits in one table."""
     parts = splits.parts(payments(spark, sf_dir))

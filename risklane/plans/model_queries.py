@@ -126,6 +126,10 @@ def train_report(spark, sf_dir):
     return T.run_metrics(_models(spark, sf_dir), _parts(spark, sf_dir), "boosted-balanced", "Staging")
 
 
+def fitted_models(spark, sf_dir):
+    return _models(spark, sf_dir)
+
+
 def fitted_chain(spark, sf_dir):
     return scoring.Chain(_parts(spark, sf_dir).fitted, _models(spark, sf_dir), _forest(spark, sf_dir))
 

@@ -92,3 +92,18 @@ def test_histogram_closes_the_last_bin(spark):
     assert sum(r["n"] for r in rows if r["isFraud"] == 0) == 81
     assert {r["bin"]: r["n"] for r in rows if r["isFraud"] == 0}[79] == 2
     assert sum(r["density"] for r in rows if r["isFraud"] == 0) == pytest.approx(1.0)
+
+
+def test_category_psi_with_new_values_and_nulls(spark):
+    """Against the sum over all bins in plain Python; a batch may lack values, or hold only new ones."""
+    train = [("a",)] * 6 + [("b",)] * 3 + [(None,)]
+    batches = [("a", 1)] * 2 + [("z", 1), (None, 1)] + [("y", 2), ("z", 2)] + [("a", 3)] * 6 + [("b", 3)] * 3 + [(None, 3)]
+    got = {r["batch"]: r["psi"] for r in D.category_psi(
+        spark.createDataFrame(train, "kind string"), spark.createDataFrame(batches, "kind string, batch int"), ["kind"]).collect()}
+    for batch in (1, 2, 3):
+        rows = [k for k, b in batches if b == batch]
+        bins = [(sum(k == v for k, in train) / len(train), sum(k == v for k in rows) / len(rows)) for v in ("a", "b", None)]
+        bins.append((1e-4, sum(k in ("y", "z") for k in rows) / len(rows)))
+        expected = sum(((a or 1e-4) - e) * math.log((a or 1e-4) / e) for e, a in bins)
+        assert got[batch] == pytest.approx(expected, abs=6e-5)
+    assert got[3] == 0
