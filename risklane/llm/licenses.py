@@ -17,10 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from risklane.llm.licence_texts import TITLES, WHOLE
+
 # The phrases of the base scan and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# Openings of public licence texts and usual notices, with the label each one stands for.
+# Openings of public licence texts and usual notices, with the label each one stands for. Whole texts and titles
+# are in ``licence_texts``.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
             "associated documentation files the software to deal in the software without restriction including "
@@ -135,12 +138,16 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES) -> None:
-        self.labels = [label for label, _ in templates]
+    """Templates that need a share of ``COVERED``, and titles, of which every word must be there."""
+
+    def __init__(self, templates=TEMPLATES + WHOLE, phrases=PHRASES, titles=TITLES) -> None:
+        self.labels = [label for label, _ in (*templates, *titles)]
+        self.least = [COVERED] * len(templates) + [1.0] * len(titles)
         self.number: dict[bytes, int] = {}
-        self.templates = [self._numbers(text) for _, text in templates]
+        self.templates = [self._numbers(text) for _, text in (*templates, *titles)]
         self.phrases = [(self._numbers(text), label) for text, label in phrases]
         self.automaton = Automaton(self.templates)
+        self.held: dict[int, list[tuple[int, int, int]]] = {}       # per state of the automaton, filled as states are met
 
     def _numbers(self, text: str) -> list[int]:
         return [self.number.setdefault(word, len(self.number)) for word in words_of(text)]
@@ -157,20 +164,43 @@ class Scanner:
                 places += [(int(at), label) for at in np.flatnonzero(here)]
         return places
 
+    def places(self, state: int) -> list[tuple[int, int, int]]:
+        """(template, place, words) of every template place that shares at least ``SEED`` last words with the state's runs.
+
+        The suffix links lead to ever shorter runs with ever more places; each place counts with the longest. 0 words stand for
+        the whole run.
+        """
+        if state not in self.held:
+            out, seen, at, words = [], set(), state, 0
+            while at > 0 and self.automaton.longest[at] >= SEED:
+                out += [(template, end, words) for template, end in sorted(self.automaton.ends[at] - seen)]
+                seen |= self.automaton.ends[at]
+                at = self.automaton.link[at]
+                words = self.automaton.longest[at]
+            self.held[state] = out
+        return self.held[state]
+
     def matches(self, found: np.ndarray) -> list[Match]:
-        """Runs of at least ``SEED`` words that go no further to the right, at every template place they have."""
+        """Runs of at least ``SEED`` words that go no further at a template place, at every place they have.
+
+        A run that one template carries on hides none that ends in another.
+        """
         known = np.concatenate([[False], found >= 0, [False]])
         edges = np.flatnonzero(known[1:] != known[:-1])
         out = []
         for start, stop in zip(edges[::2], edges[1::2]):
             if stop - start < SEED:
                 continue
-            walked = list(self.automaton.statistics(found[start:stop].tolist()))
-            for i, (state, length) in enumerate(walked):
-                further = i + 1 < len(walked) and walked[i + 1][1] > length
-                if length >= SEED and not further:
-                    out += [Match(int(start) + i - length + 1, length, template, end - length + 1)
-                            for template, end in sorted(self.automaton.ends[state])]
+            words = found[start:stop].tolist()
+            for i, (state, length) in enumerate(self.automaton.statistics(words)):
+                if length < SEED:
+                    continue
+                after = words[i + 1] if i + 1 < len(words) else None
+                for template, end, shared in self.places(state):
+                    text = self.templates[template]
+                    if end + 1 == len(text) or text[end + 1] != after:
+                        run = shared or length
+                        out.append(Match(int(start) + i - run + 1, run, template, end - run + 1))
         return out
 
     def spans(self, matches: list[Match]) -> list[tuple[int, int, int, float]]:
@@ -201,7 +231,7 @@ class Scanner:
         found = np.fromiter((self.number.get(word, -1) for word in words), np.int32, len(words))
         places = self.base(found)
         spans = [s for s in self.spans(self.matches(found)) if s[3] > 0]
-        covered = [s for s in spans if s[3] >= COVERED]
+        covered = [s for s in spans if s[3] >= self.least[s[0]]]
         base = {label for _, label in places}
         given = []
         taken = {}      # per template the spans given so far, which do not overlap, by their first words

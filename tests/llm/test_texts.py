@@ -3,13 +3,13 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from risklane.llm import extract, licenses, packing, queries, revisits, toxicity
+from risklane.llm import extract, licence_texts, licenses, packing, queries, revisits, toxicity
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head>
 <body><header><a href="/">Site</a></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
@@ -164,6 +164,59 @@ def test_license_spans_of_every_copy():
         {"label": "isc", "first_word": at, "stop_word": at + n, "covered": 1.0} for at in (1, 41 + n, 81 + 2 * n)]
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gpl-3"),
+    ("distributed under the terms of the gnu general public license version 3", "gpl-3"),
+    ("the GNU General Public License, version 2 or later", "gpl-2"), ("the gnu general public license version 4", ""),
+    ("mozilla public license 2.0", "mpl-2"), ("BSD 3-Clause License", "bsd-3"), ("the bsd 4 clause license", ""),
+    ("GNU Lesser General Public License, version 3", "lgpl-3"), ("/* SPDX-License-Identifier: BSD-2-Clause */", "bsd-2"),
+])
+def test_license_titles(text, labels):
+    """A title stands for its licence and version, and for no other one."""
+    assert licenses.Scanner().scan(text)["labels"] == labels
+
+
+@pytest.mark.parametrize("number", range(len(licence_texts.WHOLE)))
+def test_license_whole_texts(number):
+    """A whole text inside a file: its label, one span of it over all its words, and for BSD the right number of clauses."""
+    label, text = licence_texts.WHOLE[number]
+    before = "copyright 2020 someone all rights reserved\n".split()
+    got = licenses.Scanner().scan(" ".join(before) + "\n" + text + "\nint main() { return 0; }")
+    size = len(licenses.words_of(text))
+    assert {"label": label, "first_word": len(before), "stop_word": len(before) + size, "covered": 1.0} in got["spans"]
+    assert {"bsd-2": "bsd,bsd-2", "bsd-3": "bsd,bsd-3"}.get(label, label) == got["labels"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_license_matches_are_all_maximal_runs(seed):
+    """Against every pair of places in text and templates, with templates that hold and lengthen each other's runs."""
+    rng = random.Random(seed)
+    templates = [("t", " ".join(rng.choice("abc") for _ in range(rng.randint(4, 12)))) for _ in range(5)]
+    templates.append(("t", templates[0][1] + " " + templates[1][1]))
+    scanner = licenses.Scanner(templates, (), ())
+    words = [rng.choice("abcx") for _ in range(120)]
+    found = np.array([scanner.number.get(w.encode(), -1) for w in words])
+    expected = []
+    for number, (_, text) in enumerate(templates):
+        own = text.split()
+        for i in range(len(words)):
+            for j in range(len(own)):
+                if words[i] == own[j] and not (i and j and words[i - 1] == own[j - 1]):
+                    n = 0
+                    while i + n < len(words) and j + n < len(own) and words[i + n] == own[j + n]:
+                        n += 1
+                    if n >= licenses.SEED:
+                        expected.append(licenses.Match(i, n, number, j))
+    assert Counter(scanner.matches(found)) == Counter(expected)
+
+
+def test_license_openings_are_not_hidden():
+    """The opening of BSD counts although the longer texts begin alike and go on."""
+    label, text = licence_texts.WHOLE[2]
+    opening = text[:text.index("3. Neither")]
+    assert licenses.Scanner().scan(opening)["labels"] == "bsd"
+
+
 def test_license_odd_rows(spark):
     schema = "doc_id bigint, text string, labels string, score string"
     df = spark.createDataFrame([(1, None, "x", "y"), (None, "CC BY-NC " * 5000, None, None), (1, None, "x", "y")], schema)
