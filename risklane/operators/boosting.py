@@ -118,7 +118,7 @@ def bin_edges(df: DataFrame, features: int, bins: int = BINS) -> list[np.ndarray
 
 
 def blocks(train: DataFrame, val: DataFrame, edges: list[np.ndarray], block: int = BLOCK) -> DataFrame:
-    """Rows as blocks (bins, label, draw, val): one row each, bins packed row by row."""
+    """Rows as blocks (bins, label, draw, val): one row each, bins packed feature by feature."""
     rows = train.select("isFraud", "features", F.lit(0).alias("val")).unionByName(val.select("isFraud", "features", F.lit(1).alias("val")))
     rows = rows.select(vector_to_array("features").alias("x"), F.col("isFraud").cast("int").alias("y"), "val")
     rows = rows.withColumn("draw", F.xxhash64("x", "y"))
@@ -128,7 +128,7 @@ def blocks(train: DataFrame, val: DataFrame, edges: list[np.ndarray], block: int
             for first in range(0, whole.num_rows, block):
                 batch = whole.slice(first, block)
                 x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(edges))
-                bins = np.stack([np.searchsorted(cut, x[:, i]) for i, cut in enumerate(edges)], axis=1).astype(np.uint8)
+                bins = np.stack([np.searchsorted(cut, x[:, i]) for i, cut in enumerate(edges)]).astype(np.uint8)
                 packed = [bins, batch.column("y").to_numpy().astype(np.uint8), batch.column("draw").to_numpy(), batch.column("val").to_numpy().astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()) for part in packed], ["bins", "label", "draw", "val"])
 
@@ -154,64 +154,107 @@ class Growing:
     nodes: list[list]
     open: list[int]
     columns: np.ndarray
-    draw: int
-    share: float
     parents: np.ndarray | None = None       # sums of the parents of the open nodes
+    swapped: np.ndarray | None = None       # for each parent, whether its right child is the one counted
 
     def asked(self) -> list[int]:
-        """Open nodes whose sums are counted: of two children only the left one."""
-        return self.open if self.parents is None else self.open[::2]
+        """Open nodes whose sums are counted: of two children only the one expected to hold fewer rows."""
+        return self.open if self.parents is None else [node + int(swap) for node, swap in zip(self.open[::2], self.swapped)]
 
     def full(self, found: np.ndarray) -> np.ndarray:
-        """Sums of all open nodes from those of the asked ones: a right child is its parent less the left one."""
+        """Sums of all open nodes from those of the asked ones: the other child is the parent less that one."""
         if self.parents is None:
             return found
-        return np.stack([found, self.parents - found], axis=1).reshape(-1, *found.shape[1:])
+        pairs = np.stack([found, self.parents - found], axis=1)
+        pairs[self.swapped] = pairs[self.swapped, ::-1]
+        return pairs.reshape(-1, *found.shape[1:])
+
+    def halve(self, sample: np.ndarray) -> None:
+        """Choose the children to be counted, by where the rows of a sample (feature by feature) go. Only the work depends on it."""
+        rows = arrivals(self.nodes, sample)
+        self.swapped = np.array([rows[right].sum() < rows[left].sum() for left, right in zip(self.open[::2], self.open[1::2])], bool)
+
+
+def arrivals(nodes: list[list], bins: np.ndarray) -> list[np.ndarray]:
+    """For every node of a tree, which rows pass it. ``bins`` is feature by feature, so a test is one comparison of a line."""
+    rows = [np.ones(bins.shape[1], bool)] + [None] * (len(nodes) - 1)
+    for node, (feature, cut, left, *_) in enumerate(nodes):         # parents stand before their children
+        if feature >= 0:
+            right = bins[feature] > cut
+            rows[left + 1] = rows[node] & right
+            rows[left] = rows[node] ^ rows[left + 1]
+    return rows
+
+
+def numbered(rows: list[np.ndarray], chosen: list[int]) -> np.ndarray:
+    """For every row the place in ``chosen``, from 1, of the node it is at; 0 if it is at none of them."""
+    kind = np.uint8 if len(chosen) < 256 else np.uint32
+    out = np.zeros(len(rows[0]), kind)
+    for place, node in enumerate(chosen, 1):
+        out += rows[node] * kind(place)
+    return out
 
 
 BLOCKS = ["bins", "label", "draw", "val"]
+ROUND = ["margin", "gradient", "curvature", "drawn"]
+# Trees whose draws share a byte.
+BYTE = 8
 
 
 class Fitter:
     """The staged rows of a fit, and passes over them.
 
-    The margins of a round are those of the round before plus its trees. They are kept in the executors, computed once by the first
-    pass of the round; every ``REBASE`` trees they are staged, so a lost executor repeats a few trees at most.
+    The margins of a round are those of the round before plus its trees. With them stand the gradients and curvatures in grains, and a
+    bit for each tree of the round that a row is drawn for. They are kept in the executors, computed once by the first pass of
+    the round; every ``REBASE`` trees they are staged, so a lost executor repeats a few trees at most.
     """
 
-    def __init__(self, staged: DataFrame, features: int, margin: float) -> None:
-        self.features, self.since = features, 0
-        self.kept = staged.select("*", F.lit(None).cast("binary").alias("margin")).persist()
+    def __init__(self, staged: DataFrame, features: int, margin: float, share: float) -> None:
+        self.features, self.share, self.since, self.start = features, share, 0, margin
+        self.kept = staged.select("*", F.lit(None).cast("binary").alias("margin"))
         self.older: list[DataFrame] = []
-        self.tasks = self.kept.rdd.getNumPartitions()
-        self.start = margin
 
-    def _reader(self) -> Callable:
-        features, start = self.features, self.start
+    def sample(self) -> np.ndarray:
+        """Bins of about a block of rows, some of every block, feature by feature."""
+        features, step = self.features, max(1, self.kept.count())
 
-        def read(row: dict) -> tuple:
-            label = np.frombuffer(row["label"], np.uint8)
-            bins = np.frombuffer(row["bins"], np.uint8).reshape(len(label), features)
-            margin = np.full(len(label), start) if row["margin"] is None else np.frombuffer(row["margin"], float)
-            return bins, label, np.frombuffer(row["draw"], np.int64), np.frombuffer(row["val"], np.uint8), margin
+        def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = [np.frombuffer(packed, np.uint8).reshape(features, -1)[:, ::step].tobytes() for packed in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["bins"])
 
-        return read
+        found = self.kept.select("bins").mapInArrow(thin, "bins binary").collect()
+        return np.concatenate([np.frombuffer(row["bins"], np.uint8).reshape(features, -1) for row in found], axis=1)
 
-    def add(self, trees: list[list[list]]) -> None:
-        """The next round: margins after these trees, whose cuts are bins."""
-        read, new = self._reader(), empty(0.0, self.features)
-        for nodes in trees:
-            new = grown(new, nodes)
+    def add(self, trees: list[list[list]], draws: list[int]) -> None:
+        """The next round: margins after these trees, whose cuts are bins, and the rows drawn for the trees to come."""
+        features, start, share = self.features, self.start, self.share
 
         def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
-                for row in batch.to_pylist():
-                    bins, *_, margin = read(row)
-                    found.append((margin + walked(new, bins)).tobytes())
-                yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in BLOCKS], pa.array(found, pa.binary())], [*BLOCKS, "margin"])
-
-        after = self.kept.mapInArrow(margins, ", ".join(f"{name} binary" for name in [*BLOCKS, "margin"]))
+                for row in batch.select([*BLOCKS, "margin"]).to_pylist():
+                    label, val = np.frombuffer(row["label"], np.uint8), np.frombuffer(row["val"], np.uint8)
+                    bins = np.frombuffer(row["bins"], np.uint8).reshape(features, len(label))
+                    margin = np.full(len(label), start) if row["margin"] is None else np.frombuffer(row["margin"], float)
+                    if trees:
+                        ends = np.empty((len(label), len(trees)))
+                        for i, nodes in enumerate(trees):
+                            leaves = [node for node, fields in enumerate(nodes) if fields[0] < 0]
+                            values = np.array([0.0, *[nodes[node][3] for node in leaves]])
+                            ends[:, i] = values[numbered(arrivals(nodes, bins), leaves)]
+                        margin = margin + ends.sum(axis=1)
+                    score = sigmoid(margin)
+                    drawn = np.zeros((-(-len(draws) // BYTE), len(label)), np.uint8)
+                    for i, seed in enumerate(draws):
+                        used = (mixed(np.frombuffer(row["draw"], np.int64), seed) < share) & (val == 0)
+                        drawn[i // BYTE] |= used * np.uint8(1 << i % BYTE)
+                    found.append([margin, np.rint((score - label) * GRAIN).astype(np.int32),
+                                  np.rint(score * (1 - score) * GRAIN).astype(np.int32), drawn])
+                yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in BLOCKS], *[
+                    pa.array([part.tobytes() for part in column], pa.binary()) for column in zip(*found)]], [*BLOCKS, *ROUND])
+
+        after = self.kept.mapInArrow(margins, ", ".join(f"{name} binary" for name in [*BLOCKS, *ROUND]))
         self.older.append(self.kept)
         self.since += len(trees)
         if self.since >= REBASE:
@@ -227,42 +270,53 @@ class Fitter:
 
     def sums(self, trees: list[Growing], with_val: bool) -> tuple[np.ndarray, np.ndarray]:
         """Sums (node, feature, bin, [gradient, curvature]) of the asked nodes of all trees, in grains, and validation counts
-        (label, step)."""
-        read, features = self._reader(), self.features
+        (label, step). Of a tree's own columns only; the others are left 0.
+
+        While all trees are at their roots, rows are counted once for every byte of draws and dealt to the trees afterwards.
+        """
+        features = self.features
         shape = (sum(len(tree.asked()) for tree in trees), features, BINS)
-        size, parts, first = int(np.prod(shape)), [], 0
-        for tree in trees:
-            place = np.full(len(tree.nodes), -1)
-            place[tree.asked()] = first + np.arange(len(tree.asked()))
-            first += len(tree.asked())
-            parts.append((grown(empty(0.0, features), tree.nodes), place, tree.draw, tree.share))
+        parts = [(tree.nodes, tree.asked(), np.flatnonzero(tree.columns).tolist()) for tree in trees]
+        roots = all(asked == [0] for _, asked, _ in parts)
+        names = ["bins", "gradient", "curvature", "drawn", *(["label", "val", "margin"] if with_val else [])]
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, counts = np.zeros(2 * size), np.zeros(2 * AUC_STEPS if with_val else 0)
+            total, counts = np.zeros((2, *shape)), np.zeros(2 * AUC_STEPS if with_val else 0)
+            by_draws = np.zeros((2, -(-len(parts) // BYTE), features, 256 * BINS)) if roots else None
             for batch in batches:
                 for row in batch.to_pylist():
-                    bins, label, draw, val, margin = read(row)
-                    score = sigmoid(margin)
+                    weights = [np.frombuffer(row[name], np.int32).astype(float) for name in ("gradient", "curvature")]
+                    bins = np.frombuffer(row["bins"], np.uint8).reshape(features, len(weights[0]))
+                    drawn = np.frombuffer(row["drawn"], np.uint8).reshape(-1, len(weights[0]))
                     if with_val:
-                        held = val == 1
-                        steps = np.minimum((score[held] * AUC_STEPS).astype(int), AUC_STEPS - 1)
-                        counts += np.bincount(label[held].astype(int) * AUC_STEPS + steps, minlength=2 * AUC_STEPS)
-                    weights = np.rint((score - label) * GRAIN), np.rint(score * (1 - score) * GRAIN)
-                    for grower, place, seed, share in parts:
-                        used = np.flatnonzero((val == 0) & (mixed(draw, seed) < share))
-                        node = place[landed(grower, bins[used])]
-                        used, node = used[node >= 0], node[node >= 0]
-                        cell = ((node[:, None] * features + np.arange(features)) * BINS + bins[used]).ravel()
-                        for i, weight in enumerate(weights):
-                            total[i * size:(i + 1) * size] += np.bincount(cell, np.repeat(weight[used], features), minlength=size)
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total, counts]).tobytes()], pa.binary())], ["sums"])
-
-        partials, tasks = self.kept.mapInArrow(task, "sums binary"), self.tasks
+                        held = np.frombuffer(row["val"], np.uint8) == 1
+                        score = sigmoid(np.frombuffer(row["margin"], float)[held])
+                        steps = np.minimum((score * AUC_STEPS).astype(int), AUC_STEPS - 1)
+                        label = np.frombuffer(row["label"], np.uint8)[held].astype(int)
+                        counts += np.bincount(label * AUC_STEPS + steps, minlength=2 * AUC_STEPS)
+                    if roots:
+                        for group, byte in enumerate(drawn):
+                            count_bins(by_draws[:, group], byte, 256, bins, range(features), weights)
+                        continue
+                    first = 0
+                    for i, (nodes, asked, columns) in enumerate(parts):
+                        place = numbered(arrivals(nodes, bins), asked) * (drawn[i // BYTE] >> i % BYTE & 1)
+                        used = np.flatnonzero(place != 0)
+                        if len(used):
+                            count_bins(total[:, first:first + len(asked)].swapaxes(1, 2), place[used] - 1, len(asked), bins, columns, weights, used)
+                        first += len(asked)
+            if roots:
+                for i, (*_, columns) in enumerate(parts):
+                    mine = np.flatnonzero(np.arange(256) >> i % BYTE & 1)
+                    total[:, i, columns] = by_draws[:, i // BYTE, columns].reshape(2, len(columns), 256, BINS)[:, :, mine].sum(axis=2)
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total.ravel(), counts]).tobytes()], pa.binary())], ["sums"])
+
+        partials, tasks = self.kept.select(*names).mapInArrow(task, "sums binary"), self.tasks
         while tasks > FAN:
             # Sums of many tasks are added in a tree, so that few reach the driver.
             tasks = -(-tasks // FAN)
             partials = partials.repartition(tasks).mapInArrow(added, "sums binary")
-        both = sum(np.frombuffer(row["sums"], float) for row in partials.collect())
+        both, size = sum(np.frombuffer(row["sums"], float) for row in partials.collect()), int(np.prod(shape))
         return np.moveaxis(both[:2 * size].reshape(2, *shape), 0, -1), both[2 * size:].reshape(2, -1)
 
     def close(self) -> None:
@@ -270,6 +324,19 @@ class Fitter:
         self.kept.unpersist()
 
 
+def count_bins(total: np.ndarray, place: np.ndarray, places: int, bins: np.ndarray, columns: Sequence[int], weights: list[np.ndarray],
+               used: np.ndarray | None = None) -> None:
+    """Add the weights of the ``used`` rows (all if None) to ``total``: (weight, feature, place, bin). One feature at a time, so that
+    what a pass touches stays in the processor's cache."""
+    first = place.astype(np.intp) * BINS
+    cell = np.empty_like(first)
+    weights = weights if used is None else [weight[used] for weight in weights]
+    for feature in columns:
+        np.add(first, bins[feature] if used is None else bins[feature][used], out=cell)
+        for sums, weight in zip(total, weights):
+            sums[feature] += np.bincount(cell, weight, minlength=places * BINS).reshape(sums[feature].shape)
+
+
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -280,19 +347,6 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
 
-def landed(tree: Booster, bins: np.ndarray) -> np.ndarray:
-    """The node of a single tree that rows have come to."""
-    node = np.zeros(len(bins), np.int64)
-    line = np.arange(len(bins))
-    while True:
-        feature = tree.feature[node]
-        inner = feature >= 0
-        if not inner.any():
-            return node
-        step = tree.left[node] + (bins[line, np.maximum(feature, 0)] > tree.cut[node])
-        node = np.where(inner, step, node)
-
-
 def shrunk(gradient: np.ndarray, l1: float) -> np.ndarray:
     return np.sign(gradient) * np.maximum(np.abs(gradient) - l1, 0.0)
 
@@ -335,16 +389,22 @@ def fit(train: DataFrame, val: DataFrame, rounds: int = ROUNDS, seed: int = 42,
     """
     features = len(train.select(vector_to_array("features").alias("x")).first()["x"])
     edges = bin_edges(train, features)
-    fitter = Fitter(stage(blocks(spread(train), spread(val), edges, block), "blocks"), features, 0.0)
+    fitter = Fitter(stage(blocks(spread(train), spread(val), edges, block), "blocks"), features, 0.0, row_share)
+    sample = fitter.sample()
     rng = np.random.default_rng(seed)
     booster, best, best_auc = empty(0.0, features), 0, -1.0
+
+    def draws() -> list[int]:
+        return [seed * 1_000_003 + number for number in range(booster.trees, booster.trees + abreast)]
+
+    fitter.add([], draws())
     more = True
     while more:
         trees = []
-        for number in range(booster.trees, booster.trees + abreast):
+        for _ in range(abreast):
             columns = np.zeros(features, bool)
             columns[rng.permutation(features)[:max(1, int(column_share * features))]] = True
-            trees.append(Growing([[-1, 0, -1, 0.0, 0.0, 0.0]], [0], columns, seed * 1_000_003 + number, row_share))
+            trees.append(Growing([[-1, 0, -1, 0.0, 0.0, 0.0]], [0], columns))
         for level in range(depth):
             sums, counts = fitter.sums(trees, level == 0)
             if level == 0:
@@ -360,11 +420,12 @@ def fit(train: DataFrame, val: DataFrame, rounds: int = ROUNDS, seed: int = 42,
                 mine = tree.full(sums[first:first + asked])
                 first += asked
                 if level == 0:
-                    root = mine[0, 0].sum(axis=0) / GRAIN
+                    root = mine[0, int(tree.columns.argmax())].sum(axis=0) / GRAIN
                     tree.nodes[0][3:5] = [leaf_value(root, l1, l2, step), float(root[1])]
                 splits = best_splits(mine / GRAIN, tree.columns, l1, l2, least_gain, least_weight)
                 tree.parents = mine[[split is not None for split in splits]]
                 split_open(tree, splits, l1, l2, step)
+                tree.halve(sample)
             if not any(tree.open for tree in trees):
                 break
         done = [tree for tree in trees if tree.nodes[0][0] >= 0]
@@ -372,7 +433,7 @@ def fit(train: DataFrame, val: DataFrame, rounds: int = ROUNDS, seed: int = 42,
         for tree in done if more else []:
             booster = grown(booster, [[f, edges[f][c] if f >= 0 else 0.0, *rest] for f, c, *rest in tree.nodes])
         if more:
-            fitter.add([tree.nodes for tree in done])
+            fitter.add([tree.nodes for tree in done], draws())
     fitter.close()
     return booster.head(min(best or booster.trees, rounds))
 

@@ -64,6 +64,33 @@ def test_fit_does_not_depend_on_partitioning(rows):
     assert all(np.array_equal(getattr(first, name), getattr(second, name)) for name in ("roots", *B.NODE))
 
 
+def test_only_the_smaller_child_is_counted(spark):
+    """Counted are a tree's own columns and, of two children, the one with fewer rows; the other one follows from the parent."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 20, (700, 3)), rng.integers(0, 2, 700)
+    df = spark.createDataFrame([(int(b), [float(v) for v in a]) for a, b in zip(x, y)], "isFraud int, x array<double>")
+    df = df.select("isFraud", array_to_vector("x").alias("features")).repartition(3)
+    edges = [np.arange(20.0)] * 3
+    fitter = B.Fitter(B.blocks(df, df.limit(0), edges, 100), 3, 0.0, 1.0)
+    sample = fitter.sample()
+    fitter.add([], [1, 2])
+    trees = [B.Growing([[-1, 0, -1, 0.0, 0.0, 0.0]], [0], np.array(columns, bool)) for columns in ([1, 1, 0], [1, 1, 1])]
+    roots, _ = fitter.sums(trees, True)
+    for tree, root, cut in zip(trees, roots, (3, 15)):
+        tree.parents = root[None]
+        B.split_open(tree, [(1.0, 0, cut, root[0, :cut + 1].sum(axis=0), root[0, cut + 1:].sum(axis=0))], 0.1, 1.0, 0.1)
+        tree.halve(sample)
+    assert [tree.asked() for tree in trees] == [[1], [2]]
+    found, _ = fitter.sums(trees, False)
+    fitter.close()
+    for tree, sums, cut in zip(trees, found, (3, 15)):
+        for node, side in zip(tree.full(sums[None]), (x[:, 0] <= cut, x[:, 0] > cut)):
+            for feature in range(3):
+                for weight, values in enumerate(((0.5 - y[side]) * B.GRAIN, np.full(side.sum(), B.GRAIN / 4))):
+                    expected = np.bincount(x[side, feature], values, minlength=B.BINS) * tree.columns[feature]
+                    assert node[feature, :, weight].tolist() == expected.tolist()
+
+
 @pytest.mark.parametrize("l1, l2, least_gain", [(0.0, 0.0, 0.0), (0.5, 1.0, 0.0), (0.1, 3.0, 6.0)])
 def test_first_tree_against_brute_force(spark, rows, l1, l2, least_gain):
     """One tree of depth two on all rows and columns, every split tried."""
