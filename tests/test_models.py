@@ -182,6 +182,27 @@ def test_attributions_are_shapley_values(depth):
             assert got[i, j] == pytest.approx(total, abs=1e-10)
 
 
+def test_forest_paths_against_a_walk_of_each_row():
+    rng = np.random.default_rng(8)
+    trees = [I.grow(rng.normal(size=(n, 4)), rng) for n in (64, 3, 1)]
+    tables = [np.full((3, 1 + max(n[0] for tree in trees for n in tree)), -1, kind) for kind in (np.int32, float, np.int32, np.int32, float)]
+    for i, tree in enumerate(trees):
+        for node, *fields in tree:
+            for table, value in zip(tables, fields):
+                table[i, node] = value
+    assert I.depths(tables[0], tables[2]).tolist()[2] == 0
+    x = rng.normal(size=(I.TOGETHER + 9, 4))
+    got = I.path_scores(tuple(tables), 64, x)
+    for i in (0, 5, I.TOGETHER, len(x) - 1):
+        total = 0.0
+        for feature, threshold, left, right, path in zip(*tables):
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if x[i, feature[at]] <= threshold[at] else right[at]
+            total += path[at]
+        assert got[i] == pytest.approx(2.0 ** (-total / 3 / float(I.mean_path(64))))
+
+
 def test_attributions_of_a_long_booster_add_up():
     model = random_booster(320, 6, 12, 7)
     x = np.random.default_rng(2).normal(size=(50, 12))
