@@ -10,11 +10,12 @@ the model does not depend on how the rows are dealt to tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -91,21 +92,39 @@ def grown(booster: Booster, nodes: list[list]) -> Booster:
                                                    for name, column in zip(NODE, columns)], booster.margin, booster.features)
 
 
-def walked(booster: Booster, x: np.ndarray, rows: int = 4096) -> np.ndarray:
-    """Sum over the trees of the values that rows end in. ``x`` holds values, or bins if the cuts are bins."""
+# Rows that are walked through a tree together: fewer take gathers, more take one comparison a test.
+FEW, MANY = 512, 16_384
+
+
+def walked(booster: Booster, x: np.ndarray) -> np.ndarray:
+    """Sum over the trees, in their order, of the values that rows end in."""
     out = np.zeros(len(x))
-    for first in range(0, len(x), rows):
-        part = x[first:first + rows]
-        node = np.broadcast_to(booster.roots, (len(part), booster.trees)).copy()
-        line = np.arange(len(part))[:, None]
-        while True:
-            feature = booster.feature[node]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            step = booster.left[node] + (part[line, np.maximum(feature, 0)] > booster.cut[node])
-            node = np.where(inner, step, node)
-        out[first:first + rows] = booster.value[node].sum(axis=1)
+    for first in range(0, len(x), MANY):
+        part = x[first:first + MANY]
+        out[first:first + MANY] = (gathered if len(part) < FEW else compared)(booster, part)
+    return out
+
+
+def gathered(booster: Booster, part: np.ndarray) -> np.ndarray:
+    node = np.broadcast_to(booster.roots, (len(part), booster.trees)).copy()
+    line = np.arange(len(part))[:, None]
+    while True:
+        feature = booster.feature[node]
+        inner = feature >= 0
+        if not inner.any():
+            break
+        step = booster.left[node] + (part[line, np.maximum(feature, 0)] > booster.cut[node])
+        node = np.where(inner, step, node)
+    return np.ascontiguousarray(booster.value[node].T).sum(axis=0)      # tree by tree, as in compared
+
+
+def compared(booster: Booster, part: np.ndarray) -> np.ndarray:
+    out, lines = np.zeros(len(part)), np.ascontiguousarray(part.T)
+    for root, end in zip(booster.roots, np.append(booster.roots[1:], len(booster.feature))):
+        feature, cut, left = (getattr(booster, name)[root:end].tolist() for name in ("feature", "cut", "left"))
+        leaves = [node for node, split in enumerate(feature) if split < 0]
+        rows = arrivals([(f, c, child - root) for f, c, child in zip(feature, cut, left)], lines)
+        out += np.append(0.0, booster.value[root:end][leaves])[numbered(rows, leaves)]
     return out
 
 
@@ -240,7 +259,7 @@ class Fitter:
                     if trees:
                         ends = np.empty((len(label), len(trees)))
                         for i, nodes in enumerate(trees):
-                            leaves = [node for node, fields in enumerate(nodes) if fields[0] < 0]
+                            leaves = [node for node, (feature, *_) in enumerate(nodes) if feature < 0]
                             values = np.array([0.0, *[nodes[node][3] for node in leaves]])
                             ends[:, i] = values[numbered(arrivals(nodes, bins), leaves)]
                         margin = margin + ends.sum(axis=1)
@@ -455,13 +474,18 @@ def leaf_value(sums: np.ndarray, l1: float, l2: float, step: float) -> float:
     return float(-shrunk(sums[0], l1) / (sums[1] + l2) * step)
 
 
+def shipped(model: Booster, df: DataFrame) -> Broadcast:
+    """The fields of the model for the executors, which need not have its class."""
+    return df.sparkSession.sparkContext.broadcast(tuple(getattr(model, field.name) for field in fields(Booster)))
+
+
 def score(model: Booster, df: DataFrame, name: str = "score_raw") -> DataFrame:
     """``df`` with the probability of fraud."""
-    shipped = df.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(model, df)
 
     @F.pandas_udf("double")
     def probability(x: pd.Series) -> pd.Series:
-        return pd.Series(sigmoid(shipped.value.margins(np.stack(x.to_numpy()))) if len(x) else [], dtype=float)
+        return pd.Series(sigmoid(Booster(*sent.value).margins(np.stack(x.to_numpy()))) if len(x) else [], dtype=float)
 
     return df.withColumn(name, probability(vector_to_array("features")))
 
@@ -489,26 +513,79 @@ def base_value(model: Booster) -> float:
     return total
 
 
+# Tests that are looked up together, and rows that share the tables of such look-ups.
+TESTS = 8
+TOGETHER = 65_536
+
+
+def pieces(model: Booster, root: int) -> list[tuple[list[int], set[int]]]:
+    """A tree in pieces: (tests on the way to the piece and inside it, nodes on the way and inside it). At most ``TESTS`` tests each,
+    or those on the way to a single leaf."""
+    def below(node: int) -> list[int]:
+        if model.feature[node] < 0:
+            return [node]
+        left = int(model.left[node])
+        return [node, *below(left), *below(left + 1)]
+
+    found, open_nodes = [], [(int(root), [])]
+    while open_nodes:
+        node, path = open_nodes.pop()
+        inside = below(node)
+        tests = path + [n for n in inside if model.feature[n] >= 0]
+        if len(tests) <= TESTS or model.feature[node] < 0:
+            found.append((tests, {*path, *inside}))
+        else:
+            open_nodes += [(int(model.left[node]) + side, [*path, node]) for side in (0, 1)]
+    return found
+
+
 def contributions(model: Booster, x: np.ndarray) -> np.ndarray:
     """Shapley values (rows x features) of the margins; absent features count with the shares of training rows.
 
+    What the leaves of a piece of a tree are worth depends on a few tests only. It is worked out once for every outcome of them, and
+    rows look it up by theirs.
+    """
+    points, weights = np.polynomial.legendre.leggauss(max(1, (longest_path(model) + 1) // 2))
+    lines, out = np.ascontiguousarray(x.T), np.zeros((model.features, len(x)))
+    for root in model.roots:
+        tables = []
+        for tests, nodes in pieces(model, root):
+            outcomes = np.arange(2 ** len(tests))
+            rights = {node: (outcomes >> i & 1).astype(bool) for i, node in enumerate(tests)}
+            tables.append((tests, worths(model, int(root), nodes, rights, len(outcomes), (points + 1) / 2, weights / 2)))
+        for first in range(0, len(x), MANY):
+            mine = slice(first, first + MANY)
+            rights = {node: lines[model.feature[node], mine] > model.cut[node] for node in {n for tests, _ in tables for n in tests}}
+            for tests, table in tables:
+                code = np.zeros(len(x[mine]), np.uint8 if len(tests) <= 8 else np.uint32)
+                for i, node in enumerate(tests):
+                    code += rights[node] * code.dtype.type(1 << i)
+                code = code.astype(np.intp)
+                for feature, values in table.items():
+                    out[feature, mine] += values[code]
+    return np.ascontiguousarray(out.T)
+
+
+def worths(model: Booster, root: int, nodes: set[int], rights: dict[int, np.ndarray], rows: int, t: np.ndarray, w: np.ndarray) -> dict[int, np.ndarray]:
+    """What the leaves among ``nodes`` of a tree are worth by feature, for rows whose tests come out as ``rights``.
+
     Of a leaf, feature j is worth value * (o_j - z_j) * the integral over t in (0, 1) of the product, over the other features i of its
     path, of z_i (1 - t) + o_i t, where o is 1 if the row satisfies the feature's tests and z the share of training rows that do.
     The product is a polynomial in t, so a few Gauss points give the integral exactly. Walking a tree keeps the product at
     those points; coming back up, every edge adds what its feature is worth to all leaves below it.
     """
-    points, weights = np.polynomial.legendre.leggauss(max(1, (longest_path(model) + 1) // 2))
-    t, w = (points + 1) / 2, weights / 2
-    out = np.zeros((len(x), model.features))
+    out: dict[int, np.ndarray] = {}
 
     def walk(node: int, product: np.ndarray, edges: dict) -> np.ndarray:
         """Sum over the leaves below of value * product."""
         feature = int(model.feature[node])
         if feature < 0:
             return model.value[node] * product
-        right = x[:, feature] > model.cut[node]
+        right = rights[node]
         total = np.zeros_like(product)
         for child, goes in ((int(model.left[node]), ~right), (int(model.left[node]) + 1, right)):
+            if child not in nodes:
+                continue
             share, inside, factor = edges.get(feature, (1.0, None, None))
             new_share = share * model.cover[child] / model.cover[node]
             new_inside = goes if inside is None else goes & inside
@@ -518,12 +595,11 @@ def contributions(model: Booster, x: np.ndarray) -> np.ndarray:
             worth = (new_inside - new_share)[:, None] / new_factor
             if factor is not None:
                 worth = worth - (inside - share)[:, None] / factor     # what the edge above would add for these leaves
-            out[:, feature] += (below * worth) @ w
+            out[feature] = out.get(feature, 0.0) + (below * worth) @ w
             total += below
         return total
 
-    for root in model.roots:
-        walk(int(root), np.ones((len(x), len(t))), {})
+    walk(root, np.ones((rows, len(t))), {})
     return out
 
 
@@ -537,16 +613,31 @@ def longest_path(model: Booster) -> int:
 
 def attribute(model: Booster, df: DataFrame, ident: str = "TransactionID") -> DataFrame:
     """(id, x, values, base): additive contributions of every feature value; base + sum = the row's log-odds."""
-    shipped = df.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(model, df)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for first in range(0, len(batch), 2048):
-                part = batch.iloc[first:first + 2048]
-                yield part.assign(values=list(contributions(shipped.value, np.stack(part["x"].to_numpy()))))
-
-    arrays = df.select(ident, vector_to_array("features").alias("x"))
-    return arrays.mapInPandas(run, f"{ident} long, x array<double>, values array<double>").withColumn("base", F.lit(base_value(model)))
+            held.append(batch)
+            if sum(part.num_rows for part in held) >= TOGETHER:
+                yield from explained(held)
+                held = []
+        yield from explained(held)
+
+    def explained(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sum(batch.num_rows for batch in held):
+            return
+        x = np.concatenate([batch.column(1).flatten().to_numpy() for batch in held])
+        rows = len(x) // sent.value[-1]
+        values, first = contributions(Booster(*sent.value), x.reshape(rows, -1)), 0
+        for batch in held:
+            mine = values[first:first + batch.num_rows]
+            first += batch.num_rows
+            ends = pa.array(np.arange(0, mine.size + 1, mine.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(mine.ravel()))], [ident, "x", "values"])
+
+    arrays = df.select(F.col(ident).cast("long").alias(ident), vector_to_array("features").alias("x"))
+    return arrays.mapInArrow(run, f"{ident} long, x array<double>, values array<double>").withColumn("base", F.lit(base_value(model)))
 
 
 def named(values: Column, names: Sequence[str]) -> Column:

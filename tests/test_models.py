@@ -182,6 +182,26 @@ def test_attributions_are_shapley_values(depth):
             assert got[i, j] == pytest.approx(total, abs=1e-10)
 
 
+def test_margins_and_attributions_of_many_rows_are_those_of_few():
+    """Tests are evaluated once for many rows and the pieces of a tree looked up by their outcomes."""
+    model = random_booster(6, 7, 9, 11)
+    x = np.random.default_rng(3).normal(size=(B.FEW + 5, 9))
+    few = slice(0, 40)
+    assert np.array_equal(model.margins(x)[few], model.margins(x[few]))
+    for root in model.roots:
+        found = B.pieces(model, int(root))
+        leaves = [n for _, nodes in found for n in nodes if model.feature[n] < 0]
+        end = next((r for r in model.roots if r > root), len(model.feature))
+        assert sorted(leaves) == [n for n in range(root, end) if model.feature[n] < 0]
+        assert all(len(tests) <= B.TESTS for tests, _ in found)
+        whole = B.worths(model, int(root), set(range(root, end)), {n: x[few, model.feature[n]] > model.cut[n] for n in range(root, end)},
+                         40, *((p + s) / 2 for p, s in zip(np.polynomial.legendre.leggauss(4), (1, 0))))
+        alone = B.Booster(np.array([root]), *[getattr(model, name) for name in B.NODE], model.margin, model.features)
+        got = B.contributions(alone, x)[few]
+        for feature in range(9):
+            assert got[:, feature] == pytest.approx(whole.get(feature, np.zeros(40)), abs=1e-12)
+
+
 def test_forest_paths_against_a_walk_of_each_row():
     rng = np.random.default_rng(8)
     trees = [I.grow(rng.normal(size=(n, 4)), rng) for n in (64, 3, 1)]
