@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -278,6 +279,27 @@ def test_neighbours_are_exact(spark, block_rows):
         assert [o for o, _ in got[i]] == best
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e8, np.inf])
+def test_pairs_out_of_reach_are_not_measured(scale):
+    """Nearly equal rows far from the origin, copies, and a row without a distance: the pairs kept hold the nearest, and are few."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(200, 4)) + (scale if np.isfinite(scale) else 0), rng.normal(size=(1, 4)) * scale])
+    x[100:120] = x[:20]
+    table = pd.DataFrame({"id": np.arange(len(x)), "x": list(x)})
+    with np.errstate(invalid="ignore"):
+        gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gaps, np.inf)
+    near = [sorted((gaps[i, j], j) for j in range(len(x)) if np.isfinite(gaps[i, j]))[:3] for i in range(len(x))]
+    with np.errstate(invalid="ignore"):
+        found = N.nearest(table, table, 3).sort_values(["id", "distance", "other"])
+        again = N.nearest(table.assign(bound=[n[-1][0] if n else np.nan for n in near]), table, 3).sort_values(["id", "distance", "other"])
+    for got in (found, again):
+        assert list(zip(got["id"], got["distance"], got["other"])) == [(i, d, j) for i, n in enumerate(near) for d, j in n]
+    if scale == 1.0:
+        ids = table["id"].to_numpy()
+        assert sum(len(row) for row, _ in N.candidates(x, x, ids, ids, np.full(len(x), np.inf), 3)) < 5 * len(x)
+
+
 def test_oversampling(spark, rows):
     features = {r["TransactionID"]: np.array(r["x"]) for r in rows.select("TransactionID", vector_to_array("features").alias("x")).collect()}
     sizes = {r["isFraud"]: r["count"] for r in rows.groupBy("isFraud").count().collect()}
