@@ -7,6 +7,9 @@ point among the recent ones and in the one big span the point lies in. So a micr
 a card besides those of the spans its windows begin and end in, however long the history is. What no window of a payment
 still accepted can reach is folded into the old total, when payments of the card arrive or by an event-time timer.
 
+Cards that hash alike share a key, and their states are packed into one value. Big spans are entries of their own, so that a key
+reads no more than the old totals, the recent payments and the spans its batch asks for.
+
 A hot card is split into parts, each with a state of its own: a payment is kept by one part (by its id), asked of every
 part, and the parts' answers add up. Payments later than the watermark are dropped by the engine.
 """
@@ -30,6 +33,10 @@ from risklane.streaming import jobs
 # Seconds of a span, and payments that make it a big one.
 SPAN = 6 * 3600
 BIG = 256
+# Keys of the state. A call for a key costs about 10 ms whatever it holds, so cards share keys and a batch makes at most this many calls.
+BUCKETS = 8192
+# Stands for a missing card.
+NO_CARD = -2**63
 # What a sum is kept in: squares of cents outgrow 64 bits, so they are kept in two parts.
 PART = np.int64(2**31)
 # Columns of a total: span, payments, sum, squares. The first row, of no span, is the old total.
@@ -128,52 +135,97 @@ def before(rows: np.ndarray, points: np.ndarray, idents: np.ndarray | None) -> n
     return first
 
 
+class CardSpans:
+    """The big spans of one part of a card among those of its key."""
+
+    def __init__(self, spans: MapState, card: int, part: int) -> None:
+        self.spans, self.owner = spans, (card, part)
+
+    def getValue(self, key: tuple) -> tuple:
+        return self.spans.getValue((*self.owner, *key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.spans.updateValue((*self.owner, *key), value)
+
+    def removeKey(self, key: tuple) -> None:
+        self.spans.removeKey((*self.owner, *key))
+
+
+Cards = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+
+
+def packed(cards: Cards) -> bytes:
+    """(card, part) -> (totals, recent) as whole numbers: how many, a line of (card, part, totals, recent ones) each, then all of them."""
+    lines = np.array([(*owner, len(totals), len(recent)) for owner, (totals, recent) in cards.items()], np.int64)
+    return b"".join([np.int64(len(cards)).tobytes(), lines.tobytes(), *[rows.tobytes() for kept in cards.values() for rows in kept]])
+
+
+def unpacked(value: bytes) -> Cards:
+    numbers = np.frombuffer(value, np.int64)
+    cards, at = {}, 1 + 4 * int(numbers[0])
+    for card, part, totals, recent in numbers[1:at].reshape(-1, 4).tolist():
+        middle, end = at + WIDTH * totals, at + WIDTH * totals + 3 * recent
+        cards[card, part] = numbers[at:middle].reshape(-1, WIDTH), numbers[middle:end].reshape(-1, 3)
+        at = end
+    return cards
+
+
 class CardVelocity(StatefulProcessor):
-    """State and answers of one part of a card."""
+    """State and answers of the parts of cards that share a key."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.card = handle.getValueState("card", "totals binary, recent binary, due bigint")
-        self.spans = handle.getMapState("spans", "span bigint", "packed binary")
+        self.cards = handle.getValueState("cards", "packed binary, due bigint")
+        self.spans = handle.getMapState("spans", "card bigint, part bigint, span bigint", "packed binary")
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> CardState:
-        kept = self.card.get()
-        if kept is None:
-            return CardState(np.array([[OLD, 0, 0, 0, 0]], np.int64), np.zeros((0, 3), np.int64), 0, self.spans)
-        totals, recent, due = kept
-        return CardState(np.frombuffer(totals, np.int64).reshape(-1, WIDTH).copy(),
-                         np.frombuffer(recent, np.int64).reshape(-1, 3), due, self.spans)
-
-    def _save(self, state: CardState, watermark: int) -> None:
-        state.fold(watermark)
-        due = state.next_due()
-        if due is not None and (state.due == 0 or due < state.due):
-            self.handle.registerTimer(due)
-            state.due = due
-        self.card.update((state.totals.tobytes(), state.recent.tobytes(), state.due))
+    def _load(self) -> tuple[Cards, int]:
+        kept = self.cards.get()
+        return ({}, 0) if kept is None else (unpacked(kept[0]), kept[1])
+
+    def _state(self, cards: Cards, owner: tuple[int, int]) -> CardState:
+        totals, recent = cards.get(owner, (np.array([[OLD, 0, 0, 0, 0]], np.int64), np.zeros((0, 3), np.int64)))
+        return CardState(totals.copy(), recent, 0, CardSpans(self.spans, *owner))
+
+    def _save(self, cards: Cards, due: int, changed: dict[tuple[int, int], CardState], watermark: int) -> None:
+        soonest = []
+        for owner, state in changed.items():
+            state.fold(watermark)
+            cards[owner] = state.totals, state.recent
+            soonest.append(state.next_due())
+        soonest = min((at for at in soonest if at is not None), default=None)
+        if soonest is not None and (due == 0 or soonest < due):
+            self.handle.registerTimer(soonest)
+            due = soonest
+        self.cards.update((packed(cards), due))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
-        time, ident, cents = (batch[name].to_numpy(np.int64) for name in ("seconds", "TransactionID", "cents"))
-        mine = batch["mine"].to_numpy(bool)
-        state = self._load()
-        state.keep(np.stack([time, ident, cents], axis=1)[mine])
-        own = state.history(time, ident)
-        found = {"_n": own[:, 0], "_sum": own[:, 1], "_high": own[:, 2], "_low": own[:, 3]}
-        for name, seconds in HORIZONS.items():
-            older = state.history(time - seconds)
-            found |= {f"_n_{name}": older[:, 0], f"_sum_{name}": older[:, 1]}
-        self._save(state, timerValues.getCurrentWatermarkInMs() // 1000)
-        yield pd.DataFrame({**{name: batch[name] for name in ("TransactionID", "card1", "TransactionDT", "cents")},
-                            **{name: found[name] for name in (*HISTORY, "_high", "_low")}})
+        time, ident, cents, card, part = (batch[name].to_numpy(np.int64) for name in ("seconds", "TransactionID", "cents", "owner", "part"))
+        mine, payments = batch["mine"].to_numpy(bool), np.stack([time, ident, cents], axis=1)
+        found = {name: np.zeros(len(batch), np.int64) for name in (*HISTORY, "_high", "_low")}
+        order = np.lexsort((part, card))
+        starts = np.flatnonzero(np.diff(card[order], prepend=card[order[0]]) | np.diff(part[order], prepend=-1))
+        cards, due = self._load()
+        changed = {}
+        for at in np.split(order, starts[1:]):
+            owner = int(card[at[0]]), int(part[at[0]])
+            state = changed[owner] = self._state(cards, owner)
+            state.keep(payments[at][mine[at]])
+            own = state.history(time[at], ident[at])
+            for i, name in enumerate(("_n", "_sum", "_high", "_low")):
+                found[name][at] = own[:, i]
+            for name, seconds in HORIZONS.items():
+                older = state.history(time[at] - seconds)
+                found[f"_n_{name}"][at], found[f"_sum_{name}"][at] = older[:, 0], older[:, 1]
+        self._save(cards, due, changed, timerValues.getCurrentWatermarkInMs() // 1000)
+        yield pd.DataFrame({**{name: batch[name] for name in ("TransactionID", "card1", "TransactionDT", "cents")}, **found})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        state.due = 0
-        self._save(state, timerValues.getCurrentWatermarkInMs() // 1000)
+        cards, _ = self._load()
+        self._save(cards, 0, {owner: self._state(cards, owner) for owner in cards}, timerValues.getCurrentWatermarkInMs() // 1000)
         return iter([])
 
 
@@ -198,7 +250,9 @@ def histories(payments: DataFrame, late: str = "1 hour", hot: DataFrame | None =
         home = F.pmod(F.xxhash64("TransactionID"), F.col("_parts"))
         rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn(
             "mine", F.col("part") == home).drop("_parts")
-    return rows.groupBy("card1", "part").transformWithStateInPandas(
+    rows = rows.withColumn("owner", F.coalesce("card1", F.lit(NO_CARD)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("owner", "part"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         CardVelocity(), outputStructType=SCHEMA, outputMode="Append", timeMode="EventTime")
 
 

@@ -229,6 +229,29 @@ class Spans(dict):
         del self[key]
 
 
+def test_cards_share_keys_and_keep_their_own_state(spark, sf_dir, tmp_path, monkeypatch):
+    """Far fewer keys than cards: what the state holds is packed and comes back, and the answers are those of the batch."""
+    from risklane.operators.velocity import exact_velocity
+    monkeypatch.setattr(velocity, "BUCKETS", 3)
+    monkeypatch.setattr(velocity, "BIG", 2)
+    folder, root = str(tmp_path / "in"), str(tmp_path / "state")
+    events = view(spark, sf_dir, "events")
+    for i in (0, 1):
+        events.filter((F.col("event_id") >= 500) == bool(i)).write.mode("append").parquet(folder)
+        run = velocity.VelocityStream(sources.payments(sources.event_stream(spark, folder)), root, late="1 hour")
+        found = run.run().lastProgress["stateOperators"][0]
+        assert found["numRowsTotal"] > 0
+    got = {r["TransactionID"]: r for r in run.output().collect()}
+    batch = exact_velocity(view(spark, sf_dir, "txn")).collect()
+    assert len(got) == len(batch)
+    for r in batch:
+        assert got[r["TransactionID"]].asDict() == pytest.approx(r.asDict())
+    cards = {(5, 0): (np.arange(10).reshape(2, 5), np.arange(9).reshape(3, 3)), (-7, 2): (np.ones((1, 5), np.int64), np.zeros((0, 3), np.int64))}
+    again = velocity.unpacked(velocity.packed(cards))
+    assert list(again) == list(cards)
+    assert all(np.array_equal(a, b) for key in cards for a, b in zip(cards[key], again[key]))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_card_state_against_all_payments(monkeypatch, seed):
     """Batches of payments in any order within the allowed lateness, with ties, folding as the watermark moves."""
