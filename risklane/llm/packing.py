@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -80,11 +81,13 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         text = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.shown)
-        return np.array([token.id for token in self.model.tokenize(text)], np.uint32).tobytes()
+        return array("I", [token.id for token in self.model.tokenize(text)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and len(word) <= 64:       # most words that are met for the first time
+            return self.parts[word.lower()]
         if len(word) > 64 or "<|" in word or not word.isascii() and (max(word) >= "ɐ" or "İ" in word):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         low, parts = word.lower(), self.parts
         if low.isalpha():
             return parts[low]
@@ -130,20 +133,22 @@ class Packer:
         if len(self.pieces) <= keep:
             return
         pieces, limits = self.pieces, np.array(self.limits, float)
-        sizes = np.array([(len(p[2]), 1, self._loss(p[1], len(p[2]), p[4])) for p in pieces], float)
+        # One line for each limit, so that a comparison or a product is a single run over the pieces.
+        sizes = np.array([(len(p[2]), 1, self._loss(p[1], len(p[2]), p[4])) for p in pieces], float).T.copy()
         free = np.ones(len(pieces), bool)
-        shares = sizes / limits
+        shares = sizes / limits[:, None]
         left_over = len(pieces)
         while left_over > keep:
             room, placed = limits.copy(), []
             while room[0] >= 1 and room[1] >= 1:
-                fits = np.flatnonzero(free & (sizes <= room).all(axis=1))
-                if len(fits):
-                    at = int(fits[np.argmax(shares[fits] @ (room / limits))])
+                fits = free & (sizes[0] <= room[0]) & (sizes[2] <= room[2])       # and room for a segment, as tested above
+                weight = room / limits
+                at = int(np.where(fits, shares[0] * weight[0] + shares[1] * weight[1] + shares[2] * weight[2], -1.0).argmax())
+                if fits[at]:
                     placed.append(pieces[at])
                     free[at] = False
                     left_over -= 1
-                    room -= sizes[at]
+                    room -= sizes[:, at]
                     continue
                 at = self._cut(pieces, sizes, free, room)
                 if at is None:
@@ -153,8 +158,8 @@ class Packer:
                 placed.append((doc_id, start, ids[:head], total, loss_from))
                 room -= (head, 1, self._loss(start, head, loss_from))
                 pieces[at] = (doc_id, start + head, ids[head:], total, loss_from)
-                sizes[at] = (len(ids) - head, 1, self._loss(start + head, len(ids) - head, loss_from))
-                shares[at] = sizes[at] / limits
+                sizes[:, at] = (len(ids) - head, 1, self._loss(start + head, len(ids) - head, loss_from))
+                shares[:, at] = sizes[:, at] / limits
             if hand_on and not left_over and room[0] >= 1 and room[1] >= 1:
                 self.pieces = placed
                 return
@@ -169,7 +174,7 @@ class Packer:
     def _cut(self, pieces: list[tuple], sizes: np.ndarray, free: np.ndarray, room: np.ndarray) -> int | None:
         """The smallest waiting piece of which some ids fit; none left means that the sequence stays short."""
         left = np.flatnonzero(free)
-        for at in left[np.argsort(sizes[left, 0], kind="stable")]:
+        for at in left[np.argsort(sizes[0, left], kind="stable")]:
             if self._head(pieces[at][1], len(pieces[at][2]), pieces[at][4], room) > 0:
                 return int(at)
         return None
