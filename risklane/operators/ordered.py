@@ -16,6 +16,8 @@ from risklane.staging import stage
 
 # Most rows of one key that a single task may sort and window.
 TASK_ROWS = 1_000_000
+# Rows of a slice of a scan, on average, if that takes more slices than a shuffle has partitions.
+SLICE_ROWS = 250_000
 # Most rows of a table that may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -76,10 +78,13 @@ def window_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def range_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                sums: Mapping[str, Column]) -> DataFrame:
-    """``running_sums`` for keys of any size."""
+    """``running_sums`` for keys of any size. What a task sorts does not grow with the table: slices get more, not larger."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-df.count() // SLICE_ROWS)
+    number = [needed] if needed > usual else []         # else as many as any shuffle
     slices = stage(
         df.select("*", *[value.alias(f"_in_{name}") for name, value in sums.items()])
-          .repartitionByRange(*keys, *order)
+          .repartitionByRange(*number, *keys, *order)
           .withColumn("_slice", F.spark_partition_id()),
         "slices",
     )
@@ -99,6 +104,8 @@ def range_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     for key in keys:
         matches &= F.col(key).eqNullSafe(F.col(f"_c_{key}"))
     inside = W.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    if number:
+        slices = slices.repartition(needed, "_slice", *keys)
     local = slices.select(*df.columns, "_slice", *[
         F.sum(f"_in_{name}").over(inside).alias(f"_local_{name}") for name in sums])
     return local.join(F.broadcast(carried), matches, "left").select(*df.columns, *[

@@ -39,6 +39,19 @@ def test_running_sums(df, rows, keys, limit):
     assert len(got) == len(rows)
 
 
+def test_slices_grow_in_number_not_in_size(spark, df, rows, monkeypatch):
+    monkeypatch.setattr(O, "SLICE_ROWS", 20)
+    staged = []
+    monkeypatch.setattr(O, "stage", lambda df, label: staged.append(df) or df.localCheckpoint())
+    got = {r["id"]: r["s"] for r in O.range_scan(df, ["k"], ["t", "id"], {"s": F.col("v")}).collect()}
+    seen = {}
+    for k, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        assert got[i] == seen.get(k, 0)
+        seen[k] = got[i] + v
+    assert staged[0].rdd.getNumPartitions() == max(len(rows) // 20, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert len(rows) // 20 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("limit", [10_000, 25])
 def test_rolling_mean(df, rows, limit):
     got = {r["id"]: r["m"] for r in O.rolling_mean(df, ["k"], ["t", "id"], "v", 20, "m", limit).collect()}
