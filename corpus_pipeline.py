@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from risklane.llm import mixing, neardup, packing, quality, toxicity
-from risklane.llm.common import stage, table
+from risklane.llm.common import ARROW_BYTES, TEXT_BATCH, batches_of, stage, table
 from risklane.llm.queries import tokenizer_path
 
 # Fitting a classifier, hashing sets and filling sequences have no SQL form.
@@ -22,7 +22,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold of their language; the model is fitted on labelled documents of this stage."""
+    """Documents below the toxicity threshold of their language; the model is fitted on labelled documents of this stage.
+
+    What it returns is scored when it is written, so its batch size is set for the session; ``run`` sets it back.
+    """
+    spark.conf.set(ARROW_BYTES, str(TEXT_BATCH))
     return toxicity.clean_rows(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
 
 
@@ -48,6 +52,7 @@ STAGES = [("rules", rules), ("toxicity", nontoxic), ("near_duplicates", distinct
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with batches_of(spark, TEXT_BATCH):
+        for name, step in STAGES[:-1]:
+            docs = stage(step(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -214,10 +214,9 @@ class BatchEncoder:
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         codes = words.indices.to_numpy(zero_copy_only=False)
-        table = self.encoder
-        for known in (table.words, table.parts):
-            if len(known) > 4 * len(words.dictionary) + 600_000:
-                known.clear()
+        known = self.encoder.words
+        if len(known) > 4 * len(words.dictionary) + 600_000:
+            known.clear()
         found = list(map(self._word, words.dictionary.to_pylist()))
         found.append(self.end.tobytes())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,16 +13,37 @@ from risklane.staging import new_path
 WORD = r"[^\x20\x09-\x0D]+"
 # Fixed value: the ASCII white space that separates words.
 GAP = r"[\x20\x09-\x0D]+"
+# Bytes of whole texts that a Python worker is handed at once, as Arrow buffers in the executor and again as objects in the worker.
+TEXT_BATCH = 4 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that lost executors cost no rerun of its plan."""
+@contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """Python workers are handed rows in batches of about ``most`` bytes by the jobs that run inside."""
+    usual = spark.conf.get(ARROW_BYTES, None)
+    spark.conf.set(ARROW_BYTES, str(most))
+    try:
+        yield
+    finally:
+        if usual is None:
+            spark.conf.unset(ARROW_BYTES)
+        else:
+            spark.conf.set(ARROW_BYTES, usual)
+
+
+def stage(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that lost executors cost no rerun of its plan.
+
+    With ``batch``, its Python workers are handed about so many bytes of rows at once.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch) if batch else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

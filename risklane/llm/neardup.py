@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from risklane.llm.common import stage
+from risklane.llm.common import TEXT_BATCH, stage
 from risklane.llm.components import components, trees
 
 # Words in a shingle, and the least similarity of a link as a percentage.
@@ -126,7 +126,7 @@ def full_sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     wanted = stage(ids.join(classes.select("id", "key", "least_id"), "id"), "wanted")
     texts = docs.join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
     return stage(texts.mapInPandas(full_sets, "key binary, set binary").join(wanted.select("id", "key"), "key")
-                 .select("id", "set").dropDuplicates(["id"]), "sets")
+                 .select("id", "set").dropDuplicates(["id"]), "sets", TEXT_BATCH)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     separate documents with one id; a null id is never the smallest. Extra columns of ``df`` are ignored.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(docs.mapInPandas(sketches, "doc_id bigint, n_shingles bigint, key binary, sig array<int>"), "sketches")
+    rows = stage(docs.mapInPandas(sketches, "doc_id bigint, n_shingles bigint, key binary, sig array<int>"), "sketches", TEXT_BATCH)
     classes = stage(rows.filter("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
         .withColumn("id", F.monotonically_increasing_id()), "classes")

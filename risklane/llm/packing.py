@@ -25,7 +25,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from risklane.llm.common import stage
+from risklane.llm.common import TEXT_BATCH, stage
 
 # Fixed values of the query: ids in a sequence, the id that ends a document.
 LENGTH = 4096
@@ -35,7 +35,7 @@ POOL = 1024
 # Tasks whose tails are packed together.
 TAILS = 64
 # Distinct words whose ids a task keeps at hand.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 
 # Fixed value: how the vocabulary's pre-tokenizer cuts lower-case text.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -65,15 +65,15 @@ class Encoder:
     """Ids of whole texts, word by word: words recur, and white space parts them for this vocabulary anyway.
 
     A word of characters below U+0250, which normalisation leaves alone, is cut as the tokenizer cuts it, and the
-    parts are looked up in a second table; any other word, and any that may hold a special token, goes to the
-    tokenizer as it is.
+    parts, which are words themselves, are looked up in the same table; any other word, and any that may hold a special
+    token, goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.parts = Words(self._word), Words(self._part)
+        self.words = Words(self._word)
         # Fixed value: the characters that stand for bytes in a byte-level vocabulary.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [byte for byte in range(256) if byte not in shown]
@@ -85,20 +85,20 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha() and len(word) <= 64:       # most words that are met for the first time
-            return self.parts[word.lower()]
+            return self._part(word) if word.islower() else self.words[word.lower()]
         if len(word) > 64 or "<|" in word or not word.isascii() and (max(word) >= "ɐ" or "İ" in word):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        low, parts = word.lower(), self.parts
+        low, words = word.lower(), self.words
         if low.isalpha():
-            return parts[low]
+            return self._part(low)
         if low[:-1].isalpha() and low[-1] in ".,":
-            return parts[low[:-1]] + parts[low[-1]]
-        return b"".join([parts[part] for part in PARTS.findall(low)])
+            return words[low[:-1]] + words[low[-1]]
+        parts = PARTS.findall(low)
+        return self._part(low) if parts == [low] else b"".join([words[part] for part in parts])
 
     def ids(self, text: str) -> np.ndarray:
-        for table in (self.words, self.parts):
-            if len(table) > CACHED_WORDS:
-                table.clear()
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
         words = GAPS.findall(text) if ODD_SPACE.search(text) else text.split()
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.uint32)
 
@@ -230,7 +230,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         packer.drain(0, hand_on=True)
         yield packer.taken(task)
 
-    packed = stage(rows.mapInPandas(pieces, SCHEMA), "packed")
+    packed = stage(rows.mapInPandas(pieces, SCHEMA), "packed", TEXT_BATCH)
     done = packed.filter("task IS NULL").select(*COLUMNS)
     tails, number = packed.filter("task IS NOT NULL"), 0
     while True:

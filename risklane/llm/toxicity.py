@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from risklane.llm.common import spare_name, stage
+from risklane.llm.common import TEXT_BATCH, spare_name, stage
 from risklane.operators.ordered import small
 
 # Most labelled documents of either class that a model is fitted on, and most words of theirs.
@@ -69,7 +69,8 @@ class Words:
         if fresh:
             start = len(self.index)
             while start + len(fresh) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                held, self.rows = self.rows, np.zeros((2 * len(self.rows), self.width), np.float32)
+                self.rows[:len(held)] = held        # the rest takes no memory until it is written
             self.index.update(zip(fresh, range(start, start + len(fresh))))
             grams = [features(word) for word in fresh]
             sizes = np.array([len(g) for g in grams])
@@ -152,7 +153,7 @@ def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
     starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int64)
     flat = np.fromiter((b for g in grams for b in g), np.int32, int(starts[-1]))
     del grams
-    docs = [np.array([vocabulary[w] for w in words], np.int64) for words in texts]
+    docs = [np.array([vocabulary[w] for w in words], np.int32) for words in texts]
     met = np.zeros((2, BUCKETS))
     for doc, label in zip(docs, labels):
         of = np.unique(doc)
@@ -169,7 +170,7 @@ def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
     for _ in range(EPOCHS):
         order = rng.permutation(len(docs))
         for batch in np.array_split(order, max(1, len(order) // BATCH_DOCS)):
-            used = np.unique(np.concatenate([docs[i] for i in batch] or [np.zeros(0, np.int64)]))
+            used = np.unique(np.concatenate([docs[i] for i in batch] or [np.zeros(0, np.int32)]))
             vectors = np.zeros((len(used), DIMS), np.float32)
             if len(used):
                 sizes = starts[used + 1] - starts[used]
@@ -234,6 +235,7 @@ def best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
 def train(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One task over the bounded sample: fit, and hand out the model as bytes and the rows it was fitted on."""
     texts, labels, orders, words = [], [], [], 0
+    known: dict[str, str] = {}          # each word is kept once, however often it is met
     sample = pd.concat([part for part in rows], ignore_index=True)
     sample = sample.sort_values(["_order", "_toxic", "_text"], kind="stable", ignore_index=True)
     for text, label, order in zip(sample["_text"], sample["_toxic"], sample["_order"]):
@@ -241,7 +243,7 @@ def train(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if words + len(found) > SAMPLE_WORDS and texts:
             continue
         words += len(found)
-        texts.append(found)
+        texts.append([known.setdefault(word, word) for word in found])
         labels.append(int(label))
         orders.append(int(order))
     marks = np.array(labels)
@@ -283,7 +285,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     rows = thin.drop("_lang").join(F.broadcast(picked), "_id").dropDuplicates(["_id"])
     schema = "model binary, fitted array<bigint>"
     made = stage(stage(rows, "texts").repartition(1).mapInPandas(train, schema) if not picked.isEmpty() else
-                 docs.sparkSession.createDataFrame([], schema), "model").first()
+                 docs.sparkSession.createDataFrame([], schema), "model", TEXT_BATCH).first()
     return calibrated(made["model"], thin, usable, made["fitted"]) if made else None
 
 

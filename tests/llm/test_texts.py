@@ -3,14 +3,17 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from risklane.llm import extract, licence_texts, licenses, packing, queries, revisits, toxicity
+from risklane.llm import common, extract, licence_texts, licenses, neardup, packing, queries, revisits, toxicity
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head>
 <body><header><a href="/">Site</a></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
@@ -244,6 +247,55 @@ def test_encoder_equals_the_tokenizer(direct, spark, sf_dir):
         assert encoder.ids(text).tolist() == direct(text)[:-1].tolist(), text[:80]
 
 
+def test_encoder_keeps_a_new_word_once():
+    """Plain words met for the first time are one entry each: a second table of parts took as much memory again."""
+    tracemalloc.start()
+    encoder = packing.Encoder(queries.tokenizer_path())
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(30_000)]
+    before = tracemalloc.get_traced_memory()[0]
+    encoder.ids(" ".join(names))
+    taken = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert taken / len(names) < 160     # 199 with two tables, 121 with one
+    assert encoder.ids("Aaaaa, baaaa's").tolist() == encoder.tokenizer.encode("Aaaaa, baaaa's", add_special_tokens=False).ids
+
+
+def test_texts_reach_workers_in_small_batches(spark, sf_dir, monkeypatch):
+    """Whole texts come in batches bounded in bytes wherever a stage of the packing or of the near duplicates takes them."""
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"bytes": [int(batch["text"].str.len().sum())]})
+
+    texts = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id"), F.lit(" word ")), 200).alias("text"))
+    usual = spark.conf.get(common.ARROW_BYTES)
+    found = [row.bytes for row in common.stage(texts.mapInPandas(sizes, "bytes bigint"), "sizes", 1 << 18).collect()]
+    assert len(found) > 10 and max(found) < 1 << 19
+    with pytest.raises(Exception, match="division"):
+        common.stage(texts.select(F.expr("raise_error('division')")), "broken", 1 << 18)
+    assert spark.conf.get(common.ARROW_BYTES) == usual
+    asked = {}
+    for module in (packing, neardup):
+        monkeypatch.setattr(module, "stage", lambda df, label, batch=None: asked.setdefault(label, batch) and None or common.stage(df, label, batch))
+    few = texts.limit(40)
+    packing.pack(few, queries.tokenizer_path()).count()
+    neardup.near_duplicates(few).count()
+    assert asked["packed"] == asked["sketches"] == common.TEXT_BATCH
+    corpus_pipeline.nontoxic(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert spark.conf.get(common.ARROW_BYTES) == str(common.TEXT_BATCH)      # its result is scored when it is written
+    spark.conf.unset(common.ARROW_BYTES)
+    assert spark.conf.get(common.ARROW_BYTES) == usual
+
+
+def test_training_keeps_a_word_once(monkeypatch):
+    """Words of the sample are one object each: a copy for every place took most of the memory of the fit."""
+    rows = pd.DataFrame({"_text": ["plain words and plain", "words again, plain"] * 4, "_toxic": [0, 1] * 4, "_order": range(8)})
+    met, fitted = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: met.extend(texts) or fitted(texts, labels))
+    list(toxicity.train(iter([rows])))
+    words = [word for text in met for word in text]
+    assert len(words) > len(set(words)) == len({id(word) for word in words})
+
+
 def test_packer_places_the_piece_that_fits_best():
     """The first piece is the best of a plain search, every id is placed, and thousands of waiting pieces are gone through quickly."""
     limits, rng = packing.Limits(60, 5, 40), np.random.default_rng(3)
