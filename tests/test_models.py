@@ -353,3 +353,16 @@ def test_hash_sample(spark):
     assert first == {r[0] for r in hash_sample(df.repartition(11), 300).collect()}
     assert first != {r[0] for r in hash_sample(df, 300, seed=1).collect()}
     assert hash_sample(df, 9000).count() == 5000
+
+
+def test_blocks_are_filled_across_batches(spark):
+    """Blocks hold as many rows as asked for, though Spark hands rows over in batches of 10,000, and no row is lost."""
+    rows = spark.range(0, 25_000, 1, 1).select(F.col("id").alias("TransactionID"), (F.col("id") % 7 == 0).cast("int").alias("isFraud"),
+                                               (F.col("id") % 60).cast("double").alias("a"))
+    rows = B.assemble(rows, ["a"])
+    cut = [np.arange(59.0)]
+    found = B.blocks(rows, rows.limit(0), cut, block=12_000).collect()
+    assert sorted(len(row["label"]) for row in found) == [1000, 12_000, 12_000]
+    bins = np.concatenate([np.frombuffer(row["bins"], np.uint8) for row in found])
+    assert np.array_equal(np.bincount(bins), np.bincount(np.arange(25_000) % 60))
+    assert sum(np.frombuffer(row["label"], np.uint8).sum() for row in found) == len(range(0, 25_000, 7))
