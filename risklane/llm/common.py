@@ -47,6 +47,15 @@ def stage(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the right side of a join of which neither side is broadcast, whatever Spark takes their sizes to be.
+
+    Spark sizes a table by its compressed file and counts an array as one element. So it takes exploded signatures, and staged
+    rows that repeat, for a small part of what they are, and would broadcast them through the driver.
+    """
+    return df.hint("merge")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from risklane.llm.common import stage
+from risklane.llm.common import shuffled, stage
 
 
 def _print_of(edges: DataFrame) -> tuple[int, int]:
@@ -21,13 +21,13 @@ def _print_of(edges: DataFrame) -> tuple[int, int]:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(shuffled(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` point from the greater node to the lesser one."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    joined = edges.join(shuffled(least), "u")
     return joined.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
         .unionByName(least.select("u", F.col("m").alias("v")))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from risklane.llm.common import spare_name, stage, word_count
+from risklane.llm.common import shuffled, spare_name, stage, word_count
 from risklane.operators.ordered import running_sums
 
 # Weights of the sources in code point order, repeating; the share of all words; the cap on repeats.
@@ -182,7 +182,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ranked = running_sums(thin.withColumn("_h", F.xxhash64("doc_id", "source")), ["source", "size"], ["_h", "doc_id"],
                           {"_at": F.lit(1).cast("long")})
     cell = F.col("r.source").eqNullSafe(F.col("d.source")) & (F.col("r.size") == F.col("d.size"))
-    placed = ranked.alias("r").join(dealt.alias("d"), cell, "left") \
+    placed = ranked.alias("r").join(shuffled(dealt.alias("d")), cell, "left") \
         .select("r.doc_id", "r.source", "r.size", "rate", F.coalesce(
             F.floor(F.col("cell_copies") / F.col("docs")) +
             (F.col("_at") < F.col("cell_copies") % F.col("docs")).cast("long"), F.lit(0)).cast("long").alias("copies"))

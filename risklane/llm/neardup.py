@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from risklane.llm.common import TEXT_BATCH, stage
+from risklane.llm.common import TEXT_BATCH, shuffled, stage
 from risklane.llm.components import components, trees
 
 # Words in a shingle, and the least similarity of a link as a percentage.
@@ -115,10 +115,10 @@ def postings(classes: DataFrame) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
     # A signature has COORDINATES pairs; all but its MATCHES - 1 most frequent ones are the prefix. The pairs that
     # only one class has are the rarest of all: of n shared pairs the n - (MATCHES - 1) rarest are in the prefix.
-    lists = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("l")) \
+    lists = tokens.join(shuffled(shared), "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("l")) \
         .filter(F.size("l") >= MATCHES) \
         .select("id", F.explode(F.expr(f"slice(l, 1, size(l) - {MATCHES - 1})")["token"]).alias("token"))
-    return lists.join(classes.select("id", "least_id", "n_shingles", "sig"), "id")
+    return lists.join(shuffled(classes.select("id", "least_id", "n_shingles", "sig")), "id")
 
 
 def full_sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     """The pairs (a, b) of classes that are links on their full sets."""
     both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = full_sets_of(both, docs, classes)
-    return pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a") \
+    return pairs.join(shuffled(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))), "a") \
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b") \
         .mapInPandas(confirmed, "a bigint, b bigint")
 
@@ -215,7 +215,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     hubs = posts.groupBy("token").agg(F.min(F.struct("least_id", "id", "n_shingles", "sig")).alias("hub"),
                                       F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     near = near_sizes(F.col("n_shingles"), F.col("hub.n_shingles"))
-    with_hub = stage(posts.join(hubs, "token").filter(F.col("id") != F.col("hub.id")).select(
+    with_hub = stage(posts.join(shuffled(hubs), "token").filter(F.col("id") != F.col("hub.id")).select(
         F.col("hub.id").alias("hub"), "id", (near & (agreeing(F.col("sig"), F.col("hub.sig")) >= MATCHES)).alias("near"))
         .distinct(), "hubs")
     tested = with_hub.filter("near").select(F.col("hub").alias("a"), F.col("id").alias("b"))
@@ -226,12 +226,12 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     named = with_hub.select("hub", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left") \
         .withColumn("root", F.coalesce("root", "id"))
     mixed = several_roots(named)
-    families = stage(mixed.join(classes.select("id", "n_shingles", "sig"), "id"), "families")
+    families = stage(mixed.join(shuffled(classes.select("id", "n_shingles", "sig")), "id"), "families")
     asked = stage(in_blocks(families, MEMBERS, likely, "hub bigint, id bigint").distinct(), "likely")
     if asked.isEmpty():
         return roots
     sets = full_sets_of(asked.select("id").distinct(), docs, classes)
-    exact = families.select("hub", "id", "root").join(asked, ["hub", "id"], "left_semi").join(sets, "id")
+    exact = families.select("hub", "id", "root").join(shuffled(asked), ["hub", "id"], "left_semi").join(sets, "id")
     more = in_blocks(stage(exact, "families"), SETS, linked, "id bigint, root bigint")
     return components(links.unionByName(more.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from risklane.llm.common import TEXT_BATCH, spare_name, stage
+from risklane.llm.common import TEXT_BATCH, shuffled, spare_name, stage
 from risklane.operators.ordered import small
 
 # Most labelled documents of either class that a model is fitted on, and most words of theirs.
@@ -297,7 +297,7 @@ def calibrated(blob: bytes, docs: DataFrame, usable: DataFrame, fitted: list[int
     """
     spark = docs.sparkSession
     seen = spark.createDataFrame([(o,) for o in fitted], "_order bigint")
-    bounded = F.broadcast if small(usable) else (lambda df: df)
+    bounded = F.broadcast if small(usable) else shuffled
     every = docs.select("_id", "_lang").join(bounded(usable.select("_id", "_toxic")), "_id").groupBy("_lang", "_toxic").count()
     totals = {(r["_lang"], r["_toxic"]): r["count"] for r in every.collect()}
     left = usable.join(F.broadcast(seen), "_order", "left_anti").select("_id", "_toxic")

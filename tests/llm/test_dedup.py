@@ -124,6 +124,19 @@ def test_misses_are_rare():
     assert sum(math.comb(n, k) * 0.75 ** k * 0.25 ** (n - k) for k in range(t)) < 5e-8
 
 
+def test_tables_that_spark_sizes_too_low_are_not_broadcast(spark, tmp_path):
+    classes = [(i, i, 20, bytes([i]), list(range(neardup.COORDINATES))) for i in range(6)]
+    for name, rows, schema in (("classes", classes, "id long, least_id long, n_shingles long, key binary, sig array<int>"),
+                               ("edges", [(i + 1, 0) for i in range(6)], "u long, v long")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    classes, edges = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("classes", "edges"))
+    found = neardup.postings(classes)
+    assert {r["id"]: r["count"] for r in found.groupBy("id").count().collect()} == {
+        i: neardup.COORDINATES - neardup.MATCHES + 1 for i in range(6)}
+    for df in (found, components._large_star(edges), components._small_star(edges)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)
