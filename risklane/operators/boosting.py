@@ -15,13 +15,14 @@ from dataclasses import dataclass, fields
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, RDD, StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from risklane.functions.rules import direction
-from risklane.staging import spread, stage
+from risklane.staging import spread, stage, staging_root
 
 # Fixed values of the training job: rounds, depth, step, shares of rows and columns, least curvature of a leaf, least gain, L1, L2,
 # rounds without a better validation AUC.
@@ -228,72 +229,97 @@ def numbered(rows: list[np.ndarray], chosen: list[int]) -> np.ndarray:
 
 
 BLOCKS = ["bins", "label", "draw", "val"]
-ROUND = ["margin", "gradient", "curvature", "drawn"]
 # Trees whose draws share a byte.
 BYTE = 8
+# Most blocks of a task, on average.
+TASK_BLOCKS = 64
+
+Pair = tuple[tuple[bytes, ...], tuple[bytes, ...]]
+
+
+def dealt(staged: DataFrame, most: int = TASK_BLOCKS) -> DataFrame:
+    """Blocks dealt evenly to as many tasks as there are cores, or a multiple of that. Files as a scan puts them together make a task more
+    or less than a multiple, and every pass would wait for it. The order inside a task is fixed, whoever computes it again."""
+    numbered = staged.withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    counts = dict(numbered.groupBy(part.alias("part")).count().collect())
+    total, cores = sum(counts.values()), staged.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(total, cores * -(-total // (cores * most))))
+    before = np.cumsum([0, *(counts.get(i, 0) for i in range(max(counts, default=0)))]).tolist()
+    place = F.get(F.array(*[F.lit(n) for n in before]), part.cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1)
+    return numbered.repartitionById(tasks, (place % tasks).cast("int")).sortWithinPartitions("at").drop("at")
+
+
+def singly(rdd: RDD) -> RDD:
+    """Elements serialized one by one, so that two tables of them can be zipped and a worker holds one block at a time."""
+    return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
 
 
 class Fitter:
     """The staged rows of a fit, and passes over them.
 
-    The margins of a round are those of the round before plus its trees. With them stand the gradients and curvatures in grains, and a
-    bit for each tree of the round that a row is drawn for. They are kept in the executors, computed once by the first pass of
-    the round; every ``REBASE`` trees they are staged, so a lost executor repeats a few trees at most.
+    Two tables stand side by side in the executors, block by block, as plain bytes: the rows themselves, read once, and what a round
+    changes: margins, gradients and curvatures in grains, and a bit for each tree of the round that a row is drawn for. The margins of a
+    round are those of the round before plus its trees, computed by the first pass of the round; every ``REBASE`` trees they are
+    checkpointed, so a lost executor repeats a few trees at most.
     """
 
     def __init__(self, staged: DataFrame, features: int, margin: float, share: float) -> None:
         self.features, self.share, self.since, self.start = features, share, 0, margin
-        self.kept = staged.select("*", F.lit(None).cast("binary").alias("margin"))
-        self.older: list[DataFrame] = []
+        spark = staged.sparkSession
+        root = staging_root(spark)
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(root)
+        # Kept as the bytes that workers are sent.
+        self.level = StorageLevel(True, True, False, True)
+        self.blocks = singly(dealt(staged.select(*BLOCKS)).rdd.map(lambda row: tuple(bytes(part) for part in row))).persist(self.level)
+        self.tasks = self.blocks.getNumPartitions()
+        self.state: RDD | None = None
+        self.older: list[RDD] = []
 
     def sample(self) -> np.ndarray:
         """Bins of about a block of rows, some of every block, feature by feature."""
-        features, step = self.features, max(1, self.kept.count())
+        features, step = self.features, max(1, self.blocks.count())
 
-        def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                parts = [np.frombuffer(packed, np.uint8).reshape(features, -1)[:, ::step].tobytes() for packed in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["bins"])
+        def thin(block: tuple[bytes, ...]) -> bytes:
+            return np.frombuffer(block[0], np.uint8).reshape(features, -1)[:, ::step].tobytes()
 
-        found = self.kept.select("bins").mapInArrow(thin, "bins binary").collect()
-        return np.concatenate([np.frombuffer(row["bins"], np.uint8).reshape(features, -1) for row in found], axis=1)
+        found = self.blocks.map(thin).collect()
+        return np.concatenate([np.frombuffer(packed, np.uint8).reshape(features, -1) for packed in found], axis=1)
 
     def add(self, trees: list[list[list]], draws: list[int]) -> None:
         """The next round: margins after these trees, whose cuts are bins, and the rows drawn for the trees to come."""
         features, start, share = self.features, self.start, self.share
 
-        def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for row in batch.select([*BLOCKS, "margin"]).to_pylist():
-                    label, val = np.frombuffer(row["label"], np.uint8), np.frombuffer(row["val"], np.uint8)
-                    bins = np.frombuffer(row["bins"], np.uint8).reshape(features, len(label))
-                    margin = np.full(len(label), start) if row["margin"] is None else np.frombuffer(row["margin"], float)
-                    if trees:
-                        ends = np.empty((len(label), len(trees)))
-                        for i, nodes in enumerate(trees):
-                            leaves = [node for node, (feature, *_) in enumerate(nodes) if feature < 0]
-                            values = np.array([0.0, *[nodes[node][3] for node in leaves]])
-                            ends[:, i] = values[numbered(arrivals(nodes, bins), leaves)]
-                        margin = margin + ends.sum(axis=1)
-                    score = sigmoid(margin)
-                    drawn = np.zeros((-(-len(draws) // BYTE), len(label)), np.uint8)
-                    for i, seed in enumerate(draws):
-                        used = (mixed(np.frombuffer(row["draw"], np.int64), seed) < share) & (val == 0)
-                        drawn[i // BYTE] |= used * np.uint8(1 << i % BYTE)
-                    found.append([margin, np.rint((score - label) * GRAIN).astype(np.int32),
-                                  np.rint(score * (1 - score) * GRAIN).astype(np.int32), drawn])
-                yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in BLOCKS], *[
-                    pa.array([part.tobytes() for part in column], pa.binary()) for column in zip(*found)]], [*BLOCKS, *ROUND])
-
-        after = self.kept.mapInArrow(margins, ", ".join(f"{name} binary" for name in [*BLOCKS, *ROUND]))
-        self.older.append(self.kept)
+        def following(pair: Pair) -> tuple[bytes, ...]:
+            (bins, label, draw, val), before = pair
+            label, val = np.frombuffer(label, np.uint8), np.frombuffer(val, np.uint8)
+            bins = np.frombuffer(bins, np.uint8).reshape(features, len(label))
+            margin = np.frombuffer(before[0], float) if before else np.full(len(label), start)
+            if trees:
+                ends = np.empty((len(label), len(trees)))
+                for i, nodes in enumerate(trees):
+                    leaves = [node for node, (feature, *_) in enumerate(nodes) if feature < 0]
+                    values = np.array([0.0, *[nodes[node][3] for node in leaves]])
+                    ends[:, i] = values[numbered(arrivals(nodes, bins), leaves)]
+                margin = margin + ends.sum(axis=1)
+            score = sigmoid(margin)
+            drawn = np.zeros((-(-len(draws) // BYTE), len(label)), np.uint8)
+            for i, seed in enumerate(draws):
+                used = (mixed(np.frombuffer(draw, np.int64), seed) < share) & (val == 0)
+                drawn[i // BYTE] |= used * np.uint8(1 << i % BYTE)
+            return tuple(part.tobytes() for part in (margin, np.rint((score - label) * GRAIN).astype(np.int32),
+                                                     np.rint(score * (1 - score) * GRAIN).astype(np.int32), drawn))
+
+        pairs = self.blocks.map(lambda block: (block, ())) if self.state is None else self.blocks.zip(self.state)
+        after = singly(pairs.map(following)).persist(self.level)
         self.since += len(trees)
         if self.since >= REBASE:
-            after, self.since = stage(after, "margins"), 0
-            self._forget()
-        self.kept = after.persist()
-        self.tasks = self.kept.rdd.getNumPartitions()
+            after.checkpoint()
+            self.since = 0
+        if self.state is not None:
+            self.older.append(self.state)
+        self.state = after
 
     def _forget(self) -> None:
         for rows in self.older:
@@ -310,50 +336,51 @@ class Fitter:
         shape = (sum(len(tree.asked()) for tree in trees), features, BINS)
         parts = [(tree.nodes, tree.asked(), np.flatnonzero(tree.columns).tolist()) for tree in trees]
         roots = all(asked == [0] for _, asked, _ in parts)
-        names = ["bins", "gradient", "curvature", "drawn", *(["label", "val", "margin"] if with_val else [])]
 
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def task(pairs: Iterator[Pair]) -> Iterator[bytes]:
             total, counts = np.zeros((2, *shape)), np.zeros(2 * AUC_STEPS if with_val else 0)
             by_draws = np.zeros((2, -(-len(parts) // BYTE), features, 256 * BINS)) if roots else None
-            for batch in batches:
-                for row in batch.to_pylist():
-                    weights = [np.frombuffer(row[name], np.int32).astype(float) for name in ("gradient", "curvature")]
-                    bins = np.frombuffer(row["bins"], np.uint8).reshape(features, len(weights[0]))
-                    drawn = np.frombuffer(row["drawn"], np.uint8).reshape(-1, len(weights[0]))
-                    if with_val:
-                        held = np.frombuffer(row["val"], np.uint8) == 1
-                        score = sigmoid(np.frombuffer(row["margin"], float)[held])
-                        steps = np.minimum((score * AUC_STEPS).astype(int), AUC_STEPS - 1)
-                        label = np.frombuffer(row["label"], np.uint8)[held].astype(int)
-                        counts += np.bincount(label * AUC_STEPS + steps, minlength=2 * AUC_STEPS)
-                    if roots:
-                        for group, byte in enumerate(drawn):
-                            count_bins(by_draws[:, group], byte, 256, bins, range(features), weights)
-                        continue
-                    first = 0
-                    for i, (nodes, asked, columns) in enumerate(parts):
-                        place = numbered(arrivals(nodes, bins), asked) * (drawn[i // BYTE] >> i % BYTE & 1)
-                        used = np.flatnonzero(place != 0)
-                        if len(used):
-                            count_bins(total[:, first:first + len(asked)].swapaxes(1, 2), place[used] - 1, len(asked), bins, columns, weights, used)
-                        first += len(asked)
+            for (bins, label, _, val), (margin, *grains, drawn) in pairs:
+                weights = [np.frombuffer(part, np.int32).astype(float) for part in grains]
+                bins = np.frombuffer(bins, np.uint8).reshape(features, len(weights[0]))
+                drawn = np.frombuffer(drawn, np.uint8).reshape(-1, len(weights[0]))
+                if with_val:
+                    held = np.frombuffer(val, np.uint8) == 1
+                    score = sigmoid(np.frombuffer(margin, float)[held])
+                    steps = np.minimum((score * AUC_STEPS).astype(int), AUC_STEPS - 1)
+                    label = np.frombuffer(label, np.uint8)[held].astype(int)
+                    counts += np.bincount(label * AUC_STEPS + steps, minlength=2 * AUC_STEPS)
+                if roots:
+                    for group, byte in enumerate(drawn):
+                        count_bins(by_draws[:, group], byte, 256, bins, range(features), weights)
+                    continue
+                first = 0
+                for i, (nodes, asked, columns) in enumerate(parts):
+                    place = numbered(arrivals(nodes, bins), asked) * (drawn[i // BYTE] >> i % BYTE & 1)
+                    used = np.flatnonzero(place != 0)
+                    if len(used):
+                        count_bins(total[:, first:first + len(asked)].swapaxes(1, 2), place[used] - 1, len(asked), bins, columns, weights, used)
+                    first += len(asked)
             if roots:
                 for i, (*_, columns) in enumerate(parts):
                     mine = np.flatnonzero(np.arange(256) >> i % BYTE & 1)
                     total[:, i, columns] = by_draws[:, i // BYTE, columns].reshape(2, len(columns), 256, BINS)[:, :, mine].sum(axis=2)
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total.ravel(), counts]).tobytes()], pa.binary())], ["sums"])
+            yield np.concatenate([total.ravel(), counts]).tobytes()
 
-        partials, tasks = self.kept.select(*names).mapInArrow(task, "sums binary"), self.tasks
+        partials, tasks = self.blocks.zip(self.state).mapPartitions(task), self.tasks
         while tasks > FAN:
             # Sums of many tasks are added in a tree, so that few reach the driver.
             tasks = -(-tasks // FAN)
-            partials = partials.repartition(tasks).mapInArrow(added, "sums binary")
-        both, size = sum(np.frombuffer(row["sums"], float) for row in partials.collect()), int(np.prod(shape))
+            partials = partials.repartition(tasks).mapPartitions(added)
+        both, size = sum(np.frombuffer(found, float) for found in partials.collect()), int(np.prod(shape))
+        self._forget()              # the pass has computed this round's state, so those before it are only its lineage
         return np.moveaxis(both[:2 * size].reshape(2, *shape), 0, -1), both[2 * size:].reshape(2, -1)
 
     def close(self) -> None:
         self._forget()
-        self.kept.unpersist()
+        for rows in (self.state, self.blocks):
+            if rows is not None:
+                rows.unpersist()
 
 
 def count_bins(total: np.ndarray, place: np.ndarray, places: int, bins: np.ndarray, columns: Sequence[int], weights: list[np.ndarray],
@@ -369,14 +396,13 @@ def count_bins(total: np.ndarray, place: np.ndarray, places: int, bins: np.ndarr
             sums[feature] += np.bincount(cell, weight, minlength=places * BINS).reshape(sums[feature].shape)
 
 
-def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def added(partials: Iterator[bytes]) -> Iterator[bytes]:
     total = None
-    for batch in batches:
-        for packed in batch.column(0):
-            found = np.frombuffer(packed.as_py(), float)
-            total = found.copy() if total is None else total + found
+    for packed in partials:
+        found = np.frombuffer(packed, float)
+        total = found.copy() if total is None else total + found
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+        yield total.tobytes()
 
 
 def shrunk(gradient: np.ndarray, l1: float) -> np.ndarray:

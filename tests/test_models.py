@@ -366,3 +366,33 @@ def test_blocks_are_filled_across_batches(spark):
     bins = np.concatenate([np.frombuffer(row["bins"], np.uint8) for row in found])
     assert np.array_equal(np.bincount(bins), np.bincount(np.arange(25_000) % 60))
     assert sum(np.frombuffer(row["label"], np.uint8).sum() for row in found) == len(range(0, 25_000, 7))
+
+
+def test_blocks_are_dealt_evenly_and_a_lost_round_comes_back(spark, tmp_path):
+    """Every task has as many blocks as any other, whatever files they come from; rounds that executors lost are computed again."""
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 20, (1300, 2)), rng.integers(0, 2, 1300)
+    df = spark.createDataFrame([(int(b), [float(v) for v in a]) for a, b in zip(x, y)], "isFraud int, x array<double>")
+    df = df.select("isFraud", array_to_vector("x").alias("features")).coalesce(1)
+    blocks = B.blocks(df, df.limit(0), [np.arange(20.0)] * 2, 50)
+    blocks.write.parquet(f"{tmp_path}/blocks")
+    blocks.limit(9).coalesce(1).write.mode("append").parquet(f"{tmp_path}/blocks")
+    fitter = B.Fitter(spark.read.parquet(f"{tmp_path}/blocks"), 2, 0.0, 0.7)
+    sizes = fitter.blocks.glom().map(len).collect()
+    assert sum(sizes) == 26 + 9 and max(sizes) - min(sizes) <= 1
+    assert len(sizes) == spark.sparkContext.defaultParallelism
+
+    leaf = [-1, 0, -1, 0.25, 1.0, 0.0]
+    tree = [[0, 9, 1, 0.0, 2.0, 1.0], leaf, [-1, 0, -1, -0.5, 1.0, 0.0]]
+    fitter.add([], [1, 2])
+    for number in range(B.REBASE + 2):          # beyond a checkpoint
+        fitter.add([tree], [number, 100 + number])
+        if number % 5 == 0:
+            fitter.sums([B.Growing([list(leaf)], [0], np.ones(2, bool)) for _ in range(2)], True)
+    roots = [B.Growing([list(leaf)], [0], np.ones(2, bool)) for _ in range(2)]
+    found, _ = fitter.sums(roots, True)
+    for rdd in (fitter.blocks, fitter.state):
+        rdd.unpersist(True)
+    again, _ = fitter.sums(roots, True)
+    fitter.close()
+    assert found.any() and np.array_equal(found, again)
