@@ -12,7 +12,7 @@ from risklane.plans.registry import query
 from risklane.plans.routing_queries import _ARMS, arms
 from risklane.plans.velocity_queries import _EXACT, _PRIOR, FORCED_SPLIT, _rounded
 from risklane.sources.views import DIALECT, view
-from risklane.staging import new_path
+from risklane.staging import new_path, spread
 from risklane.streaming import jobs, sources, velocity
 
 
@@ -172,7 +172,7 @@ def stream_score_models(spark, sf_dir):
     chain, learned, rates = saved.load(spark, kept), arms(spark, sf_dir), view(spark, sf_dir, "rates")
 
     def score(batch, number):
-        jobs.into(path)(scoring.score_payments(with_amount_text(batch), chain, learned, rates), number)
+        jobs.into(path)(scoring.score_payments(with_amount_text(spread(batch)), chain, learned, rates), number)
 
     jobs.start(_payments(spark, sf_dir), score, "append").awaitTermination()
     return spark.read.parquet(path).drop("batch")

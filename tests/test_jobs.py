@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from risklane.functions import dialogue, wording
 from risklane.operators import conversations as C, decisions as D, encode, features as X, profile as P, routing as R
-from risklane.plans import scoring, training as T
+from risklane.plans import scoring, stream_queries, training as T
 from risklane.plans.feature_queries import payments
 from risklane.sources import files
 from risklane.sources.views import view
@@ -292,6 +292,23 @@ def test_posterior_stream_in_several_batches(spark, sf_dir, tmp_path):
     assert got == want
 
 
+def test_streamed_payments_are_scored_on_every_core(spark, sf_dir, monkeypatch):
+    """The events are one small file, which a stream reads in one task."""
+    seen = []
+
+    def scored(raw, *_):
+        seen.append(raw.rdd.getNumPartitions())
+        return raw.select("TransactionID")
+
+    monkeypatch.setattr(stream_queries, "fitted_chain", lambda *_: None)
+    monkeypatch.setattr(stream_queries.saved, "save", lambda *_: None)
+    monkeypatch.setattr(stream_queries.saved, "load", lambda *_: None)
+    monkeypatch.setattr(stream_queries.scoring, "score_payments", scored)
+    found = stream_queries.stream_score_models(spark, sf_dir)
+    assert found.count() == view(spark, sf_dir, "events").count()
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
 def test_streamed_decisions_equal_batch(spark, sf_dir):
     import __spark_entry__ as entry_point
     queries = entry_point.queries()
